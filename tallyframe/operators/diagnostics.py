@@ -114,8 +114,8 @@ def numeric_diagnostics(df: DataFrame) -> DataFrame:
             text.first_number(F.col("prediction")).alias("pred0"),
         )
         .withColumn("both", F.col("gold0").isNotNull() & F.col("pred0").isNotNull())
-        .withColumn("gold", F.when("both", F.col("gold0")))
-        .withColumn("pred", F.when("both", F.col("pred0")))
+        .withColumn("gold", F.when(F.col("both"), F.col("gold0")))
+        .withColumn("pred", F.when(F.col("both"), F.col("pred0")))
         .withColumn("err", F.col("pred") - F.col("gold"))
         .withColumn("abs_err", F.abs("err"))
     )

@@ -165,7 +165,7 @@ def rescore_summary(df: DataFrame, old: str = "correct", new: str = "correct_new
     out = df.sparkSession.sql(
         """
         SELECT dataset,
-               CASE grouping_id(answer_format, capability_code, ood, clinical)
+               CASE grouping_id()
                  WHEN 15 THEN 'overall' WHEN 7 THEN 'answer_format' WHEN 11 THEN 'primary'
                  WHEN 13 THEN 'ood' ELSE 'clinical' END AS level,
                coalesce(answer_format, capability_code, cast(ood AS string),

@@ -23,6 +23,7 @@ def local_session(app: str = "tallyframe", cores: int = 8, shuffle: int | None =
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle or cores))
         .config("spark.driver.memory", "16g")
     )
