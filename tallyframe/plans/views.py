@@ -102,7 +102,7 @@ VIEWS = {
                    WHEN 4 THEN 'Sponge, Needle' WHEN 5 THEN 'none' ELSE 'a grasper' END
                  ELSE CASE qid % 5 WHEN 0 THEN 'top/left' WHEN 1 THEN 'top' WHEN 2 THEN 'none of these'
                    WHEN 3 THEN 'bottom' ELSE 'unsure' END END AS prediction,
-               k % 400 + 0.0 AS duration,
+               CAST(k % 400 AS DOUBLE) AS duration,
                correct
         FROM {{eval_rows}}
     """,
@@ -147,9 +147,9 @@ VIEWS = {
                CASE o_orderstatus WHEN 'F' THEN 'heico' ELSE 'lapchole' END AS dataset,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'frame' WHEN '2' THEN 'segment'
                  WHEN '3' THEN 'segment' ELSE 'procedure' END AS track,
-               (o_orderkey % 5000) / 2.0 AS start_s,
-               CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN (o_orderkey % 5000) / 2.0
-                 ELSE (o_orderkey % 5000) / 2.0 + (o_custkey % 400) END AS end_s
+               CAST(o_orderkey % 5000 AS DOUBLE) / 2 AS start_s,
+               CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN CAST(o_orderkey % 5000 AS DOUBLE) / 2
+                 ELSE CAST(o_orderkey % 5000 AS DOUBLE) / 2 + (o_custkey % 400) END AS end_s
         FROM {orders}
     """,
     "sampling": """
@@ -186,7 +186,7 @@ VIEWS = {
     "counts": """
         SELECT concat('v', CAST(l_suppkey AS STRING)) AS video, l_linenumber % 5 AS template_id,
                CAST(l_quantity AS INT) % 8 AS pred,
-               (CAST(l_quantity AS INT) + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) % 8 AS target
+               (CAST(l_quantity AS INT) + CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END) % 8 AS target
         FROM {lineitem}
     """,
     # questions on single frames, several per (video, timestamp)
@@ -240,8 +240,8 @@ VIEWS = {
                  ELSE concat('b', CAST(l_partkey % 60 AS STRING)) END AS box_id,
                CASE WHEN l_suppkey % 40 = 7 THEN 'Grasper' WHEN l_returnflag = 'A' THEN 'Clip'
                  WHEN l_returnflag = 'N' THEN 'sponges' ELSE 'Needle' END AS class_name,
-               (l_partkey % 950) + 0.0 AS x, (l_suppkey % 500) + 0.5 AS y,
-               l_quantity AS width, l_linenumber * 10 + 0.0 AS height,
+               CAST(l_partkey % 950 AS DOUBLE) AS x, CAST(l_suppkey % 500 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS y,
+               l_quantity AS width, CAST(l_linenumber * 10 AS DOUBLE) AS height,
                l_tax = 0.0 AS difficult, l_discount = 0.0 AS uncertain
         FROM {lineitem}
     """,
@@ -310,8 +310,8 @@ VIEWS = {
                CASE WHEN l_linenumber <= 3 THEN 'segment' ELSE 'procedure' END AS track,
                CASE l_linestatus WHEN 'F' THEN 'heico' ELSE 'lapchole' END AS dataset,
                CAST(l_quantity AS INT) % 12 + 1 AS epoch,
-               avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END) AS accuracy,
-               avg(CASE WHEN l_tax >= 0.04 THEN 1.0 ELSE 0.0 END) AS bucket_macro
+               avg(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END) AS accuracy,
+               avg(CASE WHEN l_tax >= 0.04 THEN 1 ELSE 0 END) AS bucket_macro
         FROM {lineitem}
         GROUP BY 1, 2, 3, 4
     """,
