@@ -380,20 +380,22 @@ def reranked_epochs(scores: DataFrame, keys: Sequence[str], first: str, second:
     return out.withColumn("changed", changed.cast("int"))
 
 
-def checkpoint_history(scores: DataFrame, datasets: Sequence[str], metric: str = "accuracy") -> DataFrame:
+def checkpoint_history(
+    scores: DataFrame, datasets: Sequence[str], keys: Sequence[str] = (), metric: str = "accuracy"
+) -> DataFrame:
     """Epochs in which every dataset was scored, their mean, and the selected one."""
     per = [F.max(F.when(F.col("dataset") == d, F.col(metric))).alias(f"{d}_{metric}") for d in datasets]
     whole = (
         scores.where(F.col("dataset").isin(*datasets))
-        .groupBy("epoch")
+        .groupBy(*keys, "epoch")
         .agg(F.count_distinct("dataset").alias("_sets"), F.avg(metric).alias(f"mean_{metric}"), *per)
         .where(F.col("_sets") == len(datasets))
         .drop("_sets")
     )
-    top = whole.groupBy().agg(F.max(F.struct(F.col(f"mean_{metric}"), F.col("epoch")))["epoch"].alias("_top"))
-    # one row joined back to one row per epoch
-    return whole.join(F.broadcast(top), whole["epoch"] == top["_top"], "left").withColumn(
-        "selected", F.col("_top").isNotNull().cast("int")
+    best = F.max(F.struct(F.col(f"mean_{metric}"), F.col("epoch")))["epoch"].alias("epoch")
+    top = whole.groupBy(*keys).agg(best).withColumn("_top", F.lit(1))
+    return whole.join(top, [*keys, "epoch"], "left").withColumn(
+        "selected", F.coalesce("_top", F.lit(0))
     ).drop("_top")
 
 

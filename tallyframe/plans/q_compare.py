@@ -282,15 +282,14 @@ def reranked_epochs(spark, sf):
 
 @query(
     "checkpoint_history",
-    """WITH w AS (SELECT epoch, avg(accuracy) AS mean_accuracy, max(accuracy) FILTER (dataset = 'heico') AS heico_accuracy,
+    """WITH w AS (SELECT run, epoch, avg(accuracy) AS mean_accuracy, max(accuracy) FILTER (dataset = 'heico') AS heico_accuracy,
                     max(accuracy) FILTER (dataset = 'lapchole') AS lapchole_accuracy
-                  FROM epoch_scores WHERE run = 'run1' GROUP BY 1 HAVING count(DISTINCT dataset) = 2)
-       SELECT *, CAST(epoch = (SELECT arg_max(epoch, (mean_accuracy, epoch)) FROM w) AS INT) AS selected FROM w""",
+                  FROM epoch_scores GROUP BY 1, 2 HAVING count(DISTINCT dataset) = 2)
+       SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY mean_accuracy DESC, epoch DESC) = 1 AS INT) AS selected FROM w""",
     ["epoch_scores"], ("mean_accuracy", "heico_accuracy", "lapchole_accuracy"), "E-05",
 )
 def checkpoint_history(spark, sf):
-    scores = view(spark, sf, "epoch_scores").where(F.col("run") == "run1")
-    return C.checkpoint_history(scores, ["heico", "lapchole"])
+    return C.checkpoint_history(view(spark, sf, "epoch_scores"), ["heico", "lapchole"], ["run"])
 
 
 _RUN_BUCKETS = """SELECT concat('run', CAST(l_linenumber AS VARCHAR)) AS run, l_returnflag || l_linestatus AS bucket, count(*) AS n,
