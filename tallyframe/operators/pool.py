@@ -20,6 +20,7 @@ from tallyframe.functions.labels import (
 )
 from tallyframe.functions.numbers import case_id
 from tallyframe.operators.scale import grouped_rank, grouped_running
+from tallyframe.session import cut_lineage
 from tallyframe.taxonomy import CLASS_NAMES
 
 # --- fixed values: points of the priority score ---
@@ -197,7 +198,10 @@ def diverse_rank(cases: DataFrame, keys: Sequence[str], name: str = "rank") -> D
 
 def select_pool(cases: DataFrame, quota: int, batch: int = 100) -> DataFrame:
     """Best cases per dataset up to the quota, ranked together and batched."""
-    chosen = diverse_rank(cases, ["dataset"], "_r").where(F.col("_r") <= quota).drop("_r", "video_position")
+    # ranks read their input several times, so scores and choices are kept as tables
+    scored = cut_lineage(cases)
+    first = diverse_rank(scored, ["dataset"], "_r").where(F.col("_r") <= quota)
+    chosen = cut_lineage(first.drop("_r", "video_position"))
     ranked = diverse_rank(chosen, [], "rank")
     return ranked.withColumn("batch", (F.floor((F.col("rank") - 1) / batch) + 1).cast("bigint"))
 

@@ -1,7 +1,10 @@
-"""Session defaults and the shared-folder checkpoint used to cut lineage."""
+"""Session defaults, and tables in the shared folder that cut lineage."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the work a fixed hint cannot: it measures each
@@ -32,18 +35,28 @@ def local_session(app: str = "tallyframe", cores: int = 8, shuffle: int | None =
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Checkpoint to the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors reach: ``spark.checkpoint.dir`` of the session.
+
+    A local session may do without it and gets a temporary folder; a cluster
+    may not, since a folder on one machine is lost with it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and read it back.
 
-    The folder must be shared by all executors, so a lost executor costs a
-    re-read and not a re-run. ``fallback_dir`` is used only where the session
-    names none (tests).
+    What follows starts from files: it may read them several times, a lost
+    executor costs a re-read, and the planner knows their size.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
