@@ -8,6 +8,7 @@ other views, and ``<<each n: ..>>`` repeats a row per listed value.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -339,11 +340,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; unused columns are pruned down to the scan."""
+def view(
+    spark: SparkSession, sf_dir: str, name: str, sources: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """A view as a DataFrame; unused columns are pruned down to the scan.
+
+    ``sources`` replaces tables, for instance by a stream of the same rows.
+    """
     text = _EACH.sub(r"LATERAL VIEW explode(array(\2)) each_\1 AS \1", VIEWS[name])
+    given = sources or {}
     needs = {
-        n: table(spark, sf_dir, n) if n in TABLES else view(spark, sf_dir, n) for n in references(text)
+        n: given[n] if n in given else table(spark, sf_dir, n) if n in TABLES else view(spark, sf_dir, n, sources)
+        for n in references(text)
     }
     return spark.sql(text, **needs) if needs else spark.sql(text)
 
