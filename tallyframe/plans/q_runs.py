@@ -43,7 +43,7 @@ def joined_evaluation(spark, sf):
 
 @query(
     "covered_lineitems",
-    """SELECT l_returnflag, count(*) AS n, count(DISTINCT n_name) AS nations, sum(s_acctbal) AS balance FROM lineitem
+    """SELECT l_returnflag, count(*) AS n, count(DISTINCT n_name) AS nations, sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS balance FROM lineitem
        JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""",
     floats=("balance",), covers="C-02 C-06",
 )
@@ -52,21 +52,21 @@ def covered_lineitems(spark, sf):
     out = J.covered(lines, table(spark, sf, "supplier"), ["s_suppkey"], "line item")
     nations = table(spark, sf, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
     return J.covered(out, nations, ["s_nationkey"], "supplier").groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("n_name").alias("nations"), F.sum("s_acctbal").alias("balance")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("n_name").alias("nations"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).alias("balance")
     )
 
 
 @query(
     "suffixed_outer_join",
     """SELECT o_custkey, a.n AS n_first, a.total AS total_first, b.n AS n_second, b.total AS total_second FROM
-         (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
-       FULL JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) b USING (o_custkey)""",
+         (SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
+       FULL JOIN (SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) b USING (o_custkey)""",
     floats=("total_first", "total_second"), covers="C-03",
 )
 def suffixed_outer_join(spark, sf):
     def side(status: str):
         rows = table(spark, sf, "orders").where(F.col("o_orderstatus") == status)
-        return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+        return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
 
     return J.suffixed(side("F"), side("P"), ["o_custkey"], ("first", "second"))
 

@@ -94,7 +94,7 @@ VIEWS = {
                  WHEN 'percentage' THEN CASE WHEN k % 13 = 0 THEN 'half of it'
                    ELSE concat(CAST(k + qid % 2 AS STRING), '.5') END
                  WHEN 'binary' THEN CASE qid % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'yes'
-                   WHEN 3 THEN 'none, i know' ELSE 'maybe' END
+                   WHEN 3 THEN 'no' ELSE 'maybe' END
                  WHEN 'time' THEN CASE WHEN k % 11 = 0 THEN 'later'
                    WHEN k % 3 = 0 THEN concat({_hms('k * 37 + qid % 9')}, ', 00:01:05')
                    ELSE {_hms('k * 37 + qid % 9')} END
