@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.labels import canonical_label
+from tallyframe.functions.text import let
 from tallyframe.taxonomy import CLASS_NAMES
 
 # --- fixed values: accepted keys, in order of preference ---
@@ -35,16 +36,15 @@ def _balanced(depth: int = 7) -> str:
     return value
 
 
-def _candidates(raw: Column) -> Column:
-    """The whole text, fenced blocks, then the value at every opening bracket."""
-    text = F.btrim(raw, F.lit(" \t\n\r"))
-    fenced = F.transform(
-        F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1)), lambda c: F.btrim(c, F.lit(" \t\n\r"))
-    )
-    embedded = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({_balanced()}))[\[{{]"), F.lit(1))
-    return F.array_distinct(
-        F.filter(F.concat(F.array(text), fenced, embedded), lambda c: c != "")
-    )
+def _candidates(text: Column) -> Column:
+    """Fenced blocks, then the value at every opening bracket."""
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1)), _edges_off)
+    embedded = F.regexp_extract_all(text, F.lit(rf"(?s)(?=[\[{{])(?=({_balanced()}))."), F.lit(1))
+    return F.filter(F.array_distinct(F.concat(fenced, embedded)), lambda c: c != "")
+
+
+def _edges_off(x: Column) -> Column:
+    return F.btrim(x, F.lit(" \t\n\r"))
 
 
 def _as_literal(text: Column) -> Column:
@@ -72,11 +72,9 @@ def _has_any(m: Column, keys: Sequence[str]) -> Column:
 
 
 def _is_payload(v: Column) -> Column:
-    items, record = _as_list(v), _as_map(v)
-    all_records = F.forall(items, lambda e: _as_map(e).isNotNull())
     return F.coalesce(
-        F.when(items.isNotNull(), all_records),
-        F.when(record.isNotNull(), _has_any(record, (*LIST_KEYS, *BOX_KEYS))),
+        let(_as_map(v), lambda record: _has_any(record, (*LIST_KEYS, *BOX_KEYS))),
+        F.forall(_as_list(v), lambda e: _as_map(e).isNotNull()),
         F.lit(False),
     )
 
@@ -142,19 +140,14 @@ def extract_detections(
     read by name in the next stage.
     """
 
-    def parsed(text: Column) -> Column:
-        strict = F.try_parse_json(text)
-        loose = F.try_parse_json(_as_literal(text))
-        return F.struct(strict.alias("strict"), loose.alias("loose"))
-
-    def judged(p: Column) -> Column:
-        strict, loose = _is_payload(p["strict"]), _is_payload(p["loose"])
-        return F.when(
-            strict | loose,
-            F.struct(
-                F.when(strict, p["strict"]).otherwise(p["loose"]).alias("value"),
-                F.when(strict, "json").otherwise("python_literal").alias("how"),
-            ),
+    def accepted(v: Column, how: str) -> Column:
+        return F.when(_is_payload(v), F.struct(v.alias("value"), F.lit(how).alias("how")))
+
+    def judged(text: Column) -> Column:
+        """First reading that looks like boxes; later readings are not tried."""
+        return F.coalesce(
+            let(F.try_parse_json(text), lambda v: accepted(v, "json")),
+            let(F.try_parse_json(_as_literal(text)), lambda v: accepted(v, "python_literal")),
         )
 
     def read(item: Column) -> Column:
@@ -165,8 +158,10 @@ def extract_detections(
         )
 
     text = F.coalesce(F.col(raw), F.lit(""))
-    out = df.withColumn("_parsed", F.transform(_candidates(text), parsed))
-    out = out.withColumn("_payload", F.get(F.filter(F.transform("_parsed", judged), lambda p: p.isNotNull()), F.lit(0)))
+    nothing = F.lit(None).cast("struct<value:variant,how:string>")
+    out = df.withColumn("_whole", judged(_edges_off(text)))
+    search = F.aggregate(_candidates(_edges_off(text)), nothing, lambda got, c: F.coalesce(got, judged(c)))
+    out = out.withColumn("_payload", F.coalesce(F.col("_whole"), search))
     value = F.col("_payload")["value"]
     out = out.withColumn("_list", _as_list(value)).withColumn("_record", _as_map(value))
     out = out.withColumn(
@@ -193,7 +188,7 @@ def extract_detections(
             .otherwise("invalid_json"),
         )
     )
-    return out.drop("_parsed", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
+    return out.drop("_whole", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
 
 
 def derived_count(detections: Column, mode: Column, target: Column, names: Sequence[str] = CLASS_NAMES) -> Column:

@@ -36,7 +36,7 @@ def case_id(dataset: Column, video: Column, timestamp: Column) -> Column:
 
 
 def frame_index(seconds: Column, fps: Column) -> Column:
-    return F.bround(seconds * fps).cast("bigint")
+    return F.rint(seconds * fps).cast("bigint")
 
 
 def frame_path(folder: Column, video: Column, index: Column) -> Column:
@@ -52,7 +52,7 @@ def even_positions(n: Column, cap: Column, single: str = "first") -> Column:
     n, cap = n.cast("bigint"), cap.cast("bigint")
     step = (n - 1) / F.greatest(cap - 1, F.lit(1))
     spread = F.array_distinct(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), cap - 1), lambda i: F.bround(i * step).cast("bigint"))
+        F.transform(F.sequence(F.lit(0).cast("bigint"), cap - 1), lambda i: F.rint(i * step).cast("bigint"))
     )
     alone = F.lit(0).cast("bigint") if single == "first" else F.floor(n / 2)
     return (
@@ -68,7 +68,7 @@ def resize_target(
     """Height and width snapped to ``factor`` inside a pixel budget."""
     top = high if isinstance(high, Column) else F.lit(high)
     area = (height * width).cast("double")
-    h0, w0 = F.bround(height / factor) * factor, F.bround(width / factor) * factor
+    h0, w0 = F.rint(height / factor) * factor, F.rint(width / factor) * factor
     shrink, grow = F.sqrt(area / top), F.sqrt(F.lit(float(low)) / area)
 
     def pick(size: Column, snapped: Column) -> Column:

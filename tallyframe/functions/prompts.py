@@ -116,7 +116,7 @@ def window_preamble(track: Column, start: Column, end: Column, frames: Column) -
             "This clip covers video time %s to %s (%d s of surgery). It is shown",
             seconds_stamp(start),
             seconds_stamp(end),
-            F.bround(length).cast("bigint"),
+            F.rint(length).cast("bigint"),
         )
     )
     how = F.when(
@@ -124,7 +124,7 @@ def window_preamble(track: Column, start: Column, end: Column, frames: Column) -
         F.format_string(
             " as %d frames in chronological order, about %d s apart",
             frames.cast("bigint"),
-            F.bround(gap).cast("bigint"),
+            F.rint(gap).cast("bigint"),
         ),
     ).otherwise(" as a single frame")
     return F.concat(head, how, F.lit(", each labelled with its absolute video timestamp."))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ WHITESPACE = (
     r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# White space to collapse: any run but a single plain blank, so ordinary text
+# passes with few replacements.
+_RUN = f" {WHITESPACE}+|(?! ){WHITESPACE}+"
+_EDGES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # --- fixed values: cue words that decide an answer ---
 YES_WORDS = ("yes", "yeah", "yep", "true", "correct", "present", "affirmative")
 NO_WORDS = ("no", "nope", "false", "incorrect", "absent", "negative")
@@ -44,8 +49,19 @@ def quoted(word: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c in " _") else c for c in word)
 
 
+def _starts(words: Sequence[str]) -> str:
+    """Look-ahead on the first letters; it is far cheaper than a Unicode word boundary."""
+    letters = sorted({w[0] for w in words})
+    return "(?=[" + "".join("\\" + c if not c.isalnum() else c for c in letters) + "])"
+
+
 def any_word(words: Sequence[str]) -> str:
-    return r"(?U)\b(?:" + "|".join(quoted(w) for w in words) + r")\b"
+    return r"(?U)" + _starts(words) + r"\b(?:" + "|".join(quoted(w) for w in words) + r")\b"
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``x`` once and hand its value to ``use``."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def casefold(x: Column) -> Column:
@@ -54,7 +70,7 @@ def casefold(x: Column) -> Column:
 
 def clean(x: Column) -> Column:
     """Collapse white space and trim."""
-    return F.trim(F.regexp_replace(x, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(x, _RUN, " "))
 
 
 def clean_capped(x: Column, limit: int = MAX_TEXT) -> Column:
@@ -74,14 +90,12 @@ def normalize_binary(x: Column, variant: str = "v1") -> Column:
     ``v1`` looks for yes-words first, so "not present" reads as yes. ``v2``
     takes a leading yes/no, then no-words first. ``frame`` has shorter word lists.
     """
-    low = F.lower(clean(x))
-    exact = low.isin("yes", "no")
-    if variant == "v1":
-        yes = low.rlike(any_word(YES_WORDS)) | low.startswith("yes")
-        no = low.rlike(any_word(NO_WORDS)) | low.startswith("no")
-        return F.when(exact, low).when(yes, "yes").when(no, "no").otherwise(low)
-    if variant == "v2":
-        low = F.lower(clean_capped(x))
+    def v1(low: Column) -> Column:
+        yes = low.startswith("yes") | low.rlike(any_word(YES_WORDS))
+        no = low.startswith("no") | low.rlike(any_word(NO_WORDS))
+        return F.when(low.isin("yes", "no"), low).when(yes, "yes").when(no, "no").otherwise(low)
+
+    def v2(low: Column) -> Column:
         lead = F.regexp_extract(low, r"(?U)^(yes|no)\b", 1)
         return (
             F.when(low.isin("yes", "no"), low)
@@ -90,22 +104,27 @@ def normalize_binary(x: Column, variant: str = "v1") -> Column:
             .when(low.rlike(any_word(YES_WORDS)), "yes")
             .otherwise(low)
         )
-    if variant == "frame":
+
+    def frame(low: Column) -> Column:
         return (
-            F.when(exact, low)
+            F.when(low.isin("yes", "no"), low)
             .when(low.rlike(any_word(YES_WORDS_FRAME)), "yes")
             .when(low.rlike(any_word(NO_WORDS_FRAME)), "no")
             .otherwise(low)
         )
-    raise ValueError(f"unknown variant: {variant}")
+
+    rules = {"v1": v1, "v2": v2, "frame": frame}
+    if variant not in rules:
+        raise ValueError(f"unknown variant: {variant}")
+    text = clean(x) if variant == "v1" else clean_capped(x)
+    return let(F.lower(text), rules[variant])
 
 
 # -- numbers -----------------------------------------------------------------
 
 
 def _first_match(x: Column, pattern: str) -> Column:
-    found = F.regexp_extract(x, f"({pattern})", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(x, f"({pattern})", 1), F.lit(""))
 
 
 def normalize_number(x: Column) -> Column:
@@ -163,12 +182,15 @@ def found_names(x: Column, names: Sequence[str] = CLASS_NAMES) -> Column:
     One scan with the names as alternatives, longest first, is the same as
     masking unless two names can interleave; then the names are masked in turn.
     """
-    names = list(dict.fromkeys(names))
-    low = F.lower(clean(x))
+    return _names_in(F.lower(clean(x)), list(dict.fromkeys(names)))
+
+
+def _names_in(low: Column, names: Sequence[str]) -> Column:
     ordered = sorted(names, key=len, reverse=True)
     listed = F.array(*[F.lit(n.lower()) for n in names])
     if not _may_interleave(names):
-        pattern = r"(?U)(?<!\w)(?:" + "|".join(quoted(n.lower()) for n in ordered) + r")(?!\w)"
+        lows = [n.lower() for n in ordered]
+        pattern = r"(?U)" + _starts(lows) + r"(?<!\w)(?:" + "|".join(quoted(n) for n in lows) + r")(?!\w)"
         hits = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
         return F.array_intersect(listed, hits)
     masked, hit = low, {}
@@ -187,23 +209,26 @@ def named(found: Column, names: Sequence[str] = CLASS_NAMES) -> Column:
     )
 
 
-def has_none_cue(x: Column) -> Column:
+def _none_cue(low: Column) -> Column:
     cues = "|".join(quoted(c) for c in NONE_CUES)
-    return F.lower(clean(x)).rlike(r"(?U)(?:^|\W)(?:" + cues + r")(?:\W|$)")
+    return low.rlike(r"(?U)" + _starts(NONE_CUES) + r"(?<!\w)(?:" + cues + r")(?!\w)")
 
 
 def normalize_classes(
     x: Column, names: Sequence[str] = CLASS_NAMES, empty: str = "none"
 ) -> Column:
     """Set answer: known names in taxonomy order, else ``none``, else the text."""
-    text = clean(x)
-    joined = named(found_names(x, names), names)
-    return (
-        F.when(text == "", F.lit(empty))
-        .when(joined != "", joined)
-        .when(has_none_cue(x), "none")
-        .otherwise(text)
-    )
+    names = list(dict.fromkeys(names))
+
+    def settle(t: Column) -> Column:
+        joined = let(_names_in(F.lower(t), names), lambda found: named(found, names))
+        return F.when(t == "", F.lit(empty)).otherwise(
+            F.coalesce(
+                F.nullif(joined, F.lit("")), F.when(_none_cue(F.lower(t)), F.lit("none")), t
+            )
+        )
+
+    return let(clean(x), settle)
 
 
 def answer_set(x: Column) -> Column:
@@ -211,9 +236,9 @@ def answer_set(x: Column) -> Column:
     parts = F.filter(
         F.transform(F.split(x, ","), lambda p: F.lower(clean(p))), lambda p: p != ""
     )
-    unique = F.array_distinct(parts)
     none = F.array(F.lit("none"))
-    return F.when((F.size(parts) == 1) & (parts == none), F.array().cast("array<string>")).otherwise(unique)
+    nothing = F.array().cast("array<string>")
+    return let(parts, lambda p: F.when(p == none, nothing).otherwise(F.array_distinct(p)))
 
 
 def set_precision(gold: Column, pred: Column) -> Column:
@@ -249,7 +274,8 @@ def normalize_time(x: Column) -> Column:
         return F.format_string("%02d:%02d:%02d", *_hms(stamp))
 
     found = F.regexp_extract_all(x, F.lit(f"({TIME_LOOSE})"), F.lit(1))
-    return F.when(F.size(found) > 0, F.array_join(F.transform(found, padded), ", ")).otherwise(clean(x))
+    joined = F.array_join(F.transform(found, padded), ", ")
+    return F.coalesce(F.nullif(joined, F.lit("")), clean(x))
 
 
 def timestamps(x: Column) -> Column:
@@ -265,16 +291,14 @@ def timestamps(x: Column) -> Column:
 
 def stamp_seconds(x: Column) -> Column:
     """``HH:MM:SS[.f]`` to seconds; NULL where it is not a valid timestamp."""
-    text = F.trim(x)
-    part = F.split(text, ":")
-    h, m, s = part[0].try_cast("int"), part[1].try_cast("int"), part[2].try_cast("double")
-    shaped = text.rlike(r"^\s*\d+\s*:\s*\d+\s*:\s*\d+(?:\.\d*)?\s*$")
-    return F.when(shaped & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
+    shape = r"^\s*(\d+)\s*:\s*(\d+)\s*:\s*(\d+(?:\.\d*)?)\s*$"
+    h, m, s = (F.regexp_extract(x, shape, i).try_cast("double") for i in (1, 2, 3))
+    return F.when((m < 60) & (s < 60), h * 3600 + m * 60 + s)
 
 
 def seconds_stamp(x: Column) -> Column:
     """Seconds to ``HH:MM:SS``, rounded half to even."""
-    s = F.bround(x).cast("bigint")
+    s = F.rint(x).cast("bigint")
     hours = F.floor(s / 3600)
     return F.format_string("%02d:%02d:%02d", hours, F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
 
@@ -321,17 +345,15 @@ def matched_options(x: Column, opts: Column) -> Column:
 
 def normalize_choice(x: Column, opts: Column, multi: Column, limit: int = MAX_TEXT) -> Column:
     """Snap the text to one listed option, or to every one where several may apply."""
-    text = clean(x)
-    low = F.lower(text)
-    cut = F.substring(text, 1, limit)
-    many = F.array_join(matched_options(x, opts), ", ")
-    one = F.get(F.filter(_longest_first(opts), lambda o: F.contains(low, F.lower(o))), F.lit(0))
-    none_said = low.rlike(r"(?U)(?:^|\W)none(?:\W|$)")
-    several = (
-        F.when(many != "", F.substring(many, 1, limit)).when(none_said, "none").otherwise(cut)
-    )
-    single = F.coalesce(F.substring(one, 1, limit), cut)
-    return F.when(F.size(opts) == 0, cut).when(multi, several).otherwise(single)
+    def settle(text: Column) -> Column:
+        low, cut = F.lower(text), F.substring(text, 1, limit)
+        many = F.nullif(F.array_join(matched_options(text, opts), ", "), F.lit(""))
+        one = F.get(F.filter(_longest_first(opts), lambda o: F.contains(low, F.lower(o))), F.lit(0))
+        none_said = low.rlike(r"(?U)(?<!\w)none(?!\w)")
+        several = F.coalesce(F.substring(many, 1, limit), F.when(none_said, F.lit("none")), cut)
+        return F.when(multi, several).otherwise(F.coalesce(F.substring(one, 1, limit), cut))
+
+    return let(clean(x), settle)
 
 
 # -- dispatch ----------------------------------------------------------------
@@ -427,11 +449,11 @@ def strip_reasoning(x: Column) -> Column:
     """Drop a reasoning block; an unfinished one leaves no answer."""
     closed = F.regexp_replace(x, r"(?s)<think>.*?</think>", "")
     dangling = F.regexp_replace(closed, r"(?s)^.*?</think>", "")
-    edge = WHITESPACE + "+"
-    trimmed = F.regexp_replace(F.regexp_replace(dangling, "^" + edge, ""), edge + "$", "")
-    plain = F.regexp_replace(F.regexp_replace(x, "^" + edge, ""), edge + "$", "")
+    edges = F.lit(_EDGES)
     return (
-        F.when(x.contains("</think>"), trimmed).when(x.contains("<think>"), "").otherwise(plain)
+        F.when(x.contains("</think>"), F.btrim(dangling, edges))
+        .when(x.contains("<think>"), "")
+        .otherwise(F.btrim(x, edges))
     )
 
 

@@ -16,7 +16,7 @@ from tallyframe.functions.numbers import (
     normal_tail,
     uniform_index,
 )
-from tallyframe.operators.scale import grouped_rank, grouped_running, hash_bucket
+from tallyframe.operators.scale import fanned, grouped_rank, grouped_running, hash_bucket
 
 # -- pairing -------------------------------------------------------------------
 
@@ -138,7 +138,8 @@ def _draws(numbered: DataFrame, keys: Sequence[str], reps: int, seed: int) -> Da
     """One row per (slice, replicate, slot) with the drawn slot in ``pick``."""
     digest = hash_text(seed, *[F.col(k) for k in keys], F.col("rep"), F.col("slot"))
     return (
-        numbered.select(*keys, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+        fanned(numbered.select(*keys, "slot", "size"), "slot")
+        .select(*keys, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
         .withColumn("pick", uniform_index(digest, F.col("size")))
         .select(*keys, "rep", "slot", "pick")
     )

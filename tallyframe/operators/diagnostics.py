@@ -30,7 +30,7 @@ def _with_points(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column
 def _error_quantiles(
     rows: DataFrame, keys: Sequence[str], error: str, wanted: Mapping[str, float]
 ) -> DataFrame:
-    counted = rows.where(F.col(error).isNotNull()).groupBy(*keys, error).agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.groupBy(*keys, error).agg(F.count(F.lit(1)).alias("_n"))
     return weighted_quantiles(counted, keys, error, "_n", wanted)
 
 

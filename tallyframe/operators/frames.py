@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import even_positions, frame_index, frame_path
-from tallyframe.functions.text import seconds_stamp
+from tallyframe.functions.text import let, seconds_stamp
 from tallyframe.operators.joins import salted_lookup
+from tallyframe.operators.scale import spread
 
 
 def window_indices(
@@ -24,9 +25,13 @@ def window_indices(
     first = frame_index(start, fps)
     last = F.greatest(frame_index(end, fps), first)
     step = F.greatest(stride.cast("bigint"), F.lit(1))
-    n = F.floor((last - first) / step) + 1
-    places = even_positions(n, n if cap is None else F.coalesce(cap.cast("bigint"), n))
-    return F.transform(places, lambda p: first + p * step)
+
+    def grid(w: Column) -> Column:
+        n = F.floor((w["last"] - w["first"]) / w["step"]) + 1
+        places = even_positions(n, n if cap is None else F.coalesce(cap.cast("bigint"), n))
+        return F.transform(places, lambda p: w["first"] + p * w["step"])
+
+    return let(F.struct(first.alias("first"), last.alias("last"), step.alias("step")), grid)
 
 
 def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
@@ -37,7 +42,7 @@ def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
     indices = window_indices(
         F.col("start_s"), F.col("end_s"), F.col("fps"), F.col("stride"), F.col("max_frames") if cap else None
     )
-    return df.select("*", F.posexplode(indices).alias("position", "frame"))
+    return spread(df).select("*", F.posexplode(indices).alias("position", "frame"))
 
 
 def frame_details(frames: DataFrame, folder: str = "frames") -> DataFrame:

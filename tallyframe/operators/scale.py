@@ -14,6 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on an input of few splits.
+
+    The planner's size estimate tells whether the scan gives every core a
+    split. Larger inputs pass unchanged, as do streams.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = 128 * 1024 * 1024
+    return df.repartition(cores) if size < cores * split else df
+
+
+def fanned(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition few rows widely before each of them multiplies."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *columns)
+
+
 def value_bucket(x: Column, per_octave: int = 256) -> Column:
     """A bucket number that grows with ``x``; their count depends on the range only."""
     return (F.signum(x) * F.floor(F.log2(1.0 + F.abs(x)) * per_octave)).cast("bigint")
@@ -94,11 +115,15 @@ def weighted_quantiles(
     """Exact quantiles with linear interpolation, one row per group.
 
     Input holds one row per (keys, value) with its row count in ``weight``.
-    Only the buckets in which a wanted rank falls are sorted.
+    Only the buckets in which a wanted rank falls are sorted. NULL values weigh
+    nothing; they are not filtered, as that filter would be pushed into the
+    input and compute its value expressions a second time.
     """
-    base, by = _with_group(df.where(F.col(value).isNotNull()), keys)
-    base = base.withColumn("_bucket", value_bucket(F.col(value).cast("double")))
-    offsets = _bucket_offsets(base, by, F.col(weight))
+    known = F.col(value).isNotNull()
+    base, by = _with_group(df.withColumn("_w", F.when(known, F.col(weight)).otherwise(0)), keys)
+    bucket = F.coalesce(value_bucket(F.col(value).cast("double")), F.lit(-(2**62)))
+    base = base.withColumn("_bucket", bucket)
+    offsets = _bucket_offsets(base, by, F.col("_w"))
 
     def place(q: float) -> Column:
         return F.lit(float(q)) * (F.col("_total") - 1)
@@ -112,8 +137,8 @@ def weighted_quantiles(
     )
     rows = (
         base.join(offsets.where(hit), [*by, "_bucket"])
-        .withColumn("_from", F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .withColumn("_to", F.col("_from") + F.col(weight))
+        .withColumn("_from", F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+        .withColumn("_to", F.col("_from") + F.col("_w"))
     )
 
     def at(rank: Column) -> Column:

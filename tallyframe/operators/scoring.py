@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text
 from tallyframe.functions.detections import derived_count, extract_detections
 from tallyframe.functions.labels import counting_question
+from tallyframe.operators.scale import spread
 from tallyframe.taxonomy import CLASS_NAMES
 
 SEGMENT_SECONDS = 305
@@ -21,7 +22,7 @@ def normalize_predictions(
     """Raw text of every row to the normalised answer of its format."""
     question = F.col("question") if "question" in df.columns else None
     raw = text.strip_reasoning(F.coalesce("raw_model_output", F.lit("")))
-    staged = df.withColumn("_answer", raw)
+    staged = spread(df).withColumn("_answer", raw)
     value = text.normalize_answer(F.col("answer_format"), F.col("_answer"), question, names, variant)
     return staged.withColumn(into, value).drop("_answer")
 
@@ -124,7 +125,7 @@ def structured_counts(df: DataFrame, names: Sequence[str] = CLASS_NAMES) -> Data
         asked = counting_question(F.col("question"), F.col("answer_format"), names)
         df = df.withColumn("_asked", asked).where(F.col("_asked").isNotNull())
         df = df.withColumn("mode", F.col("_asked.mode")).withColumn("target", F.col("_asked.target")).drop("_asked")
-    found = extract_detections(df, names=names)
+    found = extract_detections(spread(df), names=names)
     return found.withColumn(
         "derived_count", derived_count(F.col("detections"), F.col("mode"), F.col("target"), names)
     )

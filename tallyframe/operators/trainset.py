@@ -63,7 +63,7 @@ def count_repetitions(
     reps = freq.withColumn("_one", F.lit(1)).join(top, "_one").select(
         "_count",
         F.least(
-            F.lit(cap), F.greatest(F.lit(1), F.bround(F.pow(F.col("_top") / F.col("_freq"), F.lit(power))))
+            F.lit(cap), F.greatest(F.lit(1), F.rint(F.pow(F.col("_top") / F.col("_freq"), F.lit(power))))
         ).cast("int").alias("reps"),
     )
     return tagged.join(reps, "_count", "left").withColumn("reps", F.coalesce("reps", F.lit(1))).drop("_count")
@@ -109,7 +109,7 @@ def stratified_subset(
         *strata,
         F.greatest(
             F.lit(1),
-            F.bround(F.col("_n") * F.least(F.lit(1.0), F.lit(limit) * F.col("_sets") / F.col("_all"))),
+            F.rint(F.col("_n") * F.least(F.lit(1.0), F.lit(limit) * F.col("_sets") / F.col("_all"))),
         ).cast("bigint").alias("_quota"),
     )
     digest = hash_text(seed, *[F.col(k) for k in key])
@@ -178,7 +178,7 @@ def rebalanced(
     for track, total in totals.items():
         wanted = F.when(F.col("track") == track, total).otherwise(wanted)
     quota = sizes.join(roots, "track").select(
-        *strata, F.bround(wanted * F.col("root") / F.col("roots")).cast("bigint").alias("_quota")
+        *strata, F.rint(wanted * F.col("root") / F.col("roots")).cast("bigint").alias("_quota")
     )
     rest = ranked.where(F.col("_r") > holdout).join(quota, strata)
     size, place = F.col("_n") - holdout, F.col("_r") - holdout
