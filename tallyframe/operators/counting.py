@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text
 from tallyframe.functions.numbers import hash_int, hash_text
 from tallyframe.operators.scale import grouped_rank, hash_bucket
+from tallyframe.session import cut_lineage
 from tallyframe.taxonomy import MAX_COUNT, MAX_DISTINCT_CLASSES, MIN_COUNT
 
 # --- fixed values: views of one question, and the rules in order of preference ---
@@ -138,11 +139,9 @@ def group_aware_selection(
         videos.withColumn("_d", digest), ["trial"], hash_bucket(F.col("_d")), [F.col("_d")], "_r", "_n"
     )
     halves = ranked.select("trial", "video", (F.col("_r") <= F.floor(F.col("_n") / 2)).alias("fit"))
-    split = (
-        cells.groupBy("video", "rule", "rule_no")
-        .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        .join(halves, "video")
-    )
+    per_rule = cells.groupBy("video", "rule", "rule_no").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # fitting and scoring both read the split, so it is kept as a table
+    split = cut_lineage(per_rule.join(halves, "video"))
     best = _best(split.where("fit"), ["trial"])
     held = _held_out(split.where("NOT fit"), ["trial"], best)
     return held.where((F.col("fit_n") >= min_rows) & (F.col("held_n") >= min_rows)).withColumn(
@@ -153,15 +152,14 @@ def group_aware_selection(
 def selection_summary(trials: DataFrame) -> DataFrame:
     """Most often picked rule and the mean held-out gain."""
     picks = trials.groupBy("rule").agg(F.count(F.lit(1)).alias("c"), F.min("trial").alias("first"))
-    mode = picks.groupBy().agg(F.max_by("rule", F.struct("c", -F.col("first"))).alias("selected_rule_mode"))
-    means = trials.groupBy().agg(
+    mode = picks.agg(F.max_by("rule", F.struct("c", -F.col("first"))))
+    means = trials.agg(
         F.avg("exact").alias("held_out_exact"),
         F.avg("whole_baseline").alias("whole_baseline"),
         F.avg("delta").alias("delta"),
         F.count(F.lit(1)).alias("trials"),
     )
-    one = F.lit(1).alias("_one")
-    return means.select("*", one).join(mode.select("*", one), "_one").drop("_one")
+    return means.withColumn("selected_rule_mode", mode.scalar())
 
 
 def transfer(cells: DataFrame) -> DataFrame:

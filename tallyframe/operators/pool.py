@@ -213,7 +213,7 @@ def short_datasets(cases: DataFrame, quota: int) -> DataFrame:
 
 def pool_summary(pool: DataFrame, batch: int = 100) -> DataFrame:
     """Size, batches, videos and score range; the median is the upper one."""
-    sizes = pool.groupBy().agg(
+    sizes = pool.agg(
         F.count(F.lit(1)).alias("cases"),
         F.ceil(F.count(F.lit(1)) / F.lit(batch)).alias("batches"),
         F.count_distinct("dataset", "video").alias("videos"),
@@ -222,14 +222,10 @@ def pool_summary(pool: DataFrame, batch: int = 100) -> DataFrame:
     )
     scores = pool.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     running = grouped_running(scores, [], "score", "n")
-    place = sizes.select(F.floor(F.col("cases") / 2).alias("_half"), F.lit(1).alias("_one"))
-    median = (
-        running.withColumn("_one", F.lit(1))
-        .join(place, "_one")
-        .where((F.col("before") <= F.col("_half")) & (F.col("_half") < F.col("before") + F.col("n")))
-        .select("_one", F.col("score").alias("median_score"))
-    )
-    return sizes.withColumn("_one", F.lit(1)).join(median, "_one").drop("_one")
+    half = F.floor(pool.agg(F.count(F.lit(1))).scalar() / 2)
+    here = (F.col("before") <= half) & (half < F.col("before") + F.col("n"))
+    median = running.where(here).agg(F.max("score"))
+    return sizes.withColumn("median_score", median.scalar())
 
 
 def example_strength(questions: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
@@ -276,7 +272,8 @@ def guide_examples(strengths: DataFrame, pool: DataFrame, first_dataset: str) ->
         F.col("case_id").alias("case_id"),
         F.concat_ws("::", "dataset", F.col("video").cast("string")).alias("video_key"),
     )
-    ranked = strengths.join(chosen, "case_id", "left").select("class_name", key.alias("k"))
+    # three passes follow, so the ordered candidates are kept as a table
+    ranked = cut_lineage(strengths.join(chosen, "case_id", "left").select("class_name", key.alias("k")))
     first = ranked.groupBy("class_name").agg(F.min("k").alias("k1"))
     rest = ranked.join(first, "class_name").where(
         (F.col("k") > F.col("k1")) & (F.col("k.video_key") != F.col("k1.video_key"))

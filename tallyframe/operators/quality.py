@@ -143,13 +143,10 @@ def settings_conflicts(meta: DataFrame, group: Sequence[str], wanted: Sequence[s
 
 def unexpected_settings(meta: DataFrame, run: str, expected: DataFrame) -> DataFrame:
     """Runs whose setting differs from an expected ``key, value`` table, or lacks it."""
+    # the expectations are a handful of rows, handed over as one array
+    wanted = expected.agg(F.collect_list(F.struct("key", "value"))).scalar()
     docs = meta.select(run, F.from_json("settings", "map<string,string>").alias("doc"))
-    wanted = expected.groupBy().agg(
-        F.collect_list(F.struct("key", "value")).alias("wanted")  # a handful of settings
-    ).withColumn("_one", F.lit(1))
-    pairs = docs.withColumn("_one", F.lit(1)).join(F.broadcast(wanted), "_one").select(
-        run, "doc", F.inline("wanted")
-    )
+    pairs = docs.withColumn("wanted", wanted).select(run, "doc", F.inline("wanted"))
     actual = F.try_element_at("doc", F.col("key"))
     return pairs.select(run, "key", F.col("value").alias("expected"), actual.alias("actual")).where(
         ~F.col("expected").eqNullSafe(F.col("actual"))

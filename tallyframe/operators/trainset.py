@@ -59,12 +59,10 @@ def count_repetitions(
     countable = (F.col("answer_format") == "number") & F.col(answer).rlike(r"^\d+$")
     tagged = df.withColumn("_count", F.when(countable, F.col(answer).try_cast("bigint")))
     freq = tagged.where(F.col("_count").isNotNull()).groupBy("_count").agg(F.count(F.lit(1)).alias("_freq"))
-    top = freq.groupBy().agg(F.max("_freq").alias("_top")).withColumn("_one", F.lit(1))
-    reps = freq.withColumn("_one", F.lit(1)).join(top, "_one").select(
-        "_count",
-        F.least(
-            F.lit(cap), F.greatest(F.lit(1), F.rint(F.pow(F.col("_top") / F.col("_freq"), F.lit(power))))
-        ).cast("int").alias("reps"),
+    top = freq.agg(F.max("_freq")).scalar()
+    copies = F.rint(F.pow(top / F.col("_freq"), F.lit(power)))
+    reps = freq.select(
+        "_count", F.least(F.lit(cap), F.greatest(F.lit(1), copies)).cast("int").alias("reps")
     )
     return tagged.join(reps, "_count", "left").withColumn("reps", F.coalesce("reps", F.lit(1))).drop("_count")
 
@@ -102,15 +100,11 @@ def stratified_subset(
     The fraction is the limit per dataset over all rows, at most one.
     """
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.groupBy().agg(
-        F.sum("_n").alias("_all"), F.count_distinct(axis).alias("_sets")
-    ).withColumn("_one", F.lit(1))
-    quota = sizes.withColumn("_one", F.lit(1)).join(total, "_one").select(
-        *strata,
-        F.greatest(
-            F.lit(1),
-            F.rint(F.col("_n") * F.least(F.lit(1.0), F.lit(limit) * F.col("_sets") / F.col("_all"))),
-        ).cast("bigint").alias("_quota"),
+    share = sizes.agg(
+        F.least(F.lit(1.0), F.lit(limit) * F.count_distinct(axis) / F.sum("_n"))
+    ).scalar()
+    quota = sizes.select(
+        *strata, F.greatest(F.lit(1), F.rint(F.col("_n") * share)).cast("bigint").alias("_quota")
     )
     digest = hash_text(seed, *[F.col(k) for k in key])
     ranked = grouped_rank(

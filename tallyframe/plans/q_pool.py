@@ -9,6 +9,7 @@ from tallyframe.operators import boxes as B
 from tallyframe.operators import pool as P
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import view
+from tallyframe.session import cut_lineage
 
 # -- the oracle reads kinds and classes off the known wording -----------------------
 
@@ -103,7 +104,7 @@ def case_priority(spark, sf):
     ["case_rows"], covers="E-01",
 )
 def diverse_order(spark, sf):
-    return P.diverse_rank(scored(spark, sf), ["dataset"]).select("case_id", "video_position", "rank")
+    return P.diverse_rank(cut_lineage(scored(spark, sf)), ["dataset"]).select("case_id", "video_position", "rank")
 
 
 @query("selected_pool", f"WITH {_POOL} SELECT case_id, score, tier, rank, batch FROM pool", ["case_rows"], covers="E-02")
