@@ -203,7 +203,7 @@ def select_pool(cases: DataFrame, quota: int, batch: int = 100) -> DataFrame:
     first = diverse_rank(scored, ["dataset"], "_r").where(F.col("_r") <= quota)
     chosen = cut_lineage(first.drop("_r", "video_position"))
     ranked = diverse_rank(chosen, [], "rank")
-    return ranked.withColumn("batch", (F.floor((F.col("rank") - 1) / batch) + 1).cast("bigint"))
+    return cut_lineage(ranked.withColumn("batch", (F.floor((F.col("rank") - 1) / batch) + 1).cast("bigint")))
 
 
 def short_datasets(cases: DataFrame, quota: int) -> DataFrame:

@@ -112,7 +112,7 @@ def grouped_running(
 def weighted_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, weight: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+    """Exact quantiles with linear interpolation, one row per group with any value.
 
     Input holds one row per (keys, value) with its row count in ``weight``.
     Only the buckets in which a wanted rank falls are sorted. NULL values weigh
