@@ -41,7 +41,8 @@ def frame_index(seconds: Column, fps: Column) -> Column:
 
 def frame_path(folder: Column, video: Column, index: Column) -> Column:
     stem = F.regexp_replace(video, r"(.)\.[^./]+$", "$1")
-    return F.concat_ws("/", folder, stem, F.format_string("frame%07d.jpg", index))
+    name = F.when(index.isNotNull(), F.format_string("frame%07d.jpg", index))
+    return F.concat(folder, F.lit("/"), stem, F.lit("/"), name)
 
 
 def even_positions(n: Column, cap: Column, single: str = "first") -> Column:

@@ -300,7 +300,11 @@ def seconds_stamp(x: Column) -> Column:
     """Seconds to ``HH:MM:SS``, rounded half to even."""
     s = F.rint(x).cast("bigint")
     hours = F.floor(s / 3600)
-    return F.format_string("%02d:%02d:%02d", hours, F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
+    stamp = F.format_string(
+        "%02d:%02d:%02d", hours, F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
+    )
+    # a format writes NULL as a word
+    return F.when(x.isNotNull(), stamp)
 
 
 def time_threshold(duration: Column) -> Column:

@@ -130,7 +130,10 @@ def resume_log(spark: SparkSession, path: str, schema: str, key: str = "sample_i
 
 
 def file_inventory(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
-    """Frame files with folder, index and size; contents are never read."""
+    """Non-empty frame files with folder, index and size; contents are never read.
+
+    File scans leave out files of no bytes, so an empty frame counts as missing.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

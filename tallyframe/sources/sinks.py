@@ -26,7 +26,7 @@ def report_text(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            text = F.when(~F.isnan(c), F.format_string("%.9f", c))
+            text = F.when(c.isNotNull() & ~F.isnan(c), F.format_string("%.9f", c))
         elif isinstance(field.dataType, T.ArrayType):
             text = F.array_join(c.cast("array<string>"), "|")
         else:
