@@ -17,6 +17,7 @@ from tallyframe.functions.numbers import (
     uniform_index,
 )
 from tallyframe.operators.scale import fanned, grouped_rank, grouped_running, hash_bucket
+from tallyframe.session import cut_lineage
 
 # -- pairing -------------------------------------------------------------------
 
@@ -131,7 +132,9 @@ def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = grouped_rank(
         named, keys, hash_bucket(F.col("_digest")), [F.col("_digest"), F.col("video")], "_rank", "size"
     )
-    return out.withColumn("slot", F.col("_rank") - 1).drop("_rank", "_digest")
+    # drawn from and looked up in: kept as a table, so that the planner knows its
+    # size and broadcasts it only when it is small
+    return cut_lineage(out.withColumn("slot", F.col("_rank") - 1).drop("_rank", "_digest"))
 
 
 def _draws(numbered: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:

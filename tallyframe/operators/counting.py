@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
-from tallyframe.functions.numbers import hash_int, hash_text
+from tallyframe.functions.labels import clamp_count
+from tallyframe.functions.numbers import hash_text
 from tallyframe.operators.scale import grouped_rank, hash_bucket
 from tallyframe.session import cut_lineage
-from tallyframe.taxonomy import MAX_COUNT, MAX_DISTINCT_CLASSES, MIN_COUNT
 
 # --- fixed values: views of one question, and the rules in order of preference ---
 VOTING_VIEWS = ("whole", "hflip", "vflip", "zoom")
@@ -206,11 +206,6 @@ def video_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
     return ranked.select("video", F.pmod(F.col("_r") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
-def _clamp(count: Column, template: Column) -> Column:
-    top = F.when(template == 1, MAX_DISTINCT_CLASSES).otherwise(MAX_COUNT)
-    return F.greatest(F.lit(MIN_COUNT), F.least(count, top))
-
-
 def joint_counts(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows per (fold, template, prediction, truth); the fold joins after counting per video."""
     per_video = df.groupBy("video", "template_id", "pred", "target").agg(F.count(F.lit(1)).alias("n"))
@@ -250,8 +245,8 @@ def recalibrated(joint: DataFrame, folds: int) -> DataFrame:
         "pred",
         "target",
         "n",
-        _clamp(F.col("pred"), F.col("template_id")).alias("clamped"),
-        _clamp(new, F.col("template_id")).alias("recal"),
+        clamp_count(F.col("pred"), F.col("template_id")).alias("clamped"),
+        clamp_count(new, F.col("template_id")).alias("recal"),
     )
 
 
@@ -282,8 +277,3 @@ def shift_table(df: DataFrame) -> DataFrame:
     """Where the map fitted on everything moves predictions."""
     counts = df.groupBy("template_id", "pred", "target").agg(F.count(F.lit(1)).alias("n"))
     return _modal(counts, ["template_id", "pred"]).where(F.col("pred") != F.col("maps_to"))
-
-
-def assigned_half(key: Column, seed: int = 0) -> Column:
-    """0 or 1 from a hash of the key."""
-    return hash_int(hash_text(seed, key)) % 2

@@ -37,12 +37,29 @@ def window_indices(
 def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
     """One row per question and sampled frame.
 
-    Needs ``start_s, end_s, fps, stride`` and, when capped, ``max_frames``.
+    Needs ``start_s, end_s, fps, stride`` and, when capped, ``max_frames``. The
+    same grid as ``window_indices``, with one row per position made first and
+    the index computed as a plain column. More frames than the cap are at least
+    one step apart, so no position repeats.
     """
-    indices = window_indices(
-        F.col("start_s"), F.col("end_s"), F.col("fps"), F.col("stride"), F.col("max_frames") if cap else None
+    first = frame_index(F.col("start_s"), F.col("fps"))
+    sized = (
+        spread(df)
+        .withColumn("_first", first)
+        .withColumn("_last", F.greatest(frame_index(F.col("end_s"), F.col("fps")), F.col("_first")))
+        .withColumn("_step", F.greatest(F.col("stride").cast("bigint"), F.lit(1)))
+        .withColumn("_n", F.floor((F.col("_last") - F.col("_first")) / F.col("_step")) + 1)
+        .withColumn("_k", F.least(F.col("_n"), F.col("max_frames").cast("bigint")) if cap else F.col("_n"))
+        .withColumn(
+            "_gap",
+            F.when((F.col("_k") < F.col("_n")) & (F.col("_k") > 1), (F.col("_n") - 1) / (F.col("_k") - 1)).otherwise(1.0),
+        )
     )
-    return spread(df).select("*", F.posexplode(indices).alias("position", "frame"))
+    rows = sized.select(
+        *df.columns, "_first", "_step", "_gap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("position")
+    )
+    place = F.rint(F.col("position") * F.col("_gap")).cast("bigint")
+    return rows.withColumn("frame", F.col("_first") + place * F.col("_step")).drop("_first", "_step", "_gap")
 
 
 def frame_details(frames: DataFrame, folder: str = "frames") -> DataFrame:

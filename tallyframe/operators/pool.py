@@ -34,6 +34,32 @@ RARE_CLASS_POINTS = {
     "Sponge": 4,
 }
 RARE_CLASS_CAP = 44
+AWARDS = {
+    "total_count": (28, "exact total-instance counting"),
+    "clips": (28, "Clip counting (current major weakness)"),
+    "class_count": (12, "per-class instance counting"),
+    "distinct_count": (8, "distinct-class counting"),
+    "inventory": (15, "complete class inventory"),
+    "cross_check": (20, "inventory and count QA cross-check"),
+    "very_crowded": (38, "very crowded frame (QA count %d)"),
+    "crowded": (29, "crowded frame (QA count %d)"),
+    "several": (17, "multiple instances (QA count %d)"),
+    "pair": (7, "two visible instances"),
+    "many_classes": (27, "%d known foreign-object classes"),
+    "three_classes": (20, "three known foreign-object classes"),
+    "two_classes": (11, "two known foreign-object classes"),
+    "spatial": (8, "spatial grounding QA"),
+    "attributes": (5, "object attribute QA"),
+    "cooccurrence": (5, "object co-occurrence QA"),
+    "ood": (9, "out-of-distribution question"),
+    "clinical": (3, "clinically relevant question"),
+    "dataset": (6, "LapChole domain coverage"),
+}
+RARE_REASON = "valuable class coverage: "
+RECORDS_REASON = "%d QA records"
+RECORDS_STEP, RECORDS_CAP = 2, 12
+VERY_CROWDED, CROWDED, SEVERAL = 7, 5, 3
+TIERS = (("critical", 105), ("high", 75), ("medium", 45), ("coverage", None))
 KINDS = (
     "class_inventory",
     "total_instance_count",
@@ -101,12 +127,36 @@ def _rules(bonus_dataset: str) -> list[tuple[Column, Column, Column]]:
     def has(kind: str) -> Column:
         return F.col(f"n_{kind}") > 0
 
-    def lit_rule(cond: Column, points: int, reason: str) -> tuple[Column, Column, Column]:
-        return cond, F.lit(points), F.lit(reason)
-
     top, classes, n = F.col("top"), F.size("evidence"), F.col("n_questions")
-    clips = F.col("counts_clips")
     any_count = has("total_instance_count") | has("distinct_class_count") | has("class_count")
+    conditions = {
+        "total_count": has("total_instance_count"),
+        "clips": F.col("counts_clips"),
+        "class_count": ~F.col("counts_clips") & has("class_count"),
+        "distinct_count": has("distinct_class_count"),
+        "inventory": has("class_inventory"),
+        "cross_check": has("class_inventory") & any_count,
+        "very_crowded": top >= VERY_CROWDED,
+        "crowded": (top >= CROWDED) & (top < VERY_CROWDED),
+        "several": (top >= SEVERAL) & (top < CROWDED),
+        "pair": top == 2,
+        "many_classes": classes >= 4,
+        "three_classes": classes == 3,
+        "two_classes": classes == 2,
+        "spatial": has("closest_to_center") | has("spatial_location"),
+        "attributes": F.col("attributes"),
+        "cooccurrence": has("cooccurrence"),
+        "ood": F.col("any_ood"),
+        "clinical": F.col("any_clinical"),
+        "dataset": F.col("dataset") == bonus_dataset,
+    }
+    shown = {"many_classes": classes, "very_crowded": top, "crowded": top, "several": top}
+    rules = []
+    for name, condition in conditions.items():
+        points, words = AWARDS[name]
+        reason = F.format_string(words, shown[name]) if name in shown else F.lit(words)
+        rules.append((condition, F.lit(points), reason))
+
     weights = F.create_map(*[F.lit(v) for kv in RARE_CLASS_POINTS.items() for v in kv])
     rare = F.filter(
         F.transform(
@@ -116,31 +166,12 @@ def _rules(bonus_dataset: str) -> list[tuple[Column, Column, Column]]:
     )
     # heaviest first; equal weights do not occur in the table
     ranked = F.array_sort(rare)
-    rare_points = F.least(F.lit(RARE_CLASS_CAP), -F.aggregate(ranked, F.lit(0), lambda a, s: a + s["w"]))
-    rare_names = F.array_join(F.transform(ranked, lambda s: s["c"]), ", ")
-    return [
-        lit_rule(has("total_instance_count"), 28, "exact total-instance counting"),
-        lit_rule(clips, 28, "Clip counting (current major weakness)"),
-        lit_rule(~clips & has("class_count"), 12, "per-class instance counting"),
-        lit_rule(has("distinct_class_count"), 8, "distinct-class counting"),
-        lit_rule(has("class_inventory"), 15, "complete class inventory"),
-        lit_rule(has("class_inventory") & any_count, 20, "inventory and count QA cross-check"),
-        (top >= 7, F.lit(38), F.format_string("very crowded frame (QA count %d)", top)),
-        ((top >= 5) & (top < 7), F.lit(29), F.format_string("crowded frame (QA count %d)", top)),
-        ((top >= 3) & (top < 5), F.lit(17), F.format_string("multiple instances (QA count %d)", top)),
-        lit_rule(top == 2, 7, "two visible instances"),
-        (classes >= 4, F.lit(27), F.format_string("%d known foreign-object classes", classes)),
-        lit_rule(classes == 3, 20, "three known foreign-object classes"),
-        lit_rule(classes == 2, 11, "two known foreign-object classes"),
-        (F.size(rare) > 0, rare_points, F.concat(F.lit("valuable class coverage: "), rare_names)),
-        lit_rule(has("closest_to_center") | has("spatial_location"), 8, "spatial grounding QA"),
-        lit_rule(F.col("attributes"), 5, "object attribute QA"),
-        lit_rule(has("cooccurrence"), 5, "object co-occurrence QA"),
-        (n > 1, F.least(F.lit(12), 2 * (n - 1)), F.format_string("%d QA records", n)),
-        lit_rule(F.col("any_ood"), 9, "out-of-distribution question"),
-        lit_rule(F.col("any_clinical"), 3, "clinically relevant question"),
-        lit_rule(F.col("dataset") == bonus_dataset, 6, "LapChole domain coverage"),
-    ]
+    total = -F.aggregate(ranked, F.lit(0), lambda a, s: a + s["w"])
+    names = F.array_join(F.transform(ranked, lambda s: s["c"]), ", ")
+    rules.append((F.size(rare) > 0, F.least(F.lit(RARE_CLASS_CAP), total), F.concat(F.lit(RARE_REASON), names)))
+    records = F.least(F.lit(RECORDS_CAP), RECORDS_STEP * (n - 1))
+    rules.append((n > 1, records, F.format_string(RECORDS_REASON, n)))
+    return rules
 
 
 def prioritised(cases: DataFrame, bonus_dataset: str = "lapchole") -> DataFrame:
@@ -162,11 +193,12 @@ def prioritised(cases: DataFrame, bonus_dataset: str = "lapchole") -> DataFrame:
         "score", -F.aggregate("awards", F.lit(0).cast("bigint"), lambda a, s: a + s["p"])
     )
     top, score = F.col("top"), F.col("score")
+    (first, a), (second, b), (third, c), (rest, _) = TIERS
     tier = (
-        F.when((top >= 7) | F.array_contains("evidence", "Gallstone") | (score >= 105), "critical")
-        .when((top >= 5) | (score >= 75), "high")
-        .when(score >= 45, "medium")
-        .otherwise("coverage")
+        F.when((top >= VERY_CROWDED) | F.array_contains("evidence", "Gallstone") | (score >= a), first)
+        .when((top >= CROWDED) | (score >= b), second)
+        .when(score >= c, third)
+        .otherwise(rest)
     )
     return staged.withColumn("tier", tier).withColumn(
         "reasons", F.transform("awards", lambda s: s["r"])
