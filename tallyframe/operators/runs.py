@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
-from tallyframe.taxonomy import DATASETS, LEAVES, SPLITS, TRACKS
+from tallyframe.taxonomy import DATASETS, SPLITS, TRACKS
 
 
 def describe_runs(files: DataFrame, path: str = "path") -> DataFrame:
@@ -186,11 +186,3 @@ def extremes(metrics: DataFrame, name: str, score: str, keys: Sequence[str] = ()
         F.col(f"_s.{name}").alias("strongest"),
         F.col("_s._m").alias("strongest_score"),
     )
-
-
-def worst_first(table: DataFrame, delta: str, n: str, min_n: int) -> DataFrame:
-    """Rows of enough size, lowest delta first."""
-    return table.where(F.col(n) >= min_n).orderBy(F.asc(delta))
-
-
-LEAF_CODES = tuple(code for code, _ in LEAVES)

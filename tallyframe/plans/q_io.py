@@ -53,22 +53,16 @@ def report_text(spark, sf):
 
 @query(
     "answers_as_json_lines",
-    """SELECT qid, '{"qID":"' || qid || '","content":' || CASE WHEN k % 4 = 0 THEN 'null' ELSE '"' || prediction || '"' END || ',"n":' || k || '}' AS line FROM answer_rows""",
+    """SELECT '{"qID":"' || qid || '","content":' || CASE WHEN k % 4 = 0 THEN 'null' ELSE '"' || prediction || '"' END || ',"n":' || k || '}' AS line FROM answer_rows""",
     ["answer_rows"], covers="A-11",
 )
 def answers_as_json_lines(spark, sf):
-    df = view(spark, sf, "answer_rows").select(
-        "qid",
-        F.to_json(
-            F.struct(
-                F.col("qid").cast("string").alias("qID"),
-                F.when(F.col("k") % 4 > 0, F.col("prediction")).alias("content"),
-                F.col("k").alias("n"),
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("line"),
+    rows = view(spark, sf, "answer_rows").select(
+        F.col("qid").cast("string").alias("qID"),
+        F.when(F.col("k") % 4 > 0, F.col("prediction")).alias("content"),
+        F.col("k").alias("n"),
     )
-    return df
+    return sinks.as_json_lines(rows)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.prompts import instruction
 from tallyframe.functions.text import listed
 from tallyframe.operators import joins as J
 from tallyframe.operators import quality as Q
@@ -414,6 +415,20 @@ def rerun_audit(spark, sf):
     return Q.rerun_audit(view(spark, sf, "pair_rows").withColumnsRenamed({"a": "first_correct", "b": "second_correct"}))
 
 
+@query(
+    "isolated_substitution",
+    """SELECT dataset, count(*) AS rows, CAST(sum(a) AS BIGINT) AS direct_correct, CAST(sum(b) AS BIGINT) AS rerun_correct,
+              CAST(sum(CASE WHEN changed THEN b ELSE a END) AS BIGINT) AS isolated_correct FROM pair_rows GROUP BY 1""",
+    ["pair_rows"], covers="B-08",
+)
+def isolated_substitution(spark, sf):
+    rows = J.substitute(view(spark, sf, "pair_rows"), F.col("changed"), F.col("b"), F.col("a"), "isolated")
+    return rows.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("a").alias("direct_correct"),
+        F.sum("b").alias("rerun_correct"), F.sum("isolated").alias("isolated_correct"),
+    )
+
+
 @query(
     "prompt_contract",
     """SELECT dataset, answer_format, count(*) AS rows, count(*) FILTER (k % 20 = 0) AS offenders, CAST(count(*) FILTER (k % 20 = 0) = 0 AS INT) AS ok
@@ -421,8 +436,6 @@ def rerun_audit(spark, sf):
     ["answer_rows"], covers="K-14",
 )
 def prompt_contract(spark, sf):
-    from tallyframe.functions.prompts import instruction
-
     df = view(spark, sf, "answer_rows")
     prompt = F.when(F.col("k") % 20 == 0, F.col("question")).otherwise(instruction(F.col("question"), F.col("answer_format")))
     return Q.prompt_contract(df.withColumn("prompt", prompt), {"fo_class": "one or more", "time": "one or more timestamps"})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import labels, text
 from tallyframe.functions.prompts import instruction
+from tallyframe.operators import compare as C
 from tallyframe.operators import diagnostics as D
 from tallyframe.operators import scoring as S
 from tallyframe.plans.registry import query
@@ -340,6 +341,17 @@ def timestamp_parsing(spark, sf):
     return df.select("qid", seconds.alias("seconds"), seconds.isNull().alias("invalid"))
 
 
+@query(
+    "signed_integers",
+    """SELECT qid, TRY_CAST(nullif(regexp_extract(t, '-?[0-9]+'), '') AS BIGINT) AS value
+       FROM (SELECT qid, CASE WHEN k % 3 = 0 THEN 'minus -' || prediction ELSE prediction END AS t FROM answer_rows)""",
+    ["answer_rows"], covers="H-14 I-19",
+)
+def signed_integers(spark, sf):
+    said = F.when(F.col("k") % 3 == 0, F.concat(F.lit("minus -"), "prediction")).otherwise(F.col("prediction"))
+    return view(spark, sf, "answer_rows").select("qid", text.first_integer(said).alias("value"))
+
+
 @query(
     "seconds_to_stamp",
     """SELECT qid, printf('%02d:%02d:%02d', CAST(s // 3600 AS INT), CAST((s % 3600) // 60 AS INT), CAST(s % 60 AS INT)) AS stamp
@@ -380,8 +392,6 @@ def truth_values(spark, sf):
     "I-13",
 )
 def rescored_time_answers(spark, sf):
-    from tallyframe.operators import compare as C
-
     df = view(spark, sf, "answer_rows").where(F.col("answer_format") == "time")
     old = S.score(df, into="a")
     both = S.score(old.withColumn("prediction", F.col("raw_model_output")), into="b")

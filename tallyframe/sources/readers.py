@@ -157,6 +157,6 @@ def frame_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def run_settings(spark: SparkSession, glob: str) -> DataFrame:
     """One row per settings document, its text kept as JSON."""
-    return spark.read.option("wholetext", True).text(glob).select(
+    return spark.read.text(glob, wholetext=True).select(
         F.col("_metadata.file_path").alias("run"), F.col("value").alias("settings")
     )

@@ -70,4 +70,4 @@ def upsert_log(stream: DataFrame, store: str, checkpoint: str) -> DataStreamWrit
 def stored_predictions(spark: SparkSession, store: str) -> DataFrame:
     """Current state of the store: the latest arrival of every id."""
     rows = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
-    return last_per_key(rows, ["dataset", "sample_id"], ["batch", "arrived"]).drop("batch")
+    return last_per_key(rows, ["dataset", "sample_id"], ["arrived", "batch"]).drop("batch")

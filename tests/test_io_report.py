@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import frames as P
 from tallyframe.operators import joins as J
+from tallyframe.operators import quality as Q
 from tallyframe.operators import runs as R
 from tallyframe.plans import report
 from tallyframe.sources import readers, sinks
@@ -144,6 +145,25 @@ def test_epoch_table_appends(spark, tmp_path):
     assert readers and sinks.read_epochs(spark, str(tmp_path / "e")).count() == 2
 
 
+def test_partitioned_layout_prunes(spark, root, tmp_path):
+    ann = readers.annotations(spark, str(root), "segment", "test", ["heico", "lapchole"])
+    ann.withColumn("split", F.lit("test")).write.partitionBy("dataset", "track", "split").parquet(str(tmp_path / "t"))
+    part = readers.partitioned_annotations(spark, str(tmp_path / "t")).where("dataset = 'heico' AND split = 'test'")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert part.count() == 48 and "PartitionFilters: [isnotnull(dataset" in plan
+
+
+def test_summary_and_settings(spark, tmp_path):
+    (tmp_path / "summary.csv").write_text("level,name,accuracy,ci_low,ci_high,count\noverall,MEAN,0.5,0.4,0.6,10\nleaf,1a,,,,0\n")
+    rows = {r["level"]: r for r in readers.summary(spark, str(tmp_path / "summary.csv")).collect()}
+    assert rows["overall"]["accuracy"] == 0.5 and rows["leaf"]["accuracy"] is None
+    for run, stride in (("a", 25), ("b", 30)):
+        (tmp_path / f"meta-{run}.json").write_text(json.dumps({"stride": stride, "model_name": "m"}, indent=2))
+    meta = readers.run_settings(spark, str(tmp_path / "meta-*.json")).withColumn("family", F.lit("f"))
+    got = Q.settings_conflicts(meta, ["family"], ["stride", "model_name"]).collect()
+    assert [(r["key"], r["lowest"], r["highest"]) for r in got] == [("stride", "25", "30")]
+
+
 def test_run_discovery(spark):
     paths = [
         "/r/track-segment/lora/logs/eval_epoch_8/heico/predictions.parquet",

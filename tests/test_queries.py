@@ -70,3 +70,7 @@ def test_no_nested_loops(spark, sf, name):
 
 def test_views_per_slice_need_two_shuffles(spark, sf):
     assert plan(spark, sf, "point_metrics_by_leaf").count("Exchange hashpartitioning") == 2
+
+
+def test_top_k_is_cut_before_the_shuffle(spark, sf):
+    assert "WindowGroupLimit" in plan(spark, sf, "common_wrong_predictions")
