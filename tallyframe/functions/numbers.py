@@ -66,7 +66,7 @@ def even_positions(n: Column, cap: Column, single: str = "first") -> Column:
 def resize_target(
     height: Column, width: Column, factor: int = 32, low: int = 65536, high: Column | int = 602112
 ) -> tuple[Column, Column]:
-    """Height and width snapped to ``factor`` inside a pixel budget."""
+    """Height and width snapped to ``factor`` inside a pixel budget; NULL below one factor."""
     top = high if isinstance(high, Column) else F.lit(high)
     area = (height * width).cast("double")
     h0, w0 = F.rint(height / factor) * factor, F.rint(width / factor) * factor
@@ -74,7 +74,8 @@ def resize_target(
 
     def pick(size: Column, snapped: Column) -> Column:
         return (
-            F.when(h0 * w0 > top, F.floor(size / shrink / factor) * factor)
+            F.when((height < factor) | (width < factor), F.lit(None))
+            .when(h0 * w0 > top, F.floor(size / shrink / factor) * factor)
             .when(h0 * w0 < low, F.ceil(size * grow / factor) * factor)
             .otherwise(snapped)
             .cast("int")

@@ -142,9 +142,9 @@ def verify_plan(plan: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("d
     return out.where(F.col("expected") > 0)
 
 
-def jittered_indices(
-    start: Column, end: Column, fps: Column, cap: Column, phase: Column
-) -> Column:
+def jittered_frames(df: DataFrame, cap: int, phase: Column) -> DataFrame:
     """One frame per second from the window start plus a phase, capped."""
-    moved = F.least(start + phase, end)
-    return window_indices(moved, end, fps, fps, cap)
+    moved = F.least(F.col("start_s") + phase, F.col("end_s"))
+    return question_frames(
+        df.withColumns({"start_s": moved, "stride": F.col("fps"), "max_frames": F.lit(cap)})
+    )

@@ -20,7 +20,7 @@ def spread(df: DataFrame) -> DataFrame:
     The planner's size estimate tells whether the scan gives every core a
     split. Larger inputs pass unchanged, as do streams.
     """
-    if df.isStreaming:
+    if df.isStreaming or not hasattr(df, "_jdf"):
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism

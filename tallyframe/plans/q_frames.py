@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import taxonomy
 from tallyframe.functions import numbers as N
-from tallyframe.functions.prompts import window_preamble
+from tallyframe.functions.prompts import CLOSING_V2, ORDER_V2, SCOPE_V3, system_prompt, window_preamble
 from tallyframe.operators import frames as P
 from tallyframe.operators import trainset as T
 from tallyframe.operators.joins import first_available
@@ -141,10 +141,23 @@ def grid_fallback(spark, sf):
 def jittered_plan(spark, sf):
     df = planned(spark, sf).where(F.col("track") != "frame")
     phase = F.lit(0.4).cast("double") * (F.col("qid") % 3)
-    return df.select(
-        "qid",
-        F.explode(P.jittered_indices(F.col("start_s"), F.col("end_s"), F.col("fps"), F.lit(96), phase)).alias("frame"),
-    )
+    return P.jittered_frames(df, 96, phase).select("qid", "frame")
+
+
+@query(
+    "system_prompts",
+    """SELECT qid, length(p) AS size, md5(p) AS digest FROM (SELECT qid, 'You are an expert surgical vision assistant analysing ' || CASE track
+         WHEN 'frame' THEN 'a single endoscopic frame' WHEN 'segment' THEN 'an endoscopic clip' ELSE 'an endoscopic video, from its start up to the current moment' END
+         || ' from a ' || CASE WHEN qid % 3 = 0 THEN 'minimally invasive' ELSE dataset END || ' procedure.' || CASE track WHEN 'frame' THEN '' ELSE '""" + ORDER_V2 + """' END
+         || chr(10) || chr(10) || '""" + SCOPE_V3 + """' || chr(10) || chr(10) || 'The canonical classes are: """ + ", ".join(taxonomy.CLASS_NAMES) + """.'
+         || chr(10) || chr(10) || '""" + CLOSING_V2 + """' AS p FROM windows)""",
+    _USES[:1], covers="H-33",
+)
+def system_prompts(spark, sf):
+    procedure = F.when(F.col("qid") % 3 == 0, " ").otherwise(F.col("dataset"))
+    prompt = system_prompt(F.col("track"), "v3", procedure)
+    rows = view(spark, sf, "windows").select("qid", prompt.alias("p"))
+    return rows.select("qid", F.length("p").alias("size"), F.md5("p").alias("digest"))
 
 
 @query(

@@ -209,3 +209,34 @@ def test_infer_format(spark):
     assert one(spark, text.infer_format(lit("Please provide a class name from the list"))) == "fo_class"
     assert one(spark, text.infer_format(lit("Please provide a number."), "frame")) == "number"
     assert one(spark, text.infer_format(lit("Describe it"))) == "open_ended"
+
+
+def test_system_prompts(spark):
+    def said(track, strategy="direct", procedure=None):
+        return one(spark, prompts.system_prompt(lit(track), strategy, procedure))
+
+    assert "single endoscopic frame from colorectal" in said("frame") and "valid JSON" in said("frame", "bbox-json")
+    assert "The clip is shown" in said("segment") and "The video is shown" in said("procedure", "bbox-json")
+    v2 = said("segment", "v2", lit(" Rectal Resection "))
+    assert "an endoscopic clip from a Rectal Resection procedure." in v2 and "- Mesh: screen-like" in v2 and "anvils" in v2
+    assert "minimally invasive" in said("frame", "v3") and "anvils" not in said("frame", "v2-noscope")
+    with pytest.raises(ValueError):
+        said("frame", "v9")
+
+
+def test_preambles(spark):
+    def said(track, start, end, frames, variant="shared"):
+        return one(spark, prompts.window_preamble(lit(track), lit(start), lit(end), lit(frames), variant))
+
+    assert said("segment", 10.0, 70.0, 5) == (
+        "This clip covers video time 00:00:10 to 00:01:10 (60 s of surgery). It is shown as 5 frames in "
+        "chronological order, about 15 s apart, each labelled with its absolute video timestamp."
+    )
+    assert said("procedure", 0.0, 70.0, 1).startswith("The surgical video from its start (00:00:00) up to 00:01:10 is shown as a single frame")
+    assert said("any", 12.0, 70.0, 3, "container").startswith("This procedure clip covers absolute video time 00:00:12 to 00:01:10 and is shown as 3 frames")
+    assert said("any", 0.5, 70.0, 1, "container").endswith("shown as a single frame labelled with its absolute video timestamp.")
+
+
+def test_too_small_images_have_no_target(spark):
+    h, w = N.resize_target(lit(20), lit(500))
+    assert tuple(one(spark, F.struct(h, w))) == (None, None)
