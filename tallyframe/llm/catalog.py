@@ -22,10 +22,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[SparkSession
     return add
 
 
+#: Texts can be long, so fewer rows than Spark's default cross to Python at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set(ARROW_ROWS, "500")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 from tallyframe.llm import (  # noqa: E402, F401  each registers its queries
     q_dedup,
+    q_text,
 )

@@ -35,7 +35,7 @@ from tallyframe.session import cut_lineage
 CELLS = 1 << 20  # counters of the corpus-wide shingle table
 PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
-CHUNK = 1 << 20  # prefix rows that a task reduces at once
+CHUNK = 1 << 19  # prefix rows that a task reduces at once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
 
