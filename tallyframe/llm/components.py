@@ -11,14 +11,14 @@ from tallyframe.session import cut_lineage
 def _hook(edges: DataFrame) -> DataFrame:
     """Move every larger neighbour of a vertex to the vertex's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # as a table, so that the join can split a hub
     moved = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u != v").distinct()
 
 
 def _compress(edges: DataFrame) -> DataFrame:
     """Each edge points down; join a vertex and its lower neighbours to the lowest."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
     others = edges.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(low.select("u", F.col("m").alias("v"))).distinct()
 

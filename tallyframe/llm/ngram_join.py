@@ -36,6 +36,7 @@ CELLS = 1 << 20  # counters of the corpus-wide shingle table
 PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
 CHUNK = 1 << 19  # prefix rows that a task reduces at once
+BACK = 4  # earlier shared rows looked at to list a pair once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
 
@@ -260,7 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(label.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     members = cut_lineage(members)
     mixed = members.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("shingle")
-    members = cut_lineage(members.join(mixed, "shingle"))
+    # a pair that shares one of the last few shared rows was listed there already
+    ahead = Window.partitionBy("doc", "n").orderBy("pos", "shingle").rowsBetween(-BACK, -1)
+    members = cut_lineage(members.join(mixed, "shingle").withColumn("before", F.collect_list("shingle").over(ahead)))
     x, y = members.alias("x"), members.alias("y")
     xn, yn, xp, yp = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
     index = xn - F.ceil(2 * percent * xn / (100 + percent)) + 1
@@ -269,12 +272,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (F.struct("x.n", "x.doc") < F.struct("y.n", "y.doc"))
         & (xp < index)
         & _long_enough(xn, yn, percent)
-        & (F.least(xp, yp) + F.least(xn - xp, yn - yp) >= _needed(xn, yn, percent))
+        & (F.least(xn - xp, yn - yp) >= _needed(xn, yn, percent))  # holds at the first shared row of a linked pair
+        & ~F.arrays_overlap("x.before", "y.before")
     )
-    pairs = across.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(
-        F.min(xp).alias("i"), F.min(yp).alias("j"), F.first(xn).alias("n"), F.first(yn).alias("m")
-    )
-    pairs = pairs.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed(F.col("n"), F.col("m"), percent)).select("a", "b")
+    pairs = across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     second = cut_lineage(_suffix_filter(pairs, table, percent))
     more = _verified(second, candidate_sets(docs, id_col, text_col, width, second), percent)
     label = components(more.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
