@@ -5,9 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.catalog import query, table
+from tallyframe.llm.quality_rules import quality_rules
 from tallyframe.llm.quality_vote import quality
 
 
 @query("op8_quality_vote")
 def quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op10_quality_rules",
+    r"""
+    WITH d AS (
+        SELECT doc_id, lang, source, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents
+    ), win AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    ), rep AS (
+        SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+        FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p
+              FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1)
+        GROUP BY doc_id
+    ), m AS (
+        SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words,
+               length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+               length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+               len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+               coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+        FROM d LEFT JOIN rep USING (doc_id)
+    ), r AS (
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               coalesce(n_symbols / nullif(word_chars, 0), 0) AS a, coalesce(word_chars / nullif(n_words, 0), 0) AS b,
+               coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS c
+        FROM m
+    ), q AS (
+        SELECT grouping(lang, source) AS level, lang, source, count(*) AS n,
+               quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1,
+               quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3
+        FROM r WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())
+    ), f AS (
+        SELECT r.*, CASE WHEN o.n >= 50 THEN o WHEN l.n >= 50 THEN l ELSE e END AS f
+        FROM r
+        LEFT JOIN q o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+        LEFT JOIN q l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM r.lang
+        LEFT JOIN q e ON e.level = 3
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed
+           AND a BETWEEN f.a1 - (3.0::DOUBLE * (f.a3 - f.a1) + 0.05::DOUBLE) AND f.a3 + (3.0::DOUBLE * (f.a3 - f.a1) + 0.05::DOUBLE)
+           AND b BETWEEN f.b1 - (3.0::DOUBLE * (f.b3 - f.b1) + 1.0::DOUBLE) AND f.b3 + (3.0::DOUBLE * (f.b3 - f.b1) + 1.0::DOUBLE)
+           AND c BETWEEN f.c1 - (3.0::DOUBLE * (f.c3 - f.c1) + 0.1::DOUBLE) AND f.c3 + (3.0::DOUBLE * (f.c3 - f.c1) + 0.1::DOUBLE) AS kept
+    FROM f
+    """,
+)
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
