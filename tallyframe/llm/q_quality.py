@@ -57,8 +57,8 @@ def quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed
            AND a BETWEEN f.a1 - (3.0::DOUBLE * (f.a3 - f.a1) + 0.05::DOUBLE) AND f.a3 + (3.0::DOUBLE * (f.a3 - f.a1) + 0.05::DOUBLE)
-           AND b BETWEEN f.b1 - (3.0::DOUBLE * (f.b3 - f.b1) + 1.0::DOUBLE) AND f.b3 + (3.0::DOUBLE * (f.b3 - f.b1) + 1.0::DOUBLE)
-           AND c BETWEEN f.c1 - (3.0::DOUBLE * (f.c3 - f.c1) + 0.1::DOUBLE) AND f.c3 + (3.0::DOUBLE * (f.c3 - f.c1) + 0.1::DOUBLE) AS kept
+           AND b BETWEEN f.b1 - (3.0::DOUBLE * (f.b3 - f.b1) + 3.0::DOUBLE) AND f.b3 + (3.0::DOUBLE * (f.b3 - f.b1) + 3.0::DOUBLE)
+           AND c BETWEEN f.c1 - (3.0::DOUBLE * (f.c3 - f.c1) + 0.5::DOUBLE) AND f.c3 + (3.0::DOUBLE * (f.c3 - f.c1) + 0.5::DOUBLE) AS kept
     FROM f
     """,
 )

@@ -20,7 +20,7 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 #: Quartile ranges that a value may lie outside the quartiles, and what is allowed beyond that.
 SPREAD = 3.0
-SLACK = {"symbol_rate": 0.05, "mean_word": 1.0, "dup_line_rate": 0.1}
+SLACK = {"symbol_rate": 0.05, "mean_word": 3.0, "dup_line_rate": 0.5}
 MIN_GROUP = 50  # rows of a language and source; smaller groups use their language's, then all rows' fences
 ACCURACY = 10_000  # of the sketches: ranks are off by at most one in so many
 
