@@ -36,4 +36,5 @@ from tallyframe.llm import (  # noqa: E402, F401  each registers its queries
     q_mix,
     q_quality,
     q_text,
+    q_web,
 )
