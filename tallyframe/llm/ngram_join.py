@@ -11,10 +11,12 @@ first. Only those prefixes are shuffled.
    document of the list leads, every other row points to a leader. Lists are
    first reduced inside each task, so a frequent shingle brings one row a task.
 3. Star links that pass the length, positional and suffix filters are verified.
-4. Lists that still hold several components are joined with themselves; only
-   pairs across components are candidates. All of them are verified, so each
-   link between two components is found: components are exact, and the pairs
-   inside a group of copies are never listed.
+4. In lists that still hold several components, members of the largest one lead
+   once more, a different one in each list.
+5. Lists that are mixed even then are joined with themselves; only pairs across
+   components are candidates. All of them are verified, so each link between
+   two components is found: components are exact, and the pairs inside a group
+   of copies are never listed.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ CELLS = 1 << 20  # counters of the corpus-wide shingle table
 PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
 CHUNK = 1 << 19  # prefix rows that a task reduces at once
+GUIDED = 2  # rounds of step 4
 BACK = 4  # earlier shared rows looked at to list a pair once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
@@ -229,6 +232,31 @@ def _suffix_filter(pairs: DataFrame, table: DataFrame, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
+def _mixed_lists(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The prefix lists in which several components meet, with each row's component."""
+    members = members.select("shingle", "doc", "n", "pos").join(label.withColumnRenamed("id", "doc"), "doc", "left")
+    members = cut_lineage(members.withColumn("component", F.coalesce("component", "doc")))
+    mixed = members.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
+    return cut_lineage(members.join(cut_lineage(mixed.select("shingle")), "shingle"))
+
+
+def _guided_stars(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of each list's leader, drawn from its largest component, and the rows outside that component.
+
+    Leaders differ from list to list, so a document beside a large group meets
+    several of its members; most of what belongs together joins here, before
+    pairs across components are listed.
+    """
+    sizes = members.select("doc", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+    sized = members.join(cut_lineage(sizes), "component")
+    best = F.struct("size", "component", F.xxhash64("doc", "shingle", F.lit(turn)).alias("h"))
+    leaders = sized.groupBy("shingle").agg(F.max_by(F.struct("doc", "n", "pos", "component"), best).alias("lead"))
+    rows = members.join(cut_lineage(leaders), "shingle").where("component != lead.component")
+    n, m = F.col("n"), F.col("lead.n")
+    rows = rows.where(_long_enough(n, m, percent) & (F.least(n - F.col("pos"), m - F.col("lead.pos")) >= _needed(n, m, percent)))
+    return rows.select(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -248,22 +276,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = known.join(classes, ["n", "key"]).where("doc != v").select(F.col("doc").alias("u"), "v").distinct()
 
     n, m = F.col("n"), F.col("lead_n")
-    ahead = F.least("pos", "lead_pos")
-    bound = ahead + 1 + F.least(n - F.col("pos"), m - F.col("lead_pos")) - 1
+    bound = F.least("pos", "lead_pos") + F.least(n - F.col("pos"), m - F.col("lead_pos"))
     stars = links.where(_long_enough(n, m, percent) & (bound >= _needed(n, m, percent)) & (F.col("doc") != F.col("lead")))
     stars = stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    first = _suffix_filter(stars, table, percent)
-    first = cut_lineage(first)
+    first = cut_lineage(_suffix_filter(stars, table, percent))
     star_links = cut_lineage(_verified(first, candidate_sets(docs, id_col, text_col, width, first), percent).union(same))
     label = components(star_links)
 
     members = links.select("shingle", "doc", "n", "pos").union(links.select("shingle", F.col("lead"), F.col("lead_n"), F.col("lead_pos"))).distinct()
-    members = members.join(label.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    members = cut_lineage(members)
-    mixed = members.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("shingle")
+    members = _mixed_lists(members, label)
+    for turn in range(GUIDED):
+        near = cut_lineage(_suffix_filter(_guided_stars(members, percent, turn), table, percent))
+        found = _verified(near, candidate_sets(docs, id_col, text_col, width, near), percent)
+        label = components(found.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        members = _mixed_lists(members, label)
     # a pair that shares one of the last few shared rows was listed there already
     ahead = Window.partitionBy("doc", "n").orderBy("pos", "shingle").rowsBetween(-BACK, -1)
-    members = cut_lineage(members.join(mixed, "shingle").withColumn("before", F.collect_list("shingle").over(ahead)))
+    members = cut_lineage(members.withColumn("before", F.collect_list("shingle").over(ahead)))
     x, y = members.alias("x"), members.alias("y")
     xn, yn, xp, yp = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
     index = xn - F.ceil(2 * percent * xn / (100 + percent)) + 1
