@@ -12,7 +12,7 @@ first. Only those prefixes are shuffled.
    first reduced inside each task, so a frequent shingle brings one row a task.
 3. Star links that pass the length, positional and suffix filters are verified.
 4. In lists that still hold several components, members of the largest one lead
-   once more, a different one in each list.
+   once more, different ones in each list.
 5. Lists that are mixed even then are joined with themselves; only pairs across
    components are candidates. All of them are verified, so each link between
    two components is found: components are exact, and the pairs inside a group
@@ -38,7 +38,7 @@ CELLS = 1 << 20  # counters of the corpus-wide shingle table
 PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
 CHUNK = 1 << 19  # prefix rows that a task reduces at once
-GUIDED = 2  # rounds of step 4
+GUIDED = (4, 32)  # leaders of a list in each round of step 4
 BACK = 4  # earlier shared rows looked at to list a pair once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
@@ -240,18 +240,21 @@ def _mixed_lists(members: DataFrame, label: DataFrame) -> DataFrame:
     return cut_lineage(members.join(cut_lineage(mixed.select("shingle")), "shingle"))
 
 
-def _guided_stars(members: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of each list's leader, drawn from its largest component, and the rows outside that component.
+def _guided_stars(members: DataFrame, percent: int, leaders: int) -> DataFrame:
+    """Pairs of some members of each list's largest component and the rows outside that component.
 
-    Leaders differ from list to list, so a document beside a large group meets
-    several of its members; most of what belongs together joins here, before
-    pairs across components are listed.
+    They differ from list to list, so a document beside a large group meets many
+    of its members; most of what belongs together joins here, before pairs
+    across components are listed.
     """
     sizes = members.select("doc", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
     sized = members.join(cut_lineage(sizes), "component")
-    best = F.struct("size", "component", F.xxhash64("doc", "shingle", F.lit(turn)).alias("h"))
-    leaders = sized.groupBy("shingle").agg(F.max_by(F.struct("doc", "n", "pos", "component"), best).alias("lead"))
-    rows = members.join(cut_lineage(leaders), "shingle").where("component != lead.component")
+    largest = sized.groupBy("shingle").agg(F.max(F.struct("size", "component"))["component"].alias("component"))
+    inside = members.join(cut_lineage(largest), ["shingle", "component"])
+    drawn = F.xxhash64("doc", "shingle")
+    inside = inside.withColumn("h", drawn).groupBy("shingle", F.pmod("h", F.lit(leaders)).alias("part"))
+    lead = inside.agg(F.max_by(F.struct("doc", "n", "pos", "component"), "h").alias("lead")).drop("part")
+    rows = members.join(cut_lineage(lead), "shingle").where("component != lead.component")
     n, m = F.col("n"), F.col("lead.n")
     rows = rows.where(_long_enough(n, m, percent) & (F.least(n - F.col("pos"), m - F.col("lead.pos")) >= _needed(n, m, percent)))
     return rows.select(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).distinct()
@@ -285,8 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = links.select("shingle", "doc", "n", "pos").union(links.select("shingle", F.col("lead"), F.col("lead_n"), F.col("lead_pos"))).distinct()
     members = _mixed_lists(members, label)
-    for turn in range(GUIDED):
-        near = cut_lineage(_suffix_filter(_guided_stars(members, percent, turn), table, percent))
+    for leaders in GUIDED:
+        near = cut_lineage(_suffix_filter(_guided_stars(members, percent, leaders), table, percent))
         found = _verified(near, candidate_sets(docs, id_col, text_col, width, near), percent)
         label = components(found.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         members = _mixed_lists(members, label)
