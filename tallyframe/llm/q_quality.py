@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.llm import license_digests
 from tallyframe.llm.catalog import query, table
 from tallyframe.llm.quality_rules import quality_rules
 from tallyframe.llm.quality_vote import quality
@@ -64,3 +65,35 @@ def quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _spelled(text: str) -> str:
+    for other, one in license_digests.SPELLINGS:
+        text = f"replace({text}, '{other}', '{one}')"
+    return text
+
+
+def _canonical(text: str) -> str:
+    bare = f"regexp_replace(lower(coalesce({text}, '')), '{license_digests.OWNER_LINE}', '', 'g')"
+    return rf"trim(regexp_replace({_spelled(bare)}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "op2_license_digests",
+    f"""
+    WITH known AS (
+        SELECT sha256(t) AS digest, min(name) AS license
+        FROM (SELECT name, {_canonical("body")} AS t FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in license_digests.KNOWN)}) k(name, body))
+        WHERE t <> '' GROUP BY 1
+    ), d AS (SELECT doc_id, {_canonical("text")} AS t FROM documents)
+    SELECT doc_id, length(t)::BIGINT AS canonical_chars, sha256(t) AS digest, license
+    FROM d LEFT JOIN known ON sha256(d.t) = known.digest
+    """,
+)
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(license_digests.KNOWN, "license string, text string")
+    return license_digests.license_matches(table(spark, sf_dir, "documents"), known)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.catalog import query, table
 from tallyframe.llm.url_rules import RULES, judged_urls
+from tallyframe.llm.warc import archived_pages
 
 
 @query(
@@ -30,3 +31,21 @@ from tallyframe.llm.url_rules import RULES, judged_urls
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judged_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query(
+    "op6_warc_archives",
+    """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+    ), k AS (
+        SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM k
+    """,
+)
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
