@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.catalog import query, table
+from tallyframe.llm.page_text import main_text
 from tallyframe.llm.url_rules import RULES, judged_urls
 from tallyframe.llm.warc import archived_pages
 
@@ -49,3 +50,8 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op4_main_text")
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
