@@ -1,35 +1,68 @@
-"""From raw documents to token ids: quality, copies, near copies, source mix, tokens.
+"""From raw documents to token ids: quality, copies, near copies, source mix, pieces.
 
-Each stage takes the documents its predecessor kept and returns rows with the
-columns of ``documents``; the last one returns encoded rows.
+Each stage works on all that its predecessor kept and returns rows with the
+columns of its input; the last one returns encoded rows. ``run`` writes and
+rereads every stage's result, so a lost executor costs at most one stage.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.catalog import table
+from tallyframe.llm.exact_dedup import kept_documents
+from tallyframe.llm.mixing import mixed_documents
 from tallyframe.llm.ngram_join import near_duplicates
+from tallyframe.llm.pieces import encode
+from tallyframe.llm.quality_vote import fit, scored
 from tallyframe.session import cut_lineage
 
+MODEL = "piece_bpe_32k.model"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more; it learns from ``labels`` and these documents."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model, name="_score").where("_score >= 0.5").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The owner of each group of equal texts."""
+    return kept_documents(docs)
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents.
 
-    Rows with a NULL id link with nothing and stay.
-    """
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of linked documents; rows with a NULL id link with nothing and stay."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    others = cut_lineage(found.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti")
+    others = cut_lineage(found.where("doc_id != component_id").select(F.col("doc_id").alias("_other")).distinct())
+    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document's pieces and the byte spans they come from."""
+    return encode(docs, public_tokenizers.path(MODEL), carry=("doc_id", "source"), results=("ids", "begins", "ends", "n_tokens"))
 
 
-STAGES = [("n-gram Jaccard join", drop_near_copies)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("source mix", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+#: No SQL: the classifier and the tokenizer have no form in it. Tests repeat the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

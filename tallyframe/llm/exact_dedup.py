@@ -314,3 +314,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         nth = F.row_number().over(Window.partitionBy("hash", "length", "kind", "doc", "own_points").orderBy("text_sha256"))
         joined = joined.withColumn("kept", F.col("kept") & (nth == 1))
     return joined.select(F.col("doc").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; cases as in ``exact_groups``.
+
+    Rows are matched with the owners by id, SHA-256 and code points.
+    """
+    groups = text_groups(docs, id_col, text_col, content_hash, trie_bytes)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "").cast("binary"), 256)
+    rows = docs.withColumn("_own", F.struct(digest.alias("sha"), F.length(text).alias("points")))
+    owners = groups.select(F.col("doc").alias("_id"), F.lower(F.hex("hash")).alias("_sha"), F.col("points").alias("_points"))
+    fits = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own.sha") == F.col("_sha")) & (F.col("_own.points") == F.col("_points"))
+    rows = rows.join(owners, fits, "left_semi")
+    if not groups.where("owner_rows > 1").isEmpty():  # repeated rows: one of them stays
+        nth = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(text_col))
+        rows = rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return rows.drop("_own")
