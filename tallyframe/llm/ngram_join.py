@@ -31,14 +31,14 @@ from pyspark.sql.window import Window
 
 from tallyframe.llm.arrays import text_bytes
 from tallyframe.llm.components import components
-from tallyframe.llm.shingles import WIDTH, shingle_sets
+from tallyframe.llm.shingles import WIDTH, mix, shingle_sets
 from tallyframe.session import cut_lineage
 
 CELLS = 1 << 20  # counters of the corpus-wide shingle table
 PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
 CHUNK = 1 << 19  # prefix rows that a task reduces at once
-GUIDED = (4, 32)  # leaders of a list in each round of step 4
+GUIDED = (16,)  # leaders of a list in each round of step 4
 BACK = 4  # earlier shared rows looked at to list a pair once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
@@ -113,16 +113,18 @@ def prefix_links(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     Each row but the leader's own is there once; ``pos`` counts from 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    fields = ["shingle", "doc", "n", "pos", "lead", "lead_n", "lead_pos"]
+    row = pa.struct([("shingle", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
 
     def reduce_lists(parts: list[tuple]) -> pa.RecordBatch:
-        shingle, doc, n, pos = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        order = np.lexsort((doc, n, shingle))
-        shingle, doc, n, pos = shingle[order], doc[order], n[order], pos[order]
+        shingle, doc, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((doc, place, shingle))
+        shingle, doc, place = shingle[order], doc[order], place[order]
         first = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         at = np.flatnonzero(first)[np.cumsum(first) - 1]
-        leads = [pa.array(x[at], mask=first) for x in (doc, n, pos)]
-        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(doc), pa.array(n), pa.array(pos), *leads], names=fields)
+        # a row that has its leader here is dealt out by itself, and only leaders meet by shingle
+        deal = np.where(first, shingle, mix(shingle.view(np.uint64) ^ mix(doc.view(np.uint64))).view(np.int64))
+        lead = pa.StructArray.from_arrays([pa.array(shingle), pa.array(doc[at]), pa.array(place[at])], fields=list(row), mask=pa.array(first))
+        return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(doc), pa.array(place), lead], names=["deal", "doc", "place", "lead"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
@@ -131,8 +133,8 @@ def prefix_links(docs: DataFrame, id_col: str, text_col: str, width: int, percen
             ids = batch.column(0).cast(pa.int64())
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for row, one in shingle_sets(*text_bytes(batch.column(1)), width):
-                if not len(one) or not known[row]:
+            for at, one in shingle_sets(*text_bytes(batch.column(1)), width):
+                if not len(one) or not known[at]:
                     continue
                 key = _key(one)
                 if key in seen:  # its equal is in this chunk already, and both have one key
@@ -140,7 +142,7 @@ def prefix_links(docs: DataFrame, id_col: str, text_col: str, width: int, percen
                 seen.add(key)
                 size = prefix_sizes(len(one), percent)[0]
                 rare = np.argsort(frequency[(one & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")[:size]
-                parts.append((one[rare].view(np.int64), np.full(size, ids[row], np.int64), np.full(size, len(one), np.int32), np.arange(size, dtype=np.int32)))
+                parts.append((one[rare].view(np.int64), np.full(size, ids[at], np.int64), (len(one) << 32) + np.arange(size, dtype=np.int64)))
                 held += size
                 if held >= CHUNK:
                     yield reduce_lists(parts)
@@ -149,17 +151,18 @@ def prefix_links(docs: DataFrame, id_col: str, text_col: str, width: int, percen
             yield reduce_lists(parts)
 
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(
-        scan, "shingle bigint, doc bigint, n int, pos int, lead bigint, lead_n int, lead_pos int"
+        scan, "deal bigint, doc bigint, place bigint, lead struct<shingle: bigint, doc: bigint, place: bigint>"
     )
-    # leaders of tasks meet by shingle; rows that have a leader are dealt out by their own hash
-    rows = rows.withColumn("own", F.col("lead").isNotNull()).withColumn("deal", F.when(F.col("own"), F.xxhash64("shingle", "doc")).otherwise(F.col("shingle")))
-    top = F.first(F.struct("doc", "n", "pos")).over(Window.partitionBy("deal", "own").orderBy("n", "doc"))
-    rows = rows.withColumn("top", top).where("own or top.doc != doc")
+    # few and narrow columns: this is the one shuffle of all prefixes
+    own = F.col("lead").isNotNull()
+    top = F.first(F.struct("doc", "place")).over(Window.partitionBy("deal", own).orderBy("place", "doc"))
+    rows = rows.withColumn("top", top).where(own | (F.col("top.doc") != F.col("doc")))
+    chosen = lambda name: F.when(own, F.col(f"lead.{name}")).otherwise(F.col(f"top.{name}"))
+    size, place = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     return rows.select(
-        "shingle", "doc", "n", "pos",
-        F.when(F.col("own"), F.col("lead")).otherwise(F.col("top.doc")).alias("lead"),
-        F.when(F.col("own"), F.col("lead_n")).otherwise(F.col("top.n")).alias("lead_n"),
-        F.when(F.col("own"), F.col("lead_pos")).otherwise(F.col("top.pos")).alias("lead_pos"),
+        F.when(own, F.col("lead.shingle")).otherwise(F.col("deal")).alias("shingle"),
+        "doc", size(F.col("place")).alias("n"), place(F.col("place")).alias("pos"),
+        chosen("doc").alias("lead"), size(chosen("place")).alias("lead_n"), place(chosen("place")).alias("lead_pos"),
     )
 
 
@@ -286,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star_links = cut_lineage(_verified(first, candidate_sets(docs, id_col, text_col, width, first), percent).union(same))
     label = components(star_links)
 
-    members = links.select("shingle", "doc", "n", "pos").union(links.select("shingle", F.col("lead"), F.col("lead_n"), F.col("lead_pos"))).distinct()
+    # a leader may follow another one, and then has two equal rows
+    members = links.select("shingle", "doc", "n", "pos").union(links.select("shingle", F.col("lead"), F.col("lead_n"), F.col("lead_pos")).distinct())
     members = _mixed_lists(members, label)
     for leaders in GUIDED:
         near = cut_lineage(_suffix_filter(_guided_stars(members, percent, leaders), table, percent))
