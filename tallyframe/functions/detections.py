@@ -20,27 +20,27 @@ CORNER_KEYS = (
     ("xmin", "ymin", "xmax", "ymax"),
     ("x1", "y1", "x2", "y2"),
 )
+FENCE = r"(?is)```(?:json|python)?\s*(.*?)```"
+NUMBER = r"([-+]?\d+(?:\.\d+)?)"
+FRAGMENT_CHARS = 1000  # longest object read where the text is no payload
 # --- end of fixed values ---
 
-_FENCE = r"(?is)```(?:json|python)?\s*(.*?)```"
-_FRAGMENT = r"(?s)\{[^{}]{0,1000}\}"
-_NUMBER = r"([-+]?\d+(?:\.\d+)?)"
+QUOTE = "\ue000"  # stands for a single quote while JSON is read
 
 
-def _balanced(depth: int = 7) -> str:
-    """Regex of a bracketed value nested at most ``depth`` deep, strings skipped."""
-    plain = r'"(?:[^"\\]|\\.)*+"|[^\[\]{}"]++'
-    value = rf"[\[{{](?:{plain})*+[\]}}]"
-    for _ in range(depth - 1):
-        value = rf"[\[{{](?:{plain}|{value})*+[\]}}]"
-    return value
+def _fenced(text: Column) -> Column:
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)), _edges_off)
+    return F.filter(F.array_distinct(blocks), lambda c: c != "")
 
 
-def _candidates(text: Column) -> Column:
-    """Fenced blocks, then the value at every opening bracket."""
-    fenced = F.transform(F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1)), _edges_off)
-    embedded = F.regexp_extract_all(text, F.lit(rf"(?s)(?=[\[{{])(?=({_balanced()}))."), F.lit(1))
-    return F.filter(F.array_distinct(F.concat(fenced, embedded)), lambda c: c != "")
+def _json_at_start(text: Column) -> Column:
+    """The JSON value that a text begins with, whatever follows it; NULL where there is none.
+
+    The path reader stops at the end of the first value. It would also take
+    single-quoted strings, so single quotes are hidden from it.
+    """
+    read = F.get_json_object(F.replace(text, F.lit("'"), F.lit(QUOTE)), "$")
+    return F.try_parse_json(F.replace(read, F.lit(QUOTE), F.lit("'")))
 
 
 def _edges_off(x: Column) -> Column:
@@ -48,12 +48,20 @@ def _edges_off(x: Column) -> Column:
 
 
 def _as_literal(text: Column) -> Column:
-    """Rewrite the usual single-quote dialect to JSON."""
-    out = F.replace(text, F.lit("'"), F.lit('"'))
-    for word, plain in (("True", "true"), ("False", "false"), ("None", "null")):
-        out = F.regexp_replace(out, rf"\b{word}\b", plain)
-    out = F.regexp_replace(out, r"\(([-+0-9.,\s]*)\)", r"[$1]")
-    return F.regexp_replace(out, r",\s*([\]}])", "$1")
+    """Rewrite a Python literal to JSON: strings to double quotes, words, tuples and spare commas between them."""
+
+    def rewritten(token: Column) -> Column:
+        body = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit("\\'"), F.lit("'"))
+        single = F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('\\"')), F.lit('"'))
+        plain = token
+        for word, to in (("True", "true"), ("False", "false"), ("None", "null")):
+            plain = F.regexp_replace(plain, rf"\b{word}\b", to)
+        plain = F.regexp_replace(plain, r"\(([-+0-9.,\s]*)\)", r"[$1]")
+        plain = F.regexp_replace(plain, r",\s*([\]}])", "$1")
+        return F.when(token.startswith('"'), token).when(token.rlike("(?s)^'.*'$") & (F.length(token) > 1), single).otherwise(plain)
+
+    tokens = F.regexp_extract_all(text, F.lit(r"""(?s)"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^"']++|["']"""), F.lit(0))
+    return F.array_join(F.transform(tokens, rewritten), "")
 
 
 def _as_map(v: Column) -> Column:
@@ -115,9 +123,9 @@ def valid_box(box: Column) -> Column:
     return F.coalesce((F.size(box) == 4) & finite & inside, F.lit(False))
 
 
-def _recovered(raw: Column, names: Sequence[str]) -> Column:
+def _recovered(raw: Column, names: Sequence[str], fragment_chars: int) -> Column:
     keys = "|".join(BOX_KEYS)
-    box_re = rf"(?i)[\"']?(?:{keys})[\"']?\s*:\s*\[\s*" + r"\s*,\s*".join([_NUMBER] * 4) + r"\s*\]"
+    box_re = rf"(?i)[\"']?(?:{keys})[\"']?\s*:\s*\[\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*\]"
     label_re = rf"(?i)[\"']?(?:{'|'.join(LABEL_KEYS)})[\"']?\s*:\s*[\"']([^\"']+)[\"']"
 
     def read(fragment: Column) -> Column:
@@ -127,15 +135,20 @@ def _recovered(raw: Column, names: Sequence[str]) -> Column:
             box.alias("bbox_2d"),
         )
 
-    boxes = F.transform(F.regexp_extract_all(raw, F.lit(_FRAGMENT), F.lit(0)), read)
+    boxes = F.transform(F.regexp_extract_all(raw, F.lit(rf"(?s)\{{[^{{}}]{{0,{fragment_chars}}}\}}"), F.lit(0)), read)
     return F.filter(boxes, lambda d: valid_box(d["bbox_2d"]) & (d["label"] != ""))
 
 
 def extract_detections(
-    df: DataFrame, raw: str = "raw_model_output", names: Sequence[str] = CLASS_NAMES
+    df: DataFrame, raw: str = "raw_model_output", names: Sequence[str] = CLASS_NAMES, fragment_chars: int = FRAGMENT_CHARS
 ) -> DataFrame:
     """Add ``detections, schema_valid, status`` to every row of ``df``.
 
+    The whole text and fenced blocks may be JSON or Python literals; a value
+    inside other text must be JSON, at any depth. Of repeated keys the last one
+    counts: the session setting for VARIANT is changed for that. Objects of up
+    to ``fragment_chars`` characters are looked for where nothing else is found.
+
     Each stage is its own projection, so a parsed value is computed once and
     read by name in the next stage.
     """
@@ -157,11 +170,21 @@ def extract_detections(
             _coordinates(_first_present(record, BOX_KEYS)).alias("bbox_2d"),
         )
 
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.coalesce(F.col(raw), F.lit(""))
     nothing = F.lit(None).cast("struct<value:variant,how:string>")
     out = df.withColumn("_whole", judged(_edges_off(text)))
-    search = F.aggregate(_candidates(_edges_off(text)), nothing, lambda got, c: F.coalesce(got, judged(c)))
-    out = out.withColumn("_payload", F.coalesce(F.col("_whole"), search))
+    fenced = F.aggregate(_fenced(_edges_off(text)), nothing, lambda got, c: F.coalesce(got, judged(c)))
+    out = out.withColumn("_fenced", F.when(F.col("_whole").isNull(), fenced))
+    # walk over the brackets; each is the start of a value until one reads as boxes
+    state = F.struct(F.lit(1).alias("at"), nothing.alias("got"))
+    step = lambda s, part: F.struct(
+        (s["at"] + F.length(part)).alias("at"),
+        F.coalesce(s["got"], F.when(part.rlike(r"^[\[{]"), let(_json_at_start(F.substring(text, s["at"], F.length(text))), lambda v: accepted(v, "json")))).alias("got"),
+    )
+    inside = F.aggregate(F.split(text, r"(?=[\[{])", -1), state, step, lambda s: s["got"])
+    out = out.withColumn("_inside", F.when(F.col("_whole").isNull() & F.col("_fenced").isNull(), inside))
+    out = out.withColumn("_payload", F.coalesce("_whole", "_fenced", "_inside"))
     value = F.col("_payload")["value"]
     out = out.withColumn("_list", _as_list(value)).withColumn("_record", _as_map(value))
     out = out.withColumn(
@@ -173,7 +196,7 @@ def extract_detections(
     out = out.withColumn("_read", F.transform("_items", read))
     out = out.withColumn(
         "_valid", F.filter("_read", lambda d: valid_box(d["bbox_2d"]) & (d["label"] != ""))
-    ).withColumn("_recovered", F.when(F.col("_items").isNull(), _recovered(text, names)))
+    ).withColumn("_recovered", F.when(F.col("_items").isNull(), _recovered(text, names, fragment_chars)))
     how = F.col("_payload")["how"]
     partial = F.size("_valid") < F.size("_items")
     found = F.size("_recovered") > 0
@@ -188,7 +211,7 @@ def extract_detections(
             .otherwise("invalid_json"),
         )
     )
-    return out.drop("_whole", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
+    return out.drop("_whole", "_fenced", "_inside", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
 
 
 def derived_count(detections: Column, mode: Column, target: Column, names: Sequence[str] = CLASS_NAMES) -> Column:

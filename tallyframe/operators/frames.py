@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.numbers import even_positions, frame_index, frame_path
 from tallyframe.functions.text import let, seconds_stamp
 from tallyframe.operators.joins import salted_lookup
-from tallyframe.operators.scale import spread
+
 
 
 def window_indices(
@@ -44,8 +44,7 @@ def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
     """
     first = frame_index(F.col("start_s"), F.col("fps"))
     sized = (
-        spread(df)
-        .withColumn("_first", first)
+        df.withColumn("_first", first)
         .withColumn("_last", F.greatest(frame_index(F.col("end_s"), F.col("fps")), F.col("_first")))
         .withColumn("_step", F.greatest(F.col("stride").cast("bigint"), F.lit(1)))
         .withColumn("_n", F.floor((F.col("_last") - F.col("_first")) / F.col("_step")) + 1)

@@ -14,21 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on an input of few splits.
-
-    The planner's size estimate tells whether the scan gives every core a
-    split. Larger inputs pass unchanged, as do streams.
-    """
-    if df.isStreaming or not hasattr(df, "_jdf"):
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = 128 * 1024 * 1024
-    return df.repartition(cores) if size < cores * split else df
-
-
 def fanned(df: DataFrame, *columns: str) -> DataFrame:
     """Partition few rows widely before each of them multiplies."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -265,13 +265,13 @@ def prompt_instructions(spark, sf):
 @query(
     "detections_to_counts",
     """WITH r AS (SELECT *, CASE lower(target) WHEN 'clips' THEN 'Clip' END AS t FROM detect_rows),
-            b AS (SELECT *, CASE WHEN shape <= 4 AND NOT bad THEN 1 ELSE 0 END AS main, CASE WHEN shape = 0 THEN 1 ELSE 0 END AS extra FROM r)
+            b AS (SELECT *, CASE WHEN shape NOT IN (5, 6) AND NOT bad THEN 1 ELSE 0 END AS main, CASE WHEN shape = 0 THEN 1 ELSE 0 END AS extra FROM r)
        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
          CASE mode WHEN 'target' THEN CASE WHEN cls = t THEN main ELSE 0 END ELSE main + extra END AS derived_count,
-         shape <= 3 AND NOT bad AS schema_valid,
-         CASE WHEN shape = 4 THEN CASE WHEN bad THEN 'invalid_json' ELSE 'recovered_bbox_regex' END
+         shape NOT IN (4, 5, 6, 7) AND NOT bad AS schema_valid,
+         CASE WHEN shape IN (4, 7) THEN CASE WHEN bad THEN 'invalid_json' ELSE 'recovered_bbox_regex' END
               WHEN shape = 5 THEN 'invalid_json' WHEN shape = 6 THEN 'missing_objects'
-              ELSE CASE shape WHEN 2 THEN 'python_literal' ELSE 'json' END || CASE WHEN bad THEN '_partial_invalid_objects' ELSE '' END
+              ELSE CASE WHEN shape IN (2, 9) THEN 'python_literal' ELSE 'json' END || CASE WHEN bad THEN '_partial_invalid_objects' ELSE '' END
          END AS status FROM b""",
     ["detect_rows"], covers="J-04 H-25 H-34 H-35",
 )
@@ -284,10 +284,10 @@ def detections_to_counts(spark, sf):
     "detection_status_rates",
     """SELECT dataset, status, count, schema_valid, correct, count / sum(count) OVER (PARTITION BY dataset) AS rate,
               correct / count AS micro_accuracy FROM (
-         SELECT cls AS dataset, CASE WHEN shape = 4 THEN CASE WHEN bad THEN 'invalid_json' ELSE 'recovered_bbox_regex' END
+         SELECT cls AS dataset, CASE WHEN shape IN (4, 7) THEN CASE WHEN bad THEN 'invalid_json' ELSE 'recovered_bbox_regex' END
               WHEN shape = 5 THEN 'invalid_json' WHEN shape = 6 THEN 'missing_objects'
-              ELSE CASE shape WHEN 2 THEN 'python_literal' ELSE 'json' END || CASE WHEN bad THEN '_partial_invalid_objects' ELSE '' END
-              END AS status, count(*) AS count, count(*) FILTER (shape <= 3 AND NOT bad) AS schema_valid,
+              ELSE CASE WHEN shape IN (2, 9) THEN 'python_literal' ELSE 'json' END || CASE WHEN bad THEN '_partial_invalid_objects' ELSE '' END
+              END AS status, count(*) AS count, count(*) FILTER (shape NOT IN (4, 5, 6, 7) AND NOT bad) AS schema_valid,
               count(*) FILTER (l_suppkey % 2 = 0) AS correct FROM detect_rows GROUP BY 1, 2)""",
     ["detect_rows"], ("rate", "micro_accuracy"), "D-24",
 )

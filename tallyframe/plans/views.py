@@ -274,11 +274,15 @@ VIEWS = {
                    '}}}}] in view')
                  WHEN 4 THEN concat('{{label: ''', cls, ''', bbox_2d: [', x, ', ', y, ', ', x2, ', ', y2, ']}}')
                  WHEN 5 THEN 'There are 7 clips.'
+                 WHEN 7 THEN concat('I see {{''objects'': [{{''label'': ''', cls, ''', ''bbox'': [', x, ', ', y, ', ', x2, ', ', y2, ']}}]}} here')
+                 WHEN 8 THEN concat('{{"objects": [], "objects": [{{"label": "', cls, '", "bbox": [', x, ',', y, ',', x2, ',', y2, ']}}]}}')
+                 WHEN 9 THEN concat('[{{''label'': "the patient''s ', cls, '", ''bbox'': (', x, ', ', y, ', ', x2, ', ', y2, ')}}]')
+                 WHEN 10 THEN concat('note {{"x": [[[[[[[[[[1]]]]]]]]]], "items": [{{"label": "', cls, '", "bbox": [', x, ',', y, ',', x2, ',', y2, ']}}]}} end')
                  ELSE '{{"objects": 3}}' END AS raw_model_output
         FROM (SELECT *, CASE WHEN bad THEN CAST(CAST(x AS INT) - 1 AS STRING) ELSE CAST(CAST(x AS INT) + 40 AS STRING) END AS x2,
                      CAST(CAST(y AS INT) + 30 AS STRING) AS y2
               FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                           l_partkey % 7 AS shape,
+                           l_partkey % 11 AS shape,
                            CASE l_returnflag WHEN 'A' THEN 'Clip' WHEN 'N' THEN 'Sponge' ELSE 'Specimen Bag' END AS cls,
                            CASE l_linenumber % 3 WHEN 0 THEN 'instances' WHEN 1 THEN 'classes' ELSE 'target' END AS mode,
                            CASE WHEN l_linenumber % 3 = 2 THEN 'clips' END AS target,

@@ -70,8 +70,3 @@ def test_salted_lookup_equals_join(hot, spark):
     a = salted_lookup(hot, dim, ["g"]).select("id", "size").collect()
     b = hot.join(dim, "g").select("id", "size").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
-
-
-def test_small_input_uses_all_cores(hot, spark, sf):
-    one = spark.read.parquet(f"{sf}/orders.parquet")
-    assert S.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
