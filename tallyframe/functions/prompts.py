@@ -46,6 +46,22 @@ BOX_SCHEMA = (
     "Solve this by localizing objects before counting. Return exactly this JSON schema and "
     'nothing else:\n{"objects":[{"label":"<class>","bbox_2d":[x_min,y_min,x_max,y_max]}]}'
 )
+BOX_RULES = (
+    "Coordinates must be integers normalized to 0-1000, ordered as [x_min,y_min,x_max,y_max]. "
+    "Use only these canonical labels: {names}."
+)
+BOX_NONE = 'If no requested object is visible, return {"objects":[]}.'
+BOX_EXAMPLE = (
+    "One-shot format example:\nQuestion: How many Clips appear in this frame?\nAssistant: "
+    '{"objects":[{"label":"Clip","bbox_2d":[88,140,166,230]},{"label":"Clip","bbox_2d":[612,355,701,438]}]}'
+)
+BOX_TARGET = 'Include only visible instances of the class "%s" and omit objects from every other class.'
+BOX_REDUCE = {
+    "instances": "The caller will count all valid boxes.",
+    "classes": "The caller will count the distinct labels attached to valid boxes.",
+}
+BOX_REDUCE_TARGET = 'The caller will count valid boxes labeled "%s".'
+BOX_END = "Do not include a count field or a final numeric answer."
 BOX_SELECT = {
     "instances": "Include one object entry for every visible foreign-object instance, regardless of class.",
     "classes": (
@@ -155,16 +171,20 @@ def instruction(
     if strategy != "bbox-json":
         return plain
     asked = counting_question(question, answer_format, names)
-    pick = (
-        F.when(asked["mode"] == "instances", BOX_SELECT["instances"])
-        .when(asked["mode"] == "classes", BOX_SELECT["classes"])
-        .otherwise(F.format_string('Include only visible instances of the class "%s".', asked["target"]))
-    )
+
+    def by_mode(fixed: dict[str, str], target: str) -> Column:
+        out = F.format_string(target, asked["target"])
+        for mode, words in fixed.items():
+            out = F.when(asked["mode"] == mode, words).otherwise(out)
+        return out
+
     boxed = F.concat(
         question,
-        F.lit("\n\n" + BOX_SCHEMA + f"\n\nUse only these canonical labels: {roster}.\n"),
-        pick,
-        F.lit('\nIf no requested object is visible, return {"objects":[]}.'),
+        F.lit(f"\n\n{BOX_SCHEMA}\n\n{BOX_RULES.format(names=roster)}\n"),
+        by_mode(BOX_SELECT, BOX_TARGET),
+        F.lit(f"\n{BOX_NONE}\n\n{BOX_EXAMPLE}\n\n"),
+        by_mode(BOX_REDUCE, BOX_REDUCE_TARGET),
+        F.lit(f" {BOX_END}"),
     )
     return F.when(asked.isNotNull(), boxed).otherwise(plain)
 

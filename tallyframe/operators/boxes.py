@@ -26,14 +26,14 @@ def normalised_boxes(boxes: DataFrame, cases: DataFrame, names: Sequence[str] =
     """Canonical class, rounded corners, sizes trimmed to the image."""
     out = boxes.join(cases.select("case_id", "image_width", "image_height"), "case_id")
     for c in ("x", "y", "width", "height"):
-        out = out.withColumn(c, F.round(F.col(c), 3))
+        out = out.withColumn(c, F.bround(F.col(c), 3))
     return (
         out.withColumn("box_id", F.trim("box_id"))
         .withColumn("class_name", class_alias(F.col("class_name"), names))
         .withColumn("right", F.col("x") + F.col("width"))
         .withColumn("bottom", F.col("y") + F.col("height"))
-        .withColumn("width", F.round(F.least("width", F.col("image_width") - F.col("x")), 3))
-        .withColumn("height", F.round(F.least("height", F.col("image_height") - F.col("y")), 3))
+        .withColumn("width", F.bround(F.least("width", F.col("image_width") - F.col("x")), 3))
+        .withColumn("height", F.bround(F.least("height", F.col("image_height") - F.col("y")), 3))
     )
 
 
@@ -43,7 +43,7 @@ def box_violations(boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CL
     ``boxes`` are raw; repeated ids are found by counting, not by a window.
     """
     sized = boxes.join(cases.select("case_id", "image_width", "image_height"), "case_id")
-    x, y, w, h = (F.round(F.col(c), 3) for c in ("x", "y", "width", "height"))
+    x, y, w, h = (F.bround(F.col(c), 3) for c in ("x", "y", "width", "height"))
     finite = F.lit(True)
     for c in ("x", "y", "width", "height"):
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -88,16 +88,18 @@ def annotation_violations(annotations: DataFrame, boxes: DataFrame) -> DataFrame
 def box_aggregates(boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
     """Per case: boxes, count per class as a map, nearest class to the centre.
 
+    A box of an unknown class counts as a box of no class.
+
     Counts go through one column per class of the small taxonomy. The nearest
     box is a minimum over (distance, box order).
     """
-    near = boxes.join(cases.select("case_id", "image_width", "image_height"), "case_id")
+    near = boxes if "image_width" in boxes.columns else boxes.join(cases.select("case_id", "image_width", "image_height"), "case_id")
     dx = F.col("x") + F.col("width") / 2 - F.col("image_width") / 2
     dy = F.col("y") + F.col("height") / 2 - F.col("image_height") / 2
     agg = near.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_boxes"),
         F.count_if(F.coalesce("uncertain", F.lit(False))).alias("n_uncertain"),
-        F.min(F.struct((dx * dx + dy * dy).alias("d"), "box_no", "class_name"))["class_name"].alias("nearest"),
+        F.min(F.when(F.col("class_name").isNotNull(), F.struct((dx * dx + dy * dy).alias("d"), "box_no", "class_name")))["class_name"].alias("nearest"),
         *[F.count_if(F.col("class_name") == n).alias(f"c_{i}") for i, n in enumerate(names)],
     )
     entries = F.array(
@@ -112,10 +114,9 @@ def _text_set(values: Column) -> Column:
 
 
 def answer_mismatches(
-    questions: DataFrame, boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES
+    questions: DataFrame, per_case: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES
 ) -> DataFrame:
-    """Questions whose answer the boxes contradict, expected next to observed."""
-    per_case = box_aggregates(boxes, cases, names)
+    """Questions whose answer the boxes of ``box_aggregates`` contradict, expected next to observed."""
     known = cases.select("case_id").join(per_case, "case_id", "left")
     rows = questions.join(known, "case_id")
     kind, number = F.col("kind"), F.col("numeric_answer")
@@ -171,12 +172,17 @@ def answer_mismatches(
 def completion_gate(
     annotations: DataFrame, questions: DataFrame, boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES
 ) -> DataFrame:
-    """Structural errors, open checks, mismatches and uncertain boxes per case."""
-    per_case = box_aggregates(boxes, cases, names)
-    wrong = answer_mismatches(questions, boxes, cases, names).groupBy("case_id").agg(
+    """Violations, structural errors, open checks, mismatches and uncertain boxes per case.
+
+    ``boxes`` are raw. A record that breaks any rule is rejected as a whole and
+    stays blocked, whatever its status.
+    """
+    per_case = box_aggregates(normalised_boxes(boxes, cases, names), cases, names)
+    wrong = answer_mismatches(questions, per_case, cases, names).groupBy("case_id").agg(
         F.count(F.lit(1)).alias("qa_mismatches")
     )
-    rows = annotations.join(per_case, "case_id", "left").join(wrong, "case_id", "left")
+    broken = rejected_cases(annotations, boxes, cases, names)
+    rows = annotations.join(per_case, "case_id", "left").join(wrong, "case_id", "left").join(broken, "case_id", "left")
     zero = F.lit(0)
     n = F.coalesce("n_boxes", zero)
     unchecked = sum(
@@ -192,17 +198,28 @@ def completion_gate(
         (unchecked + undecided).alias("structural_errors"),
         F.coalesce("qa_mismatches", zero).alias("qa_mismatches"),
         F.coalesce("n_uncertain", zero).alias("uncertain_boxes"),
+        F.coalesce("violations", zero).alias("violations"),
     )
-    clean = (F.col("structural_errors") == 0) & (F.col("qa_mismatches") == 0) & (F.col("uncertain_boxes") == 0)
-    blocked = (F.col("status").isin("complete", "needs_review") & (F.col("structural_errors") > 0)) | (
+    rejected = F.col("violations") > 0
+    clean = ~rejected & (F.col("structural_errors") == 0) & (F.col("qa_mismatches") == 0) & (F.col("uncertain_boxes") == 0)
+    blocked = rejected | (F.col("status").isin("complete", "needs_review") & (F.col("structural_errors") > 0)) | (
         (F.col("status") == "complete") & ~clean
     )
     return out.withColumn("can_complete", clean.cast("int")).withColumn("blocked", blocked.cast("int"))
 
 
-def export_images(cases: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Completed cases with image ids 1.. in rank order."""
+def rejected_cases(
+    annotations: DataFrame, boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES
+) -> DataFrame:
+    """Cases whose record breaks a rule of a box or of the annotation, with the number of breaches."""
+    found = box_violations(boxes, cases, names).select("case_id").union(annotation_violations(annotations, boxes).select("case_id"))
+    return found.groupBy("case_id").agg(F.count(F.lit(1)).alias("violations"))
+
+
+def export_images(cases: DataFrame, annotations: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Completed cases that were not rejected, with image ids 1.. in rank order."""
     done = cases.join(annotations.where(F.col("status") == "complete").select("case_id"), "case_id", "left_semi")
+    done = done.join(rejected.select("case_id"), "case_id", "left_anti")
     return grouped_rank(done, [], value_bucket(F.col("rank").cast("double")), [F.col("rank")], "image_id")
 
 
@@ -227,7 +244,7 @@ def export_boxes(images: DataFrame, boxes: DataFrame, names: Sequence[str] = CLA
         "y",
         "width",
         "height",
-        F.round(F.col("width") * F.col("height"), 3).alias("area"),
+        F.bround(F.col("width") * F.col("height"), 3).alias("area"),
         F.lit(0).alias("iscrowd"),
         "difficult",
     )

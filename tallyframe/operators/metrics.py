@@ -277,3 +277,12 @@ def majority_vote(judgements: DataFrame, keys: Sequence[str], vote: str = "vote"
         F.sum(F.col(vote).cast("int")).alias("votes"),
         (F.sum(F.col(vote).cast("int")) * 2 > F.count(F.lit(1))).cast("int").alias("correct"),
     )
+
+
+def accuracy_by_condition(df: DataFrame, condition: str, selection: str, slices: str = "answer_format") -> DataFrame:
+    """Rows, hits and accuracy per condition and selection group, for each slice and for ``all``."""
+    sums = df.groupBy(condition, selection, slices).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("k"))
+    out = sums.groupingSets([[condition, selection, slices], [condition, selection]], condition, selection, slices).agg(
+        F.sum("n").alias("count"), F.sum("k").alias("correct"), (F.sum("k") / F.sum("n")).alias("accuracy"), F.grouping(slices).alias("_every")
+    )
+    return out.withColumn(slices, F.when(F.col("_every") == 1, F.lit("all")).otherwise(F.col(slices))).drop("_every")

@@ -77,9 +77,11 @@ CASE = ("dataset", "video", "timestamp")
 
 
 def case_questions(df: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
-    """Questions with case id, kind, counted class, number and answer classes."""
+    """Questions with case id, kind, counted class, number and answer classes; a given case id is kept."""
+    if "case_id" not in df.columns:
+        named = case_id(F.col("dataset"), F.col("video").cast("string"), F.col("timestamp").cast("string"))
+        df = df.select(named.alias("case_id"), "*")
     staged = df.select(
-        case_id(F.col("dataset"), F.col("video").cast("string"), F.col("timestamp").cast("string")).alias("case_id"),
         "*",
         question_kind(F.col("question")).alias("kind"),
     )

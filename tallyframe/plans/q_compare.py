@@ -159,7 +159,7 @@ def cluster_bootstrap_interval(spark, sf):
 @query(
     "dataset_gap_decomposition",
     """WITH g AS (SELECT group_code, count(*) FILTER (dataset = 'heico') AS na, count(*) FILTER (dataset = 'lapchole') AS nb,
-                    sum(correct) FILTER (dataset = 'heico') AS ka, sum(correct) FILTER (dataset = 'lapchole') AS kb FROM eval_big GROUP BY 1),
+                    sum(correct) FILTER (dataset = 'heico') AS ka, sum(correct) FILTER (dataset = 'lapchole') AS kb FROM (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) t(group_code) LEFT JOIN eval_big USING (group_code) GROUP BY 1),
             s AS (SELECT *, na / (SELECT sum(na) FROM g) AS pa, nb / (SELECT sum(nb) FROM g) AS pb, ka / na AS ma, kb / nb AS mb FROM g)
        SELECT group_code, pa AS first_row_share, pb AS second_row_share, ma AS first_micro_accuracy, mb AS second_micro_accuracy,
               (pb - pa) * (mb + ma) / 2 AS composition_contribution, (mb - ma) * (pb + pa) / 2 AS within_contribution FROM s
@@ -170,7 +170,7 @@ def cluster_bootstrap_interval(spark, sf):
     "I-10 F-01",
 )
 def dataset_gap_decomposition(spark, sf):
-    groups = M.by_group(cells(spark, sf, "eval_big")).where(F.col("rows") > 0)
+    groups = M.by_group(cells(spark, sf, "eval_big"))
     return C.gap_decomposition(groups, "heico", "lapchole")
 
 

@@ -153,11 +153,23 @@ _LATENCY = """
 _LATENCY_COLS = ("mean_latency_sec", "median_latency_sec", "p95_latency_sec", "max_latency_sec")
 
 
-@query("latency_profile", _LATENCY.format(source="eval_rows"), ["eval_rows"], _LATENCY_COLS, "D-11 I-22")
+@query("latency_profile", _LATENCY.format(source="eval_rows"), ["eval_rows"], _LATENCY_COLS, "D-11")
 def latency_profile(spark, sf):
     return M.latency_profile(view(spark, sf, "eval_rows"))
 
 
+@query(
+    "accuracy_by_condition",
+    """SELECT generation AS condition, dataset AS selection_group, CASE WHEN grouping(answer_format) = 1 THEN 'all' ELSE answer_format END AS answer_format,
+              count(*) AS count, sum(correct) AS correct, avg(correct) AS accuracy
+       FROM eval_rows GROUP BY GROUPING SETS ((generation, dataset, answer_format), (generation, dataset))""",
+    ["eval_rows"], ("accuracy",), "I-22",
+)
+def accuracy_by_condition(spark, sf):
+    df = view(spark, sf, "eval_rows").withColumnsRenamed({"generation": "condition", "dataset": "selection_group"})
+    return M.accuracy_by_condition(df, "condition", "selection_group")
+
+
 @query("latency_profile_big", _LATENCY.format(source="eval_big"), ["eval_big"], _LATENCY_COLS, "D-11")
 def latency_profile_big(spark, sf):
     return M.latency_profile(view(spark, sf, "eval_big"))

@@ -204,21 +204,35 @@ def annotation_violations(spark, sf):
 
 
 def good_boxes(spark, sf):
-    boxes = B.normalised_boxes(view(spark, sf, "box_rows"), view(spark, sf, "box_cases"))
-    return boxes.where(F.col("class_name").isNotNull()).drop("image_width", "image_height", "right", "bottom")
+    return B.normalised_boxes(view(spark, sf, "box_rows"), view(spark, sf, "box_cases"))
 
 
 def box_questions(spark, sf):
-    df = view(spark, sf, "box_questions")
-    extra = df.withColumns({"dataset": F.lit("d"), "video": F.lit("v"), "timestamp": F.lit("t")})
-    return P.case_questions(extra.drop("case_id")).drop("case_id").join(df.select("qid", "case_id"), "qid")
+    return P.case_questions(view(spark, sf, "box_questions"))
 
 
+def rejected(spark, sf):
+    return B.rejected_cases(notes(spark, sf), view(spark, sf, "box_rows"), view(spark, sf, "box_cases"))
+
+
+_BROKEN = """
+  b AS (SELECT r.* FROM box_rows r JOIN box_cases USING (case_id)),
+  bn AS (SELECT *, case_id IN (SELECT case_id FROM box_rows) AS has FROM box_notes),
+  rej AS (SELECT case_id, count(*) AS violations FROM (
+       SELECT case_id FROM b WHERE contains(box_id, ' ')
+       UNION ALL SELECT case_id FROM b WHERE class_name = 'Grasper'
+       UNION ALL SELECT case_id FROM b WHERE width <= 1 OR height <= 1
+       UNION ALL SELECT case_id FROM b WHERE x + width > 960.01 OR y + height > 540.01
+       UNION ALL (SELECT case_id FROM b GROUP BY case_id, box_id HAVING count(*) > 1)
+       UNION ALL SELECT case_id FROM bn WHERE status = 'bogus'
+       UNION ALL SELECT case_id FROM bn WHERE has AND no_foreign_objects
+       UNION ALL SELECT case_id FROM bn WHERE status = 'skipped' AND trim(notes) = '') GROUP BY 1)"""
 _GOOD = """
-  g AS (SELECT case_id, box_no, CASE class_name WHEN 'sponges' THEN 'Sponge' ELSE class_name END AS cls, x, y, least(width, 960 - x) AS w, least(height, 540 - y) AS h, difficult, uncertain
-        FROM box_rows JOIN box_cases USING (case_id) WHERE class_name <> 'Grasper'),
-  pc AS (SELECT case_id, count(*) AS n, count(DISTINCT cls) AS k, count(*) FILTER (cls = 'Clip') AS clips, array_to_string(list_sort(list(DISTINCT cls)), ', ') AS seen,
-           arg_min(cls, (power(x + w / 2 - 480, 2) + power(y + h / 2 - 270, 2), box_no)) AS nearest, count(*) FILTER (uncertain) AS unsure FROM g GROUP BY 1),
+  g AS (SELECT case_id, box_no, CASE class_name WHEN 'sponges' THEN 'Sponge' WHEN 'Grasper' THEN NULL ELSE class_name END AS cls, x, y,
+          round_even(least(width, 960 - x), 3) AS w, round_even(least(height, 540 - y), 3) AS h, difficult, uncertain
+        FROM (SELECT * REPLACE (round_even(x, 3) AS x) FROM box_rows) JOIN box_cases USING (case_id)),
+  pc AS (SELECT case_id, count(*) AS n, count(DISTINCT cls) AS k, count(*) FILTER (cls = 'Clip') AS clips, array_to_string(list_sort(list(DISTINCT cls) FILTER (cls IS NOT NULL)), ', ') AS seen,
+           arg_min(cls, (power(x + w / 2 - 480, 2) + power(y + h / 2 - 270, 2), box_no)) FILTER (cls IS NOT NULL) AS nearest, count(*) FILTER (uncertain) AS unsure FROM g GROUP BY 1),
   qs AS (SELECT case_id, qid, qid % 10 AS t, answer, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(clips, 0) AS clips, coalesce(seen, '') AS seen, nearest
          FROM box_questions LEFT JOIN pc USING (case_id)),
   ex AS (SELECT *, CASE WHEN t <= 2 THEN answer WHEN t = 3 THEN CASE answer WHEN 'none' THEN '' WHEN 'Clip, Needle' THEN 'Clip, Needle' WHEN 'Sponge' THEN 'Sponge' ELSE 'Clip, Needle, Sponge' END
@@ -232,7 +246,8 @@ _BOXES = ["box_rows", "box_cases", "box_questions", "box_notes"]
 
 @query("answer_mismatches", f"WITH {_GOOD} SELECT * FROM mm", _BOXES[:3], covers="K-12")
 def answer_mismatches(spark, sf):
-    return B.answer_mismatches(box_questions(spark, sf), good_boxes(spark, sf), view(spark, sf, "box_cases"))
+    cases = view(spark, sf, "box_cases")
+    return B.answer_mismatches(box_questions(spark, sf), B.box_aggregates(good_boxes(spark, sf), cases), cases)
 
 
 def notes(spark, sf):
@@ -242,16 +257,17 @@ def notes(spark, sf):
     return view(spark, sf, "box_notes").withColumn("checks", checks)
 
 
-_GATE = f"""{_GOOD}, w AS (SELECT case_id, count(*) AS c FROM mm GROUP BY 1),
+_GATE = f"""{_GOOD},{_BROKEN}, w AS (SELECT case_id, count(*) AS c FROM mm GROUP BY 1),
   gate AS (SELECT case_id, status, coalesce(n, 0) AS box_count, coalesce(k, 0) AS class_count,
        CASE WHEN checked THEN 0 ELSE 1 END + CASE WHEN NOT no_foreign_objects AND coalesce(n, 0) = 0 THEN 1 ELSE 0 END AS structural_errors,
-       coalesce(c, 0) AS qa_mismatches, coalesce(unsure, 0) AS uncertain_boxes FROM box_notes LEFT JOIN pc USING (case_id) LEFT JOIN w USING (case_id)),
-  gated AS (SELECT *, CAST(structural_errors + qa_mismatches + uncertain_boxes = 0 AS INT) AS can_complete,
-       CAST((status IN ('complete', 'needs_review') AND structural_errors > 0) OR (status = 'complete' AND structural_errors + qa_mismatches + uncertain_boxes > 0) AS INT) AS blocked FROM gate)"""
+       coalesce(c, 0) AS qa_mismatches, coalesce(unsure, 0) AS uncertain_boxes, coalesce(violations, 0) AS violations
+       FROM box_notes LEFT JOIN pc USING (case_id) LEFT JOIN w USING (case_id) LEFT JOIN rej USING (case_id)),
+  gated AS (SELECT *, CAST(structural_errors + qa_mismatches + uncertain_boxes + violations = 0 AS INT) AS can_complete,
+       CAST(violations > 0 OR (status IN ('complete', 'needs_review') AND structural_errors > 0) OR (status = 'complete' AND structural_errors + qa_mismatches + uncertain_boxes > 0) AS INT) AS blocked FROM gate)"""
 
 
 def gate(spark, sf):
-    return B.completion_gate(notes(spark, sf), box_questions(spark, sf), good_boxes(spark, sf), view(spark, sf, "box_cases"))
+    return B.completion_gate(notes(spark, sf), box_questions(spark, sf), view(spark, sf, "box_rows"), view(spark, sf, "box_cases"))
 
 
 @query("completion_gate", f"WITH {_GATE} SELECT * FROM gated", _BOXES, covers="K-13")
@@ -259,19 +275,19 @@ def completion_gate(spark, sf):
     return gate(spark, sf)
 
 
-_EXPORT = f"""{_GOOD}, im AS (SELECT case_id, dataset, row_number() OVER (ORDER BY rank) AS image_id FROM box_cases JOIN box_notes USING (case_id) WHERE status = 'complete'),
+_EXPORT = f"""{_GOOD},{_BROKEN}, im AS (SELECT case_id, dataset, row_number() OVER (ORDER BY rank) AS image_id FROM box_cases JOIN box_notes USING (case_id) WHERE status = 'complete' AND case_id NOT IN (SELECT case_id FROM rej)),
   bx AS (SELECT row_number() OVER (ORDER BY image_id, box_no) AS annotation_id, image_id, CASE cls WHEN 'Sponge' THEN 1 WHEN 'Clip' THEN 2 ELSE 6 END AS category_id,
-           x, y, w AS width, h AS height, round(w * h, 3) AS area, 0 AS iscrowd, difficult FROM g JOIN im USING (case_id))"""
+           x, y, w AS width, h AS height, round_even(w * h, 3) AS area, 0 AS iscrowd, difficult FROM g JOIN im USING (case_id))"""
 
 
 @query("export_images", f"WITH {_EXPORT} SELECT case_id, dataset, image_id FROM im", _BOXES, covers="L-10")
 def export_images(spark, sf):
-    return B.export_images(view(spark, sf, "box_cases"), notes(spark, sf)).select("case_id", "dataset", "image_id")
+    return B.export_images(view(spark, sf, "box_cases"), notes(spark, sf), rejected(spark, sf)).select("case_id", "dataset", "image_id")
 
 
 @query("export_boxes", f"WITH {_EXPORT} SELECT * FROM bx", _BOXES, ("x", "y", "width", "height", "area"), "L-10")
 def export_boxes(spark, sf):
-    images = B.export_images(view(spark, sf, "box_cases"), notes(spark, sf))
+    images = B.export_images(view(spark, sf, "box_cases"), notes(spark, sf), rejected(spark, sf))
     return B.export_boxes(images, good_boxes(spark, sf))
 
 
@@ -281,7 +297,7 @@ def export_boxes(spark, sf):
     _BOXES, covers="L-10",
 )
 def export_manifest(spark, sf):
-    images = B.export_images(view(spark, sf, "box_cases"), notes(spark, sf))
+    images = B.export_images(view(spark, sf, "box_cases"), notes(spark, sf), rejected(spark, sf))
     return B.export_manifest(images, B.export_boxes(images, good_boxes(spark, sf)))
 
 

@@ -262,6 +262,33 @@ def prompt_instructions(spark, sf):
     return df.select("qid", instruction(F.col("question"), F.col("answer_format")).alias("prompt"))
 
 
+@query(
+    "bbox_instructions",
+    """WITH r AS (SELECT qid, question, CASE WHEN question LIKE 'How many%instances%' THEN 'i' WHEN question LIKE 'How many%classes%' THEN 'c'
+                     WHEN question LIKE 'How many Clips%' THEN 'Clip' WHEN question LIKE 'How many specimen bags%' THEN 'Specimen Bag' END AS t FROM case_rows)
+       SELECT qid, concat(question, chr(10), chr(10),
+         'Solve this by localizing objects before counting. Return exactly this JSON schema and nothing else:', chr(10),
+         '{"objects":[{"label":"<class>","bbox_2d":[x_min,y_min,x_max,y_max]}]}', chr(10), chr(10),
+         'Coordinates must be integers normalized to 0-1000, ordered as [x_min,y_min,x_max,y_max]. Use only these canonical labels: """
+    + ", ".join(CLASS_NAMES)
+    + """.', chr(10),
+         CASE t WHEN 'i' THEN 'Include one object entry for every visible foreign-object instance, regardless of class.'
+                WHEN 'c' THEN 'Include one object entry for every visible foreign-object instance and label each one with its canonical class.'
+                ELSE concat('Include only visible instances of the class "', t, '" and omit objects from every other class.') END, chr(10),
+         'If no requested object is visible, return {"objects":[]}.', chr(10), chr(10),
+         'One-shot format example:', chr(10), 'Question: How many Clips appear in this frame?', chr(10),
+         'Assistant: {"objects":[{"label":"Clip","bbox_2d":[88,140,166,230]},{"label":"Clip","bbox_2d":[612,355,701,438]}]}', chr(10), chr(10),
+         CASE t WHEN 'i' THEN 'The caller will count all valid boxes.' WHEN 'c' THEN 'The caller will count the distinct labels attached to valid boxes.'
+                ELSE concat('The caller will count valid boxes labeled "', t, '".') END,
+         ' Do not include a count field or a final numeric answer.') AS prompt
+       FROM r WHERE t IS NOT NULL""",
+    ["case_rows"], covers="H-33",
+)
+def bbox_instructions(spark, sf):
+    df = view(spark, sf, "case_rows").withColumn("asked", labels.counting_question(F.col("question"), F.lit("number"))).where("asked is not null")
+    return df.select("qid", instruction(F.col("question"), F.lit("number"), "bbox-json").alias("prompt"))
+
+
 @query(
     "detections_to_counts",
     """WITH r AS (SELECT *, CASE lower(target) WHEN 'clips' THEN 'Clip' END AS t FROM detect_rows),

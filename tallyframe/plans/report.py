@@ -86,7 +86,7 @@ def report_tables(rows: DataFrame, first: str, second: str) -> Mapping[str, Data
         "answer-format": M.by_format(cells),
         "leaf-by-format": M.by_leaf_and_format(cells),
         "secondary-capability": M.by_secondary(rows),
-        "gap-decomposition": C.gap_decomposition(groups.where(F.col("rows") > 0), first, second),
+        "gap-decomposition": C.gap_decomposition(groups, first, second),
         "slices": M.by_flag(cells),
         "video": M.by_video(cells),
         "runtime": M.latency_profile(rows),

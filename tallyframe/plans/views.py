@@ -241,7 +241,7 @@ VIEWS = {
                  ELSE concat('b', CAST(l_partkey % 60 AS STRING)) END AS box_id,
                CASE WHEN l_suppkey % 40 = 7 THEN 'Grasper' WHEN l_returnflag = 'A' THEN 'Clip'
                  WHEN l_returnflag = 'N' THEN 'sponges' ELSE 'Needle' END AS class_name,
-               CAST(l_partkey % 950 AS DOUBLE) AS x, CAST(l_suppkey % 500 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS y,
+               CAST(l_partkey % 950 AS DOUBLE) + CAST(0.0625 AS DOUBLE) AS x, CAST(l_suppkey % 500 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS y,
                l_quantity AS width, CAST(l_linenumber * 10 AS DOUBLE) AS height,
                l_tax = 0.0 AS difficult, l_discount = 0.0 AS uncertain
         FROM {lineitem}
