@@ -19,7 +19,7 @@ from tallyframe.functions.labels import (
     question_kind,
 )
 from tallyframe.functions.numbers import case_id
-from tallyframe.operators.scale import grouped_rank, grouped_running
+from tallyframe.operators.scale import grouped_rank, grouped_running, value_bucket
 from tallyframe.session import cut_lineage
 from tallyframe.taxonomy import CLASS_NAMES
 
@@ -98,7 +98,8 @@ def case_questions(df: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFra
 def ordered_questions(questions: DataFrame) -> DataFrame:
     """Position of each question in its case, by kind then id."""
     kinds = F.array_position(F.array(*[F.lit(k) for k in sorted(KINDS)]), F.col("kind"))
-    return grouped_rank(questions, ["case_id"], kinds, [F.col("kind"), F.col("qid")], "position")
+    bucket = F.struct(kinds.alias("kind"), value_bucket(F.col("qid").cast("double")).alias("id"))
+    return grouped_rank(questions, ["case_id"], bucket, [F.col("kind"), F.col("qid")], "position")
 
 
 def build_cases(questions: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
@@ -224,8 +225,14 @@ def diverse_rank(cases: DataFrame, keys: Sequence[str], name: str = "rank") -> D
     """Order by score, then video position, then a hash that mixes the videos."""
     tie = F.sha1(F.concat(F.col("dataset"), F.lit("::"), F.col("video").cast("string"), F.lit("\u0000"), F.col("case_id")))
     staged = diverse_positions(cases).withColumn("_tie", tie)
-    coarse = F.floor(F.log2(F.col("video_position").cast("double")) * 16).cast("bigint")
-    bucket = -F.col("score") * 100_000 + coarse
+    place, step = F.col("video_position"), _hex_step(F.col("_tie"))
+    # all videos share the first places, so those are split by the tie hash as well
+    coarse = 4096 + F.floor(F.log2(place.cast("double")) * 16).cast("bigint")
+    bucket = F.struct(
+        (-F.col("score")).alias("score"),
+        F.when(place <= 4096, place.cast("bigint")).otherwise(coarse).alias("place"),
+        F.when(place <= 16, step).when(place <= 4096, F.floor(step / 64)).otherwise(0).alias("step"),
+    )
     order = [F.desc("score"), F.col("video_position"), F.col("_tie")]
     return grouped_rank(staged, keys, bucket, order, name).drop("_tie")
 

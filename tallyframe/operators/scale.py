@@ -69,11 +69,16 @@ def grouped_rank(
     return out.drop("_bucket", "_size", "_before", "_total", "_all")
 
 
-def first_by_hash(df: DataFrame, keys: Sequence[str], digest: Column, limit: Column) -> DataFrame:
-    """The ``limit`` rows of each group with the smallest digest."""
-    tagged = df.withColumn("_digest", digest).withColumn("_limit", limit)
-    ranked = grouped_rank(tagged, keys, hash_bucket(F.col("_digest")), [F.col("_digest")], "_rank")
-    return ranked.where(F.col("_rank") <= F.col("_limit")).drop("_digest", "_limit", "_rank")
+def first_by_hash(df: DataFrame, keys: Sequence[str], digest: Column, limit: int) -> DataFrame:
+    """The ``limit`` rows of each group with the smallest digest.
+
+    The limit is a constant, so every task cuts its groups before the shuffle.
+    """
+    tagged = df.withColumn("_digest", digest)
+    if not keys:
+        return tagged.orderBy("_digest").limit(limit).drop("_digest")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest"))
+    return tagged.withColumn("_place", place).where(F.col("_place") <= limit).drop("_digest", "_place")
 
 
 def grouped_running(

@@ -16,11 +16,17 @@ SEGMENT_SECONDS = 305
 
 
 def normalize_predictions(
-    df: DataFrame, variant: str = "v1", names: Sequence[str] = CLASS_NAMES, into: str = "prediction"
+    df: DataFrame, variant: str = "v1", names: Sequence[str] = CLASS_NAMES, into: str = "prediction", reasoning: bool | None = None
 ) -> DataFrame:
-    """Raw text of every row to the normalised answer of its format."""
+    """Raw text of every row to the normalised answer of its format.
+
+    ``reasoning`` strips thinking blocks first; only variants beside ``v1`` do
+    so by default, as the shared normaliser reads the text as it is.
+    """
     question = F.col("question") if "question" in df.columns else None
-    raw = text.strip_reasoning(F.coalesce("raw_model_output", F.lit("")))
+    raw = F.coalesce("raw_model_output", F.lit(""))
+    if reasoning or (reasoning is None and variant != "v1"):
+        raw = text.strip_reasoning(raw)
     staged = df.withColumn("_answer", raw)
     value = text.normalize_answer(F.col("answer_format"), F.col("_answer"), question, names, variant)
     return staged.withColumn(into, value).drop("_answer")

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions.numbers import hash_text
 from tallyframe.functions.prompts import frame_labels, instruction, window_preamble
 from tallyframe.operators.frames import window_indices
-from tallyframe.operators.scale import first_by_hash, grouped_rank, hash_bucket, value_bucket
+from tallyframe.operators.scale import first_by_hash, grouped_rank, hash_bucket
 
 
 def repeated(df: DataFrame, times: Column, name: str = "copy_no") -> DataFrame:
@@ -83,13 +84,13 @@ def count_distribution(df: DataFrame, answer: str = "answer") -> DataFrame:
 
 def first_rows(df: DataFrame, keys: Sequence[str], ordinal: str, limit: int) -> DataFrame:
     """The first rows of each group in input order."""
-    ranked = grouped_rank(df, keys, value_bucket(F.col(ordinal).cast("double")), [F.col(ordinal)], "_r")
-    return ranked.where(F.col("_r") <= limit).drop("_r")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal))  # each task keeps its first rows only
+    return df.withColumn("_r", place).where(F.col("_r") <= limit).drop("_r")
 
 
 def seeded_subset(df: DataFrame, rows: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """A uniform subset of ``rows`` rows; the same rows on every run."""
-    return first_by_hash(df, [], hash_text(seed, *[F.col(k) for k in key]), F.lit(rows))
+    return first_by_hash(df, [], hash_text(seed, *[F.col(k) for k in key]), rows)
 
 
 def stratified_subset(
@@ -119,7 +120,8 @@ def affected_and_controls(
     """All affected rows plus control rows on images of their own.
 
     Every image goes to one unaffected row, the first by hash over all strata,
-    so no image serves two controls.
+    so no image serves two controls. A stratum with fewer images gives fewer
+    rows; ``short_strata`` lists these.
     """
     tagged = df.withColumn("_affected", affected)
     hit = tagged.where("_affected").withColumn("selection_group", F.lit("affected_full"))
@@ -127,12 +129,20 @@ def affected_and_controls(
     others = tagged.where("NOT _affected").withColumn("_d", digest)
     owner = others.groupBy(image).agg(F.min("_d").alias("_d"))
     pool = others.join(owner, [image, "_d"])
-    controls = first_by_hash(pool, strata, F.col("_d"), F.lit(per_stratum)).drop("_d")
+    controls = first_by_hash(pool, strata, F.col("_d"), per_stratum).drop("_d")
     return hit.unionByName(
         controls.withColumn("selection_group", F.lit("control_sample"))
     ).drop("_affected")
 
 
+def short_strata(selected: DataFrame, df: DataFrame, affected: Column, strata: Sequence[str], per_stratum: int) -> DataFrame:
+    """Strata of unaffected rows that got fewer controls than asked for."""
+    asked = df.where(~affected).groupBy(*strata).agg(F.count(F.lit(1)).alias("rows"))
+    got = selected.where(F.col("selection_group") == "control_sample").groupBy(*strata).agg(F.count(F.lit(1)).alias("controls"))
+    out = asked.join(got, list(strata), "left").withColumn("controls", F.coalesce("controls", F.lit(0)))
+    return out.where(F.col("controls") < per_stratum)
+
+
 def dense_index(df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "selection_index") -> DataFrame:
     """0-based position in the given order, without one global sort task."""
     return grouped_rank(df, [], bucket, order, "_r").withColumn(name, F.col("_r") - 1).drop("_r")

@@ -10,6 +10,7 @@ from tallyframe.functions.prompts import CLOSING_V2, ORDER_V2, SCOPE_V3, system_
 from tallyframe.operators import frames as P
 from tallyframe.operators import trainset as T
 from tallyframe.operators.joins import first_available
+from tallyframe.operators.scale import value_bucket
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import table, view
 
@@ -324,6 +325,24 @@ def affected_and_controls(spark, sf):
     return T.affected_and_controls(df, F.col("k") > 80, ["dataset", "answer_format"], "image", 20, "qid")
 
 
+@query(
+    "short_control_strata",
+    """WITH b AS (SELECT dataset, answer_format, 'img' || user_id % 60 || '-' || k AS image, k > 80 AS hit, md5('42|' || qid) AS d FROM eval_rows),
+            o AS (SELECT * FROM b WHERE NOT hit AND d = (SELECT min(d) FROM b x WHERE NOT x.hit AND x.image = b.image)),
+            n AS (SELECT dataset, answer_format, count(*) AS rows FROM b WHERE NOT hit GROUP BY ALL),
+            c AS (SELECT dataset, answer_format, least(count(*), 20) AS controls FROM o GROUP BY ALL)
+       SELECT dataset, answer_format, rows, coalesce(controls, 0) AS controls FROM n LEFT JOIN c USING (dataset, answer_format) WHERE coalesce(controls, 0) < 20""",
+    ["eval_rows"], covers="E-12",
+)
+def short_control_strata(spark, sf):
+    df = view(spark, sf, "eval_rows").select(
+        "qid", "dataset", "answer_format", "k",
+        F.concat(F.lit("img"), (F.col("user_id") % 60).cast("string"), F.lit("-"), F.col("k").cast("string")).alias("image"),
+    )
+    strata, hit = ["dataset", "answer_format"], F.col("k") > 80
+    return T.short_strata(T.affected_and_controls(df, hit, strata, "image", 20, "qid"), df, hit, strata, 20)
+
+
 @query(
     "dense_selection_index",
     """SELECT qid, row_number() OVER (ORDER BY k DESC, dataset, qid) - 1 AS selection_index FROM eval_rows""",
@@ -332,7 +351,8 @@ def affected_and_controls(spark, sf):
 def dense_selection_index(spark, sf):
     df = view(spark, sf, "eval_rows").select("qid", "dataset", "k")
     order = [F.desc("k"), F.col("dataset"), F.col("qid")]
-    return T.dense_index(df, -F.col("k"), order).select("qid", "selection_index")
+    bucket = F.struct((-F.col("k")).alias("k"), "dataset", value_bucket(F.col("qid").cast("double")).alias("id"))
+    return T.dense_index(df, bucket, order).select("qid", "selection_index")
 
 
 @query(

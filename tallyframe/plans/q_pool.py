@@ -107,6 +107,15 @@ def diverse_order(spark, sf):
     return P.diverse_rank(cut_lineage(scored(spark, sf)), ["dataset"]).select("case_id", "video_position", "rank")
 
 
+@query(
+    "short_datasets",
+    f"WITH {_SCORED} SELECT dataset, count(*) AS n FROM scored GROUP BY 1 HAVING count(*) < 2000",
+    ["case_rows"], covers="E-02",
+)
+def short_datasets(spark, sf):
+    return P.short_datasets(scored(spark, sf), 2000)
+
+
 @query("selected_pool", f"WITH {_POOL} SELECT case_id, score, tier, rank, batch FROM pool", ["case_rows"], covers="E-02")
 def selected_pool(spark, sf):
     return P.select_pool(scored(spark, sf), QUOTA).select("case_id", "score", "tier", "rank", "batch")

@@ -61,7 +61,7 @@ def test_quantiles_skip_nulls(spark):
 
 
 def test_first_by_hash_takes_exact_numbers(hot):
-    out = S.first_by_hash(hot, ["g"], hash_text(3, F.col("id")), F.lit(5))
+    out = S.first_by_hash(hot, ["g"], hash_text(3, F.col("id")), 5)
     assert {r["n"] for r in out.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()} == {5}
 
 
