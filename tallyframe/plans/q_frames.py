@@ -39,12 +39,11 @@ def question_frames(spark, sf):
     "frame_details",
     f"""WITH {_FRAMES} SELECT qid, frame, frame / fps AS seconds, 'frames/' || replace(video, '.mp4', '') || printf('/frame%07d.jpg', frame) AS path,
           printf('%02d:%02d:%02d', CAST(s // 3600 AS INT), CAST((s % 3600) // 60 AS INT), CAST(s % 60 AS INT)) AS stamp
-        FROM (SELECT *, CAST(round_even(frame / fps, 0) AS BIGINT) AS s FROM fr WHERE track = 'segment')""",
+        FROM (SELECT *, CAST(round_even(frame / fps, 0) AS BIGINT) AS s FROM fr)""",
     _USES[:2], ("seconds",), "L-04 H-13 H-29",
 )
 def frame_details(spark, sf):
-    rows = planned(spark, sf).where(F.col("track") == "segment")
-    return P.frame_details(P.question_frames(rows)).select("qid", "frame", "seconds", "path", "stamp")
+    return P.frame_details(P.question_frames(planned(spark, sf))).select("qid", "frame", "seconds", "path", "stamp")
 
 
 @query("frame_plan", f"WITH {_FRAMES} SELECT DISTINCT dataset, video, frame FROM fr", _USES[:2], covers="L-01 F-03 E-09")
@@ -113,7 +112,7 @@ def plan_against_inventory(spark, sf):
 
 @query(
     "grid_fallback",
-    f"""WITH {_FRAMES}, w1 AS (SELECT DISTINCT dataset, video, frame FROM fr WHERE track = 'segment')
+    f"""WITH {_FRAMES}, w1 AS (SELECT DISTINCT dataset, video, frame FROM fr)
         SELECT dataset, source, count(*) AS n, min(path) AS first_path FROM (
           SELECT dataset, CASE WHEN frame % 3 > 0 THEN 'dense/' || video || '/' || frame WHEN frame % 2 > 0 THEN 'sparse/' || video || '/' || frame END AS path,
                  CASE WHEN frame % 3 > 0 THEN 'dense' WHEN frame % 2 > 0 THEN 'sparse' ELSE 'none' END AS source FROM w1) GROUP BY 1, 2""",
@@ -121,7 +120,7 @@ def plan_against_inventory(spark, sf):
 )
 def grid_fallback(spark, sf):
     keys = ["dataset", "video", "frame"]
-    wanted = P.build_plan(planned(spark, sf).where(F.col("track") == "segment"))
+    wanted = P.build_plan(planned(spark, sf))
 
     def grid(name: str, here) -> object:
         return wanted.where(here).withColumn("path", F.concat_ws("/", F.lit(name), "video", F.col("frame").cast("string")))
@@ -225,15 +224,14 @@ def training_rows(spark, sf):
 
 
 def count_answers(spark, sf):
-    df = view(spark, sf, "counts").where((F.col("target") > 1) | (F.col("template_id") == 0))
+    df = view(spark, sf, "counts")
     return df.select(
         "video", "template_id", F.when(F.col("template_id") == 4, "fo_class").otherwise("number").alias("answer_format"),
         F.col("target").cast("string").alias("answer"),
     )
 
 
-_COUNT_ANSWERS = """a AS (SELECT CASE WHEN template_id = 4 THEN 'fo_class' ELSE 'number' END AS answer_format, target, template_id FROM counts
-     WHERE target > 1 OR template_id = 0),
+_COUNT_ANSWERS = """a AS (SELECT CASE WHEN template_id = 4 THEN 'fo_class' ELSE 'number' END AS answer_format, target, template_id FROM counts),
   f AS (SELECT target, count(*) AS freq FROM a WHERE answer_format = 'number' GROUP BY 1),
   r AS (SELECT target, least(8, greatest(1, CAST(round_even(power((SELECT max(freq) FROM f) / freq, 0.5), 0) AS INT))) AS reps FROM f)"""
 
