@@ -39,6 +39,7 @@ PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
 CHUNK = 1 << 19  # prefix rows that a task reduces at once
 GUIDED = (16,)  # leaders of a list in each round of step 4
+CLOSEST = 3  # leaders that a document is compared with in a round of stars
 BACK = 4  # earlier shared rows looked at to list a pair once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
@@ -175,8 +176,8 @@ def _long_enough(n: Column, m: Column, percent: int) -> Column:
     return percent * F.greatest(n, m) <= 100 * F.least(n, m)
 
 
-def candidate_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pairs: DataFrame) -> DataFrame:
-    """``(doc, n, items)`` of at least the documents in ``pairs``.
+def candidate_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pairs: DataFrame, short: bool = False) -> DataFrame:
+    """``(doc, items)`` of at least the documents in ``pairs``; ``short`` keeps 16 bits of each shingle.
 
     A bit map of fixed size names those documents. It reads every row; where so
     many documents take part that the map is full, it lets more sets through.
@@ -196,7 +197,7 @@ def candidate_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pair
             batch = batch.filter(pa.array(named.astype(bool)))
             if batch.num_rows:
                 kept = [one for _, one in shingle_sets(*text_bytes(batch.column(1)), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one.tobytes() for one in kept], pa.large_binary()).cast(pa.binary())], names=["doc", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([((one >> np.uint64(48)).astype(np.uint16) if short else one).tobytes() for one in kept], pa.large_binary()).cast(pa.binary())], names=["doc", "items"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     return source.withColumn("slot", slot("doc")).mapInArrow(scan, "doc bigint, items binary")
@@ -219,6 +220,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "u bigint, v bigint")
 
 
+def _short_filter(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose shingles, cut to 16 bits, overlap too little; cut values can only overlap more.
+
+    Far fewer bytes move than for whole shingles, and most pairs end here.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.bincount(np.frombuffer(v.as_buffer(), np.uint16), minlength=1 << 16) for v in (x, y))
+                most = int(np.minimum(x, y).sum())
+                good.append(100 * most >= percent * (int(x.sum()) + int(y.sum()) - most))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = short.select(F.col("doc").alias("a"), F.col("items").alias("x")), short.select(F.col("doc").alias("b"), F.col("items").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "a bigint, b bigint").distinct()
+
+
 def _suffix_filter(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """Drop pairs whose counts by hash cell bound the overlap below what is needed."""
 
@@ -235,6 +255,16 @@ def _suffix_filter(pairs: DataFrame, table: DataFrame, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
+def _closest(rows: DataFrame) -> DataFrame:
+    """The CLOSEST pairs of each ``b``, by lists shared, from a row for each shared list.
+
+    What is left out here is not lost: it meets again across components.
+    """
+    shared = rows.groupBy("a", "b").agg(F.count("*").alias("lists"))
+    ranked = F.sort_array(F.collect_list(F.struct("lists", "a")), asc=False)  # at most the lists of one document
+    return shared.groupBy("b").agg(F.slice(ranked, 1, CLOSEST).alias("best")).select(F.explode("best.a").alias("a"), "b")
+
+
 def _mixed_lists(members: DataFrame, label: DataFrame) -> DataFrame:
     """The prefix lists in which several components meet, with each row's component."""
     members = members.select("shingle", "doc", "n", "pos").join(label.withColumnRenamed("id", "doc"), "doc", "left")
@@ -284,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, m = F.col("n"), F.col("lead_n")
     bound = F.least("pos", "lead_pos") + F.least(n - F.col("pos"), m - F.col("lead_pos"))
     stars = links.where(_long_enough(n, m, percent) & (bound >= _needed(n, m, percent)) & (F.col("doc") != F.col("lead")))
-    stars = stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = _closest(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")))
     first = cut_lineage(_suffix_filter(stars, table, percent))
     star_links = cut_lineage(_verified(first, candidate_sets(docs, id_col, text_col, width, first), percent).union(same))
     label = components(star_links)
@@ -294,6 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _mixed_lists(members, label)
     for leaders in GUIDED:
         near = cut_lineage(_suffix_filter(_guided_stars(members, percent, leaders), table, percent))
+        near = cut_lineage(_short_filter(near, candidate_sets(docs, id_col, text_col, width, near, short=True), percent))
         found = _verified(near, candidate_sets(docs, id_col, text_col, width, near), percent)
         label = components(found.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         members = _mixed_lists(members, label)
@@ -313,6 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     pairs = across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     second = cut_lineage(_suffix_filter(pairs, table, percent))
+    second = cut_lineage(_short_filter(second, candidate_sets(docs, id_col, text_col, width, second, short=True), percent))
     more = _verified(second, candidate_sets(docs, id_col, text_col, width, second), percent)
     label = components(more.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
     out = documents.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left")
