@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the work a fixed hint cannot: it measures each
@@ -51,12 +52,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``cut_lineage`` wrote for this application, once no result reads them."""
+    top = _tables(spark)
+    store, path = fs.FileSystem.from_uri(top) if "://" in top or top.startswith("file:") else (fs.LocalFileSystem(), top)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
     What follows starts from files: it may read them several times, a lost
-    executor costs a re-read, and the planner knows their size.
+    executor costs a re-read, and the planner knows their size. The tables of an
+    application lie in one folder; ``release_tables`` removes them.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe import session
 from tallyframe.functions.numbers import hash_text
 from tallyframe.operators import scale as S
 from tallyframe.operators.joins import salted_lookup
@@ -70,3 +73,10 @@ def test_salted_lookup_equals_join(hot, spark):
     a = salted_lookup(hot, dim, ["g"]).select("id", "size").collect()
     b = hot.join(dim, "g").select("id", "size").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_tables_are_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_tables", lambda spark: f"file://{tmp_path}/own")
+    assert session.cut_lineage(spark.range(5)).count() == 5 and os.listdir(f"{tmp_path}/own")
+    session.release_tables(spark)
+    assert not os.path.exists(f"{tmp_path}/own")
