@@ -110,12 +110,9 @@ def by_leaf(cells: DataFrame) -> DataFrame:
 def by_format(cells: DataFrame) -> DataFrame:
     """Every answer format seen in any dataset, for every dataset."""
     metrics = _shares(metrics_of(cells, ["dataset", "answer_format"]), ["dataset"])
-    seen = metrics.groupBy().agg(
-        F.collect_set("dataset").alias("datasets"), F.collect_set("answer_format").alias("formats")
-    )
-    scaffold = seen.select(F.explode("datasets").alias("dataset"), "formats").select(
-        "dataset", F.explode("formats").alias("answer_format")
-    )
+    # formats are a fixed few, so each dataset's row lists them all
+    seen = metrics.agg(F.collect_set("answer_format")).scalar()
+    scaffold = metrics.select("dataset").distinct().withColumn("formats", seen).select("dataset", F.explode("formats").alias("answer_format"))
     out = scaffold.join(metrics, ["dataset", "answer_format"], "left")
     return out.fillna(0, subset=["rows", "videos", "correct"]).fillna(0.0, subset=["row_share"])
 

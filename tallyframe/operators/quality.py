@@ -142,15 +142,19 @@ def settings_conflicts(meta: DataFrame, group: Sequence[str], wanted: Sequence[s
 
 
 def unexpected_settings(meta: DataFrame, run: str, expected: DataFrame) -> DataFrame:
-    """Runs whose setting differs from an expected ``key, value`` table, or lacks it."""
-    # the expectations are a handful of rows, handed over as one array
-    wanted = expected.agg(F.collect_list(F.struct("key", "value"))).scalar()
+    """Runs whose setting differs from an expected ``key, value`` table, or lacks it.
+
+    Settings meet expectations on their key; only missing keys are found per
+    run, against the list of expected keys, which is as short as that table.
+    """
+    wanted = expected.select("key", F.col("value").alias("expected"))
     docs = meta.select(run, F.from_json("settings", "map<string,string>").alias("doc"))
-    pairs = docs.withColumn("wanted", wanted).select(run, "doc", F.inline("wanted"))
-    actual = F.try_element_at("doc", F.col("key"))
-    return pairs.select(run, "key", F.col("value").alias("expected"), actual.alias("actual")).where(
-        ~F.col("expected").eqNullSafe(F.col("actual"))
-    )
+    found = docs.select(run, F.explode("doc").alias("key", "actual"))
+    keys = docs.withColumn("keys", expected.agg(F.collect_set("key")).scalar())
+    absent = F.array_except("keys", F.coalesce(F.map_keys("doc"), F.array().cast("array<string>")))
+    missing = keys.select(run, F.explode(absent).alias("key"), F.lit(None).cast("string").alias("actual"))
+    rows = found.unionByName(missing).join(wanted, "key")
+    return rows.where(~F.col("expected").eqNullSafe(F.col("actual"))).select(run, "key", "expected", "actual")
 
 
 def rerun_audit(df: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
