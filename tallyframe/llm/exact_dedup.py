@@ -27,7 +27,7 @@ from tallyframe.session import cut_lineage
 
 BLANKS = b" \t\n\x0b\x0c\r"
 TAILS = bytes(range(0x80, 0xC0))  # UTF-8 bytes that do not begin a code point
-TRIE_BYTES = 32 << 20
+TRIE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 HASH_BYTES = 32
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-SEEN = 400_000  # words that a worker remembers
+SEEN = 150_000  # words that a task remembers
 GROUP = 1 << 19  # bytes of text encoded, and returned, at once
 
 
@@ -219,18 +219,6 @@ class Encoder:
         return self.library.decode(ids)
 
 
-_encoders: dict[tuple[bytes, bool], Encoder] = {}
-
-
-def encoder_of(model: bytes, eos: bool) -> Encoder:
-    """The encoder of a model; a Python worker keeps it, and the words it has seen, for later tasks."""
-    key = hashlib.sha256(model).digest(), eos
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(model, eos)
-    return _encoders[key]
-
-
 def _groups(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
     """Runs of texts of about ``most`` bytes."""
     group, held = [], 0
@@ -290,7 +278,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", carry: Sequence[
     names = list(results)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value, eos)
+        encoder = Encoder(shared.value, eos)
         for batch in batches:
             first = 0
             for group in _groups((v.as_py() or b"" for v in batch.column(len(carry)).cast(pa.large_binary())), GROUP):
@@ -311,7 +299,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", carry: Sequence[st
     carry = [c for c in carry if c.lower() != "decoded"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value, True)
+        encoder = Encoder(shared.value)
         for batch in batches:
             texts = [None if ids is None else encoder.decode(ids) for ids in batch.column(len(carry)).to_pylist()]
             kept = [batch.column(k) for k in range(len(carry))]

@@ -26,8 +26,8 @@ WORDS = 1024  # hashed words
 REPEATS = 8  # a word like the one k places before, k = 1 to 8
 TERMS = KINDS + WORDS + REPEATS
 RUN = 4  # character kinds in a term
-BLOCK = 1 << 19  # bytes of text, and at most ROWS rows, counted at once
-ROWS = 256
+BLOCK = 1 << 18  # bytes of text, and at most ROWS rows, counted at once
+ROWS = 128
 
 _KIND = np.zeros(256, dtype=np.int64)
 _KIND[65:91] = 1

@@ -15,7 +15,7 @@ import numpy as np
 from tallyframe.llm.arrays import runs
 
 WIDTH = 5
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
