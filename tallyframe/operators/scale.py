@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 
 def fanned(df: DataFrame, *columns: str) -> DataFrame:
-    """Partition few rows widely before each of them multiplies."""
+    """Deal rows out by a key before each of them multiplies or costs much work."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(width, *columns)
 

@@ -10,7 +10,7 @@ from tallyframe.functions.prompts import CLOSING_V2, ORDER_V2, SCOPE_V3, system_
 from tallyframe.operators import frames as P
 from tallyframe.operators import trainset as T
 from tallyframe.operators.joins import first_available
-from tallyframe.operators.scale import value_bucket
+from tallyframe.operators.scale import fanned, value_bucket
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import table, view
 
@@ -27,7 +27,8 @@ _USES = ["windows", "sampling", "frame_counts"]
 
 
 def planned(spark, sf):
-    return P.with_sampling(view(spark, sf, "windows"), taxonomy.sampling_plan(spark))
+    rows = P.with_sampling(view(spark, sf, "windows"), taxonomy.sampling_plan(spark))
+    return fanned(rows, "qid")  # each row becomes many frames
 
 
 @query("question_frames", f"WITH {_FRAMES} SELECT qid, frame FROM fr", _USES[:2], covers="L-01 L-02 L-05 H-29 H-30")
