@@ -39,7 +39,7 @@ PART = 1 << 12  # counters in a row of that table
 SUFFIX = 64  # hash cells of the suffix filter
 CHUNK = 1 << 18  # prefix rows that a task reduces at once
 GUIDED = (16,)  # leaders of a list in each round of step 4
-CLOSEST = 3  # leaders that a document is compared with in a round of stars
+CLOSEST = 2  # leaders that a document is compared with in a round of stars
 BACK = 4  # earlier shared rows looked at to list a pair once
 MAP_BITS = 1 << 25  # bits of the map of documents that take part in a candidate pair
 
