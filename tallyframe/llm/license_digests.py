@@ -1,13 +1,44 @@
-"""Known licences, found by the digest of their canonical text."""
+"""Known licences, found by the digest of their canonical text, whatever its line width."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that name an owner or reserve rights, as they differ between copies of one licence.
+#: Lines that the SQL check deletes. They include any line that begins with "copyright", which on the given tables is no
+#: line of a licence body; ``without_notices`` is what the operator applies.
 OWNER_LINE = r"(?m)^[ \t/*#;>-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
+#: Words with which licence texts open, and with which a notice before them ends (fixed values).
+OPENINGS = (
+    "permission is hereby granted",
+    "permission to use",
+    "redistribution and use in source and binary forms",
+    "everyone is permitted to copy",
+    "licensed under",
+    "this software is provided",
+    "this program is free software",
+    "this library is free software",
+)
+_GAP = r"[\s/*#;>-]"
+_OPENING = "(?i:" + "|".join(rf"{_GAP}+".join(o.split()) for o in OPENINGS) + r")\b"
+_SIGN = r"(?:\(c\)|©|(?:19|20)\d\d\b|[<\[{])"
+#: Words that follow "copyright" in licence bodies and in titles, and so begin no name (fixed values).
+_NO_NAME = "holders?|owners?|notices?|laws?|licen[sc]es?|acts?|and|or|in|on|of|to|is|for|the|statements?|interests?|protection|treaty|rights?|related|office|information|infringement|status|term"
+#: "copyright" with a sign, a year or a name, or a sign with a year or a name; "(c) You must" of a list is none.
+_NOTICE = (
+    rf"(?:(?i:copyright[ \t:,]*(?:by[ \t]+)?{_SIGN}|\(c\)[ \t]*(?:copyright\b|(?:19|20)\d\d\b|[<\[{{])|©)"
+    rf"|(?i:copyright)[ \t:]+(?:(?i:by)[ \t]+)?(?:[Tt]he[ \t]+)?(?!(?i:{_NO_NAME})\b)\p{{Lu}}\p{{L}}*\p{{Ll}}"
+    r"|(?i:\(c\))[ \t]+\p{Lu}\p{L}*\p{Ll}\p{L}*[ \t]+\p{Lu})"
+)
+_DECOR = r"[ \t/*#;>-]*+"
+_TITLE = r"(?:(?:[\p{L}\d.-]++[ \t]++){0,5}?(?i:licen[sc]e)\b[ \t:.]*+(?:\([^)\n]{0,40}\)[ \t:]*+)?)?"
+#: A notice at the start of a line or after a title. It runs up to the opening of a licence text in or after its
+#: paragraph, as far as 400 characters are a notice, else to the end of its line.
+OWNER_NOTICE = rf"(?m)^({_DECOR}{_TITLE}){_NOTICE}(?:(?:(?!\n[ \t/*#;>-]*\n)[\s\S]){{0,400}}?(?={_GAP}*{_OPENING})|[^\n]*)"
+#: Reserved rights that fill a line or stand before a licence text.
+RESERVED = rf"(?m)^{_DECOR}(?i:all[ \t]+rights[ \t]+reserved)\b[ \t.,!*/#]*(?=\n|\z|{_OPENING})"
+
 #: Equivalent spellings; the first form becomes the second (fixed values).
 SPELLINGS = (
     ("licence", "license"),
@@ -55,26 +86,51 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, one spelling, no owner lines, and one space for all that is neither letter nor digit."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    text = F.regexp_replace(text, OWNER_LINE, "")
+def without_notices(text: Column) -> Column:
+    """The text without owner notices and lines that only reserve rights."""
+    bare = F.regexp_replace(F.regexp_replace(text, OWNER_NOTICE, "$1"), RESERVED, "")
+    return F.when(text.rlike(r"(?i)copyright|\(c\)|©|all[ \t]+rights"), bare).otherwise(text)
+
+
+def words_alone(text: Column) -> Column:
+    """Lower case, one spelling, and one space for all that is neither letter nor digit."""
+    text = F.lower(text)
     for other, one in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(one))
     return F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "))
 
 
+def canonical_forms(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """``keep`` with ``t``, the canonical text without owner notices, and ``full``, the one with them.
+
+    Line ends decide what is a notice, but not what ``full`` is: a licence whose
+    own words look like a notice in some line width is still found by it.
+    """
+    rows = rows.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_bare", without_notices(F.col("_text")))
+    rows = rows.select(*keep, "_text", (F.col("_bare") == F.col("_text")).alias("_same"), words_alone(F.col("_bare")).alias("t"))
+    return rows.select(*keep, "t", F.when(F.col("_same"), F.col("t")).otherwise(words_alone(F.col("_text"))).alias("full"))
+
+
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, canonical_chars, digest, license``.
 
     ``known`` has ``license, text``; of licences with one canonical text the
     smallest name counts, and a text without letters and digits none.
-    ``license`` is NULL for documents that are no known licence as a whole. A
-    NULL text is empty. Repeated rows match alike; an empty table gives no rows.
-    Other columns are not read, whatever their names.
+    ``license`` is NULL for documents that are no known licence as a whole, be
+    it with owner notices or without them. The digest is of the text without
+    them. A NULL text is empty. Repeated rows match alike; an empty table gives
+    no rows. Other columns are not read, whatever their names.
     """
-    digests = known.select("license", canonical(F.col("text")).alias("t")).where("t != '' and license is not null")
-    digests = digests.groupBy(F.sha2(F.col("t").cast("binary"), 256).alias("known")).agg(F.min("license").alias("license"))
-    rows = docs.select(F.col(id_col), canonical(F.col(text_col).cast("string")).alias("t"))
-    rows = rows.select(id_col, F.length("t").cast("bigint").alias("canonical_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
-    return rows.join(digests, F.col("digest") == F.col("known"), "left").select(id_col, "canonical_chars", "digest", "license")
+    texts = canonical_forms(known.where("license is not null"), "text", "license")
+    texts = texts.select("license", F.explode(F.array_distinct(F.array("t", "full"))).alias("t")).where("t != ''")
+    digests = texts.groupBy(_sha256(F.col("t")).alias("known")).agg(F.min("license").alias("license"))
+    rows = canonical_forms(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "id")
+    rows = rows.select("id", F.length("t").cast("bigint").alias("canonical_chars"), _sha256(F.col("t")).alias("digest"), _sha256(F.col("full")).alias("full"))
+    rows = rows.join(digests.withColumnRenamed("license", "bare_license"), F.col("digest") == F.col("known"), "left").drop("known")
+    rows = rows.join(digests, F.col("full") == F.col("known"), "left")
+    return rows.select(F.col("id").alias(id_col), "canonical_chars", "digest", F.coalesce("bare_license", "license").alias("license"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -117,3 +119,43 @@ def test_licences(spark):
     assert {k: got[k] for k in range(1, 6)} == {1: "MIT", 2: "ISC", 3: "MIT", 4: None, 5: "CC-BY-NC-4.0 notice"}
     assert len(got) == len(rows) and all(got[100 + k] is None for k in range(len(TEXTS)))
     assert license_matches(empty(documents(spark)), known).isEmpty() and license_matches(documents(spark), empty(known)).count() == len(TEXTS)
+
+
+def line_forms(text):
+    """The text under several line widths, paragraph by paragraph and as one, and on one line."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    for width in (40, 60, 70, 72, 73, 74, 75, 76, 77, 78, 79, 80, 100, 120):
+        yield "\n\n".join(textwrap.fill(p, width) for p in paragraphs)
+        yield textwrap.fill(" ".join(paragraphs), width)
+    yield "\n".join(paragraphs)
+    yield " ".join(paragraphs)
+
+
+def test_licences_in_any_line_width(spark):
+    rows = []
+    for name, text in KNOWN:
+        title, body = text.split("\n\n", 1) if text.startswith(f"{name} License\n") else ("", text)
+        for notice in ("", "Copyright (c) 2020 Some One", "Copyright 1999, 2001 A. Person", "© 2010 Some One. All rights reserved.", "(c) Some One", "Copyright The Some Authors"):
+            rows += [(name, form) for form in line_forms("\n\n".join(x for x in (title, notice, body) if x))]
+    docs = [(k, text, "en", "a") for k, (_, text) in enumerate(rows)]
+    known = spark.createDataFrame(KNOWN, "license string, text string")
+    got = {r.doc_id: r.license for r in license_matches(documents(spark, docs), known).collect()}
+    wrong = [(name, got[k], text[:120]) for k, (name, text) in enumerate(rows) if got[k] != name]
+    assert not wrong, (len(wrong), len(rows), wrong[:3])
+
+
+def test_only_notices_go(spark):
+    texts = [
+        ("copyright notice and this permission notice appear", "copyright notice and this permission notice appear"),
+        ("COPYRIGHT HOLDERS BE LIABLE\nfor", "copyright holders be liable for"),
+        ("(c) You must retain, in the Source form", "c you must retain in the source form"),
+        ("Copyright (c) 2020 Some One\nown words", "own words"),
+        ("Copyright 2020 Some One\n\nmine\n\n" + MIT, "mine " + " ".join(re.findall("[a-z0-9]+", MIT.lower()))),
+        ("All rights reserved.\nown words", "own words"),
+        ("All rights reserved by nobody", "all rights reserved by nobody"),
+    ]
+    docs = [(k, text, "en", "a") for k, (text, _) in enumerate(texts)]
+    known = spark.createDataFrame(KNOWN, "license string, text string")
+    got = {r.doc_id: r for r in license_matches(documents(spark, docs), known).collect()}
+    for k, (_, want) in enumerate(texts):
+        assert got[k].digest == hashlib.sha256(want.encode()).hexdigest() and got[k].license is None
