@@ -5,7 +5,10 @@ may be templates. Spark counts each subtree per host over pages that differ.
 Subtrees that recur across many pages of their host are deleted, and so are
 elements whose name or class says what they are. A page's own ``article`` or
 ``main`` is what is wanted and is never taken for a template, however often its
-text is repeated; a page without one gives what is left of its body.
+text is repeated; a page without one gives what is left of its body. Subtrees
+below an ``article`` or ``main`` are counted over pages on which the rest of the
+article's text differs, so that copies of one article do not make its parts
+templates.
 """
 
 from __future__ import annotations
@@ -56,9 +59,9 @@ class Element:
         self.tag, self.dropped, self.wanted, self.box, self.begin, self.box_id = tag, dropped, wanted, box, begin, box_id
 
 
-def subtree_hash(source: str) -> int:
-    """Signed 64-bit hash of an element's source, with white space runs as one space."""
-    return int.from_bytes(hashlib.blake2b(" ".join(source.split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def subtree_hash(source: str, kind: bytes = b"") -> int:
+    """Signed 64-bit hash of an element's source, with white space runs as one space; each kind has its own hashes."""
+    return int.from_bytes(hashlib.blake2b(" ".join(source.split()).encode("utf-8", "replace"), digest_size=8, person=kind).digest(), "big", signed=True)
 
 
 class Page:
@@ -69,6 +72,7 @@ class Page:
         self.stack: list[Element] = []
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []  # text, inside article or main, boxes around it
         self.hashes: list[int | None] = []
+        self.inside: list[bool] = []  # whether a box is inside article or main
         self.text: list[str] = []
         self._read()
 
@@ -83,7 +87,7 @@ class Page:
     def _pop(self, end: int) -> None:
         top = self.stack.pop()
         if top.box and self.hashes[top.box_id] is None:
-            self.hashes[top.box_id] = subtree_hash(self.source[top.begin : end])
+            self.hashes[top.box_id] = subtree_hash(self.source[top.begin : end], b"inside" if self.inside[top.box_id] else b"")
 
     def _close_to(self, k: int, end: int) -> None:
         while len(self.stack) > k:
@@ -119,9 +123,13 @@ class Page:
             for e in self.stack:
                 if e.box:
                     e.box, self.hashes[e.box_id] = False, 0
-        box = (tag in BOXES or tag in DROPPED and tag not in RAW and tag != "head") and not inside and not wanted
+        if inside:
+            box = tag in BOXES and not dropped and not wanted
+        else:
+            box = (tag in BOXES or tag in DROPPED and tag not in RAW and tag != "head") and not wanted
         if box:
             self.hashes.append(None)
+            self.inside.append(inside)
         self.stack.append(Element(tag, dropped, wanted, box, begin, len(self.hashes) - 1))
 
     def _end(self, tag: str, begin: int, end: int) -> None:
@@ -162,21 +170,38 @@ class Page:
         self._flush()
         self._close_to(0, len(source))
 
-    def result(self) -> tuple[str | None, list[dict] | None, list[int]]:
-        """The text if it is certain, else its blocks with the subtrees around them; all subtrees."""
-        subtrees = sorted({h for h in self.hashes if h})
-        chosen = [b for b in self.blocks if b[1]] if any(b[1] for b in self.blocks) else self.blocks
-        if not any(self.hashes[k] for b in chosen for k in b[2]):
-            return "\n\n".join(b[0] for b in chosen), None, subtrees
-        return None, [{"text": t, "inside": [self.hashes[k] for k in boxes if self.hashes[k]]} for t, _, boxes in chosen], subtrees
+    def _rests(self, chosen: list[tuple[str, bool, tuple[int, ...]]]) -> dict[int, int]:
+        """For each subtree inside the article, a signed 64-bit sum over the article's blocks outside it."""
+        parts: dict[int, int] = {}
+        total = 0
+        for text, _, boxes in chosen:
+            value = subtree_hash(text, b"block")
+            total += value
+            for h in {self.hashes[k] for k in boxes if self.hashes[k]}:
+                parts[h] = parts.get(h, 0) + value
+        return {h: (total - part + (1 << 63)) % (1 << 64) - (1 << 63) for h, part in parts.items()}
+
+    def result(self) -> tuple[str, list[dict] | None, list[dict], bool]:
+        """The text before templates are cut; its blocks with the subtrees around them, if any are; all subtrees; whether there is an article."""
+        own = [b for b in self.blocks if b[1]]
+        chosen = own or self.blocks
+        rests = self._rests(own)
+        outer = {h for h, inside in zip(self.hashes, self.inside) if h and not inside}
+        subtrees = [{"subtree": h, "rest": None} for h in sorted(outer)] + [{"subtree": h, "rest": rests[h]} for h in sorted(rests)]
+        blocks = None
+        if any(self.hashes[k] for b in chosen for k in b[2]):
+            blocks = [{"text": t, "inside": [self.hashes[k] for k in boxes if self.hashes[k]]} for t, _, boxes in chosen]
+        return "\n\n".join(b[0] for b in chosen), blocks, subtrees, bool(own)
 
 
 BLOCK_TYPE = "array<struct<text: string, inside: array<bigint>>>"
 BLOCK_ARROW = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))
+SUBTREE_TYPE = "array<struct<subtree: bigint, rest: bigint>>"
+SUBTREE_ARROW = pa.list_(pa.struct([("subtree", pa.int64()), ("rest", pa.int64())]))
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Each page with its host, a hash of its source, its text or blocks, and its subtrees."""
+    """Each page with its host, a hash of its source, its text if no subtree can change it or else its blocks, its subtrees, and whether it has an article."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,22 +209,25 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
             for first in range(0, batch.num_rows, 100):
                 part = batch.slice(first, 100)
                 found = [Page((v.as_py() or b"").decode("utf-8", "replace")).result() for v in part.column(4).cast(pa.large_binary())]
-                columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), BLOCK_ARROW, pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["id", "url", "host", "page", "text", "blocks", "subtrees"])
+                found = [(None if blocks else text, blocks, *rest) for text, blocks, *rest in found]  # one of the two is enough
+                columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), BLOCK_ARROW, SUBTREE_ARROW, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["id", "url", "host", "page", "text", "blocks", "subtrees", "own"])
 
     source = F.col(html_col).cast("string")
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), url_host(F.col(url_col)).alias("host"), F.xxhash64(F.octet_length(source), source).alias("page"), source.cast("binary").alias("html")
     )
-    return rows.mapInArrow(scan, f"id {kind}, url string, host string, page bigint, text string, blocks {BLOCK_TYPE}, subtrees array<bigint>")
+    return rows.mapInArrow(scan, f"id {kind}, url string, host string, page bigint, text string, blocks {BLOCK_TYPE}, subtrees {SUBTREE_TYPE}, own boolean")
 
 
 def host_templates(parsed: DataFrame, min_pages: int, min_share: float) -> tuple[DataFrame, DataFrame]:
-    """Subtrees that recur on their host, and all occurrences; copies of one page count once."""
-    found = parsed.select("host", "page", F.explode_outer("subtrees").alias("subtree")).distinct()
+    """Subtrees that recur on their host, and all occurrences; copies of one page or of the rest of an article count once."""
+    found = parsed.select("host", "page", F.inline_outer("subtrees")).distinct()
     found = cut_lineage(found)
     pages = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = found.where("subtree is not null").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    inside = found.where("rest is not null").select("host", "subtree", "rest").distinct()
+    rows = found.where("subtree is not null and rest is null").select("host", "subtree").union(inside.select("host", "subtree"))
+    counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     templates = cut_lineage(counts).join(cut_lineage(pages), "host").where(F.col("n") >= min_share * F.col("pages"))
     return cut_lineage(templates.select("host", "subtree")), found
 
@@ -211,8 +239,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     blocks are trimmed and joined in page order by two line ends; nothing is cut
     short. A NULL page is empty and gives an empty text. Pages without a URL
     form a host of their own. Repeated rows give equal texts and count as one
-    page; an empty table gives no rows. Other columns are not read, whatever
-    their names.
+    page; an empty table gives no rows. An article of which only recurring
+    subtrees are made keeps them. Other columns are not read, whatever their
+    names.
     """
     parsed = cut_lineage(parsed_pages(pages, id_col, url_col, html_col))
     templates, found = host_templates(parsed, min_pages, min_share)
@@ -222,5 +251,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hits = cut_lineage(hits.groupBy("host", "page").agg(F.collect_set("subtree").alias("cut")))  # at most the subtrees of one page
     rest = open_.join(hits, ["host", "page"], "left").withColumn("cut", F.coalesce("cut", F.expr("cast(array() as array<bigint>)")))
     kept = F.filter("blocks", lambda b: ~F.exists(b["inside"], lambda h: F.array_contains(F.col("cut"), h)))
-    rest = rest.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
+    rest = rest.withColumn("kept", kept)
+    left = F.when(F.col("own") & (F.size("kept") == 0), F.col("blocks")).otherwise(F.col("kept"))
+    rest = rest.select("id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n\n").alias("text"))
     return sure.union(rest).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))

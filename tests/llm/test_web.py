@@ -142,6 +142,22 @@ def test_templates_go_and_articles_stay(spark):
     assert all(found[300 + k] == "whole page" for k in range(30))  # copies of one page are one page
 
 
+def test_templates_inside_articles_go(spark):
+    bar = "<div class='x1'><ul><li>Send this page to a friend</li></ul></div>"
+    box = "<section><div>Read also</div></section>"
+    rows = [(k, f"http://one.example/p{k}", f"<body><article><h1>Story {k}</h1>{bar}<div><p>it was day {k}</p></div>{box}</article></body>") for k in range(20)]
+    # copies of one article, in pages that differ
+    rows += [(100 + k, "http://two.example/copy", f"<body><article><div><p>same article</p></div><ul><li>same list</li></ul></article>{k}</body>") for k in range(20)]
+    rows += [(200 + k, "http://two.example/", f"<body><main><div><p>all in one box</p></div></main><div>{k}</div></body>") for k in range(20)]
+    # articles of two recurring boxes alone
+    rows += [(300 + k, "http://one.example/", f"<body><article>{bar}{box}</article>{k}</body>") for k in range(5)]
+    found = {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()}
+    assert all(found[k] == f"Story {k}\n\nit was day {k}" for k in range(20))
+    assert all(found[100 + k] == "same article\n\nsame list" for k in range(20))
+    assert all(found[200 + k] == "all in one box" for k in range(20))
+    assert all(found[300 + k] == "Send this page to a friend\n\nRead also" for k in range(5))
+
+
 def test_page_text_awkward_rows(spark):
     found = main_text(pages(spark)).collect()
     assert sorted((str(r.page_id) for r in found)) == sorted(str(r[0]) for r in ROWS)
