@@ -31,7 +31,7 @@ MIN_SHARE = 0.1  # of the host's pages that differ
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S
 )
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements of HTML by their part in a page (fixed values).
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,12 +42,14 @@ BLOCKS = frozenset(
 )
 BOXES = frozenset("div section ul ol dl table header details figure center fieldset".split())
 CELLS = frozenset("td th br".split())
-#: Words in class, id or role that mark what is not the article (fixed values).
+#: Classes, roles and ids that as a whole mark what is not the article (fixed values).
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social newsletter subscribe popup modal overlay pagination toolbar masthead complementary contentinfo search login signup".split()
 )
 OUTER_MARKS = frozenset("header top".split())
-WORDS = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Articles inside dropped elements are wanted on pages that have no other article and no main.
+FIRST, SECOND = 1, 2
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -55,7 +57,7 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 class Element:
     __slots__ = ("tag", "dropped", "wanted", "box", "begin", "box_id")
 
-    def __init__(self, tag: str, dropped: bool, wanted: bool, box: bool, begin: int, box_id: int) -> None:
+    def __init__(self, tag: str, dropped: bool, wanted: int, box: bool, begin: int, box_id: int) -> None:
         self.tag, self.dropped, self.wanted, self.box, self.begin, self.box_id = tag, dropped, wanted, box, begin, box_id
 
 
@@ -64,13 +66,25 @@ def subtree_hash(source: str, kind: bytes = b"") -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(source.split()).encode("utf-8", "replace"), digest_size=8, person=kind).digest(), "big", signed=True)
 
 
+def names(attributes: str, ids: bool = True) -> set[str]:
+    """Classes and roles, and the id as a whole, in lower case."""
+    found: set[str] = set()
+    for m in NAMED.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() != "id":
+            found.update(value.split())
+        elif ids:
+            found.add(value.strip())
+    return found
+
+
 class Page:
     """Blocks of a page, each with the boxes around it, and hashes of those boxes."""
 
     def __init__(self, source: str) -> None:
         self.source = source
         self.stack: list[Element] = []
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []  # text, inside article or main, boxes around it
+        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []  # text, FIRST or SECOND if inside article or main, boxes around it
         self.hashes: list[int | None] = []
         self.inside: list[bool] = []  # whether a box is inside article or main
         self.text: list[str] = []
@@ -80,7 +94,7 @@ class Page:
         if self.text:
             text = " ".join(html.unescape("".join(self.text)).split())
             if text:
-                wanted = any(e.wanted for e in self.stack)
+                wanted = next((e.wanted for e in self.stack if e.wanted), 0)
                 self.blocks.append((text, wanted, tuple(e.box_id for e in self.stack if e.box)))
             self.text = []
 
@@ -115,10 +129,15 @@ class Page:
         above = self.stack[-1] if self.stack else None
         inside = any(e.wanted for e in self.stack)
         dropped = bool(above and above.dropped) or tag in DROPPED or (tag == "header" and not inside)
-        if not dropped and attributes and tag not in ("html", "body", "article", "main"):
-            words = {w for m in NAMED.finditer(attributes) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
+        root = tag in WANTED or bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I))
+        # ids of headings and sections in an article name what they are about
+        if not dropped and attributes and not root and tag not in ("html", "body") and not (inside and tag in HEADINGS):
+            words = names(attributes, ids=not (inside and tag == "section"))
             dropped = not words.isdisjoint(MARKS) or (not inside and not words.isdisjoint(OUTER_MARKS))
-        wanted = not dropped and (tag in WANTED or bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I)))
+        wanted = 0
+        if root and not (dropped and inside):
+            wanted = SECOND if dropped and tag == "article" else FIRST
+            dropped = False
         if wanted:  # what holds the article is no template
             for e in self.stack:
                 if e.box:
@@ -170,7 +189,7 @@ class Page:
         self._flush()
         self._close_to(0, len(source))
 
-    def _rests(self, chosen: list[tuple[str, bool, tuple[int, ...]]]) -> dict[int, int]:
+    def _rests(self, chosen: list[tuple[str, int, tuple[int, ...]]]) -> dict[int, int]:
         """For each subtree inside the article, a signed 64-bit sum over the article's blocks outside it."""
         parts: dict[int, int] = {}
         total = 0
@@ -183,7 +202,7 @@ class Page:
 
     def result(self) -> tuple[str, list[dict] | None, list[dict], bool]:
         """The text before templates are cut; its blocks with the subtrees around them, if any are; all subtrees; whether there is an article."""
-        own = [b for b in self.blocks if b[1]]
+        own = [b for b in self.blocks if b[1] == FIRST] or [b for b in self.blocks if b[1] == SECOND]
         chosen = own or self.blocks
         rests = self._rests(own)
         outer = {h for h, inside in zip(self.hashes, self.inside) if h and not inside}

@@ -130,6 +130,35 @@ def test_page_rules(body, text):
     assert page(body)[0] == text
 
 
+WRAPPED = [
+    ("<div class='page has-sidebar'><article>a</article></div>", "a"),
+    ("<div class='no-comments'><article>a</article></div>", "a"),
+    ("<div id='login-content'><main>a</main></div>", "a"),
+    ("<div class='page search'><main>a</main></div>", "a"),
+    ("<div id='top'><div class='sidebar'><article>a</article></div></div>", "a"),
+    ("<form id='all'><p>field</p><article>a</article></form>", "a"),
+    ("<div role='main' class='search'>a</div>", "a"),
+    ("<article>a<h2 id='social-impact'>b</h2><section id='search-and-rescue'>c</section></article>", "a\n\nb\n\nc"),
+    ("<article>a<h2 id='search'>b</h2><section id='comments'>c</section><div class='no-ads'>d</div></article>", "a\n\nb\n\nc\n\nd"),
+]
+
+
+@pytest.mark.parametrize("body,text", WRAPPED)
+def test_marks_drop_no_article(body, text):
+    assert page(body)[0] == text
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        ("<aside><article>teaser</article></aside><article>a</article><div class='sidebar'><article>teaser</article></div>", "a"),
+        ("<article>a<div class='comments'><article>said</article></div><section class='x comments'>said</section><div id='share'>s</div></article>", "a"),
+    ],
+)
+def test_marks_still_drop(body, text):
+    assert page(body)[0] == text
+
+
 def test_templates_go_and_articles_stay(spark):
     banner = "<div><div>Welcome to our site</div></div>"
     rows = [(k, f"http://{'one' if k < 40 else 'two'}.example/p{k}", f"<html><body>{banner}<div><p>story {k if k % 2 else 'same'} of the day</p></div></body></html>") for k in range(43)]
