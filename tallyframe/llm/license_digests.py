@@ -116,19 +116,28 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def known_digests(known: DataFrame) -> DataFrame:
+    """``license, digest`` of texts with owner notices and without them."""
+    texts = canonical_forms(known.where("license is not null"), "text", "license")
+    texts = texts.select("license", F.explode(F.array_distinct(F.array("t", "full"))).alias("t")).where("t != ''")
+    return texts.select("license", _sha256(F.col("t")).alias("digest"))
+
+
+def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: DataFrame | None = None) -> DataFrame:
     """One row per document: ``doc_id, canonical_chars, digest, license``.
 
-    ``known`` has ``license, text``; of licences with one canonical text the
+    ``known`` has ``license, text``, ``stored`` has ``license, digest`` as
+    ``known_digests`` gives them; of licences with one canonical text the
     smallest name counts, and a text without letters and digits none.
     ``license`` is NULL for documents that are no known licence as a whole, be
     it with owner notices or without them. The digest is of the text without
     them. A NULL text is empty. Repeated rows match alike; an empty table gives
     no rows. Other columns are not read, whatever their names.
     """
-    texts = canonical_forms(known.where("license is not null"), "text", "license")
-    texts = texts.select("license", F.explode(F.array_distinct(F.array("t", "full"))).alias("t")).where("t != ''")
-    digests = texts.groupBy(_sha256(F.col("t")).alias("known")).agg(F.min("license").alias("license"))
+    digests = known_digests(known)
+    if stored is not None:
+        digests = digests.unionByName(stored.where("license is not null"))
+    digests = digests.groupBy(F.col("digest").alias("known")).agg(F.min("license").alias("license"))
     rows = canonical_forms(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "id")
     rows = rows.select("id", F.length("t").cast("bigint").alias("canonical_chars"), _sha256(F.col("t")).alias("digest"), _sha256(F.col("full")).alias("full"))
     rows = rows.join(digests.withColumnRenamed("license", "bare_license"), F.col("digest") == F.col("known"), "left").drop("known")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import license_digests
 from tallyframe.llm.catalog import query, table
+from tallyframe.llm.license_store import STORED
 from tallyframe.llm.quality_rules import quality_rules
 from tallyframe.llm.quality_vote import quality
 
@@ -96,4 +97,5 @@ def _quoted(text: str) -> str:
 )
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(license_digests.KNOWN, "license string, text string")
-    return license_digests.license_matches(table(spark, sf_dir, "documents"), known)
+    stored = spark.createDataFrame(STORED, "license string, digest string")
+    return license_digests.license_matches(table(spark, sf_dir, "documents"), known, stored=stored)

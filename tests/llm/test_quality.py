@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.arrays import text_bytes
 from tallyframe.llm.license_digests import ISC, KNOWN, MIT, license_matches
+from tallyframe.llm.license_store import STORED
 from tallyframe.llm.quality_rules import measures, quality_rules
 from tallyframe.llm.quality_vote import Model, TERMS, fit, latent_basis, quality, scored, term_counts
 from tests.llm.cases import LONG, TEXTS, documents, empty
+from tests.llm.licences import FOLDER, common_licences
 
 
 @pytest.fixture(scope="module")
@@ -121,10 +123,10 @@ def test_licences(spark):
     assert license_matches(empty(documents(spark)), known).isEmpty() and license_matches(documents(spark), empty(known)).count() == len(TEXTS)
 
 
-def line_forms(text):
+def line_forms(text, widths=(40, 60, 70, 72, 73, 74, 75, 76, 77, 78, 79, 80, 100, 120)):
     """The text under several line widths, paragraph by paragraph and as one, and on one line."""
     paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
-    for width in (40, 60, 70, 72, 73, 74, 75, 76, 77, 78, 79, 80, 100, 120):
+    for width in widths:
         yield "\n\n".join(textwrap.fill(p, width) for p in paragraphs)
         yield textwrap.fill(" ".join(paragraphs), width)
     yield "\n".join(paragraphs)
@@ -159,3 +161,19 @@ def test_only_notices_go(spark):
     got = {r.doc_id: r for r in license_matches(documents(spark, docs), known).collect()}
     for k, (_, want) in enumerate(texts):
         assert got[k].digest == hashlib.sha256(want.encode()).hexdigest() and got[k].license is None
+
+
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="no licence texts on this machine")
+def test_whole_common_licences(spark):
+    texts = common_licences()
+    rows = [(name, form) for name, text in texts for form in (text, *line_forms(text, (60, 72, 79, 100)))]
+    rows += [(name, "Copyright (c) 2020 Some One\n\n" + text) for name, text in texts if name in ("BSD-2-Clause", "BSD-3-Clause") and text.startswith("Redis")]
+    apache = texts[0][1].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Some One")
+    rows += [("Apache-2.0", form) for form in (apache, *list(line_forms(apache, (60, 72, 79, 100)))[0:8:2])]
+    rows += [(None, text + " and more") for _, text in texts]
+    docs = [(k, text, "en", "a") for k, (_, text) in enumerate(rows)]
+    known = spark.createDataFrame(KNOWN, "license string, text string")
+    stored = spark.createDataFrame(STORED, "license string, digest string")
+    got = {r.doc_id: r.license for r in license_matches(documents(spark, docs), known, stored=stored).collect()}
+    wrong = [(name, got[k], text[:80]) for k, (name, text) in enumerate(rows) if got[k] != name]
+    assert not wrong, (len(wrong), len(rows), wrong[:5])
