@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tallyframe.llm.catalog import QUERIES, SQL
 from tests.llm.cases import documents, empty
 from tests.llm.test_copies import brute_components, brute_groups
+from tests.llm.test_mixing import brute_targets
 from tests.oracle import compare, connect
 
 
@@ -62,3 +68,39 @@ def test_stages_take_awkward_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         assert docs.count() >= 0
+
+
+def brute_mix(rows):
+    """How often each id is taken: complete epochs, then documents by key while that comes nearer to the target."""
+    by = defaultdict(list)
+    for doc, text, _, source in rows:
+        signs = sum(c < "\x7f" and c > " " and not c.isalnum() for c in text)
+        uniform = (int(hashlib.md5(f"mix:{doc}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        weight = 0.1 + 0.9 * (len(text) - signs) / len(text) if text else 0.1
+        by[source].append((-math.log(uniform) / weight, doc, len(re.findall(r"[^\x20\x09-\x0D]+", text))))
+    sizes = {s: sum(size for *_, size in part) for s, part in by.items()}
+    taken = Counter()
+    for source, target in brute_targets(sizes).items():
+        epochs = math.floor(target / sizes[source]) if sizes[source] else 0
+        under = target - epochs * sizes[source]
+        for _, doc, size in sorted(by[source]):
+            taken[doc] += epochs + (under > 0 and under >= size / 2)
+            under -= size
+    return +taken
+
+
+def test_mix_and_encoding_stages_row_by_row(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang, r.source) for r in docs.collect()]
+    (_, mix), (_, pieces) = corpus_pipeline.STAGES[3:]
+    mixed = mix(spark, docs, sf)
+    found = mixed.collect()
+    want = brute_mix(rows)
+    assert want and Counter(r.doc_id for r in found) == want
+    text = {doc: (t, lang, source) for doc, t, lang, source in rows}
+    assert all((r.text or "", r.lang, r.source) == text[r.doc_id] for r in found)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.MODEL))
+    encoded = pieces(spark, mixed, sf).collect()
+    assert Counter(r.doc_id for r in encoded) == want
+    ids = {doc: library.encode(text[doc][0], add_eos=True) for doc in want}
+    assert all(list(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids) for r in encoded)
