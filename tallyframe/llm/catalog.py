@@ -35,6 +35,7 @@ from tallyframe.llm import (  # noqa: E402, F401  each registers its queries
     q_dedup,
     q_mix,
     q_quality,
+    q_runs,
     q_text,
     q_web,
 )
