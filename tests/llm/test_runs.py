@@ -83,10 +83,10 @@ def test_long_text_in_linear_steps():
 
 
 def test_awkward_rows(spark):
-    docs = documents(spark, [*TEXTS, (20, "x y " * 40, "en", "a"), (20, "x y " * 40, "en", "a"), (None, "  " * 30, "en", "a")])
+    docs = documents(spark, [*TEXTS, (20, "x y " * 40, "en", "a"), (20, "x y " * 40, "en", "a"), (None, "\u00a0 " * 30, "en", "a")])
     rows = {r.doc_id if r.doc_id is not None else (None, r.n_words): r for r in periodic_runs(docs).collect()}
     assert [tuple(r) for r in rows[20].runs] == [(0, 80, 2)] and rows[20].collapsed == "x y" and tuple(rows[20].strongest) == (0, 80, 2)
-    assert rows[None, 30].collapsed == " "  # a no-break space is a word
+    assert rows[None, 30].collapsed == "\u00a0"  # a no-break space is a word
     assert rows[5].n_words == rows[6].n_words == rows[7].n_words == 0 and rows[5].collapsed == "" and rows[5].strongest is None
     assert rows[8].collapsed.count(" ") == rows[8].n_words - 1 and rows[8].runs == []
     assert periodic_runs(docs).count() == len(TEXTS) + 3
