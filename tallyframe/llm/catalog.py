@@ -32,6 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 from tallyframe.llm import (  # noqa: E402, F401  each registers its queries
+    q_conversations,
     q_dedup,
     q_lines,
     q_mix,
