@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.brackets import wanted_value
 from tallyframe.functions.labels import canonical_label
 from tallyframe.functions.text import let
 from tallyframe.taxonomy import CLASS_NAMES
@@ -22,27 +23,17 @@ CORNER_KEYS = (
 )
 FENCE = r"(?is)```(?:json|python)?\s*(.*?)```"
 NUMBER = r"([-+]?\d+(?:\.\d+)?)"
+BOX_TEXT = rf"(?i)[\"']?(?:{'|'.join(BOX_KEYS)})[\"']?\s*:\s*\[\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*\]"
+LABEL_TEXT = rf"(?i)[\"']?(?:{'|'.join(LABEL_KEYS)})[\"']?\s*:\s*[\"']([^\"']+)[\"']"
 FRAGMENT_CHARS = 1000  # longest object read where the text is no payload
 # --- end of fixed values ---
 
-QUOTE = "\ue000"  # stands for a single quote while JSON is read
-
 
 def _fenced(text: Column) -> Column:
     blocks = F.transform(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)), _edges_off)
     return F.filter(F.array_distinct(blocks), lambda c: c != "")
 
 
-def _json_at_start(text: Column) -> Column:
-    """The JSON value that a text begins with, whatever follows it; NULL where there is none.
-
-    The path reader stops at the end of the first value. It would also take
-    single-quoted strings, so single quotes are hidden from it.
-    """
-    read = F.get_json_object(F.replace(text, F.lit("'"), F.lit(QUOTE)), "$")
-    return F.try_parse_json(F.replace(read, F.lit(QUOTE), F.lit("'")))
-
-
 def _edges_off(x: Column) -> Column:
     return F.btrim(x, F.lit(" \t\n\r"))
 
@@ -124,14 +115,10 @@ def valid_box(box: Column) -> Column:
 
 
 def _recovered(raw: Column, names: Sequence[str], fragment_chars: int) -> Column:
-    keys = "|".join(BOX_KEYS)
-    box_re = rf"(?i)[\"']?(?:{keys})[\"']?\s*:\s*\[\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*\]"
-    label_re = rf"(?i)[\"']?(?:{'|'.join(LABEL_KEYS)})[\"']?\s*:\s*[\"']([^\"']+)[\"']"
-
     def read(fragment: Column) -> Column:
-        box = F.array(*[F.regexp_extract(fragment, box_re, i).try_cast("double") for i in range(1, 5)])
+        box = F.array(*[F.regexp_extract(fragment, BOX_TEXT, i).try_cast("double") for i in range(1, 5)])
         return F.struct(
-            canonical_label(F.regexp_extract(fragment, label_re, 1), names).alias("label"),
+            canonical_label(F.regexp_extract(fragment, LABEL_TEXT, 1), names).alias("label"),
             box.alias("bbox_2d"),
         )
 
@@ -145,7 +132,8 @@ def extract_detections(
     """Add ``detections, schema_valid, status`` to every row of ``df``.
 
     The whole text and fenced blocks may be JSON or Python literals; a value
-    inside other text must be JSON, at any depth. Of repeated keys the last one
+    inside other text must be JSON, at any depth, and is found by one pass over
+    the brackets of such texts. Of repeated keys the last one
     counts: the session setting for VARIANT is changed for that. Objects of up
     to ``fragment_chars`` characters are looked for where nothing else is found.
 
@@ -176,14 +164,10 @@ def extract_detections(
     out = df.withColumn("_whole", judged(_edges_off(text)))
     fenced = F.aggregate(_fenced(_edges_off(text)), nothing, lambda got, c: F.coalesce(got, judged(c)))
     out = out.withColumn("_fenced", F.when(F.col("_whole").isNull(), fenced))
-    # walk over the brackets; each is the start of a value until one reads as boxes
-    state = F.struct(F.lit(1).alias("at"), nothing.alias("got"))
-    step = lambda s, part: F.struct(
-        (s["at"] + F.length(part)).alias("at"),
-        F.coalesce(s["got"], F.when(part.rlike(r"^[\[{]"), let(_json_at_start(F.substring(text, s["at"], F.length(text))), lambda v: accepted(v, "json")))).alias("got"),
-    )
-    inside = F.aggregate(F.split(text, r"(?=[\[{])", -1), state, step, lambda s: s["got"])
-    out = out.withColumn("_inside", F.when(F.col("_whole").isNull() & F.col("_fenced").isNull(), inside))
+    # only texts without a payload so far are searched for a value inside them
+    open_ = F.when(F.col("_whole").isNull() & F.col("_fenced").isNull() & text.rlike(r"[\[{]"), text)
+    out = out.withColumn("_span", wanted_value(open_, (*LIST_KEYS, *BOX_KEYS)))
+    out = out.withColumn("_inside", let(F.try_parse_json("_span"), lambda v: accepted(v, "json")))
     out = out.withColumn("_payload", F.coalesce("_whole", "_fenced", "_inside"))
     value = F.col("_payload")["value"]
     out = out.withColumn("_list", _as_list(value)).withColumn("_record", _as_map(value))
@@ -211,7 +195,7 @@ def extract_detections(
             .otherwise("invalid_json"),
         )
     )
-    return out.drop("_whole", "_fenced", "_inside", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
+    return out.drop("_whole", "_fenced", "_span", "_inside", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
 
 
 def derived_count(detections: Column, mode: Column, target: Column, names: Sequence[str] = CLASS_NAMES) -> Column:

@@ -27,6 +27,11 @@ def uniform_index(digest: Column, n: Column) -> Column:
     return F.pmod(hash_int(digest, 13), n.cast("bigint"))
 
 
+def uniform_unit(digest: Column, first: int = 1) -> Column:
+    """A number in [0, 1) from 13 hex digits of a digest."""
+    return F.conv(F.substring(digest, first, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
 def case_id(dataset: Column, video: Column, timestamp: Column) -> Column:
     key = F.concat_ws("\u0000", dataset, video, timestamp)
     return F.concat(dataset, F.lit("-"), F.substring(F.sha1(key), 1, 16))
@@ -157,6 +162,54 @@ def binomial_two_sided(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * F.exp(peak) * tail))
 
 
+def binomial_log(x: Column, n: Column, p: Column) -> Column:
+    """Logarithm of the chance of ``x`` hits in ``n`` draws, for 0 < p < 1."""
+    n, x = n.cast("double"), x.cast("double")
+    ways = ln_gamma(n + 1) - ln_gamma(x + 1) - ln_gamma(n - x + 1)
+    return ways + x * F.ln(p) + (n - x) * F.ln(1 - p)
+
+
+def binomial_span(n: Column, p: Column) -> tuple[Column, Column, Column]:
+    """Mode, and the first and last count between which all but 1e-16 of the chance lies."""
+    mode = F.least(F.floor((n + 1) * p).cast("bigint"), n.cast("bigint"))
+    wide = F.ceil(9 * F.sqrt(n * p * (1 - p))).cast("bigint") + 12
+    return mode, F.greatest(mode - wide, F.lit(0)), F.least(mode + wide, n.cast("bigint"))
+
+
+def binomial_draw(n: Column, p: Column, u: Column) -> Column:
+    """The number of hits in ``n`` draws that a uniform ``u`` picks, for 0 < p < 1.
+
+    Counts are taken from the mode outwards, the larger of two first, until their
+    chances exceed ``u``; each chance follows from its inner neighbour by a ratio.
+    """
+    n = n.cast("bigint")
+    mode, low, high = binomial_span(n, p)
+    start = F.exp(binomial_log(mode, n, p))
+    given = F.struct(n.alias("n"), mode.alias("mode"), (p / (1 - p)).alias("odds"), u.alias("u"), start.alias("start"), F.greatest(mode - low, high - mode, F.lit(1)).alias("steps"))
+
+    def fold(g: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            up = F.when(g["mode"] + i <= g["n"], a["up"] * (g["n"] - g["mode"] - i + 1) / (g["mode"] + i) * g["odds"]).otherwise(0.0)
+            down = F.when(g["mode"] - i >= 0, a["down"] * (g["mode"] - i + 1) / (g["n"] - g["mode"] + i) / g["odds"]).otherwise(0.0)
+
+            def next_(c: Column) -> Column:
+                rest = a["left"] - c["up"]
+                hit = F.when(a["left"] < c["up"], g["mode"] + i).when(rest < c["down"], g["mode"] - i)
+                return F.struct(c["up"].alias("up"), c["down"].alias("down"), (rest - c["down"]).alias("left"), hit.alias("hit"))
+
+            both = F.transform(F.array(F.struct(up.alias("up"), down.alias("down"))), next_)
+            return F.when(a["hit"].isNotNull(), a).otherwise(F.get(both, F.lit(0)))
+
+        begin = F.struct(
+            g["start"].alias("up"), g["start"].alias("down"), (g["u"] - g["start"]).alias("left"), F.when(g["u"] < g["start"], g["mode"]).alias("hit")
+        )
+        found = F.aggregate(F.sequence(F.lit(1).cast("bigint"), g["steps"]), begin, step)["hit"]
+        return F.coalesce(found, g["mode"])
+
+    picked = F.get(F.transform(F.array(given), fold), F.lit(0))
+    return F.when(n <= 0, F.lit(0).cast("bigint")).otherwise(picked)
+
+
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Wilson 95 % interval of ``k`` hits in ``n``."""
     k, n = k.cast("double"), n.cast("double")

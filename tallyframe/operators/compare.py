@@ -1,23 +1,15 @@
-"""Run against run: paired tables, intervals, tests, gaps and rankings."""
+"""Run against run: paired tables, tests, gaps and rankings."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyframe.functions.numbers import (
-    binomial_two_sided,
-    hash_int,
-    hash_text,
-    normal_tail,
-    uniform_index,
-)
-from tallyframe.operators.scale import fanned, grouped_rank, grouped_running, hash_bucket
-from tallyframe.session import cut_lineage
+from tallyframe.functions.numbers import binomial_two_sided, normal_tail
+from tallyframe.operators.scale import grouped_running
 
 # -- pairing -------------------------------------------------------------------
 
@@ -123,120 +115,6 @@ def wilcoxon(differences: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.withColumn("wilcoxon_p", p).drop("_ties", "_largest")
 
 
-# -- bootstrap ----------------------------------------------------------------------
-
-
-def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number the videos of each slice 0.. in digest order; add the slice size."""
-    named = df.withColumn("_digest", hash_text("video", F.col("video")))
-    out = grouped_rank(
-        named, keys, hash_bucket(F.col("_digest")), [F.col("_digest"), F.col("video")], "_rank", "size"
-    )
-    # drawn from and looked up in: kept as a table, so that the planner knows its
-    # size and broadcasts it only when it is small
-    return cut_lineage(out.withColumn("slot", F.col("_rank") - 1).drop("_rank", "_digest"))
-
-
-def _draws(numbered: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """One row per (slice, replicate, slot) with the drawn slot in ``pick``."""
-    digest = hash_text(seed, *[F.col(k) for k in keys], F.col("rep"), F.col("slot"))
-    return (
-        fanned(numbered.select(*keys, "slot", "size"), "slot")
-        .select(*keys, "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-        .withColumn("pick", uniform_index(digest, F.col("size")))
-        .select(*keys, "rep", "slot", "pick")
-    )
-
-
-def paired_interval(
-    differences: DataFrame, keys: Sequence[str], reps: int = 10_000, seed: int = 42, level: float = 0.95
-) -> DataFrame:
-    """Video-bootstrap interval of the mean per-video difference.
-
-    Draws are hashes of (seed, slice, replicate, slot): the same on every run,
-    partitioning and engine. Work is replicates x videos, never x rows.
-    """
-    numbered = _numbered(differences, keys)
-    source = numbered.select(*keys, F.col("slot").alias("pick"), "d")
-    means = (
-        _draws(numbered, keys, reps, seed)
-        .join(source, [*keys, "pick"])
-        .groupBy(*keys, "rep")
-        .agg(F.avg("d").alias("mean"))
-    )
-    edge = (1 - level) / 2
-    return means.groupBy(*keys).agg(
-        F.percentile("mean", F.lit(edge)).alias("ci_low"),
-        F.percentile("mean", F.lit(1 - edge)).alias("ci_high"),
-    )
-
-
-def paired_slices(cells: DataFrame, keys: Sequence[str], reps: int = 10_000, seed: int = 42) -> DataFrame:
-    """Both runs, their delta and its interval for every slice."""
-    interval = paired_interval(video_differences(cells, keys), keys, reps, seed)
-    return contingency(cells, keys).join(interval, list(keys))
-
-
-SLOTS_PER_TASK = 4096
-REPS_PER_TASK = 50
-
-
-def bootstrap_replicates(
-    cells: DataFrame, keys: Sequence[str], reps: int = 1000, seed: int = 42
-) -> DataFrame:
-    """Replicate means of the two-level bootstrap: videos, then questions in each.
-
-    A resample of ``n`` right/wrong questions of which ``k`` are right is a
-    Binomial(n, k/n) count, so level two draws one number per drawn video.
-    Draw blocks are bounded and seeded by their position, hence repeatable.
-    """
-    per_video = cells.groupBy(*keys, "video").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    numbered = _numbered(per_video, keys)
-    source = numbered.select(*keys, F.col("slot").alias("pick"), "n", "k")
-    block = [*keys, "rep_block", "slot_block"]
-    drawn = (
-        _draws(numbered, keys, reps, seed)
-        .join(source, [*keys, "pick"])
-        .withColumn("rep_block", F.floor(F.col("rep") / REPS_PER_TASK))
-        .withColumn("slot_block", F.floor(F.col("slot") / SLOTS_PER_TASK))
-        .withColumn(
-            "block_seed",
-            hash_int(hash_text(seed, *[F.col(k) for k in block])),
-        )
-        .select(*block, "rep", "slot", "n", "k", "block_seed")
-    )
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.schema.fields if f.name in keys]
-        + ["rep int", "total double", "slots bigint"]
-    )
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rep", "slot"])
-        rng = np.random.default_rng(int(pdf["block_seed"].iloc[0]))
-        n = pdf["n"].to_numpy()
-        hits = rng.binomial(n, pdf["k"].to_numpy() / n)
-        sums = (
-            pd.DataFrame({"rep": pdf["rep"].to_numpy(), "total": hits / n})
-            .groupby("rep", as_index=False)["total"]
-            .agg(total="sum", slots="size")
-        )
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return sums.assign(**head)[[*keys, "rep", "total", "slots"]]
-
-    parts = drawn.groupBy(*block).applyInPandas(resample, schema)
-    return parts.groupBy(*keys, "rep").agg((F.sum("total") / F.sum("slots")).alias("accuracy"))
-
-
-def bootstrap_interval(
-    cells: DataFrame, keys: Sequence[str], reps: int = 1000, seed: int = 42
-) -> DataFrame:
-    """Percentile 95 % interval of the per-video macro accuracy."""
-    return bootstrap_replicates(cells, keys, reps, seed).groupBy(*keys).agg(
-        F.percentile("accuracy", F.lit(0.025)).alias("ci_low"),
-        F.percentile("accuracy", F.lit(0.975)).alias("ci_high"),
-    )
-
-
 # -- dataset gaps ---------------------------------------------------------------------
 
 
@@ -438,3 +316,38 @@ def win_rate(replicates: DataFrame) -> DataFrame:
     )
 
 
+
+
+def significant_duels(replicates: DataFrame, level: float = 0.95) -> DataFrame:
+    """Margin of every pair of runs over the buckets, insignificant gaps counted as none.
+
+    Input is one row per (run, bucket, rep) with ``accuracy``. A run wins a bucket if
+    it scores higher in all but half of ``1 - level`` of the replicates. Scores that
+    agree to nine digits are equal. The pairs are runs x runs of a report.
+    """
+    side = lambda name, score: replicates.select("bucket", "rep", F.col("run").alias(name), F.round("accuracy", 9).alias(score))
+    both = side("run", "mine").join(side("other", "theirs"), ["bucket", "rep"]).where("run != other")
+    need = 1 - (1 - level) / 2
+    share = lambda hit: F.count_if(hit) / F.count(F.lit(1))
+    buckets = both.groupBy("run", "other", "bucket").agg(
+        share(F.col("mine") > F.col("theirs")).alias("above"), share(F.col("mine") < F.col("theirs")).alias("below")
+    )
+    verdict = F.when(F.col("above") >= need, 1).when(F.col("below") >= need, -1).otherwise(0)
+    return buckets.groupBy("run", "other").agg(F.sum(verdict).alias("margin"))
+
+
+def run_ranking(replicates: DataFrame, level: float = 0.95) -> DataFrame:
+    """Place of every run: Copeland points over significant duels, then bootstrap win rate, then name.
+
+    A duel won over the buckets gives a point, a drawn one half. The win rate is the
+    share of replicates in which the mean over buckets is highest.
+    """
+    points = F.when(F.col("margin") > 0, 1.0).when(F.col("margin") == 0, 0.5).otherwise(0.0)
+    duels = significant_duels(replicates, level).groupBy("run").agg(
+        F.sum(points).alias("copeland"), F.count_if(F.col("margin") > 0).alias("wins"), F.count_if(F.col("margin") < 0).alias("losses")
+    )
+    scores = replicates.groupBy("run", "rep").agg(F.round(F.avg("accuracy"), 9).alias("score"))
+    nothing = {"copeland": 0.0, "wins": 0, "losses": 0}  # a single run has no duel
+    table = win_rate(scores).join(duels, "run", "left").fillna(nothing)
+    order = Window.orderBy(F.col("copeland").desc(), F.round("win_rate", 9).desc(), "run")
+    return table.select("run", "copeland", "wins", "losses", "win_rate", F.row_number().over(order).alias("place"))

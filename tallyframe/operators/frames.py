@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import even_positions, frame_index, frame_path
 from tallyframe.functions.text import let, seconds_stamp
-from tallyframe.operators.joins import salted_lookup
-
 
 
 def window_indices(
@@ -34,17 +32,14 @@ def window_indices(
     return let(F.struct(first.alias("first"), last.alias("last"), step.alias("step")), grid)
 
 
-def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
-    """One row per question and sampled frame.
+def sized_windows(df: DataFrame, cap: bool = True) -> DataFrame:
+    """Each window as first frame, step, positions on its grid and kept positions with their gap.
 
-    Needs ``start_s, end_s, fps, stride`` and, when capped, ``max_frames``. The
-    same grid as ``window_indices``, with one row per position made first and
-    the index computed as a plain column. More frames than the cap are at least
-    one step apart, so no position repeats.
+    Needs ``start_s, end_s, fps, stride`` and, when capped, ``max_frames``. More
+    frames than the cap are at least one step apart, so no position repeats.
     """
-    first = frame_index(F.col("start_s"), F.col("fps"))
-    sized = (
-        df.withColumn("_first", first)
+    return (
+        df.withColumn("_first", frame_index(F.col("start_s"), F.col("fps")))
         .withColumn("_last", F.greatest(frame_index(F.col("end_s"), F.col("fps")), F.col("_first")))
         .withColumn("_step", F.greatest(F.col("stride").cast("bigint"), F.lit(1)))
         .withColumn("_n", F.floor((F.col("_last") - F.col("_first")) / F.col("_step")) + 1)
@@ -54,11 +49,21 @@ def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
             F.when((F.col("_k") < F.col("_n")) & (F.col("_k") > 1), (F.col("_n") - 1) / (F.col("_k") - 1)).otherwise(1.0),
         )
     )
-    rows = sized.select(
-        *df.columns, "_first", "_step", "_gap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("position")
-    )
+
+
+WINDOW = ("_first", "_step", "_k", "_gap")
+
+
+def listed_frames(windows: DataFrame) -> DataFrame:
+    """One row per kept position of a sized window, its index a plain column ``frame``."""
+    rows = windows.withColumn("position", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
     place = F.rint(F.col("position") * F.col("_gap")).cast("bigint")
-    return rows.withColumn("frame", F.col("_first") + place * F.col("_step")).drop("_first", "_step", "_gap")
+    return rows.withColumn("frame", F.col("_first") + place * F.col("_step"))
+
+
+def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
+    """One row per question and sampled frame: the grid of ``window_indices`` without building lists."""
+    return listed_frames(sized_windows(df, cap)).select(*df.columns, "position", "frame")
 
 
 def frame_details(frames: DataFrame, folder: str = "frames") -> DataFrame:
@@ -72,27 +77,133 @@ def frame_details(frames: DataFrame, folder: str = "frames") -> DataFrame:
     )
 
 
+# -- sets of frames as bits ----------------------------------------------------------
+#
+# A set of frames of a video is rows (video, word, bits) with 64 frames a word. The
+# words of a video's windows merge by ``bit_or`` inside every task, so a shuffle
+# carries words and never frames; union, clip and difference are bit operations on
+# long values, which stay inside generated code.
+
+
+def _word(frame: Column) -> Column:
+    return F.shiftright(frame, 6)
+
+
+def _bit(frame: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), frame.bitwiseAND(63).cast("int"))
+
+
+def as_words(frames: DataFrame, keys: Sequence[str], **sets: Column) -> DataFrame:
+    """``frame`` rows as ``(keys, word)`` with one bit column per named set of rows."""
+    ours = [F.coalesce(F.bit_or(F.when(hit, _bit(F.col("frame")))), F.lit(0)).alias(n) for n, hit in sets.items()]
+    return frames.groupBy(*keys, _word(F.col("frame")).alias("word")).agg(*ours)
+
+
+def plan_words(df: DataFrame, keys: Sequence[str] = ("dataset", "video"), cap: bool = True) -> DataFrame:
+    """Frames that any question of a video needs, as words in ``want``.
+
+    Equal windows of a video are listed once, however many questions share them.
+    """
+    windows = sized_windows(df, cap).select(*keys, *WINDOW).distinct()
+    return as_words(listed_frames(windows), keys, want=F.lit(True))
+
+
+def inventory_words(files: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
+    """Files ``(keys, frame, size)`` as words: ``have`` those with content, ``empty`` those without.
+
+    A frame that several files claim is there if any of them has content.
+    """
+    words = as_words(files, keys, have=F.col("size") > 0, empty=F.col("size") == 0)
+    return words.withColumn("empty", F.col("empty").bitwiseAND(F.bitwise_not("have")))
+
+
+def listed_words(words: DataFrame, keys: Sequence[str], bits: str) -> DataFrame:
+    """The frames of a set, one row each."""
+    rows = words.where(F.col(bits) != 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.where(F.getbit(bits, "_b") == 1).select(*keys, (F.shiftleft("word", 6) + F.col("_b")).alias("frame"))
+
+
 def build_plan(df: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
     """Distinct frame indices that any question of a video needs."""
-    return question_frames(df).select(*keys, "frame").distinct()
+    return listed_words(plan_words(df, keys), keys, "want")
+
 
+def _inside(count: Column) -> Column:
+    """Bits of a word's frames below ``count``; all where the count is NULL."""
+    left = count - F.shiftleft("word", 6)
+    whole = F.lit(-1).cast("bigint")
+    part = F.call_function("shiftrightunsigned", whole, (64 - left).cast("int"))
+    below = F.when(left >= 64, whole).when(left <= 0, F.lit(0).cast("bigint")).otherwise(part)
+    return F.when(F.col("word") < 0, F.lit(0).cast("bigint")).otherwise(F.coalesce(below, whole))
 
-def clip_plan(
-    plan: DataFrame, frame_counts: DataFrame, keys: Sequence[str] = ("dataset", "video"), salts: int = 16
+
+def clip_words(
+    words: DataFrame, frame_counts: DataFrame, keys: Sequence[str] = ("dataset", "video"), how: str = "inner"
 ) -> DataFrame:
-    """Mark planned indices that lie outside the decoded video.
+    """Split ``want`` at the decoded length: ``want`` keeps what lies inside, ``clipped`` the rest.
 
-    One long video may own much of the plan, hence the salted lookup.
+    Joined rows are words; ``how='left'`` keeps videos of unknown length whole.
     """
-    joined = salted_lookup(plan, frame_counts.select(*keys, "frame_count"), keys, salts)
-    inside = (F.col("frame") >= 0) & (F.col("frame") < F.col("frame_count"))
-    return joined.withColumn("inside", inside)
+    joined = words.join(frame_counts.select(*keys, "frame_count"), list(keys), how)
+    inside = F.col("want").bitwiseAND(_inside(F.col("frame_count")))
+    return joined.select(*keys, "word", inside.alias("want"), F.col("want").bitwiseXOR(inside).alias("clipped"))
 
 
 def clip_summary(clipped: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
-    return clipped.groupBy(*keys).agg(
-        F.count_if("inside").alias("kept"), F.count_if(~F.col("inside")).alias("clipped")
-    )
+    total = lambda c: F.sum(F.bit_count(c)).cast("bigint").alias
+    return clipped.groupBy(*keys).agg(total("want")("kept"), total("clipped")("clipped"))
+
+
+def _without(a: str, b: str) -> Column:
+    return F.col(a).bitwiseAND(F.bitwise_not(b))
+
+
+def compared_words(plan: DataFrame, inventory: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Words of a plan and of an inventory side by side, 0 where one has none."""
+    names = ("want", "have", "empty")
+    zero = F.lit(0).cast("bigint")
+    sides = [
+        words.select(*keys, "word", *[F.col(n) if n in words.columns else zero.alias(n) for n in names]) for words in (plan, inventory)
+    ]
+    both = sides[0].unionByName(sides[1])
+    return both.groupBy(*keys, "word").agg(*[F.bit_or(n).alias(n) for n in names])
+
+
+def sampled_frames(
+    df: DataFrame,
+    frame_counts: DataFrame | None = None,
+    inventory: DataFrame | None = None,
+    keys: Sequence[str] = ("dataset", "video"),
+) -> DataFrame:
+    """Frames of every question, clipped to the decoded length, without frames that have no file.
+
+    A video without a frame count is not clipped; with ``inventory`` given, a frame
+    without any file is dropped, one with an empty file stays. Missing frames of the
+    plan are found as words; only windows that touch such a word meet it, and
+    questions get the words of their window as a map no larger than the window.
+    """
+    own = sized_windows(df)
+    if frame_counts is not None:
+        own = own.join(frame_counts.select(*keys, F.col("frame_count").alias("_count")), list(keys), "left")
+    if inventory is not None:
+        files = as_words(inventory, keys, have=F.lit(True))
+        gone = plan_words(df, keys).join(files, [*keys, "word"], "left")
+        absent = F.bitwise_not(F.coalesce("have", F.lit(0).cast("bigint")))
+        gone = gone.select(*keys, "word", F.col("want").bitwiseAND(absent).alias("gone"))
+        window = [*keys, *WINDOW]
+        last = F.col("_first") + F.rint((F.col("_k") - 1) * F.col("_gap")).cast("bigint") * F.col("_step")
+        spans = sized_windows(df).select(*window).distinct()
+        touched = spans.withColumn("word", F.explode(F.sequence(_word(F.col("_first")), _word(last))))
+        holes = touched.join(gone.where("gone != 0"), [*keys, "word"]).groupBy(*window)
+        holes = holes.agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("_gone"))
+        own = own.join(holes, window, "left")
+    rows = listed_frames(own)
+    if frame_counts is not None:
+        rows = rows.where(F.col("_count").isNull() | ((F.col("frame") >= 0) & (F.col("frame") < F.col("_count"))))
+    if inventory is not None:
+        hole = F.coalesce(F.try_element_at("_gone", _word(F.col("frame"))), F.lit(0).cast("bigint"))
+        rows = rows.where(hole.bitwiseAND(_bit(F.col("frame"))) == 0)
+    return rows.select(*df.columns, "position", "frame")
 
 
 def with_sampling(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -103,40 +214,47 @@ def with_sampling(df: DataFrame, plan: DataFrame) -> DataFrame:
     return df.join(F.broadcast(plan), ["track", "dataset"])
 
 
-def coverage(frames: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
-    """Questions, mean frames per question, unique and missing frames per dataset."""
-    per_question = frames.groupBy("dataset", "qid").agg(F.count(F.lit(1)).alias("frames"))
-    questions = per_question.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("questions"), F.avg("frames").alias("mean_frames_per_question")
+def coverage(
+    df: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video"), cap: bool = True
+) -> DataFrame:
+    """Questions, mean frames per question, unique and missing frames per dataset.
+
+    ``df`` has one row per question; its number of frames follows by division.
+    """
+    questions = sized_windows(df, cap).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("questions"), F.avg("_k").alias("mean_frames_per_question")
     )
-    needed = frames.select(*keys, "frame").distinct()
-    have = inventory.where(F.col("size") > 0).select(*keys, "frame").distinct().withColumn("_have", F.lit(1))
-    found = needed.join(have, [*keys, "frame"], "left").groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("unique_frames"), F.count_if(F.col("_have").isNull()).alias("missing")
+    files = inventory_words(inventory, keys).select(*keys, "word", "have")
+    both = plan_words(df, keys, cap).join(files, [*keys, "word"], "left").fillna(0, ["have"])
+    found = both.groupBy("dataset").agg(
+        F.sum(F.bit_count("want")).cast("bigint").alias("unique_frames"),
+        F.sum(F.bit_count(_without("want", "have"))).cast("bigint").alias("missing"),
     )
     return questions.join(found, "dataset")
 
 
 def missing_examples(
-    frames: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video"), show: int = 10
+    df: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video"), show: int = 10
 ) -> DataFrame:
-    """The first missing frames in key order."""
-    have = inventory.where(F.col("size") > 0)
-    gone = frames.select(*keys, "frame").distinct().join(have, [*keys, "frame"], "left_anti")
-    return gone.orderBy(*keys, "frame").limit(show)
+    """The first missing frames in key order; every word that is left holds one or more."""
+    files = inventory_words(inventory, keys).select(*keys, "word", "have")
+    both = plan_words(df, keys).join(files, [*keys, "word"], "left").fillna(0, ["have"])
+    gone = both.withColumn("gone", _without("want", "have")).where("gone != 0").orderBy(*keys, "word").limit(show)
+    return listed_words(gone, keys, "gone").orderBy(*keys, "frame").limit(show)
 
 
 def verify_plan(plan: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
-    """Expected, missing, unexpected and empty files per video of the plan."""
-    want = plan.select(*keys, "frame").withColumn("_want", F.lit(True))
-    have = inventory.groupBy(*keys, "frame").agg(F.max("size").alias("_size"))
-    both = want.join(have, [*keys, "frame"], "full")
-    want_it, there = F.col("_want").isNotNull(), F.coalesce(F.col("_size") > 0, F.lit(False))
+    """Expected, missing, unexpected and empty files per video of the plan.
+
+    ``plan`` has words (``plan_words`` or ``clip_words``), ``inventory`` one row per file.
+    """
+    both = compared_words(plan, inventory_words(inventory, keys), keys)
+    total = lambda c: F.sum(F.bit_count(c)).cast("bigint")
     out = both.groupBy(*keys).agg(
-        F.count_if(want_it).alias("expected"),
-        F.count_if(want_it & ~there).alias("missing"),
-        F.count_if(~want_it & there).alias("unexpected"),
-        F.count_if(F.col("_size") == 0).alias("empty"),
+        total("want").alias("expected"),
+        total(_without("want", "have")).alias("missing"),
+        total(_without("have", "want")).alias("unexpected"),
+        total("empty").alias("empty"),
     )
     return out.where(F.col("expected") > 0)
 

@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def fanned(df: DataFrame, *columns: str) -> DataFrame:
-    """Deal rows out by a key before each of them multiplies or costs much work."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(width, *columns)
+def spread(scan: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows of costly texts out where their files cannot be split into a task per core.
+
+    ``scan`` reads files and shuffles nothing, so its number of splits is known
+    without running it. With as many splits as cores, as large inputs have, the
+    rows stay where they are; how many partitions there are else is left to adaptive
+    execution. Only the placement depends on it, never the result.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(*columns)
 
 
 def value_bucket(x: Column, per_octave: int = 256) -> Column:

@@ -116,46 +116,6 @@ def wilcoxon_test(spark, sf):
     return C.wilcoxon(C.video_differences(pair_cells(spark, sf), keys), keys)
 
 
-def paired_events(spark, sf):
-    """Two verdicts per event question: few videos, so full replicate counts stay cheap."""
-    df = view(spark, sf, "eval_rows").withColumn("a", F.col("correct")).withColumn("b", (F.col("k") % 3 > 0).cast("int"))
-    return C.paired_cells(df, ["dataset"])
-
-
-# draws are hashes, so the oracle repeats them exactly
-_PAIRED_CI = """
-  WITH v AS (SELECT dataset, video, sum(CAST(k % 3 > 0 AS INT)) / count(*) - sum(correct) / count(*) AS d FROM eval_rows GROUP BY 1, 2),
-       o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('video|' || video)) - 1 AS slot,
-                    count(*) OVER (PARTITION BY dataset) AS size FROM v),
-       p AS (SELECT dataset, rep, ('0x' || substr(md5('42|' || dataset || '|' || rep || '|' || slot), 1, 13))::UBIGINT % size AS pick
-             FROM o, range({reps}) r(rep)),
-       m AS (SELECT p.dataset, p.rep, avg(o.d) AS mean FROM p JOIN o ON o.dataset = p.dataset AND o.slot = p.pick GROUP BY 1, 2)
-  SELECT dataset, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM m GROUP BY 1"""
-
-
-@query("paired_video_interval", _PAIRED_CI.format(reps=10_000), ["eval_rows"], ("ci_low", "ci_high"), "I-02")
-def paired_video_interval(spark, sf):
-    keys = ["dataset"]
-    return C.paired_interval(C.video_differences(paired_events(spark, sf), keys), keys, reps=10_000)
-
-
-@query(
-    "paired_slice_report",
-    "WITH e AS (SELECT dataset, video, correct AS a, CAST(k % 3 > 0 AS INT) AS b FROM eval_rows), c AS ("
-    + _contingency("SELECT * FROM e", "dataset")
-    + f") SELECT c.*, ci_low, ci_high FROM c JOIN ({_PAIRED_CI.format(reps=2000)}) i USING (dataset)",
-    ["eval_rows"], (*_PAIR_FLOATS, "ci_low", "ci_high"), "I-03",
-)
-def paired_slice_report(spark, sf):
-    return C.paired_slices(paired_events(spark, sf), ["dataset"], reps=2000)
-
-
-@query("cluster_bootstrap_interval", covers="I-01")
-def cluster_bootstrap_interval(spark, sf):
-    """Binomial draws: no SQL form; tested against a brute-force bootstrap."""
-    return C.bootstrap_interval(cells(spark, sf), ["dataset"], reps=1000)
-
-
 @query(
     "dataset_gap_decomposition",
     """WITH g AS (SELECT group_code, count(*) FILTER (dataset = 'heico') AS na, count(*) FILTER (dataset = 'lapchole') AS nb,

@@ -10,7 +10,7 @@ from tallyframe.functions.prompts import CLOSING_V2, ORDER_V2, SCOPE_V3, system_
 from tallyframe.operators import frames as P
 from tallyframe.operators import trainset as T
 from tallyframe.operators.joins import first_available
-from tallyframe.operators.scale import fanned, value_bucket
+from tallyframe.operators.scale import value_bucket
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import table, view
 
@@ -27,8 +27,7 @@ _USES = ["windows", "sampling", "frame_counts"]
 
 
 def planned(spark, sf):
-    rows = P.with_sampling(view(spark, sf, "windows"), taxonomy.sampling_plan(spark))
-    return fanned(rows, "qid")  # each row becomes many frames
+    return P.with_sampling(view(spark, sf, "windows"), taxonomy.sampling_plan(spark))
 
 
 @query("question_frames", f"WITH {_FRAMES} SELECT qid, frame FROM fr", _USES[:2], covers="L-01 L-02 L-05 H-29 H-30")
@@ -36,17 +35,6 @@ def question_frames(spark, sf):
     return P.question_frames(planned(spark, sf)).select("qid", "frame")
 
 
-@query(
-    "frame_details",
-    f"""WITH {_FRAMES} SELECT qid, frame, frame / fps AS seconds, 'frames/' || replace(video, '.mp4', '') || printf('/frame%07d.jpg', frame) AS path,
-          printf('%02d:%02d:%02d', CAST(s // 3600 AS INT), CAST((s % 3600) // 60 AS INT), CAST(s % 60 AS INT)) AS stamp
-        FROM (SELECT *, CAST(round_even(frame / fps, 0) AS BIGINT) AS s FROM fr)""",
-    _USES[:2], ("seconds",), "L-04 H-13 H-29",
-)
-def frame_details(spark, sf):
-    return P.frame_details(P.question_frames(planned(spark, sf))).select("qid", "frame", "seconds", "path", "stamp")
-
-
 @query("frame_plan", f"WITH {_FRAMES} SELECT DISTINCT dataset, video, frame FROM fr", _USES[:2], covers="L-01 F-03 E-09")
 def frame_plan(spark, sf):
     return P.build_plan(planned(spark, sf))
@@ -59,7 +47,7 @@ def frame_plan(spark, sf):
     _USES, covers="L-03 C-09",
 )
 def clipped_plan(spark, sf):
-    return P.clip_summary(P.clip_plan(P.build_plan(planned(spark, sf)), view(spark, sf, "frame_counts")))
+    return P.clip_summary(P.clip_words(P.plan_words(planned(spark, sf)), view(spark, sf, "frame_counts")))
 
 
 # files on disk: what the segment questions need, some empty, plus stray files
@@ -68,13 +56,26 @@ _HAVE = """have AS (SELECT dataset, video, frame, CASE WHEN frame % 5 = 0 THEN 0
 
 
 def inventory(spark, sf):
-    frames = P.question_frames(planned(spark, sf)).select("dataset", "video", "frame", "track")
-    a = frames.where(F.col("track") == "segment").drop("track")
-    b = frames.where(F.col("track") == "frame").drop("track").withColumn("frame", F.col("frame") + 7)
+    rows = planned(spark, sf)
+    a = P.build_plan(rows.where(F.col("track") == "segment"))
+    b = P.build_plan(rows.where(F.col("track") == "frame")).withColumn("frame", F.col("frame") + 7)
     files = a.union(b).distinct()
     return files.withColumn("size", F.when(F.col("frame") % 5 == 0, 0).otherwise(100))
 
 
+@query(
+    "frame_details",
+    f"""WITH {_FRAMES}, {_HAVE} SELECT qid, frame, frame / fps AS seconds, 'frames/' || replace(video, '.mp4', '') || printf('/frame%07d.jpg', frame) AS path,
+          printf('%02d:%02d:%02d', CAST(s // 3600 AS INT), CAST((s % 3600) // 60 AS INT), CAST(s % 60 AS INT)) AS stamp
+        FROM (SELECT *, CAST(round_even(frame / fps, 0) AS BIGINT) AS s FROM fr) SEMI JOIN have USING (dataset, video, frame)
+        LEFT JOIN frame_counts c USING (dataset, video) WHERE c.frame_count IS NULL OR frame < c.frame_count""",
+    _USES, ("seconds",), "L-04 H-13 H-29",
+)
+def frame_details(spark, sf):
+    frames = P.sampled_frames(planned(spark, sf), view(spark, sf, "frame_counts"), inventory(spark, sf))
+    return P.frame_details(frames).select("qid", "frame", "seconds", "path", "stamp")
+
+
 @query(
     "frame_coverage",
     f"""WITH {_FRAMES}, {_HAVE}, u AS (SELECT DISTINCT dataset, video, frame FROM fr)
@@ -85,7 +86,7 @@ def inventory(spark, sf):
     _USES[:2], ("mean_frames_per_question",), "D-31 A-08",
 )
 def frame_coverage(spark, sf):
-    return P.coverage(P.question_frames(planned(spark, sf)), inventory(spark, sf))
+    return P.coverage(planned(spark, sf), inventory(spark, sf))
 
 
 @query(
@@ -95,8 +96,7 @@ def frame_coverage(spark, sf):
     _USES[:2], covers="D-31 C-07",
 )
 def missing_frame_examples(spark, sf):
-    frames = P.question_frames(planned(spark, sf))
-    return P.missing_examples(frames, inventory(spark, sf))
+    return P.missing_examples(planned(spark, sf), inventory(spark, sf))
 
 
 @query(
@@ -108,7 +108,7 @@ def missing_frame_examples(spark, sf):
     _USES[:2], covers="K-10 F-04",
 )
 def plan_against_inventory(spark, sf):
-    return P.verify_plan(P.build_plan(planned(spark, sf)), inventory(spark, sf))
+    return P.verify_plan(P.plan_words(planned(spark, sf)), inventory(spark, sf))
 
 
 @query(

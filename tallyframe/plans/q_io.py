@@ -134,10 +134,11 @@ def first_record_per_user(spark, sf):
 # -- incremental flows --------------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a stream of files."""
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def landed(rows: DataFrame, path: str, files: int, by: str) -> None:
+    """More files for a stream, rows dealt to them by hash, so that event time jumps back and forth."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    writer = rows.repartition(files, by).write.mode("append").option("ignoreNullFields", False)
+    writer.option("timestampFormat", f"{micros}XXX").option("timestampNTZFormat", micros).json(path)
 
 
 def drained(writer) -> None:
@@ -146,25 +147,62 @@ def drained(writer) -> None:
     started.awaitTermination()
 
 
+def prediction_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's answers as a log; arrival follows the question id, which rises with time."""
+    rows = view(spark, sf, "answer_rows").select(
+        "dataset", F.regexp_replace("video", "^v", "").alias("sample_id"), "answer_format", "question", "raw_model_output", "latency_sec", "error",
+        F.timestamp_seconds(F.col("qid")).alias("arrived"),
+    )
+    return rows
+
+
+def fed_predictions(spark: SparkSession, sf: str, log: DataFrame):
+    """A store fed in two runs of several triggers each, one file a trigger, compacted on the way."""
+    source, mark = scratch(spark, "log"), scratch(spark, "mark")
+    store = ingest.prediction_store(scratch(spark, "predictions"), compact_every=2)
+    half = F.pmod(F.xxhash64("sample_id", "arrived"), F.lit(2)) == 0
+    for part in (half, ~half):  # the second run starts from the first one's checkpoint
+        landed(log.where(part), source, 2, "arrived")
+        drained(store.feed(ingest.prediction_stream(spark, source, files_per_trigger=1), mark))
+    return store
+
+
 @query(
     "incremental_predictions",
-    """WITH l AS (SELECT dataset, user_id, arg_max(answer_format, ts) AS answer_format, arg_max(prediction, ts) AS prediction, arg_max(error, ts) AS error, arg_max(latency_sec, ts) AS latency
-                  FROM answer_rows JOIN (SELECT event_id AS qid, ts, user_id FROM events) USING (qid) GROUP BY 1, 2)
+    """WITH l AS (SELECT dataset, user_id, arg_max(answer_format, qid) AS answer_format, arg_max(prediction, qid) AS prediction, arg_max(error, qid) AS error, arg_max(latency_sec, qid) AS latency
+                  FROM answer_rows JOIN (SELECT event_id AS qid, user_id FROM events) USING (qid) GROUP BY 1, 2)
        SELECT dataset, answer_format, count(*) AS rows, count(*) FILTER (error <> '') AS errors, avg(latency) AS mean_latency_sec,
               avg(CAST(CASE answer_format WHEN 'binary' THEN prediction IN ('yes', 'no') WHEN 'number' THEN prediction <> 'cannot tell' WHEN 'percentage' THEN prediction <> 'half of it'
                 WHEN 'time' THEN prediction <> 'later' WHEN 'fo_class' THEN prediction <> 'a grasper' ELSE TRUE END AS INT)) AS parse_rate FROM l GROUP BY 1, 2""",
     ["answer_rows"], ("mean_latency_sec", "parse_rate"), "S-01",
 )
 def incremental_predictions(spark, sf):
-    events = event_stream(spark, sf)
-    rows = view(spark, sf, "eval_rows", {"events": events})
-    answers = view(spark, sf, "answer_rows", {"events": events, "eval_rows": rows})
-    log = answers.select("dataset", F.regexp_replace("video", "^v", "").alias("sample_id"), "answer_format", "question", "raw_model_output", "latency_sec", "error", "qid")
-    store, mark = scratch(spark, "predictions"), scratch(spark, "mark")
-    # arrival follows the event id, which rises with time
-    arrived = F.timestamp_seconds(F.col("qid")).alias("arrived")
-    drained(ingest.upsert_log(log.select("*", arrived).drop("qid"), store, mark))
-    return ingest.live_totals(ingest.stored_predictions(spark, store))
+    store = fed_predictions(spark, sf, prediction_log(spark, sf))
+    return ingest.live_totals(store.read(spark))
+
+
+@query(
+    "pending_requests",
+    """SELECT dataset, answer_format, count(*) AS n FROM eval_rows WHERE (dataset, user_id) NOT IN (SELECT (dataset, user_id) FROM eval_rows WHERE k % 40 = 3) GROUP BY 1, 2""",
+    ["eval_rows"], covers="S-01",
+)
+def pending_requests(spark, sf):
+    rows = view(spark, sf, "eval_rows").withColumn("sample_id", F.col("user_id").cast("string"))
+    done = prediction_log(spark, sf).join(rows.where("k % 40 = 3").select("dataset", "sample_id").distinct(), ["dataset", "sample_id"], "left_semi")
+    store = fed_predictions(spark, sf, done.select(*prediction_log(spark, sf).columns))
+    return ingest.pending(rows, store.read(spark)).groupBy("dataset", "answer_format").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fed_revisions(spark: SparkSession, sf: str):
+    """The revision log through a guarded store in two runs; repeats may lie any time apart."""
+    source, mark, alerts = scratch(spark, "log"), scratch(spark, "mark"), scratch(spark, "alerts")
+    store = revisions.revision_store(scratch(spark, "revisions"), compact_every=2)
+    log = view(spark, sf, "revision_log")
+    half = F.pmod(F.xxhash64("case_id", "timestamp"), F.lit(2)) == 0
+    for part in (half, ~half):
+        landed(log.where(part), source, 2, "timestamp")
+        drained(revisions.guarded_feed(store, revisions.revision_stream(spark, source, files_per_trigger=1), alerts, mark))
+    return store, alerts
 
 
 @query(
@@ -174,11 +212,21 @@ def incremental_predictions(spark, sf):
     ["revision_log"], covers="S-02",
 )
 def revision_states(spark, sf):
-    log = view(spark, sf, "revision_log", {"events": event_stream(spark, sf)})
-    store, mark = scratch(spark, "revisions"), scratch(spark, "mark")
-    drained(ingest.upsert_log(log, store, mark))
-    events = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
-    return revisions.latest_state(events).withColumn("updated_at", F.col("updated_at").cast("string"))
+    store, _ = fed_revisions(spark, sf)
+    return revisions.state_of(store.read(spark)).withColumn("updated_at", F.col("updated_at").cast("string"))
+
+
+@query(
+    "streamed_conflicts",
+    """SELECT case_id, revision, CAST(count(*) AS BIGINT) AS writes, TRUE AS alerted FROM revision_log GROUP BY 1, 2 HAVING count(*) > 1""",
+    ["revision_log"], covers="S-02",
+)
+def streamed_conflicts(spark, sf):
+    """Repeated revisions of the whole log, each of which some batch must have reported."""
+    store, alerts = fed_revisions(spark, sf)
+    told = spark.read.parquet(f"{alerts}/batch=*").select("case_id", "revision").distinct().withColumn("alerted", F.lit(True))
+    repeated = store.read(spark).where("writes > 1").select("case_id", "revision", "writes")
+    return repeated.join(told, ["case_id", "revision"], "full").fillna(False, ["alerted"])
 
 
 @query(

@@ -9,7 +9,7 @@ from tallyframe.functions.prompts import instruction
 from tallyframe.operators import compare as C
 from tallyframe.operators import diagnostics as D
 from tallyframe.operators import scoring as S
-from tallyframe.operators.scale import fanned
+from tallyframe.operators.scale import spread
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import table, view
 from tallyframe.taxonomy import CLASS_NAMES
@@ -84,7 +84,7 @@ WORDS = ("the", "in the", "de la", "la", "und", "der", "que", "aux")
     ["doc_answers"], covers="J-01 H-01 H-02 H-04 H-05 H-06 H-08 H-10",
 )
 def normalize_documents(spark, sf):
-    df = S.normalize_predictions(fanned(view(spark, sf, "doc_answers"), "qid"), names=WORDS)
+    df = S.normalize_predictions(spread(view(spark, sf, "doc_answers"), "qid"), names=WORDS)
     return df.select("qid", "answer_format", F.md5("prediction").alias("digest"), F.length("prediction").alias("size"))
 
 
@@ -304,7 +304,7 @@ def bbox_instructions(spark, sf):
     ["detect_rows"], covers="J-04 H-25 H-34 H-35",
 )
 def detections_to_counts(spark, sf):
-    out = S.structured_counts(fanned(view(spark, sf, "detect_rows"), "l_orderkey"))
+    out = S.structured_counts(spread(view(spark, sf, "detect_rows"), "l_orderkey"))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "derived_count", "schema_valid", "status")
 
 
@@ -320,7 +320,7 @@ def detections_to_counts(spark, sf):
     ["detect_rows"], ("rate", "micro_accuracy"), "D-24",
 )
 def detection_status_rates(spark, sf):
-    out = S.structured_counts(fanned(view(spark, sf, "detect_rows"), "l_orderkey"))
+    out = S.structured_counts(spread(view(spark, sf, "detect_rows"), "l_orderkey"))
     return D.status_rates(
         out.select(F.col("cls").alias("dataset"), "status", "schema_valid", (F.col("l_suppkey") % 2 == 0).cast("int").alias("correct"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
+from tallyframe.operators import bootstrap as B
 from tallyframe.operators import compare as C
 from tallyframe.operators import diagnostics as D
 from tallyframe.operators import joins as J
@@ -76,7 +77,7 @@ def report_tables(rows: DataFrame, first: str, second: str) -> Mapping[str, Data
         leaves.withColumn("level", F.lit("leaf")).withColumnRenamed("capability_code", "name")
     )
     overall = M.overall(rows).join(
-        C.bootstrap_interval(cells, ["dataset"]), "dataset", "left"
+        B.bootstrap_interval(cells, ["dataset"]), "dataset", "left"
     ).join(M.bucket_macro(cells, ["dataset"], "ood").drop("buckets").withColumnRenamed("bucket_macro", "pre_evaluation_score"), "dataset")
     return {
         "dataset-overall": overall,

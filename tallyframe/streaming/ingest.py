@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
 
 from tallyframe.functions import text
 from tallyframe.sources.readers import last_per_key
+from tallyframe.streaming.store import KeyedStore
 
 PREDICTION_LOG = (
     "dataset string, sample_id string, answer_format string, question string, "
@@ -27,11 +29,6 @@ def prediction_stream(spark: SparkSession, path: str, schema: str = PREDICTION_L
     return raw.where(F.col("_corrupt_record").isNull() & F.col("sample_id").isNotNull()).drop("_corrupt_record")
 
 
-def new_ids(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First arrival of every id within the watermark; bounded state."""
-    return stream.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["dataset", "sample_id"])
-
-
 def _with_parse(df: DataFrame) -> DataFrame:
     question = F.col("question") if "question" in df.columns else None
     answer = text.normalize_answer(F.col("answer_format"), F.coalesce("raw_model_output", F.lit("")), question)
@@ -54,20 +51,20 @@ def live_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def upsert_log(stream: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
-    """Append every micro-batch under its number; readers keep the last per id.
+def prediction_store(path: str, schema: str = PREDICTION_LOG, compact_every: int = 16) -> KeyedStore:
+    """The latest arrival of every (dataset, id), however late it comes.
 
-    A batch that runs twice after a failure overwrites its own partition, so
-    the store never holds it twice.
+    Equal arrival times are settled by the later batch, then by content.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    def last(rows: DataFrame) -> DataFrame:
+        content = F.xxhash64(*[c for c in rows.columns if c != "batch"])
+        kept = last_per_key(rows.withColumn("_content", content), ["dataset", "sample_id"], ["arrived", "batch", "_content"])
+        return kept.drop("_content")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return KeyedStore(path, schema, last, compact_every)
 
 
-def stored_predictions(spark: SparkSession, store: str) -> DataFrame:
-    """Current state of the store: the latest arrival of every id."""
-    rows = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
-    return last_per_key(rows, ["dataset", "sample_id"], ["arrived", "batch"]).drop("batch")
+def pending(requests: DataFrame, stored: DataFrame, keys: Sequence[str] = ("dataset", "sample_id")) -> DataFrame:
+    """Requests whose id has no stored prediction yet: what a restarted run still has to do."""
+    return requests.join(stored.select(*keys), list(keys), "left_anti")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions.brackets import first_wanted
 from tallyframe.functions.detections import derived_count, extract_detections
 from tallyframe.functions.labels import canonical_label
 
@@ -46,6 +51,38 @@ def test_case(read, name):
     assert (row["n"], row["schema_valid"], row["status"]) == (n, valid, status)
 
 
+def brute_first(text, wanted):
+    """Try every bracket with the standard decoder."""
+    for start, c in enumerate(text):
+        if c in "[{":
+            try:
+                value, size = json.JSONDecoder(parse_constant=float.fromhex).raw_decode(text[start:])
+            except ValueError:
+                continue
+            if (all(isinstance(x, dict) for x in value) if isinstance(value, list) else any(k in value for k in wanted)):
+                return text[start : start + size]
+    return None
+
+
+def test_first_wanted_value_against_every_bracket():
+    draw, wanted = random.Random(2), {"objects", "box"}
+    parts = ["[", "]", "{", "}", '"', "\\", ",", ":", "1", "-", '"a"', '"objects"', '"box"', '{"box":1}', "[{}]", " ", "x", "true", "[1,", '{"a":', '"[', '"{', '}"', '\\"', "1.5e3", "nul"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(parts, k=draw.randint(1, 14)))
+        assert first_wanted(text, wanted) == brute_first(text, wanted), text
+
+
+@pytest.mark.parametrize("unit", ["[", "{", '["', "[1,", '{"a":', '"[",'])
+def test_open_brackets_take_time_in_proportion(unit):
+    def seconds(n):
+        start = time.perf_counter()
+        assert first_wanted(unit * n, {"box"}) is None
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 12 * seconds(20_000) + 0.5
+
+
 def test_fragment_length_is_a_parameter(spark):
     df = spark.createDataFrame([("x {label: 'Mesh', note: '%s', bbox: [1, 2, 3, 4]}" % ("n" * 2000),)], "raw_model_output string")
     assert extract_detections(df).first()["status"] == "invalid_json"

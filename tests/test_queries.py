@@ -38,8 +38,8 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_only_two_queries_lack_sql():
-    assert {n for n, q in QUERIES.items() if not q.sql} == {"cluster_bootstrap_interval", "count_classifier"}
+def test_only_one_query_lacks_sql():
+    assert {n for n, q in QUERIES.items() if not q.sql} == {"count_classifier"}
 
 
 def plan(spark, sf, name):

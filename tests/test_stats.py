@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import numbers as N
+from tallyframe.operators import bootstrap as B
 from tallyframe.operators import compare as C
 
 
@@ -88,7 +89,7 @@ def test_wilcoxon_without_differences(spark):
 
 def test_paired_interval_matches_numpy(pairs):
     d = C.video_differences(C.paired_cells(pairs, ["dataset"]), ["dataset"])
-    got = C.paired_interval(d, ["dataset"], reps=4000).first()
+    got = B.paired_interval(d, ["dataset"], reps=4000).first()
     x = np.array([r["d"] for r in d.collect()])
     rng = np.random.default_rng(1)
     boot = rng.choice(x, size=(20000, len(x))).mean(axis=1)
@@ -99,8 +100,8 @@ def test_paired_interval_matches_numpy(pairs):
 def test_two_level_bootstrap_matches_rows(pairs):
     """Binomial level two against resampling single questions."""
     cells = pairs.groupBy("dataset", "video").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("k"))
-    got = C.bootstrap_interval(cells, ["dataset"], reps=2000).first()
-    again = C.bootstrap_interval(cells.repartition(3), ["dataset"], reps=2000).first()
+    got = B.bootstrap_interval(cells, ["dataset"], reps=2000).first()
+    again = B.bootstrap_interval(cells.repartition(3), ["dataset"], reps=2000).first()
     assert got == again
     rng = np.random.default_rng(3)
     videos = [g["a"].to_numpy() for _, g in pairs.toPandas().groupby("video")]
@@ -112,6 +113,41 @@ def test_two_level_bootstrap_matches_rows(pairs):
     assert got["ci_low"] == pytest.approx(low, abs=0.025) and got["ci_high"] == pytest.approx(high, abs=0.025)
 
 
+def test_shards_share_the_draws(spark):
+    """Split over many shards, the draws are still uniform over the videos of each slice."""
+    rows = [("a", f"v{k}", float(k)) for k in range(37)] + [("b", f"v{k}", float(k)) for k in range(3)]
+    df = spark.createDataFrame(rows, "dataset string, video string, d double")
+    draws = B.shard_draws(B._numbered(df, ["dataset"], 4), ["dataset"], 800, 1, 4)
+    per_rep = draws.groupBy("dataset", "rep").agg(F.sum("draws").alias("n"), F.max("size").alias("size")).collect()
+    assert len(per_rep) == 1600 and all(r["n"] == r["size"] for r in per_rep)
+    per_shard = {r["shard"]: r["n"] / 800 for r in draws.where("dataset = 'a'").groupBy("shard").agg(F.sum("draws").alias("n")).collect()}
+    assert sorted(per_shard) == list(range(10))
+    for shard, mean in per_shard.items():
+        assert mean == pytest.approx(1 if shard == 9 else 4, abs=0.35)
+    means = [r["mean"] for r in B.paired_replicates(df, ["dataset"], 3000, 5, 4).where("dataset = 'a'").collect()]
+    assert np.mean(means) == pytest.approx(18, abs=0.2)
+    assert np.std(means) == pytest.approx(np.std(range(37)) / math.sqrt(37), rel=0.08)
+
+
+@pytest.mark.parametrize("n,p", [(1, 0.5), (7, 0.9), (60, 0.02), (1000, 0.4), (100_000, 0.37)])
+def test_binomial_draws(spark, n, p):
+    u = (F.col("id") + 0.5) / 400
+    got = [r["x"] for r in spark.range(400).select(N.binomial_draw(F.lit(n), F.lit(p), u).alias("x")).collect()]
+    assert min(got) >= 0 and max(got) <= n
+    assert np.mean(got) == pytest.approx(n * p, abs=0.1 * math.sqrt(n * p * (1 - p)) + 0.01)
+    assert np.std(got) == pytest.approx(math.sqrt(n * p * (1 - p)), rel=0.1, abs=0.02)
+
+
+def test_ranking(spark):
+    rows = [(run, bucket, rep, base + (0.001 if run == "c" and rep == 0 else 0.0)) for run, base in (("a", 0.6), ("b", 0.5), ("c", 0.6), ("d", 0.2)) for bucket in "xy" for rep in range(50)]
+    df = spark.createDataFrame(rows, "run string, bucket string, rep int, accuracy double")
+    got = {r["run"]: tuple(r)[1:] for r in C.run_ranking(df).collect()}
+    assert got["a"] == (2.5, 2, 0, pytest.approx(0.49), 2) and got["c"] == (2.5, 2, 0, pytest.approx(0.51), 1)
+    assert got["b"] == (1.0, 1, 2, 0.0, 3) and got["d"] == (0.0, 0, 3, 0.0, 4)
+    alone = C.run_ranking(df.where("run = 'a'")).first()
+    assert tuple(alone) == ("a", 0.0, 0, 0, 1.0, 1)
+
+
 def test_gap_decomposition_adds_up(spark):
     rows = [
         ("a", "1", 60, 45), ("a", "2", 40, 10), ("b", "1", 30, 24), ("b", "2", 70, 35),

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tallyframe.sources import folders
 from tallyframe.streaming import ingest, revisions
 
 
@@ -27,30 +28,17 @@ def drain(writer):
 
 
 def test_ingest_survives_restart_and_keeps_the_last(spark, tmp_path):
-    src, store, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    src, store, mark = tmp_path / "in", ingest.prediction_store(str(tmp_path / "store")), str(tmp_path / "mark")
     write(src, "a.jsonl", [record(1, 1), record(2, 2, "none at all"), '{"sample_id": "9", "raw'])
-    drain(ingest.upsert_log(ingest.prediction_stream(spark, str(src)), store, mark))
-    write(src, "b.jsonl", [record(2, 9, "5"), record(3, 10, "", "boom")])
-    drain(ingest.upsert_log(ingest.prediction_stream(spark, str(src)), store, mark))
-    rows = {r["sample_id"]: r["raw_model_output"] for r in ingest.stored_predictions(spark, store).collect()}
+    drain(store.feed(ingest.prediction_stream(spark, str(src)), mark))
+    write(src, "b.jsonl", [record(2, 9, "5"), record(3, 10, "", "boom"), record(1, 0, "too old to count")])
+    drain(store.feed(ingest.prediction_stream(spark, str(src)), mark))
+    rows = {r["sample_id"]: r["raw_model_output"] for r in store.read(spark).collect()}
     assert rows == {"1": "3 clips", "2": "5", "3": ""}
-    total = ingest.live_totals(ingest.stored_predictions(spark, store)).first()
+    total = ingest.live_totals(store.read(spark)).first()
     assert (total["rows"], total["errors"]) == (3, 1) and abs(total["parse_rate"] - 2 / 3) < 1e-9
 
 
-def test_first_arrivals_within_the_watermark(spark, tmp_path):
-    src = tmp_path / "in"
-    write(src, "a.jsonl", [record(1, 1), record(1, 2, "again"), record(2, 3)])
-    stream = ingest.new_ids(ingest.prediction_stream(spark, str(src)))
-    q = stream.writeStream.format("memory").queryName("arrivals").outputMode("append").start()
-    try:
-        q.processAllAvailable()
-        assert {r["sample_id"] for r in spark.table("arrivals").collect()} == {"1", "2"}
-        assert spark.table("arrivals").count() == 2
-    finally:
-        q.stop()
-
-
 def test_running_totals_update(spark, tmp_path):
     src = tmp_path / "in"
     write(src, "a.jsonl", [record(1, 1), record(2, 2)])
@@ -87,16 +75,45 @@ def test_revision_log(spark, tmp_path):
     assert revisions.compact(log).count() == 3
 
 
-def test_repeated_revisions_in_a_stream(spark, tmp_path):
-    src = tmp_path / "log"
-    write(src, "a.jsonl", [event("y", 1, "a", 3), event("y", 1, "b", 4), event("x", 1, "a", 4)])
-    stream = revisions.repeated_revisions(revisions.revision_stream(spark, str(src)))
-    q = stream.writeStream.format("memory").queryName("repeats").outputMode("update").start()
-    try:
-        q.processAllAvailable()
-        assert [(r["case_id"], r["n"]) for r in spark.table("repeats").select("case_id", "n").collect()] == [("y", 2)]
-    finally:
-        q.stop()
+def test_a_repeat_is_found_a_week_later(spark, tmp_path):
+    src, mark, alerts = tmp_path / "log", str(tmp_path / "mark"), str(tmp_path / "alerts")
+    store = revisions.revision_store(str(tmp_path / "store"), compact_every=2)
+
+    def feed():
+        drain(revisions.guarded_feed(store, revisions.revision_stream(spark, str(src), files_per_trigger=1), alerts, mark))
+
+    write(src, "a.jsonl", [event("y", 1, "a", 3), event("x", 1, "a", 4), event("x", 2, "b", 5)])
+    feed()
+    for k in range(4):  # other batches, so that the first one is only in a base by now
+        write(src, f"b{k}.jsonl", [event("z", k + 1, "a", 10 + k)])
+        feed()
+    late = event("y", 1, "c", 3) | {"timestamp": "2026-01-08T00:00:00Z"}
+    write(src, "c.jsonl", [late, event("z", 5, "a", 2)])
+    feed()
+    told = [(r["case_id"], r["revision"], r["new"], r["held"]) for r in spark.read.parquet(f"{alerts}/batch=*").collect()]
+    assert told == [("y", 1, 1, 1)]
+    rows = {(r["case_id"], r["revision"]): (r["writes"], r["status"]) for r in store.read(spark).collect()}
+    assert rows["y", 1] == (2, "c") and len(rows) == 8
+    assert {r["case_id"]: r["status"] for r in revisions.state_of(store.read(spark)).collect()} == {"x": "b", "y": "c", "z": "a"}
+    assert [(r["case_id"], r["repeated"], r["gaps"]) for r in revisions.conflicts_of(store.read(spark)).collect()] == [("y", 1, 0)]
+    assert len(folders.names(spark, f"{store.path}/base")) <= 2 and len(folders.names(spark, f"{store.path}/delta")) <= 4
+
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    store = revisions.revision_store(str(tmp_path / "store"), compact_every=2)
+    rows = lambda *events: spark.createDataFrame([(e["case_id"], e["revision"], e["status"], 0) for e in events], "case_id string, revision long, status string, box_count int").withColumn("timestamp", F.lit("2026-01-01").cast("timestamp"))
+    assert store.read(spark).collect() == []
+    store.add(rows(event("x", 1, "a", 1)), 0)
+    for _ in range(3):  # number 1 also compacts
+        store.add(rows(event("x", 1, "b", 1), event("x", 2, "b", 1)), 1)
+    assert {(r["revision"], r["writes"]) for r in store.read(spark).collect()} == {(1, 2), (2, 1)}
+    assert {(r["revision"], r["writes"]) for r in store.read(spark, before=1).collect()} == {(1, 1)}
+
+
+def test_pending_requests(spark):
+    asked = spark.createDataFrame([("d", "1"), ("d", "2"), ("e", "1")], "dataset string, sample_id string")
+    done = spark.createDataFrame([("d", "1")], "dataset string, sample_id string")
+    assert {tuple(r) for r in ingest.pending(asked, done).collect()} == {("d", "2"), ("e", "1")}
 
 
 def test_totals_also_run_on_tables(spark):
