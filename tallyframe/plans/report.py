@@ -18,6 +18,7 @@ from tallyframe.session import cut_lineage
 from tallyframe.sources import sinks
 
 KEYS = ["dataset", "qid"]
+PER_VIDEO = ("video",)  # tables that grow with the data
 DIMS = ["dataset", "group_code", "capability_code", "answer_format", "generation", "ood", "clinical"]
 
 
@@ -106,7 +107,7 @@ def write_reports(
 ) -> None:
     """Every table as CSV, and the provenance of rows and source files."""
     for name, table in report_tables(rows, first, second).items():
-        sinks.write_report(table, f"{out}/{name}")
+        sinks.write_report(table, f"{out}/{name}", one_file=name not in PER_VIDEO)
     proof = sinks.provenance(rows).join(sinks.fingerprint(rows, ["dataset"]).drop("rows"), "dataset")
     sinks.write_json_lines(proof, f"{out}/provenance")
     if sources:

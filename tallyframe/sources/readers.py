@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import schemas
 from tallyframe.functions.text import listed, truth
+from tallyframe.sources import files
 
 
 def annotation_path(root: str, dataset: str, track: str, split: str, default: str = "heico") -> str:
@@ -76,9 +77,19 @@ def predictions(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document that holds an array of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_array(spark: SparkSession, path: str, schema: str, split_bytes: int = files.SPLIT_BYTES) -> DataFrame:
+    """JSON documents that each hold an array of records, large ones read by many tasks.
+
+    Columns of ``schema`` that the job does not use are not parsed.
+    """
+    items = files.json_items(spark, path, split_bytes)
+    return items.select(F.from_json("item", schema).alias("_r")).select("_r.*")
+
+
+def json_ids(spark: SparkSession, path: str, split_bytes: int = files.SPLIT_BYTES) -> DataFrame:
+    """A JSON array of ids, text or numbers, as text."""
+    read = F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>")
+    return files.json_items(spark, path, split_bytes).select(F.get(read, F.lit(0)).alias("id"))
 
 
 def requests(spark: SparkSession, path: str) -> DataFrame:
@@ -110,8 +121,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 def resume_log(spark: SparkSession, path: str, schema: str, key: str = "sample_id") -> DataFrame:
     """A JSONL log that may hold blank or cut lines; the last record of an id wins.
 
-    File order is not a contract, so the place of a line is its file name and
-    its byte order within the file as Spark reads it.
+    A log in several files is ordered by their time of modification, then name, so a
+    resumed run counts after the one it resumed; inside a file by byte order.
     """
     raw = (
         spark.read.schema(f"{schema}, _corrupt_record string")
@@ -121,27 +132,19 @@ def resume_log(spark: SparkSession, path: str, schema: str, key: str = "sample_i
     )
     placed = raw.select(
         "*",
+        F.col("_metadata.file_modification_time").alias("_time"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
     good = placed.where(F.col("_corrupt_record").isNull() & F.col(key).isNotNull()).drop("_corrupt_record")
-    return last_per_key(good, [key], ["_file", "_block", "_line"]).drop("_file", "_block", "_line")
+    return last_per_key(good, [key], ["_time", "_file", "_block", "_line"]).drop("_time", "_file", "_block", "_line")
 
 
-def file_inventory(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
-    """Non-empty frame files with folder, index and size; contents are never read.
-
-    File scans leave out files of no bytes, so an empty frame counts as missing.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path", F.col("length").alias("size"))
-    )
-    return files.select(
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Frame files with video, index and size, empty ones too; contents are never read."""
+    found = files.listed_files(spark, root).where(F.col("path").rlike(r"/[^/]+/frame\d+\.jpg$"))
+    return found.select(
         "path",
         "size",
         F.regexp_extract("path", r"/([^/]+)/frame\d+\.jpg$", 1).alias("video"),

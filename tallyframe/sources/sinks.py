@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe import schemas
+from tallyframe.sources import files
 
 
 def write_rows(df: DataFrame, path: str, ordinal: str | None = None, partition_by: Sequence[str] = ()) -> None:
@@ -35,9 +36,10 @@ def report_text(df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A finished report table (a few rows) as one CSV file with a header."""
-    report_text(df).coalesce(1).write.mode("overwrite").option("header", True).option(
+def write_report(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A report table as CSV with a header; ``one_file`` for tables of a few rows only."""
+    out = report_text(df)
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option(
         "emptyValue", ""
     ).csv(path)
 
@@ -51,9 +53,8 @@ def as_json_lines(df: DataFrame, name: str = "line") -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """sha256 of source files."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """Size and SHA-256 of source files, each read in bounded pieces by one task."""
+    return files.file_digests(spark.createDataFrame([(p,) for p in paths], "path string"))
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
