@@ -265,3 +265,35 @@ def jittered_frames(df: DataFrame, cap: int, phase: Column) -> DataFrame:
     return question_frames(
         df.withColumns({"start_s": moved, "stride": F.col("fps"), "max_frames": F.lit(cap)})
     )
+
+
+def copy_offset(copy_no: Column, fps: Column) -> Column:
+    """Frames by which a copy of a question is shifted: 0 for the first, spread over a second for the rest.
+
+    Multiples of a step near the golden section of a second, without common divisor
+    with it: the offsets of ``fps`` copies are all different, and those of the first
+    few lie far apart.
+    """
+    def divisor(a: Column, b: Column) -> Column:
+        start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, step)["a"]
+
+    near = F.greatest(F.rint(fps * 0.6180339887498949), F.lit(1)).cast("bigint")
+    steps = F.filter(F.sequence(near, near + fps.cast("bigint")), lambda g: divisor(g, fps) == 1)
+    return F.pmod((copy_no - 1).cast("bigint") * F.get(steps, F.lit(0)), fps.cast("bigint"))
+
+
+def phased_frames(df: DataFrame, cap: int) -> DataFrame:
+    """One frame per second from the window start plus the offset of ``copy_no``, capped.
+
+    Copies of a question share no frame as long as its window has more than a
+    second and it has no more copies than frames a second; a shorter window ends at
+    its last frame for all of them.
+    """
+    sized = sized_windows(df.withColumns({"stride": F.col("fps"), "max_frames": F.lit(cap)}))
+    first = F.least(F.col("_first") + copy_offset(F.col("copy_no"), F.col("fps")), F.col("_last"))
+    moved = sized.withColumn("_first", first).withColumn("_n", F.floor((F.col("_last") - F.col("_first")) / F.col("_step")) + 1)
+    moved = moved.withColumn("_k", F.least(F.col("_n"), F.lit(cap).cast("bigint")))
+    gap = F.when((F.col("_k") < F.col("_n")) & (F.col("_k") > 1), (F.col("_n") - 1) / (F.col("_k") - 1)).otherwise(1.0)
+    return listed_frames(moved.withColumn("_gap", gap)).select(*df.columns, "position", "frame")

@@ -24,24 +24,36 @@ def require_none(df: DataFrame, message: str, show: int = 5) -> None:
         raise ContractError(f"{message}: {[tuple(r) for r in offenders]}")
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    require_none(duplicates(df, keys), f"{what}: duplicate keys")
+def _held(df: DataFrame, broken: Column, message: str, keys: Sequence[str]) -> DataFrame:
+    """Rows pass unless one is broken, which ends the job that reads them; no job of its own runs."""
+    shown = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    stop = F.raise_error(F.concat(F.lit(f"{message}: "), shown)).cast("boolean")
+    return df.where(F.when(broken, stop).otherwise(F.lit(True)))
+
+
+def unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The rows of ``df``, keys first; the job fails if a key occurs twice.
+
+    Counting groups by the keys, which is the partitioning that a join on them needs.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    return _held(one, F.col("_n") > 1, f"{what}: duplicate key", keys).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def one_to_one(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", check: bool = True
 ) -> DataFrame:
-    """Join of two tables that are both unique on ``keys``."""
+    """Join of two tables that are both unique on ``keys``; the job that reads it fails if they are not."""
     if check:
-        require_unique(left, keys, "left side")
-        require_unique(right, keys, "right side")
+        left, right = unique(left, keys, "left side"), unique(right, keys, "right side")
     return left.join(right, list(keys), how)
 
 
 def covered(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str = "left row") -> DataFrame:
-    """Left join in which every left row must find its match."""
-    require_none(left.join(right, list(keys), "left_anti").select(*keys), f"{what} without a match")
-    return left.join(right, list(keys))
+    """Left join in which every left row must find its match, or the job that reads it fails."""
+    joined = left.join(right.withColumn("_hit", F.lit(True)), list(keys), "left")
+    return _held(joined, F.col("_hit").isNull(), f"{what} without a match", keys).drop("_hit")
 
 
 def coverage_gaps(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from tallyframe.functions.labels import clamp_count
 from tallyframe.operators.counting import video_folds
+from tallyframe.session import cut_lineage
+from tallyframe.taxonomy import MIN_COUNT
 
 
 def soft_target_rows(df: DataFrame, low: int, high: int, eps: float, target: str = "target") -> DataFrame:
@@ -40,8 +42,8 @@ def cross_fit(
 
     Needs ``qid, video, X, target``. One fit per fold; each fit is distributed.
     """
-    data = df.join(video_folds(df, folds, seed), "video").withColumn("raw", array_to_vector(F.col("X")))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.join(video_folds(df, folds, seed), "video")
+    data = cut_lineage(data.select("qid", "video", "fold", "target", "X")).withColumn("raw", array_to_vector(F.col("X")))
     parts = []
     for fold in range(folds):
         fit, held = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
@@ -79,3 +81,46 @@ def report(df: DataFrame, pred: str, keys: tuple[str, ...] = ()) -> DataFrame:
         F.max(p).alias("max_pred"),
         rate(p < t).alias("undercount"),
     )
+
+
+def _clamped() -> Column:
+    """The baseline inside the range of its template; an unreadable answer is the lowest count."""
+    read = F.col("baseline").isNotNull()
+    return F.when(read, clamp_count(F.col("baseline"), F.col("template_id"))).otherwise(F.lit(MIN_COUNT))
+
+
+def fold_baselines(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold and template what a trained head is measured against: truth and the model's own counts.
+
+    Needs ``video, template_id, target, baseline``; a NULL baseline is an unreadable
+    answer, which counts as 0 raw and as the lowest count when clamped.
+    """
+    raw = F.coalesce("baseline", F.lit(0))
+    clamped = _clamped()
+    t = F.col("target")
+    cells = df.withColumns({"_raw": raw, "_clamped": clamped}).groupBy("video", "template_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("target").alias("truth"),
+        F.max("target").alias("max_true"),
+        F.count_if(F.col("baseline").isNull()).alias("unreadable"),
+        F.count_if(F.col("_raw") == t).alias("raw"),
+        F.count_if(F.col("_clamped") == t).alias("clamped"),
+        F.sum(F.abs(F.col("_clamped") - t)).alias("error"),
+    )
+    out = cells.join(folds, "video").groupBy("fold", "template_id").agg(
+        *[F.sum(c).alias(c) for c in ("n", "unreadable", "raw", "clamped", "truth", "error")], F.max("max_true").alias("max_true")
+    )
+    n = F.col("n")
+    return out.select(
+        "fold", "template_id", "n", "unreadable", "max_true", (F.col("truth") / n).alias("mean_true"), (F.col("raw") / n).alias("baseline_raw"),
+        (F.col("clamped") / n).alias("baseline_clamped"), (F.col("error") / n).alias("baseline_mae"),
+    )
+
+
+def against_baseline(predicted: DataFrame, df: DataFrame) -> DataFrame:
+    """Exact rates of the trained ``head`` and of the clamped baseline on the same rows, per template and in all."""
+    both = predicted.select("qid", "head").join(df, "qid")
+    clamped = _clamped()
+    rows = both.withColumns({"_base": (clamped == F.col("target")).cast("double"), "_head": (F.col("head") == F.col("target")).cast("double")})
+    out = rows.rollup("template_id").agg(F.count(F.lit(1)).alias("n"), F.avg("_base").alias("baseline"), F.avg("_head").alias("head"))
+    return out.withColumn("head_minus_baseline", F.col("head") - F.col("baseline"))

@@ -42,6 +42,46 @@ def describe_runs(files: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+META_FIELDS = "model_name string, model string, track string, split string, dataset string"
+
+
+def with_meta(runs: DataFrame, metas: DataFrame) -> DataFrame:
+    """Runs with the metadata of their nearest folder that has a document; its fields override the path's.
+
+    ``metas`` has ``folder`` and the document's text in ``settings``. Every run asks
+    for its own folder and all folders above it, and the longest that has a document
+    answers; a field that this document leaves out is read off the path. The model's
+    name is the document's, else the last part of its model path, else the last part
+    of the run's folder that names neither dataset nor epoch; a chosen epoch is added.
+    """
+    read = metas.select("folder", F.from_json("settings", META_FIELDS).alias("meta")).where("meta is not null")
+    above = runs.withColumn("_parts", F.split("run", "/"))
+    above = above.select("run", F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("_n"), "_parts").distinct()
+    above = above.select("run", F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), "/").alias("folder"), "_n")
+    nearest = above.join(read, "folder").groupBy("run").agg(F.max_by("meta", "_n").alias("_meta"))
+    joined = runs.join(nearest, "run", "left")
+    given = lambda name: F.nullif(F.col(f"_meta.{name}"), F.lit(""))
+    named = F.filter(F.split("run", "/"), lambda x: ~(x.isin(*DATASETS) | x.rlike(r"^(?:eval_)?epoch_\d+$")))
+    model = F.coalesce(given("model_name"), F.element_at(F.split(given("model"), "/"), -1), F.element_at(named, -1))
+    model = F.when(F.col("epoch").isNotNull(), F.concat(model, F.lit(" (ep"), F.col("epoch").cast("string"), F.lit(")"))).otherwise(model)
+    out = joined.withColumns({n: F.coalesce(given(n), F.col(n)) for n in ("track", "split", "dataset")} | {"model_name": model}).drop("_meta")
+    return out.withColumn("label", F.concat_ws("/", "method", "model_name"))
+
+
+def best_epoch_runs(runs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Of the epochs of one model only the run with the best accuracy; a tie goes to the later epoch.
+
+    ``scores`` has ``run, accuracy``; a run without a score ranks below all others.
+    Runs that name no epoch stay.
+    """
+    scored = runs.join(scores.select("run", "accuracy"), "run", "left")
+    model = F.regexp_replace("run", r"/(?:eval_)?epoch_\d+(?=/|$)", "")
+    rest = scored.columns
+    order = F.struct(F.coalesce("accuracy", F.lit(-1.0)), "epoch", "run")
+    best = scored.where("epoch is not null").groupBy(model.alias("_model")).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    return best.select("_r.*").unionByName(scored.where("epoch is null"))
+
+
 def rebuild_legacy(responses: DataFrame, annotations: DataFrame, requests: DataFrame) -> DataFrame:
     """Response-only runs joined back to annotations and requests, with defaults."""
     ann = annotations.select(

@@ -182,6 +182,21 @@ def soft_targets(spark, sf):
     return learn.soft_target_rows(df, 1, 10, 0.1).select("vec_id", "label", "weight")
 
 
+@query(
+    "fold_baselines",
+    f"""WITH {_FOLDS}, b AS (SELECT fold, template_id, target, CASE WHEN pred = 7 THEN NULL ELSE pred END AS p FROM d),
+          c AS (SELECT *, CASE WHEN p IS NULL THEN 1 ELSE greatest(1, least(p, CASE WHEN template_id = 1 THEN 4 ELSE 16 END)) END AS q FROM b)
+        SELECT fold, template_id, count(*) AS n, count(*) FILTER (p IS NULL) AS unreadable, max(target) AS max_true, avg(target) AS mean_true,
+               avg(CAST(coalesce(p, 0) = target AS INT)) AS baseline_raw, avg(CAST(q = target AS INT)) AS baseline_clamped, avg(abs(q - target)) AS baseline_mae FROM c GROUP BY 1, 2""",
+    ["counts"], ("mean_true", "baseline_raw", "baseline_clamped", "baseline_mae"), "I-21",
+)
+def fold_baselines(spark, sf):
+    """What a trained head must beat: unreadable answers and the model's own clamped counts per fold and template."""
+    df = view(spark, sf, "counts")
+    rows = df.withColumn("baseline", F.when(F.col("pred") != 7, F.col("pred")))
+    return learn.fold_baselines(rows, K.video_folds(df, 5))
+
+
 @query("count_classifier", covers="I-21")
 def count_classifier(spark, sf):
     """Trained models: no SQL form; the split and the report are tested apart."""

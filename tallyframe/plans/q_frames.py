@@ -258,17 +258,16 @@ def balanced_count_distribution(spark, sf):
     return T.count_distribution(T.balanced(count_answers(spark, sf)))
 
 
-@query(
-    "rebalanced_mixture",
-    """WITH b AS (SELECT qid, CASE dataset WHEN 'heico' THEN 'segment' ELSE 'procedure' END AS track, group_code FROM eval_rows),
+_MIXTURE = """WITH b AS (SELECT qid, CASE dataset WHEN 'heico' THEN 'segment' ELSE 'procedure' END AS track, group_code FROM eval_rows),
             o AS (SELECT *, row_number() OVER (PARTITION BY track, group_code ORDER BY md5('42|' || qid)) AS r, count(*) OVER (PARTITION BY track, group_code) AS m FROM b),
             s AS (SELECT track, group_code, count(*) AS n, sqrt(count(*)) AS root FROM b GROUP BY 1, 2),
             q AS (SELECT track, group_code, CAST(round_even(CASE track WHEN 'segment' THEN 800 ELSE 400 END * root / sum(root) OVER (PARTITION BY track), 0) AS BIGINT) AS quota FROM s),
             c AS (SELECT o.*, quota // (m - 5) + CASE WHEN r - 5 <= quota % (m - 5) THEN 1 ELSE 0 END AS copies FROM o JOIN q USING (track, group_code) WHERE r > 5)
        SELECT qid, track, group_code, 'holdout' AS part, 1 AS copy_no FROM o WHERE r <= 5
-       UNION ALL SELECT qid, track, group_code, 'train', unnest(range(1, copies + 1)) FROM c WHERE copies > 0""",
-    ["eval_rows"], covers="J-09",
-)
+       UNION ALL SELECT qid, track, group_code, 'train', unnest(range(1, copies + 1)) FROM c WHERE copies > 0"""
+
+
+@query("rebalanced_mixture", _MIXTURE, ["eval_rows"], covers="J-09")
 def rebalanced_mixture(spark, sf):
     df = view(spark, sf, "eval_rows").select(
         "qid", F.when(F.col("dataset") == "heico", "segment").otherwise("procedure").alias("track"), "group_code"
@@ -276,6 +275,29 @@ def rebalanced_mixture(spark, sf):
     return T.rebalanced(df, {"segment": 800, "procedure": 400}, 5, ["qid"])
 
 
+# 16 and 19 frames are the steps near the golden section of 25 and 30
+@query(
+    "frames_per_copy",
+    f"""WITH x AS ({_MIXTURE}), w AS (SELECT qid, copy_no, part, CASE track WHEN 'segment' THEN 25 ELSE 30 END AS fps, CAST(qid % 3000 AS DOUBLE) / 2 AS s, CAST(qid % 3000 AS DOUBLE) / 2 + qid % 90 AS e FROM x),
+             f AS (SELECT *, CAST(round_even(s * fps, 0) AS BIGINT) AS f0, greatest(CAST(round_even(e * fps, 0) AS BIGINT), CAST(round_even(s * fps, 0) AS BIGINT)) AS f1,
+                          (copy_no - 1) * CASE fps WHEN 25 THEN 16 ELSE 19 END % fps AS phase FROM w),
+             n AS (SELECT *, least(f0 + phase, f1) AS a, (f1 - least(f0 + phase, f1)) // fps + 1 AS n FROM f),
+             i AS (SELECT qid, copy_no, part, a + fps * CASE WHEN n <= 64 THEN i ELSE CAST(round_even(i * ((n - 1) / 63), 0) AS BIGINT) END AS frame
+                   FROM (SELECT *, unnest(range(0, least(n, 64))) AS i FROM n))
+        SELECT qid, part, copy_no, count(*) AS frames, min(frame) AS first, max(frame) AS last, CAST(sum(frame) AS BIGINT) AS total FROM i GROUP BY 1, 2, 3""",
+    ["eval_rows"], covers="J-09 L-06",
+)
+def frames_per_copy(spark, sf):
+    rows = rebalanced_mixture(spark, sf)
+    start = (F.col("qid") % 3000).cast("double") / 2
+    fps = F.when(F.col("track") == "segment", 25).otherwise(30)
+    windows = rows.select("qid", "part", "copy_no", start.alias("start_s"), (start + F.col("qid") % 90).alias("end_s"), fps.alias("fps"))
+    frames = P.phased_frames(windows, 64)
+    return frames.groupBy("qid", "part", "copy_no").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.sum("frame").alias("total")
+    )
+
+
 @query(
     "first_rows_per_dataset",
     """SELECT qid, dataset FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY qid) AS r FROM eval_rows) WHERE r <= 50""",

@@ -9,8 +9,11 @@ from tallyframe.functions.text import listed
 from tallyframe.operators import joins as J
 from tallyframe.operators import quality as Q
 from tallyframe.operators import runs as R
+from tallyframe.plans.q_io import scratch
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import table, view
+from tallyframe.sources.files import put_file
+from tallyframe.sources.readers import run_settings
 from tallyframe.taxonomy import LEAVES
 
 RUNS = ("base", "tuned", "merged")
@@ -230,14 +233,64 @@ def run_order(spark, sf):
     covers="L-11",
 )
 def discovered_runs(spark, sf):
+    return R.describe_runs(run_paths(spark, sf)).withColumn("epoch", F.col("epoch").cast("bigint"))
+
+
+def run_paths(spark, sf):
     c = F.col("c_custkey")
     track = F.when(F.col("c_nationkey") % 3 == 0, "segment").when(F.col("c_nationkey") % 3 == 1, "procedure").otherwise("frame")
     path = F.concat(
         F.lit("/runs/track-"), track, F.lit("/"), "c_mktsegment", F.when(c % 7 == 0, "/smoke").otherwise(""), F.lit("/logs/eval_epoch_"), (c % 9).cast("string"), F.lit("/"),
         F.when(c % 2 == 0, "heico").otherwise("lapchole"), F.when(c % 4 == 0, "/responses.json").otherwise("/predictions.parquet/part-0.parquet"),
     )
-    out = R.describe_runs(table(spark, sf, "customer").select(path.alias("path")))
-    return out.withColumn("epoch", F.col("epoch").cast("bigint"))
+    return table(spark, sf, "customer").select(path.alias("path"))
+
+
+# documents of whole tracks, of some methods' logs and of some epochs; the nearest counts
+_META = """
+  m AS (SELECT '/runs/track-' || t AS folder, t || '-model' AS model_name, NULL AS model, 'test' AS split, NULL AS dataset FROM (VALUES ('segment'), ('frame')) v(t)
+        UNION ALL SELECT DISTINCT '/runs/track-' || t || '/' || c_mktsegment || '/logs', NULL, '/models/' || lower(c_mktsegment), NULL, NULL FROM customer, (VALUES ('segment'), ('procedure')) v(t) WHERE c_mktsegment < 'H'
+        UNION ALL SELECT DISTINCT '/runs/track-frame/' || c_mktsegment || '/logs/eval_epoch_3', '', '', 'val', 'heico' FROM customer)"""
+
+
+@query(
+    "run_identities",
+    f"""WITH f AS (SELECT DISTINCT CASE c_nationkey % 3 WHEN 0 THEN 'segment' WHEN 1 THEN 'procedure' ELSE 'frame' END AS track, CASE WHEN c_custkey % 2 = 0 THEN 'heico' ELSE 'lapchole' END AS dataset,
+                    c_custkey % 9 AS epoch, c_mktsegment AS method FROM customer WHERE c_custkey % 7 > 0),
+            r AS (SELECT *, '/runs/track-' || track || '/' || method || '/logs/eval_epoch_' || epoch || '/' || dataset AS run, '/runs/track-' || track || '/' || method || '/logs/' || dataset AS model_key FROM f), {_META},
+            n AS (SELECT run, arg_max(m, length(m.folder)) AS meta FROM r JOIN m ON r.run = m.folder OR starts_with(r.run, m.folder || '/') GROUP BY 1),
+            s AS (SELECT r.*, CASE WHEN epoch <> 5 THEN round((epoch * 37 % 10) / 10, 1) END AS accuracy FROM r),
+            b AS (SELECT *, row_number() OVER (PARTITION BY model_key ORDER BY coalesce(accuracy, -1) DESC, epoch DESC) AS place FROM s)
+       SELECT b.run, b.track, nullif(meta.split, '') AS split, coalesce(nullif(meta.dataset, ''), b.dataset) AS dataset, b.method, b.epoch, b.accuracy,
+              coalesce(nullif(meta.model_name, ''), regexp_extract(nullif(meta.model, ''), '[^/]+$'), 'logs') || ' (ep' || b.epoch || ')' AS model_name,
+              b.method || '/' || coalesce(nullif(meta.model_name, ''), regexp_extract(nullif(meta.model, ''), '[^/]+$'), 'logs') || ' (ep' || b.epoch || ')' AS label
+       FROM b LEFT JOIN n USING (run) WHERE place = 1""",
+    floats=("accuracy",), covers="L-11 E-04",
+)
+def run_identities(spark, sf):
+    """Metadata documents written below a run root, read from their files and joined to the runs found there."""
+    root = scratch(spark, "meta")
+    segments = table(spark, sf, "customer").select("c_mktsegment").distinct()
+    methods = segments.where("c_mktsegment < 'H'").select("c_mktsegment", F.explode(F.array(F.lit("segment"), F.lit("procedure"))).alias("t"))
+    none = F.lit(None).cast("string")
+    tracks = spark.createDataFrame([("segment",), ("frame",)], "t string")
+
+    def docs(df, folder, model_name=none, model=none, split=none, dataset=none):
+        return df.select(folder.alias("folder"), F.to_json(F.struct(model_name.alias("model_name"), model.alias("model"), split.alias("split"), dataset.alias("dataset"))).alias("settings"))
+
+    all_docs = (
+        docs(tracks, F.concat(F.lit("/runs/track-"), "t"), model_name=F.concat("t", F.lit("-model")), split=F.lit("test"))
+        .unionByName(docs(methods, F.concat(F.lit("/runs/track-"), "t", F.lit("/"), "c_mktsegment", F.lit("/logs")), model=F.concat(F.lit("/models/"), F.lower("c_mktsegment"))))
+        .unionByName(docs(segments, F.concat(F.lit("/runs/track-frame/"), "c_mktsegment", F.lit("/logs/eval_epoch_3")), F.lit(""), F.lit(""), F.lit("val"), F.lit("heico")))
+    )
+    put = lambda r: put_file(f"{root}{r.folder}/meta.json", r.settings.encode())
+    all_docs.foreach(put)
+    found = run_settings(spark, f"{root}/runs", "meta.json")
+    metas = found.select(F.regexp_extract("run", r"(/runs(?:/.*)?)/meta\.json$", 1).alias("folder"), "settings")
+    runs = R.with_meta(R.describe_runs(run_paths(spark, sf)), metas).drop("kind")
+    epoch = F.col("epoch")
+    scores = runs.select("run", F.when(epoch != 5, F.round(epoch * 37 % 10 / 10, 1)).alias("accuracy"))
+    return R.best_epoch_runs(runs, scores).withColumn("epoch", epoch.cast("bigint"))
 
 
 @query(

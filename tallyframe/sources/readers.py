@@ -158,8 +158,8 @@ def frame_counts(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("video_frame_counts").alias("video", "frame_count"))
 
 
-def run_settings(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per settings document, its text kept as JSON."""
-    return spark.read.text(glob, wholetext=True).select(
-        F.col("_metadata.file_path").alias("run"), F.col("value").alias("settings")
-    )
+def run_settings(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """``(run, settings)``: documents by glob, or all of one name below a folder; the text is kept as JSON."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name) if name else spark.read
+    found = reader.text(path, wholetext=True)
+    return found.select(F.col("_metadata.file_path").alias("run"), F.col("value").alias("settings"))

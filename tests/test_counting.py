@@ -87,3 +87,21 @@ def test_cross_fit_predicts_every_row_once(spark):
     out = learn.cross_fit(df, 1, 3, folds=3, eps=0.1)
     got = learn.report(out, "head").first()
     assert out.select("qid").distinct().count() == 240 and got["exact"] == 1.0
+
+
+def test_trained_head_against_its_baseline(spark):
+    """The head must beat a baseline that is right on a third of the rows by a clear margin."""
+    df = spark.range(240).select(
+        F.col("id").alias("qid"),
+        F.concat(F.lit("v"), (F.col("id") % 12).cast("string")).alias("video"),
+        (F.col("id") % 2).cast("int").alias("template_id"),
+        (F.col("id") % 3 + 1).alias("target"),
+        F.when(F.col("id") % 5 > 0, F.lit(2)).alias("baseline"),
+        F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda c: F.when(c == F.col("id") % 3 + 1, 1.0).otherwise(0.0)).alias("X"),
+    )
+    got = {r["template_id"]: r for r in learn.against_baseline(learn.cross_fit(df, 1, 3, folds=3), df).collect()}
+    assert set(got) == {0, 1, None} and got[None]["n"] == 240
+    assert all(r["head"] > 0.95 and r["head_minus_baseline"] > 0.5 for r in got.values())
+    folds = {(r["fold"], r["template_id"]): r for r in learn.fold_baselines(df, K.video_folds(df, 3)).collect()}
+    assert len(folds) == 6 and sum(r["n"] for r in folds.values()) == 240 and sum(r["unreadable"] for r in folds.values()) == 48
+    assert all(r["max_true"] == 3 and 0.2 < r["baseline_clamped"] < 0.5 for r in folds.values())
