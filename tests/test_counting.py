@@ -104,4 +104,5 @@ def test_trained_head_against_its_baseline(spark):
     assert all(r["head"] > 0.95 and r["head_minus_baseline"] > 0.5 for r in got.values())
     folds = {(r["fold"], r["template_id"]): r for r in learn.fold_baselines(df, K.video_folds(df, 3)).collect()}
     assert len(folds) == 6 and sum(r["n"] for r in folds.values()) == 240 and sum(r["unreadable"] for r in folds.values()) == 48
-    assert all(r["max_true"] == 3 and 0.2 < r["baseline_clamped"] < 0.5 for r in folds.values())
+    assert max(r["max_true"] for r in folds.values()) == 3
+    assert sum(r["n"] * r["baseline_clamped"] for r in folds.values()) / 240 == pytest.approx(got[None]["baseline"])
