@@ -9,6 +9,10 @@ text is repeated; a page without one gives what is left of its body. Subtrees
 below an ``article`` or ``main`` are counted over pages on which the rest of the
 article's text differs, so that copies of one article do not make its parts
 templates.
+
+A subtree's hash is made from its own tag and text and its children's hashes, and
+boxes know the box around them, so a page is read in time proportional to its
+length however deep it is nested.
 """
 
 from __future__ import annotations
@@ -47,6 +51,15 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social newsletter subscribe popup modal overlay pagination toolbar masthead complementary contentinfo search login signup".split()
 )
 OUTER_MARKS = frozenset("header top".split())
+#: Words that mark an element as a part of its class or id, such as ``cookie-banner`` (fixed values).
+PART_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr sidebar widget widgets nav navbar menu breadcrumb breadcrumbs footer share sharing newsletter subscribe signup popup modal pagination toolbar masthead".split()
+)
+TALK_MARKS = frozenset("comment comments disqus".split())
+#: First words that say what a page has or lacks, such as ``has-sidebar`` and ``no-ads`` (fixed values).
+STATE_WORDS = frozenset("no not non has have with without is hide show".split())
+SMALL, TALK = 1, 2
+SMALL_SHARE = 3  # a part-marked element goes if it has at most this fraction of the text, one in so many
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Articles inside dropped elements are wanted on pages that have no other article and no main.
 FIRST, SECOND = 1, 2
@@ -54,16 +67,27 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+MASK = (1 << 64) - 1
+STEP = 0x9E3779B97F4A7C15
+
+
 class Element:
-    __slots__ = ("tag", "dropped", "wanted", "box", "begin", "box_id")
+    __slots__ = ("tag", "dropped", "wanted", "holds", "box", "near", "value", "heading")
+
+    def __init__(self, tag: str, dropped: bool, wanted: int, box: int, near: int, value: int) -> None:
+        self.tag, self.dropped, self.box, self.near, self.value = tag, dropped, box, near, value
+        self.wanted = wanted  # of the outermost article or main that holds it, or its own
+        self.holds = False  # an article or main
+        self.heading = False
+
 
-    def __init__(self, tag: str, dropped: bool, wanted: int, box: bool, begin: int, box_id: int) -> None:
-        self.tag, self.dropped, self.wanted, self.box, self.begin, self.box_id = tag, dropped, wanted, box, begin, box_id
+def text_hash(text: str, kind: bytes = b"") -> int:
+    """64-bit hash of a text with white space runs as one space; each kind has its own hashes."""
+    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8, person=kind).digest(), "big")
 
 
-def subtree_hash(source: str, kind: bytes = b"") -> int:
-    """Signed 64-bit hash of an element's source, with white space runs as one space; each kind has its own hashes."""
-    return int.from_bytes(hashlib.blake2b(" ".join(source.split()).encode("utf-8", "replace"), digest_size=8, person=kind).digest(), "big", signed=True)
+def signed(value: int) -> int:
+    return (value + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def names(attributes: str, ids: bool = True) -> set[str]:
@@ -78,15 +102,38 @@ def names(attributes: str, ids: bool = True) -> set[str]:
     return found
 
 
+def part_marks(words: set[str]) -> int:
+    """What the parts of compound classes and ids say: TALK, SMALL or nothing."""
+    found = 0
+    for word in words:
+        parts = [x for x in re.split(r"[-_]+", word) if x]
+        if len(parts) > 1 and parts[0] not in STATE_WORDS:
+            if not TALK_MARKS.isdisjoint(parts):
+                return TALK
+            if not PART_MARKS.isdisjoint(parts):
+                found = SMALL
+    return found
+
+
+class Box:
+    """An element that may go: a candidate for a template if it has a hash, part-marked if ``soft``."""
+
+    __slots__ = ("parent", "hash", "inside", "soft", "heading")
+
+    def __init__(self, parent: int, template: bool, inside: bool, soft: int) -> None:
+        self.parent, self.inside, self.soft, self.heading = parent, inside, soft, False
+        self.hash: int | None = None if template else 0
+
+
 class Page:
-    """Blocks of a page, each with the boxes around it, and hashes of those boxes."""
+    """Blocks of a page, each with the box around it, and the boxes."""
 
     def __init__(self, source: str) -> None:
         self.source = source
         self.stack: list[Element] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []  # text, FIRST or SECOND if inside article or main, boxes around it
-        self.hashes: list[int | None] = []
-        self.inside: list[bool] = []  # whether a box is inside article or main
+        self.open: dict[str, int] = {}
+        self.blocks: list[tuple[str, int, int]] = []  # text, FIRST or SECOND if inside article or main, nearest box
+        self.boxes: list[Box] = []
         self.text: list[str] = []
         self._read()
 
@@ -94,26 +141,37 @@ class Page:
         if self.text:
             text = " ".join(html.unescape("".join(self.text)).split())
             if text:
-                wanted = next((e.wanted for e in self.stack if e.wanted), 0)
-                self.blocks.append((text, wanted, tuple(e.box_id for e in self.stack if e.box)))
+                top = self.stack[-1] if self.stack else None
+                self.blocks.append((text, top.wanted if top else 0, top.near if top else -1))
             self.text = []
 
-    def _pop(self, end: int) -> None:
+    def _pop(self) -> None:
         top = self.stack.pop()
-        if top.box and self.hashes[top.box_id] is None:
-            self.hashes[top.box_id] = subtree_hash(self.source[top.begin : end], b"inside" if self.inside[top.box_id] else b"")
-
-    def _close_to(self, k: int, end: int) -> None:
+        self.open[top.tag] -= 1
+        if top.box >= 0:
+            box = self.boxes[top.box]
+            box.heading = top.heading
+            if box.hash is None:
+                box.hash = 0 if top.holds else signed(text_hash(f"{top.tag} {top.value}", b"inside" if box.inside else b"")) or 1
+            if top.holds:  # what holds the article is no template and no part of the page's furniture
+                box.soft = 0
+        if self.stack:
+            above = self.stack[-1]
+            above.holds = above.holds or top.holds
+            above.heading = above.heading or top.heading
+            above.value = ((above.value ^ top.value) * STEP + 1) & MASK
+
+    def _close_to(self, k: int) -> None:
         while len(self.stack) > k:
-            self._pop(end)
+            self._pop()
 
-    def _start(self, tag: str, attributes: str, begin: int) -> None:
+    def _start(self, tag: str, attributes: str) -> None:
         block = tag in BLOCKS
         if block:
             self._flush()
             for k in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph
                 if self.stack[k].tag == "p":
-                    self._close_to(k, begin)
+                    self._close_to(k)
                     break
                 if self.stack[k].tag in BLOCKS:
                     break
@@ -122,49 +180,56 @@ class Page:
                 if self.stack[k].tag in STOPS[tag]:
                     break
                 if self.stack[k].tag in CLOSES[tag]:
-                    self._close_to(k, begin)
+                    self._close_to(k)
                     break
         if tag in VOID:
             return
         above = self.stack[-1] if self.stack else None
-        inside = any(e.wanted for e in self.stack)
+        inside = bool(above and above.wanted)
         dropped = bool(above and above.dropped) or tag in DROPPED or (tag == "header" and not inside)
         root = tag in WANTED or bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I))
+        soft = 0
         # ids of headings and sections in an article name what they are about
         if not dropped and attributes and not root and tag not in ("html", "body") and not (inside and tag in HEADINGS):
             words = names(attributes, ids=not (inside and tag == "section"))
             dropped = not words.isdisjoint(MARKS) or (not inside and not words.isdisjoint(OUTER_MARKS))
+            soft = 0 if dropped else part_marks(words)
         wanted = 0
         if root and not (dropped and inside):
             wanted = SECOND if dropped and tag == "article" else FIRST
             dropped = False
-        if wanted:  # what holds the article is no template
-            for e in self.stack:
-                if e.box:
-                    e.box, self.hashes[e.box_id] = False, 0
         if inside:
-            box = tag in BOXES and not dropped and not wanted
+            template = tag in BOXES and not dropped and not wanted
         else:
-            box = (tag in BOXES or tag in DROPPED and tag not in RAW and tag != "head") and not wanted
-        if box:
-            self.hashes.append(None)
-            self.inside.append(inside)
-        self.stack.append(Element(tag, dropped, wanted, box, begin, len(self.hashes) - 1))
-
-    def _end(self, tag: str, begin: int, end: int) -> None:
+            template = (tag in BOXES or tag in DROPPED and tag not in RAW and tag != "head") and not wanted
+        near, box = above.near if above else -1, -1
+        if template or soft:
+            box = len(self.boxes)
+            self.boxes.append(Box(near, template, inside, soft))
+            near = box
+        top = Element(tag, dropped, (above.wanted if inside else wanted), box, near, text_hash(f"<{tag}{attributes}"))
+        top.holds, top.heading = bool(wanted), tag in HEADINGS
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.stack.append(top)
+
+    def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                self._close_to(k + 1, begin)
-                self._pop(end)
-                return
+        if not self.open.get(tag):
+            return
+        while self.stack[-1].tag != tag:
+            self._pop()
+        self._pop()
 
     def _read(self) -> None:
         source, at = self.source, 0
         while True:
             found = TOKEN.search(source, at)
             stop = found.start() if found else len(source)
+            if stop > at and self.stack:
+                top = self.stack[-1]
+                if not source[at:stop].isspace():
+                    top.value = ((top.value ^ text_hash(source[at:stop])) * STEP + 2) & MASK
             if stop > at and not (self.stack and self.stack[-1].dropped):
                 self.text.append(source[at:stop])
             if not found:
@@ -175,7 +240,7 @@ class Page:
                 continue
             attributes = found[3] or found[6] or ""
             if found[1] or found[4]:
-                self._end(tag, found.start(), at)
+                self._end(tag)
                 continue
             if tag in CELLS:
                 self.text.append(" ")
@@ -183,38 +248,70 @@ class Page:
                 close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else len(source)
                 continue
-            self._start(tag, attributes, found.start())
+            self._start(tag, attributes)
             if attributes.endswith("/") and tag in ("svg", "math", "path"):
-                self._end(tag, at, at)
+                self._end(tag)
         self._flush()
-        self._close_to(0, len(source))
-
-    def _rests(self, chosen: list[tuple[str, int, tuple[int, ...]]]) -> dict[int, int]:
-        """For each subtree inside the article, a signed 64-bit sum over the article's blocks outside it."""
-        parts: dict[int, int] = {}
-        total = 0
-        for text, _, boxes in chosen:
-            value = subtree_hash(text, b"block")
-            total += value
-            for h in {self.hashes[k] for k in boxes if self.hashes[k]}:
-                parts[h] = parts.get(h, 0) + value
-        return {h: (total - part + (1 << 63)) % (1 << 64) - (1 << 63) for h, part in parts.items()}
-
-    def result(self) -> tuple[str, list[dict] | None, list[dict], bool]:
-        """The text before templates are cut; its blocks with the subtrees around them, if any are; all subtrees; whether there is an article."""
+        self._close_to(0)
+        for box in self.boxes:
+            box.hash = box.hash or 0
+
+    def _sums(self, values: list[tuple[int, int]]) -> list[int]:
+        """For every box the sum of the values at it and below; a box comes after the one around it."""
+        sums = [0] * len(self.boxes)
+        for k, value in values:
+            if k >= 0:
+                sums[k] += value
+        for k in range(len(sums) - 1, -1, -1):
+            if self.boxes[k].parent >= 0:
+                sums[self.boxes[k].parent] += sums[k]
+        return sums
+
+    def _unmarked(self, chosen: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Blocks outside part-marked elements: small ones without a heading, and comments unless they are all there is."""
+        if not any(box.soft for box in self.boxes):
+            return chosen
+        total = sum(len(b[0]) for b in chosen)
+        sizes = self._sums([(b[2], len(b[0])) for b in chosen])
+        gone = []
+        for box, size in zip(self.boxes, sizes):
+            small = box.soft == SMALL and not box.heading and SMALL_SHARE * size <= total
+            talk = box.soft == TALK and size < total
+            gone.append(small or talk or (box.parent >= 0 and gone[box.parent]))
+        return [b for b in chosen if b[2] < 0 or not gone[b[2]]]
+
+    def result(self) -> tuple[str, list[dict] | None, list[int], list[int], list[dict], bool]:
+        """The text before templates are cut; its blocks if any lies in a subtree; hashes and parents of the boxes; all subtrees; whether there is an article."""
         own = [b for b in self.blocks if b[1] == FIRST] or [b for b in self.blocks if b[1] == SECOND]
-        chosen = own or self.blocks
-        rests = self._rests(own)
-        outer = {h for h, inside in zip(self.hashes, self.inside) if h and not inside}
-        subtrees = [{"subtree": h, "rest": None} for h in sorted(outer)] + [{"subtree": h, "rest": rests[h]} for h in sorted(rests)]
+        chosen = self._unmarked(own or self.blocks)
+        values = [(b[2], text_hash(b[0], b"block")) for b in chosen] if own else []
+        parts, total = {}, sum(v for _, v in values)
+        inner = self._sums([(k, 1) for k, _ in values])
+        for box, part, here in zip(self.boxes, self._sums(values), inner):
+            if box.hash and here:
+                parts[box.hash] = parts.get(box.hash, 0) + part
+        outer = {box.hash for box in self.boxes if box.hash and not box.inside}
+        subtrees = [{"subtree": h, "rest": None} for h in sorted(outer)] + [{"subtree": h, "rest": signed(total - parts[h])} for h in sorted(parts)]
+        around = [False] * len(self.boxes)  # whether a box or one around it has a hash
+        for k, box in enumerate(self.boxes):
+            around[k] = bool(box.hash) or (box.parent >= 0 and around[box.parent])
         blocks = None
-        if any(self.hashes[k] for b in chosen for k in b[2]):
-            blocks = [{"text": t, "inside": [self.hashes[k] for k in boxes if self.hashes[k]]} for t, _, boxes in chosen]
-        return "\n\n".join(b[0] for b in chosen), blocks, subtrees, bool(own)
+        if any(b[2] >= 0 and around[b[2]] for b in chosen):
+            blocks = [{"text": b[0], "box": b[2]} for b in chosen]
+        return "\n\n".join(b[0] for b in chosen), blocks, [box.hash for box in self.boxes], [box.parent for box in self.boxes], subtrees, bool(own)
+
+
+def left_text(blocks: list[dict], hashes: list[int], parents: list[int], cut: set[int], own: bool) -> str:
+    """The blocks outside all subtrees in ``cut``; an article that would be empty keeps them all."""
+    gone: list[bool] = []
+    for h, parent in zip(hashes, parents):
+        gone.append(h in cut or (parent >= 0 and gone[parent]))
+    kept = [b["text"] for b in blocks if b["box"] < 0 or not gone[b["box"]]]
+    return "\n\n".join(kept or ([b["text"] for b in blocks] if own else []))
 
 
-BLOCK_TYPE = "array<struct<text: string, inside: array<bigint>>>"
-BLOCK_ARROW = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))
+BLOCK_TYPE = "array<struct<text: string, box: int>>"
+BLOCK_ARROW = pa.list_(pa.struct([("text", pa.string()), ("box", pa.int32())]))
 SUBTREE_TYPE = "array<struct<subtree: bigint, rest: bigint>>"
 SUBTREE_ARROW = pa.list_(pa.struct([("subtree", pa.int64()), ("rest", pa.int64())]))
 
@@ -228,15 +325,17 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
             for first in range(0, batch.num_rows, 100):
                 part = batch.slice(first, 100)
                 found = [Page((v.as_py() or b"").decode("utf-8", "replace")).result() for v in part.column(4).cast(pa.large_binary())]
-                found = [(None if blocks else text, blocks, *rest) for text, blocks, *rest in found]  # one of the two is enough
-                columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), BLOCK_ARROW, SUBTREE_ARROW, pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["id", "url", "host", "page", "text", "blocks", "subtrees", "own"])
+                # a text that no subtree can change needs no blocks, any other no text
+                found = [(None, blocks, hashes, parents, *rest) if blocks else (text, None, None, None, *rest) for text, blocks, hashes, parents, *rest in found]
+                kinds = (pa.string(), BLOCK_ARROW, pa.list_(pa.int64()), pa.list_(pa.int32()), SUBTREE_ARROW, pa.bool_())
+                columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["id", "url", "host", "page", "text", "blocks", "hashes", "parents", "subtrees", "own"])
 
     source = F.col(html_col).cast("string")
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), url_host(F.col(url_col)).alias("host"), F.xxhash64(F.octet_length(source), source).alias("page"), source.cast("binary").alias("html")
     )
-    return rows.mapInArrow(scan, f"id {kind}, url string, host string, page bigint, text string, blocks {BLOCK_TYPE}, subtrees {SUBTREE_TYPE}, own boolean")
+    return rows.mapInArrow(scan, f"id {kind}, url string, host string, page bigint, text string, blocks {BLOCK_TYPE}, hashes array<bigint>, parents array<int>, subtrees {SUBTREE_TYPE}, own boolean")
 
 
 def host_templates(parsed: DataFrame, min_pages: int, min_share: float) -> tuple[DataFrame, DataFrame]:
@@ -269,8 +368,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hits = found.join(open_.select("host", "page").distinct(), ["host", "page"]).join(templates, ["host", "subtree"])
     hits = cut_lineage(hits.groupBy("host", "page").agg(F.collect_set("subtree").alias("cut")))  # at most the subtrees of one page
     rest = open_.join(hits, ["host", "page"], "left").withColumn("cut", F.coalesce("cut", F.expr("cast(array() as array<bigint>)")))
-    kept = F.filter("blocks", lambda b: ~F.exists(b["inside"], lambda h: F.array_contains(F.col("cut"), h)))
-    rest = rest.withColumn("kept", kept)
-    left = F.when(F.col("own") & (F.size("kept") == 0), F.col("blocks")).otherwise(F.col("kept"))
-    rest = rest.select("id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n\n").alias("text"))
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 100):
+                part = batch.slice(first, 100)
+                columns = [part.column(k).to_pylist() for k in range(2, part.num_columns)]
+                texts = [left_text(blocks, hashes, parents, set(cut), own) for blocks, hashes, parents, cut, own in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string())], names=["id", "url", "text"])
+
+    rest = rest.select("id", "url", "blocks", "hashes", "parents", "cut", "own").mapInArrow(clear, f"id {kind}, url string, text string")
     return sure.union(rest).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))

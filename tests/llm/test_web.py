@@ -5,11 +5,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import re
+import time
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm.page_text import Page, main_text
+from tallyframe.llm.page_text import Page, left_text, main_text
 from tallyframe.llm.url_rules import RULES, judged_urls
 from tallyframe.llm.warc import archived_pages, chunk_rows, page_records, read_archives, write_archives
 from tallyframe.session import shared_folder
@@ -159,6 +162,77 @@ def test_marks_still_drop(body, text):
     assert page(body)[0] == text
 
 
+NAMES = "cookie-banner cookie-notice ad-slot comment-list comments-area newsletter-signup share-buttons widget-area ad_unit_3 article-share footer-links"
+LONG_TEXT = "<h1>Head</h1><p>" + "A story of some length about the river and the town. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("name", NAMES.split())
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_parts_of_names_drop(name, kind):
+    want = page(f"<article>{LONG_TEXT}</article>")[0]
+    part = f"<div {kind}='x {name}'><p>We use cookies</p>buy</div>" if kind == "class" else f"<div id='{name}'>We use cookies</div>"
+    assert page(f"<article>{LONG_TEXT}{part}</article>")[0] == want
+    assert page(f"{part}<article>{LONG_TEXT}</article>{part}")[0] == want
+    assert page(f"{part}<div>{LONG_TEXT}</div>")[0] == want  # no article
+
+
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        ("<article><div class='menu-of-the-day'><h2>Soup</h2><p>hot</p></div><p>more</p></article>", "Soup\n\nhot\n\nmore"),
+        ("<article><div class='ad-free-story'><p>most of the text is here, so it stays</p></div><p>more</p></article>", "most of the text is here, so it stays\n\nmore"),
+        ("<article><div class='comment-body'>the only text</div></article>", "the only text"),
+        ("<article><p>a</p><div class='no-ads has-comments'>b</div><div class='socially'>c</div></article>", "a\n\nb\n\nc"),
+        ("<div class='share-page'><article><p>a</p></article></div>", "a"),
+    ],
+)
+def test_parts_of_names_keep(body, text):
+    assert page(body)[0] == text
+
+
+def test_long_talk_goes():
+    said = "<div class='comment-list'><h3>90 comments</h3>" + "<div class='entry'><p>I do not think so, and here is why.</p></div>" * 90 + "</div>"
+    assert page(f"<article>{LONG_TEXT}{said}</article>")[0] == page(f"<article>{LONG_TEXT}</article>")[0]
+
+
+@pytest.mark.parametrize("unit", ["<div>t", "<div class='ad-slot'>t", "<article>t", "<b>t", "<ul><li>t", "</i>t", "<p>t", "<table><tr><td>t"])
+def test_nesting_takes_time_in_proportion(unit):
+    def seconds(n):
+        start = time.perf_counter()
+        page(unit * n)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(40_000) < 16 * seconds(5_000) + 0.5
+
+
+def brute_templates(rows, min_pages=5, min_share=0.1):
+    """Hosts' templates from all subtrees of all pages, held in memory."""
+    pages_of, seen = defaultdict(set), defaultdict(set)
+    for _, url, html in rows:
+        host = re.sub(r"^[^:]*://|[/?#].*$", "", url or "").lower()
+        key = (len((html or "").encode()), html or "")
+        pages_of[host].add(key)
+        for s in Page(html or "").result()[4]:
+            seen[host, s["subtree"]].add(("rest", s["rest"]) if s["rest"] is not None else ("page", key))
+    return {at for at, where in seen.items() if len(where) >= min_pages and len(where) >= min_share * len(pages_of[at[0]])}
+
+
+def test_templates_over_a_whole_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    bar = "<div class='k'><ul><li>Follow this site</li></ul></div>"
+    rows = [(i, f"http://h{i % 4}.example/{i}", h.replace("<p>", f"{bar}<p>", 1) if i % 8 < 4 else h) for i, _, h in rows]  # few hosts
+    cut = brute_templates(rows)
+    assert cut
+    want = {}
+    for i, u, h in rows:
+        text, blocks, hashes, parents, _, own = Page(h or "").result()
+        host = re.sub(r"^[^:]*://|[/?#].*$", "", u or "").lower()
+        want[i] = left_text(blocks, hashes, parents, {s for at, s in cut if at == host}, own) if blocks else text
+    got = {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()}
+    assert got == want and not any("Follow" in text for text in got.values())
+
+
 def test_templates_go_and_articles_stay(spark):
     banner = "<div><div>Welcome to our site</div></div>"
     rows = [(k, f"http://{'one' if k < 40 else 'two'}.example/p{k}", f"<html><body>{banner}<div><p>story {k if k % 2 else 'same'} of the day</p></div></body></html>") for k in range(43)]
