@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.sources import folders
+
 # Runtime re-planning does the work a fixed hint cannot: it measures each
 # exchange, switches a join to broadcast only when the measured side is small,
 # and splits the partitions of a hot key.
@@ -58,10 +59,22 @@ def _tables(spark: SparkSession) -> str:
 
 def release_tables(spark: SparkSession) -> None:
     """Remove the tables that ``cut_lineage`` wrote for this application, once no result reads them."""
-    top = _tables(spark)
-    store, path = fs.FileSystem.from_uri(top) if "://" in top or top.startswith("file:") else (fs.LocalFileSystem(), top)
-    if store.get_file_info(path).type == fs.FileType.Directory:
-        store.delete_dir(path)
+    folders.remove(spark, _tables(spark))
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove tables of ``cut_lineage`` whose last reader has been written, and the shuffles behind them.
+
+    For the code that made them: what it has written since starts from other files,
+    so a task that runs again does not need these. Spark removes the shuffle files
+    of plans that the driver no longer holds when it collects garbage, which it is
+    asked to do here. Other DataFrames are left alone.
+    """
+    paths = [t._cut_path for t in tables if hasattr(t, "_cut_path")]
+    for path in paths:
+        folders.remove(tables[0].sparkSession, path)
+    if paths:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -69,8 +82,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     What follows starts from files: it may read them several times, a lost
     executor costs a re-read, and the planner knows their size. The tables of an
-    application lie in one folder; ``release_tables`` removes them.
+    application lie in one folder; ``release_tables`` removes them, and
+    ``drop_tables`` those that their maker is done with.
     """
     path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
