@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from tallyframe.llm.arrays import text_bytes
 from tallyframe.llm.components import components
 from tallyframe.llm.shingles import WIDTH, mix, shingle_sets
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, drop_tables
 
 CELLS = 1 << 20  # counters of the corpus-wide shingle table
 PART = 1 << 12  # counters in a row of that table
@@ -270,7 +270,10 @@ def _mixed_lists(members: DataFrame, label: DataFrame) -> DataFrame:
     members = members.select("shingle", "doc", "n", "pos").join(label.withColumnRenamed("id", "doc"), "doc", "left")
     members = cut_lineage(members.withColumn("component", F.coalesce("component", "doc")))
     mixed = members.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    return cut_lineage(members.join(cut_lineage(mixed.select("shingle")), "shingle"))
+    mixed = cut_lineage(mixed.select("shingle"))
+    found = cut_lineage(members.join(mixed, "shingle"))
+    drop_tables(members, mixed)
+    return found
 
 
 def _guided_stars(members: DataFrame, percent: int, leaders: int) -> DataFrame:
@@ -318,19 +321,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = cut_lineage(_suffix_filter(stars, table, percent))
     star_links = cut_lineage(_verified(first, candidate_sets(docs, id_col, text_col, width, first), percent).union(same))
     label = components(star_links)
+    drop_tables(first, classes, star_links)
 
     # a leader may follow another one, and then has two equal rows
     members = links.select("shingle", "doc", "n", "pos").union(links.select("shingle", F.col("lead"), F.col("lead_n"), F.col("lead_pos")).distinct())
     members = _mixed_lists(members, label)
+    drop_tables(links)
     for leaders in GUIDED:
-        near = cut_lineage(_suffix_filter(_guided_stars(members, percent, leaders), table, percent))
-        near = cut_lineage(_short_filter(near, candidate_sets(docs, id_col, text_col, width, near, short=True), percent))
+        wide = cut_lineage(_suffix_filter(_guided_stars(members, percent, leaders), table, percent))
+        near = cut_lineage(_short_filter(wide, candidate_sets(docs, id_col, text_col, width, wide, short=True), percent))
+        drop_tables(wide)
         found = _verified(near, candidate_sets(docs, id_col, text_col, width, near), percent)
-        label = components(found.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
-        members = _mixed_lists(members, label)
+        last, label = label, components(found.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        drop_tables(near, last)
+        last, members = members, _mixed_lists(members, label)
+        drop_tables(last)
     # a pair that shares one of the last few shared rows was listed there already
     ahead = Window.partitionBy("doc", "n").orderBy("pos", "shingle").rowsBetween(-BACK, -1)
-    members = cut_lineage(members.withColumn("before", F.collect_list("shingle").over(ahead)))
+    last, members = members, cut_lineage(members.withColumn("before", F.collect_list("shingle").over(ahead)))
+    drop_tables(last)
     x, y = members.alias("x"), members.alias("y")
     xn, yn, xp, yp = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
     index = xn - F.ceil(2 * percent * xn / (100 + percent)) + 1
@@ -343,9 +352,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & ~F.arrays_overlap("x.before", "y.before")
     )
     pairs = across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    second = cut_lineage(_suffix_filter(pairs, table, percent))
-    second = cut_lineage(_short_filter(second, candidate_sets(docs, id_col, text_col, width, second, short=True), percent))
+    wide = cut_lineage(_suffix_filter(pairs, table, percent))
+    drop_tables(members)
+    second = cut_lineage(_short_filter(wide, candidate_sets(docs, id_col, text_col, width, wide, short=True), percent))
+    drop_tables(wide)
     more = _verified(second, candidate_sets(docs, id_col, text_col, width, second), percent)
-    label = components(more.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+    last, label = label, components(more.union(label.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+    drop_tables(second, last)
     out = documents.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
