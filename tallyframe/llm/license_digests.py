@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that the SQL check deletes. They include any line that begins with "copyright", which on the given tables is no
-#: line of a licence body; ``without_notices`` is what the operator applies.
+#: Lines that the SQL check deletes where the operator applies ``without_notices``, whose pattern looks ahead. They
+#: include any line that begins with "copyright", which on the given tables is no line of a licence body.
 OWNER_LINE = r"(?m)^[ \t/*#;>-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
 #: Words with which licence texts open, and with which a notice before them ends (fixed values).
@@ -39,6 +39,14 @@ OWNER_NOTICE = rf"(?m)^({_DECOR}{_TITLE}){_NOTICE}(?:(?:(?!\n[ \t/*#;>-]*\n)[\s\
 #: Reserved rights that fill a line or stand before a licence text.
 RESERVED = rf"(?m)^{_DECOR}(?i:all[ \t]+rights[ \t]+reserved)\b[ \t.,!*/#]*(?=\n|\z|{_OPENING})"
 
+#: What may stand before the opening of a licence in a text that is this licence as a whole: paragraphs of a title, a
+#: notice, or both, however long. Both patterns are plain enough for any regular expression engine.
+OPENING = _OPENING
+PARAGRAPH_END = r"\n[ \t/*#;>-]*\n"
+_LEAD = r"^[\s/*#;>-]*(?:[^\n!?;,]*\b(?i:licen[sc]e)\b[ \t:.]*(?:\([^)\n]*\))?[\s/*#;>:.-]*)?"
+LEADING = _LEAD + r"(?:(?i:copyright|\(c\)|©|all[ \t]+rights[ \t]+reserved)[\s\S]*)?\z"
+NOT_LEADING = _LEAD + rf"(?i:copyright)[ \t]+(?i:{_NO_NAME})\b"
+
 #: Equivalent spellings; the first form becomes the second (fixed values).
 SPELLINGS = (
     ("licence", "license"),
@@ -100,16 +108,30 @@ def words_alone(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "))
 
 
+def from_opening(text: Column) -> Column:
+    """The text from its first opening words on, if only titles and notices stand before them; else NULL.
+
+    A full stop inside a line ends what can be a title.
+    """
+    at = F.regexp_instr(text, F.lit(f"({OPENING})"))
+    before = F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"[.][ \t]", "! ")
+    parts = F.filter(F.split(before, PARAGRAPH_END, -1), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    only = F.forall(parts, lambda p: p.rlike(LEADING) & ~p.rlike(NOT_LEADING))
+    return F.when((at > 0) & only, F.substring(text, at, F.length(text)))
+
+
 def canonical_forms(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """``keep`` with ``t``, the canonical text without owner notices, and ``full``, the one with them.
+    """``keep`` with ``t``, the canonical text without owner notices, ``full``, the one with them, and ``body``.
 
     Line ends decide what is a notice, but not what ``full`` is: a licence whose
-    own words look like a notice in some line width is still found by it.
+    own words look like a notice in some line width is still found by it. ``body``
+    is what follows titles and notices of any length, NULL if other words precede.
     """
     rows = rows.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_bare", without_notices(F.col("_text")))
-    rows = rows.select(*keep, "_text", (F.col("_bare") == F.col("_text")).alias("_same"), words_alone(F.col("_bare")).alias("t"))
-    return rows.select(*keep, "t", F.when(F.col("_same"), F.col("t")).otherwise(words_alone(F.col("_text"))).alias("full"))
+    rows = rows.withColumns({"_bare": without_notices(F.col("_text")), "_body": from_opening(F.col("_text"))})
+    rows = rows.select(*keep, "_text", "_body", (F.col("_bare") == F.col("_text")).alias("_same"), words_alone(F.col("_bare")).alias("t"))
+    full = F.when(F.col("_same"), F.col("t")).otherwise(words_alone(F.col("_text"))).alias("full")
+    return rows.select(*keep, "t", full, words_alone(F.col("_body")).alias("body"))
 
 
 def _sha256(text: Column) -> Column:
@@ -119,7 +141,7 @@ def _sha256(text: Column) -> Column:
 def known_digests(known: DataFrame) -> DataFrame:
     """``license, digest`` of texts with owner notices and without them."""
     texts = canonical_forms(known.where("license is not null"), "text", "license")
-    texts = texts.select("license", F.explode(F.array_distinct(F.array("t", "full"))).alias("t")).where("t != ''")
+    texts = texts.select("license", F.explode(F.array_distinct(F.array("t", "full", "body"))).alias("t")).where("t != ''")
     return texts.select("license", _sha256(F.col("t")).alias("digest"))
 
 
@@ -139,7 +161,8 @@ def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", t
         digests = digests.unionByName(stored.where("license is not null"))
     digests = digests.groupBy(F.col("digest").alias("known")).agg(F.min("license").alias("license"))
     rows = canonical_forms(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "id")
-    rows = rows.select("id", F.length("t").cast("bigint").alias("canonical_chars"), _sha256(F.col("t")).alias("digest"), _sha256(F.col("full")).alias("full"))
+    rows = rows.select("id", F.length("t").cast("bigint").alias("canonical_chars"), _sha256(F.col("t")).alias("digest"), _sha256(F.col("full")).alias("full"), _sha256(F.col("body")).alias("body"))
     rows = rows.join(digests.withColumnRenamed("license", "bare_license"), F.col("digest") == F.col("known"), "left").drop("known")
-    rows = rows.join(digests, F.col("full") == F.col("known"), "left")
-    return rows.select(F.col("id").alias(id_col), "canonical_chars", "digest", F.coalesce("bare_license", "license").alias("license"))
+    rows = rows.join(digests.withColumnRenamed("license", "full_license"), F.col("full") == F.col("known"), "left").drop("known")
+    rows = rows.join(digests, F.col("body") == F.col("known"), "left")
+    return rows.select(F.col("id").alias(id_col), "canonical_chars", "digest", F.coalesce("bare_license", "full_license", "license").alias("license"))

@@ -249,7 +249,7 @@ def _suffix_filter(pairs: DataFrame, table: DataFrame, percent: int) -> DataFram
             enough = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(enough))
 
-    cells = table.where("part is null and doc is not null and n > 0").select("doc", "cells")
+    cells = table.where("doc is not null and n > 0").select("doc", "cells")
     left, right = cells.select(F.col("doc").alias("a"), F.col("cells").alias("x")), cells.select(F.col("doc").alias("b"), F.col("cells").alias("y"))
     # a repeated id has several rows of counts; the pair stays if any of them allows it
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "a bigint, b bigint").distinct()
@@ -305,9 +305,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has its own size and a NULL component. An empty table gives no rows. Other
     columns are not read, whatever their names.
     """
-    table = cut_lineage(shingle_table(docs, id_col, text_col, width))
-    documents = table.where("part is null").select("doc", "n", "key")
-    counts = corpus_counts(table)
+    scanned = cut_lineage(shingle_table(docs, id_col, text_col, width))
+    counts = corpus_counts(scanned)
+    table = cut_lineage(scanned.where("part is null").select("doc", "n", "key", "cells"))
+    drop_tables(scanned)
+    documents = table.select("doc", "n", "key")
     links = cut_lineage(prefix_links(docs, id_col, text_col, width, percent, counts))
 
     known = documents.where("n > 0 and doc is not null")

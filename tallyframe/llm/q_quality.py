@@ -45,23 +45,32 @@ def quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
                coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS c
         FROM m
     ), q AS (
-        SELECT grouping(lang, source) AS level, lang, source, count(*) AS n,
+        SELECT grouping(lang, source) AS level, lang, source, count(*) AS n, quantile_disc(n_words, 0.5)::DOUBLE AS m,
                quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1,
                quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3
         FROM r WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())
     ), f AS (
-        SELECT r.*, CASE WHEN o.n >= 50 THEN o WHEN l.n >= 50 THEN l ELSE e END AS f
+        SELECT r.*, own.n AS n1, l.n AS n2,
+               [own.m, own.a1, own.a3, own.b1, own.b3, own.c1, own.c3] AS v1, [l.m, l.a1, l.a3, l.b1, l.b3, l.c1, l.c3] AS v2, [e.m, e.a1, e.a3, e.b1, e.b3, e.c1, e.c3] AS v3
         FROM r
-        LEFT JOIN q o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+        LEFT JOIN q own ON own.level = 0 AND own.lang IS NOT DISTINCT FROM r.lang AND own.source IS NOT DISTINCT FROM r.source
         LEFT JOIN q l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM r.lang
         LEFT JOIN q e ON e.level = 3
+    ), g AS (
+        SELECT *, CASE WHEN n2 IS NULL THEN v3 ELSE list_transform(list_zip(v2, v3), lambda z: (n2 * z[1] + 50.0::DOUBLE * z[2]) / (n2 + 50.0::DOUBLE)) END AS w2 FROM f
+    ), h AS (
+        SELECT *, CASE WHEN n1 IS NULL THEN w2 ELSE list_transform(list_zip(v1, w2), lambda z: (n1 * z[1] + 50.0::DOUBLE * z[2]) / (n1 + 50.0::DOUBLE)) END AS v FROM g
+    ), x AS (
+        SELECT *, word_chars * (v[3] + 3.0::DOUBLE * (v[3] - v[2])) AS signs, n_lines * (v[7] + 3.0::DOUBLE * (v[7] - v[6])) AS again,
+               3.0::DOUBLE * ((v[5] - v[4]) * greatest(1.0::DOUBLE, sqrt(v[1] / greatest(n_words, 1))) + 1.0::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE)) AS reach
+        FROM h
     )
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed
-           AND a BETWEEN f.a1 - (3.0::DOUBLE * (f.a3 - f.a1) + 0.05::DOUBLE) AND f.a3 + (3.0::DOUBLE * (f.a3 - f.a1) + 0.05::DOUBLE)
-           AND b BETWEEN f.b1 - (3.0::DOUBLE * (f.b3 - f.b1) + 3.0::DOUBLE) AND f.b3 + (3.0::DOUBLE * (f.b3 - f.b1) + 3.0::DOUBLE)
-           AND c BETWEEN f.c1 - (3.0::DOUBLE * (f.c3 - f.c1) + 0.5::DOUBLE) AND f.c3 + (3.0::DOUBLE * (f.c3 - f.c1) + 0.5::DOUBLE) AS kept
-    FROM f
+           AND n_symbols <= signs + 3.0::DOUBLE * sqrt(signs) + 3.0::DOUBLE
+           AND n_dup_lines <= again + 3.0::DOUBLE * sqrt(again) + 3.0::DOUBLE
+           AND b BETWEEN v[4] - reach AND v[5] + reach AS kept
+    FROM x
     """,
 )
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,25 +83,44 @@ def _spelled(text: str) -> str:
     return text
 
 
+def _words(text: str) -> str:
+    return rf"trim(regexp_replace({_spelled(f'lower({text})')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
 def _canonical(text: str) -> str:
-    bare = f"regexp_replace(lower(coalesce({text}, '')), '{license_digests.OWNER_LINE}', '', 'g')"
-    return rf"trim(regexp_replace({_spelled(bare)}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return _words(f"regexp_replace(coalesce({text}, ''), '(?i){license_digests.OWNER_LINE}', '', 'g')")
+
+
+def _body(text: str) -> str:
+    """The text from its first opening words on, where only titles and notices precede them."""
+    rules = license_digests
+    before = rf"regexp_extract({text}, '^([\s\S]*?){rules.OPENING}', 1)"
+    parts = rf"list_filter(regexp_split_to_array(regexp_replace({before}, '[.][ \t]', '! ', 'g'), '{rules.PARAGRAPH_END}'), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]'))"
+    good = f"len(list_filter({parts}, lambda p: NOT regexp_matches(p, '{rules.LEADING}') OR regexp_matches(p, '{rules.NOT_LEADING}'))) = 0"
+    return f"CASE WHEN regexp_matches({text}, '{rules.OPENING}') AND {good} THEN {_words(f'substr({text}, length({before}) + 1)')} END"
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in license_digests.KNOWN)
+_STORED = ", ".join(f"({_quoted(n)}, {_quoted(d)})" for n, d in STORED)
+
+
 @query(
     "op2_license_digests",
     f"""
-    WITH known AS (
-        SELECT sha256(t) AS digest, min(name) AS license
-        FROM (SELECT name, {_canonical("body")} AS t FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in license_digests.KNOWN)}) k(name, body))
-        WHERE t <> '' GROUP BY 1
-    ), d AS (SELECT doc_id, {_canonical("text")} AS t FROM documents)
-    SELECT doc_id, length(t)::BIGINT AS canonical_chars, sha256(t) AS digest, license
-    FROM d LEFT JOIN known ON sha256(d.t) = known.digest
+    WITH texts AS (
+        SELECT name, unnest([{_canonical("body")}, {_words("body")}, {_body("body")}]) AS t FROM (VALUES {_KNOWN}) k(name, body)
+    ), known AS (
+        SELECT digest, min(name) AS license
+        FROM (SELECT name, sha256(t) AS digest FROM texts WHERE t <> '' UNION ALL SELECT name, digest FROM (VALUES {_STORED}) s(name, digest)) GROUP BY 1
+    ), d AS (
+        SELECT doc_id, {_canonical("text")} AS t, {_words("text")} AS w, {_body("text")} AS b FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    )
+    SELECT doc_id, length(t)::BIGINT AS canonical_chars, sha256(t) AS digest, coalesce(x.license, y.license, z.license) AS license
+    FROM d LEFT JOIN known x ON sha256(d.t) = x.digest LEFT JOIN known y ON sha256(d.w) = y.digest LEFT JOIN known z ON sha256(d.b) = z.digest
     """,
 )
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

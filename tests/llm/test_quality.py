@@ -100,6 +100,32 @@ def test_fences_follow_the_group(spark):
     assert all(kept[k] for k in range(400)) and not kept[1000] and not kept[1001] and 1002 in kept
 
 
+def test_each_fence_acts_and_follows_its_group(spark):
+    def text(k, lines=12, word="word"):
+        return "\n".join(f"{word}{k % 97} line{j} of{j} the{j} text{k % 13} goes{j} on{j}" for j in range(lines))
+
+    # in one group every document repeats a third of its lines and has signs, in the other none does
+    noisy = lambda k: text(k) + "\n" + "\n".join(["end | of"] * 6) + "\n" + text(k + 1)
+    rows = [(k, noisy(k) if k % 2 else text(k, 29), "en", "noisy" if k % 2 else "plain") for k in range(600)]
+    strange = "\n".join([text(5, 29)] + [x for j in range(24) for x in (f"of{j} text{j}", f"of{j} text{j}")])
+    signs = text(5, 29) + " " + "# " * 40
+    longer = text(7, 29, "extraordinarilylongword" * 2)
+    rows += [(1000 + 10 * g + k, t, "en", source) for g, source in enumerate(("plain", "noisy", "rare")) for k, t in enumerate((strange, signs, longer))]
+    kept = {r.doc_id: r.kept for r in quality_rules(documents(spark, rows)).collect()}
+    assert all(kept[k] for k in range(600))
+    assert [kept[1000 + k] for k in range(3)] == [False] * 3
+    assert kept[1010] and not kept[1011]  # repeated lines are usual there, that many signs are not
+    assert not kept[1022]  # a group of three rows mostly follows its language
+
+
+def test_rules_and_held_out_labels(tables):
+    """Rules know no labels; on the labelled rows they spare the good ones and find most of the bad ones."""
+    docs, labels = tables
+    found = quality_rules(docs).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    share = {r.quality: r.kept for r in found.collect()}
+    assert share[1] > 0.99 and share[0] < 0.2
+
+
 def test_rules_awkward_rows(spark):
     docs = documents(spark)
     found = quality_rules(docs).collect()
@@ -146,6 +172,23 @@ def test_licences_in_any_line_width(spark):
     assert not wrong, (len(wrong), len(rows), wrong[:3])
 
 
+def test_titles_and_notices_of_any_length(spark):
+    owners = ", ".join(f"Person Number {k} of the Town" for k in range(60))
+    leads = [
+        "The MIT License (MIT)", "The MIT License", "MIT Licence:", "The MIT License (MIT)\n\nCopyright (c) 2014 Some One",
+        f"Copyright (c) 2014 {owners}", f"MIT License\n\nCopyright 2014 {owners}\nAll rights reserved.", "Copyright ACME", "Copyright acme inc.", "copyright acme",
+        "The Expat/MIT License (as published by the people who first wrote it down, and by others later on)\n\n(c) Some One\n\nCopyright acme inc.",
+    ]
+    rows = [(lead + gap + body, "MIT") for lead in leads for gap in ("\n\n", "\n", " ") for body in (MIT, " ".join(MIT.split()))]
+    others = ["My notes on the town. License", "Words of my own", "Copyright notices are below", "Is this a license?", "A list, a license"]
+    rows += [(f"{lead}\n\n{MIT}", None) for lead in others] + [(f"Copyright ACME\n\nown words\n\n{MIT}", None), ("Copyright ACME\n\n" + MIT + " more", None)]
+    docs = [(k, text, "en", "a") for k, (text, _) in enumerate(rows)]
+    known = spark.createDataFrame(KNOWN, "license string, text string")
+    got = {r.doc_id: r.license for r in license_matches(documents(spark, docs), known).collect()}
+    wrong = [(got[k], text[:90]) for k, (text, want) in enumerate(rows) if got[k] != want]
+    assert not wrong, (len(wrong), wrong[:4])
+
+
 def test_only_notices_go(spark):
     texts = [
         ("copyright notice and this permission notice appear", "copyright notice and this permission notice appear"),
