@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -70,6 +71,18 @@ def test_stages_take_awkward_rows(spark, sf):
         assert docs.count() >= 0
 
 
+def test_stages_keep_columns_that_begin_with_an_underscore(spark, sf):
+    clashes = "_score _times _plan _source _other _own _id _nth _sha _points".split()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        marked = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clashes])
+        out = stage(spark, marked, sf)
+        assert out.columns == marked.columns
+        plain = stage(spark, docs, sf)
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+        assert out.where(" or ".join(f"{c} != concat('{c}', doc_id)" for c in clashes)).isEmpty()
+
+
 def brute_mix(rows):
     """How often each id is taken: complete epochs, then documents by key while that comes nearer to the target."""
     by = defaultdict(list)
