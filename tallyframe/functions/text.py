@@ -19,6 +19,7 @@ WHITESPACE = (
 # White space to collapse: any run but a single plain blank, so ordinary text
 # passes with few replacements.
 _RUN = f" {WHITESPACE}+|(?! ){WHITESPACE}+"
+DIGIT = r"\p{Nd}"  # decimal digits of any script
 _EDGES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 # --- fixed values: cue words that decide an answer ---
@@ -41,6 +42,27 @@ MULTI_SELECT = r"(?i)select (?:none, )?one or multiple answers?"
 OPTION_TAIL = r"(?is)select (?:one answer|(?:none, )?one or multiple answers?)[:\s]*(.+)$"
 TIME_LOOSE = r"\d{1,2}:[0-5]?\d:[0-5]?\d"
 TIME_GUARDED = r"(?<!\d)\d{1,2}:[0-5]?\d:[0-5]?\d(?!\d)"
+# answer format by question wording, in order of preference: a phrase anywhere, at the end, or a pattern
+FORMAT_WORDING = {
+    "frame": (
+        ("multiple_choice", "has", "please select one answer:"),
+        ("binary", "ends", "please answer with yes or no."),
+        ("number", "ends", "please provide a number."),
+        ("fo_class", "ends", "please provide a class name."),
+        ("fo_class", "ends", "please provide the class names or answer with none."),
+    ),
+    "window": (
+        ("multiple_choice", "like", r"\b(?:please )?select (?:one answer|(?:none, )?one or multiple answers?)\s*:"),
+        ("binary", "like", r"(?:please )?answer with (?:exactly )?yes or no[.!]?$"),
+        ("percentage", "has", "format xx%"),
+        ("percentage", "has", "answer as a percentage"),
+        ("time", "has", "hh:mm:ss"),
+        ("number", "like", r"\bplease provide (?:a )?number\b"),
+        ("fo_class", "has", "please provide a class name"),
+        ("fo_class", "has", "please provide the class name"),
+    ),
+}
+UNWORDED_FORMAT = "open_ended"
 # --- end of fixed values ---
 
 
@@ -128,11 +150,11 @@ def _first_match(x: Column, pattern: str) -> Column:
 
 
 def normalize_number(x: Column) -> Column:
-    return F.coalesce(_first_match(x, r"\d+"), clean(x))
+    return F.coalesce(_first_match(x, rf"{DIGIT}+"), clean(x))
 
 
 def normalize_percentage(x: Column) -> Column:
-    return F.coalesce(_first_match(x, r"\d+(?:\.\d+)?"), clean(x))
+    return F.coalesce(_first_match(x, rf"{DIGIT}+(?:\.{DIGIT}+)?"), clean(x))
 
 
 def first_number(x: Column) -> Column:
@@ -419,34 +441,17 @@ def class_arity_is_multi(question: Column) -> Column:
 
 def infer_format(question: Column, rules: str = "window") -> Column:
     """Answer format read off the question wording (``window`` or ``frame`` rules)."""
-    t = F.lower(clean(question))
-    if rules == "frame":
-        return (
-            F.when(t.contains("please select one answer:"), "multiple_choice")
-            .when(t.endswith("please answer with yes or no."), "binary")
-            .when(t.endswith("please provide a number."), "number")
-            .when(
-                t.endswith("please provide a class name.")
-                | t.endswith("please provide the class names or answer with none."),
-                "fo_class",
-            )
-            .otherwise("open_ended")
-        )
-    if rules != "window":
+    if rules not in FORMAT_WORDING:
         raise ValueError(f"unknown rules: {rules}")
-    select = r"\b(?:please )?select (?:one answer|(?:none, )?one or multiple answers?)\s*:"
-    return (
-        F.when(t.rlike(select), "multiple_choice")
-        .when(t.rlike(r"(?:please )?answer with (?:exactly )?yes or no[.!]?$"), "binary")
-        .when(t.contains("format xx%") | t.contains("answer as a percentage"), "percentage")
-        .when(t.contains("hh:mm:ss"), "time")
-        .when(t.rlike(r"\bplease provide (?:a )?number\b"), "number")
-        .when(
-            t.contains("please provide a class name") | t.contains("please provide the class name"),
-            "fo_class",
-        )
-        .otherwise("open_ended")
-    )
+
+    def first_hit(low: Column) -> Column:
+        test = {"has": low.contains, "ends": low.endswith, "like": low.rlike}
+        out = F.lit(UNWORDED_FORMAT)
+        for answer_format, how, wording in reversed(FORMAT_WORDING[rules]):
+            out = F.when(test[how](wording), answer_format).otherwise(out)
+        return out
+
+    return let(F.lower(clean(question)), first_hit)
 
 
 def strip_reasoning(x: Column) -> Column:

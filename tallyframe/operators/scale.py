@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.session import cut_lineage
+
 
 def spread(scan: DataFrame, *columns: str) -> DataFrame:
     """Deal rows of costly texts out where their files cannot be split into a task per core.
@@ -75,6 +77,49 @@ def grouped_rank(
     return out.drop("_bucket", "_size", "_before", "_total", "_all")
 
 
+def range_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "rank",
+    total: str | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """``row_number`` in each group for any size and any spread of keys, without buckets.
+
+    Rows are dealt to ranges of (keys, order) at sampled split points, sorted there and
+    written once. A row's place in its range is the running number that Spark gives
+    it, and a group's place at the begin of a range follows from the ranges' counts, a
+    row per range and group. Ranges that begin behind ``limit`` are not read again. A
+    NULL key is a group of its own.
+    """
+    base, by = _with_group(df, keys)
+    sorted_ = base.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = cut_lineage(sorted_.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        F.col("_range").alias("_r"),
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)],
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        F.sum("_size").over(group).alias("_total"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+    )
+    if limit is not None:
+        starts = starts.where(F.col("_before") < limit)
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = placed.join(starts, same).withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint"))
+    if limit is not None:
+        out = out.where(F.col(name) <= limit)
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_at", "_range", "_r", "_shift", "_total", "_before", "_all", *[f"_k{i}" for i in range(len(by))])
+
+
 def first_by_hash(df: DataFrame, keys: Sequence[str], digest: Column, limit: int) -> DataFrame:
     """The ``limit`` rows of each group with the smallest digest.
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tallyframe.functions.numbers import hash_text
 from tallyframe.functions.prompts import frame_labels, instruction, window_preamble
 from tallyframe.operators.frames import window_indices
-from tallyframe.operators.scale import first_by_hash, grouped_rank, hash_bucket
+from tallyframe.operators.scale import first_by_hash, grouped_rank, hash_bucket, range_rank
 
 
 def repeated(df: DataFrame, times: Column, name: str = "copy_no") -> DataFrame:
@@ -108,9 +108,8 @@ def stratified_subset(
         *strata, F.greatest(F.lit(1), F.rint(F.col("_n") * share)).cast("bigint").alias("_quota")
     )
     digest = hash_text(seed, *[F.col(k) for k in key])
-    ranked = grouped_rank(
-        df.withColumn("_d", digest), strata, hash_bucket(F.col("_d")), [F.col("_d")], "_r"
-    )
+    most = quota.agg(F.max("_quota")).first()[0] or 0  # ranges behind the largest quota are not read again
+    ranked = range_rank(df.withColumn("_d", digest), strata, [F.col("_d")], "_r", limit=most)
     return ranked.join(quota, list(strata)).where(F.col("_r") <= F.col("_quota")).drop("_d", "_r", "_quota")
 
 
@@ -143,15 +142,15 @@ def short_strata(selected: DataFrame, df: DataFrame, affected: Column, strata: S
     return out.where(F.col("controls") < per_stratum)
 
 
-def dense_index(df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "selection_index") -> DataFrame:
+def dense_index(df: DataFrame, order: Sequence[Column], name: str = "selection_index") -> DataFrame:
     """0-based position in the given order, without one global sort task."""
-    return grouped_rank(df, [], bucket, order, "_r").withColumn(name, F.col("_r") - 1).drop("_r")
+    return range_rank(df, [], order, "_r").withColumn(name, F.col("_r") - 1).drop("_r")
 
 
 def shuffled(df: DataFrame, key: Sequence[str], seed: int = 42, name: str = "position") -> DataFrame:
     """Seeded order of the training set as a position column."""
     digest = hash_text(seed, *[F.col(k) for k in key])
-    return dense_index(df.withColumn("_d", digest), hash_bucket(F.col("_d")), [F.col("_d")], name).drop("_d")
+    return dense_index(df.withColumn("_d", digest), [F.col("_d")], name).drop("_d")
 
 
 def rebalanced(

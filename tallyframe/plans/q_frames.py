@@ -10,7 +10,6 @@ from tallyframe.functions.prompts import CLOSING_V2, ORDER_V2, SCOPE_V3, system_
 from tallyframe.operators import frames as P
 from tallyframe.operators import trainset as T
 from tallyframe.operators.joins import first_available
-from tallyframe.operators.scale import value_bucket
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import table, view
 
@@ -372,8 +371,7 @@ def short_control_strata(spark, sf):
 def dense_selection_index(spark, sf):
     df = view(spark, sf, "eval_rows").select("qid", "dataset", "k")
     order = [F.desc("k"), F.col("dataset"), F.col("qid")]
-    bucket = F.struct((-F.col("k")).alias("k"), "dataset", value_bucket(F.col("qid").cast("double")).alias("id"))
-    return T.dense_index(df, bucket, order).select("qid", "selection_index")
+    return T.dense_index(df, order).select("qid", "selection_index")
 
 
 @query(

@@ -46,6 +46,7 @@ def partitioned_annotations(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
+# --- fixed values: columns of a results file and what reports call them ---
 RESULT_NAMES = {
     "video": "evaluated_video",
     "ood": "evaluated_ood",
@@ -54,6 +55,7 @@ RESULT_NAMES = {
     "answer_format": "evaluated_answer_format",
     "latency": "evaluated_latency_sec",
 }
+# --- end of fixed values ---
 
 
 def results(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:

@@ -34,6 +34,20 @@ def test_rank_equals_row_number(hot):
     assert plain.where("r <> w OR n <> c").count() == 0 and plain.count() == 6000
 
 
+def test_range_rank_with_a_hot_group(spark, hot):
+    """Equal to row_number, and no range holds much more than its share though a third of the rows are one group."""
+    rows = hot.withColumn("g", F.when(F.col("g") != "g7", F.col("g"))).withColumn("d", hash_text(1, F.col("id")))
+    ranked = S.range_rank(rows, ["g"], [F.col("d")], "r", "n")
+    plain = ranked.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("d"))).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    assert plain.where("r <> w OR n <> c").count() == 0 and plain.count() == 6000
+    first = S.range_rank(rows, ["g"], [F.col("d")], "r", limit=5)
+    assert first.count() == 5 * rows.select("g").distinct().count() and first.agg(F.max("r")).first()[0] == 5
+    dealt = rows.repartitionByRange(16, "g", "d").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert dealt < 3 * 6000 / 16
+    assert S.range_rank(rows, [], [F.col("d")], "r").agg(F.count_distinct("r"), F.max("r")).first() == (6000, 6000)
+    assert S.range_rank(rows.where("1 = 0"), ["g"], [F.col("d")], "r").collect() == []
+
+
 def test_global_rank_is_dense(hot):
     digest = hash_text(1, F.col("id"))
     ranked = S.grouped_rank(hot.withColumn("d", digest), [], S.hash_bucket(F.col("d")), [F.col("d")], "r")
