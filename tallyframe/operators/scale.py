@@ -101,7 +101,7 @@ def range_rank(
     group = Window.partitionBy(*by)
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        F.col("_range").alias("_r"),
+        F.col("_range").alias("_begin"),
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)],
         (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_size").over(group).alias("_total"),
@@ -109,7 +109,7 @@ def range_rank(
     )
     if limit is not None:
         starts = starts.where(F.col("_before") < limit)
-    same = F.col("_range") == F.col("_r")
+    same = F.col("_range") == F.col("_begin")
     for i, k in enumerate(by):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = placed.join(starts, same).withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint"))
@@ -117,7 +117,7 @@ def range_rank(
         out = out.where(F.col(name) <= limit)
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_at", "_range", "_r", "_shift", "_total", "_before", "_all", *[f"_k{i}" for i in range(len(by))])
+    return out.drop("_at", "_range", "_begin", "_shift", "_total", "_before", "_all", *[f"_k{i}" for i in range(len(by))])
 
 
 def first_by_hash(df: DataFrame, keys: Sequence[str], digest: Column, limit: int) -> DataFrame:
