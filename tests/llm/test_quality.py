@@ -52,6 +52,28 @@ def test_votes_are_weighted_by_cosine():
     assert model.scores(counts) == pytest.approx([1 / 1.6, 0.7])  # an empty text gets the share of label 1
 
 
+def test_votes_over_a_table_by_brute_force(tables):
+    """Every document against every labelled vector, one by one in double precision."""
+    docs, labels = tables
+    model = fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: r.score for r in scored(docs.select("doc_id", "text"), model).collect()}
+    vectors, basis, idf = (x.astype(np.float64) for x in (model.vectors, model.basis, model.idf))
+    off = []
+    for r in rows:
+        counts = np.concatenate([c for _, _, c in term_counts(*text_bytes(pa.array([r.text], pa.string())))])[0]
+        weighted = np.log1p(counts.astype(np.float64)) * idf
+        place = (weighted / (np.linalg.norm(weighted) or 1)) @ basis
+        cosines = vectors @ (place / (np.linalg.norm(place) or 1))
+        best = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: model.neighbours]
+        votes = [max(cosines[k], 0) ** model.sharpness for k in best]
+        want = sum(v * model.labels[k] for v, k in zip(votes, best)) / sum(votes) if sum(votes) else model.prior
+        off.append(abs(got[r.doc_id] - want))
+    off = np.array(off)
+    assert len(off) == len(got) and (off < 1e-3).mean() > 0.99  # equal cosines at the last place may fall either way
+    assert off.max() < 2 / model.neighbours
+
+
 def test_basis_spans_the_leading_directions():
     rows = np.random.Generator(np.random.PCG64(1)).standard_normal((60, 40)).astype(np.float32) * np.linspace(3, 0.01, 40, dtype=np.float32)
     basis = latent_basis(rows, 5, rounds=30)
