@@ -79,18 +79,31 @@ def frame_details(frames: DataFrame, folder: str = "frames") -> DataFrame:
 
 # -- sets of frames as bits ----------------------------------------------------------
 #
-# A set of frames of a video is rows (video, word, bits) with 64 frames a word. The
-# words of a video's windows merge by ``bit_or`` inside every task, so a shuffle
-# carries words and never frames; union, clip and difference are bit operations on
-# long values, which stay inside generated code.
+# A set of frames of a video is rows (video, word, bits) with 64 frames a word, which
+# lie ``APART`` frames apart: sampling steps are multiples of 25 or 30 frames, so the
+# frames of a window fill its words. Words of a video's windows merge by ``bit_or``
+# inside every task, so a shuffle carries words and never frames; union, clip and
+# difference are bit operations on long values, which stay inside generated code.
+
+APART = 150
+
+
+def _turn(frame: Column) -> Column:
+    return F.call_function("div", frame - F.pmod(frame, F.lit(APART)), F.lit(APART))
 
 
 def _word(frame: Column) -> Column:
-    return F.shiftright(frame, 6)
+    return F.shiftright(_turn(frame), 6) * APART + F.pmod(frame, F.lit(APART))
 
 
 def _bit(frame: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), frame.bitwiseAND(63).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _turn(frame).bitwiseAND(63).cast("int"))
+
+
+def _first_turn() -> tuple[Column, Column]:
+    """First turn of a word's frames, and their offset inside a turn."""
+    offset = F.pmod(F.col("word"), F.lit(APART))
+    return F.call_function("div", F.col("word") - offset, F.lit(APART)) * 64, offset
 
 
 def as_words(frames: DataFrame, keys: Sequence[str], **sets: Column) -> DataFrame:
@@ -119,8 +132,9 @@ def inventory_words(files: DataFrame, keys: Sequence[str] = ("dataset", "video")
 
 def listed_words(words: DataFrame, keys: Sequence[str], bits: str) -> DataFrame:
     """The frames of a set, one row each."""
+    turn, offset = _first_turn()
     rows = words.where(F.col(bits) != 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return rows.where(F.getbit(bits, "_b") == 1).select(*keys, (F.shiftleft("word", 6) + F.col("_b")).alias("frame"))
+    return rows.where(F.getbit(bits, "_b") == 1).select(*keys, ((turn + F.col("_b")) * APART + offset).alias("frame"))
 
 
 def build_plan(df: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
@@ -130,10 +144,11 @@ def build_plan(df: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> Dat
 
 def _inside(count: Column) -> Column:
     """Bits of a word's frames below ``count``; all where the count is NULL."""
-    left = count - F.shiftleft("word", 6)
+    turn, offset = _first_turn()
+    left = F.call_function("div", count - offset + (APART - 1), F.lit(APART)) - turn  # turns whose frame lies below the count
     whole = F.lit(-1).cast("bigint")
     part = F.call_function("shiftrightunsigned", whole, (64 - left).cast("int"))
-    below = F.when(left >= 64, whole).when(left <= 0, F.lit(0).cast("bigint")).otherwise(part)
+    below = F.when((count <= offset) | (left <= 0), F.lit(0).cast("bigint")).when(left >= 64, whole).otherwise(part)
     return F.when(F.col("word") < 0, F.lit(0).cast("bigint")).otherwise(F.coalesce(below, whole))
 
 
@@ -191,9 +206,8 @@ def sampled_frames(
         absent = F.bitwise_not(F.coalesce("have", F.lit(0).cast("bigint")))
         gone = gone.select(*keys, "word", F.col("want").bitwiseAND(absent).alias("gone"))
         window = [*keys, *WINDOW]
-        last = F.col("_first") + F.rint((F.col("_k") - 1) * F.col("_gap")).cast("bigint") * F.col("_step")
         spans = sized_windows(df).select(*window).distinct()
-        touched = spans.withColumn("word", F.explode(F.sequence(_word(F.col("_first")), _word(last))))
+        touched = listed_frames(spans).select(*window, _word(F.col("frame")).alias("word")).distinct()
         holes = touched.join(gone.where("gone != 0"), [*keys, "word"]).groupBy(*window)
         holes = holes.agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("_gone"))
         own = own.join(holes, window, "left")
@@ -236,10 +250,10 @@ def coverage(
 def missing_examples(
     df: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video"), show: int = 10
 ) -> DataFrame:
-    """The first missing frames in key order; every word that is left holds one or more."""
+    """The first missing frames in key order; every task sends its first ones."""
     files = inventory_words(inventory, keys).select(*keys, "word", "have")
     both = plan_words(df, keys).join(files, [*keys, "word"], "left").fillna(0, ["have"])
-    gone = both.withColumn("gone", _without("want", "have")).where("gone != 0").orderBy(*keys, "word").limit(show)
+    gone = both.withColumn("gone", _without("want", "have"))
     return listed_words(gone, keys, "gone").orderBy(*keys, "frame").limit(show)
 
 

@@ -139,17 +139,21 @@ def substitute(df: DataFrame, changed: Column, new: Column, old: Column, name: s
 
 
 def salted_lookup(
-    facts: DataFrame, dimension: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner"
+    facts: DataFrame, dimension: DataFrame, keys: Sequence[str], hot_rows: int = 1_000_000, how: str = "inner"
 ) -> DataFrame:
     """Lookup that stays balanced when one key holds a large share of the facts.
 
-    Facts of a key are spread over ``salts`` partitions and the dimension, one
-    row per key, is repeated once per salt. The spread follows the row content,
-    so a re-run task places its rows the same way.
+    Facts of a key with more than ``hot_rows`` rows are spread over as many parts as it
+    has times that number, and only such a key's row of the dimension is repeated,
+    once per part. There are at most rows / ``hot_rows`` hot keys, a table that every
+    task gets. The spread follows the row content, so a re-run task places its rows
+    the same way.
     """
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    spread = facts.withColumn("_salt", salt)
-    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = facts.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), parts).cast("int")).drop("_parts")
+    repeated = dimension.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -136,7 +136,7 @@ def best_overlap(spark, sf):
 )
 def salted_lookup(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_linestatus", "l_orderkey", "l_linenumber")
-    out = J.salted_lookup(lines, table(spark, sf, "part").select("p_partkey", "p_size"), ["p_partkey"])
+    out = J.salted_lookup(lines, table(spark, sf, "part").select("p_partkey", "p_size"), ["p_partkey"], hot_rows=20)
     return out.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"))
 
 

@@ -135,8 +135,11 @@ def class_set_empty_variant(spark, sf):
 
 @query(
     "strip_reasoning",
-    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN trim(t) WHEN 2 THEN trim(t) ELSE trim(t) END AS answer
-       FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations)""",
+    r"""WITH r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think> let me see' || chr(10) WHEN 1 THEN '<think>one' || chr(10) || 'two</think>' || chr(10)
+                             WHEN 2 THEN 'so it is</think> ' ELSE '  ' END || text AS raw FROM conversations),
+            d AS (SELECT *, CASE WHEN contains(raw, '</think>') THEN regexp_replace(regexp_replace(raw, '<think>[\s\S]*?</think>', '', 'g'), '^[\s\S]*?</think>', '')
+                                 WHEN contains(raw, '<think>') THEN '' ELSE raw END AS left_over FROM r)
+       SELECT conv_id, turn, regexp_replace(left_over, '^\s+|\s+$', '', 'g') AS answer FROM d""",
     covers="H-28",
 )
 def strip_reasoning(spark, sf):
@@ -212,8 +215,12 @@ def invalid_format_rate(spark, sf):
 
 @query(
     "format_confusion",
-    """SELECT answer_format, CASE answer_format WHEN 'fo_class' THEN 'fo_class' ELSE answer_format END AS inferred,
-              count(*) AS n FROM answer_rows GROUP BY 1""",
+    r"""WITH q AS (SELECT answer_format, lower(question) AS q FROM answer_rows)
+       SELECT answer_format, CASE WHEN regexp_matches(q, 'select (one answer|(none, )?one or multiple answers?)\s*:') THEN 'multiple_choice'
+              WHEN regexp_matches(q, 'answer with (exactly )?yes or no[.!]?$') THEN 'binary' WHEN contains(q, 'format xx%') OR contains(q, 'answer as a percentage') THEN 'percentage'
+              WHEN contains(q, 'hh:mm:ss') THEN 'time' WHEN contains(q, 'please provide a number') THEN 'number'
+              WHEN contains(q, 'please provide a class name') OR contains(q, 'please provide the class name') THEN 'fo_class' ELSE 'open_ended' END AS inferred,
+              count(*) AS n FROM q GROUP BY 1, 2""",
     ["answer_rows"], covers="J-05 H-21",
 )
 def format_confusion(spark, sf):
@@ -392,7 +399,8 @@ def seconds_to_stamp(spark, sf):
 
 @query(
     "truth_values",
-    """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS value FROM customer""",
+    """WITH t AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ' True' WHEN 1 THEN '0.0' WHEN 2 THEN '1' WHEN 3 THEN 'FALSE' ELSE 'perhaps' END AS said FROM customer)
+       SELECT c_custkey, CASE WHEN lower(trim(said)) IN ('true', '1', '1.0') THEN 1 WHEN lower(trim(said)) IN ('false', '0', '0.0') THEN 0 END AS value FROM t""",
     covers="H-23 K-05",
 )
 def truth_values(spark, sf):
