@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -210,6 +211,66 @@ def binomial_draw(n: Column, p: Column, u: Column) -> Column:
     return F.when(n <= 0, F.lit(0).cast("bigint")).otherwise(picked)
 
 
+def _ln_gamma(z: np.ndarray) -> np.ndarray:
+    """``ln_gamma`` on arrays."""
+    w = np.where(z < 16.0, z + 8.0, z)
+    series = (w - 0.5) * np.log(w) - w + 0.5 * math.log(2 * math.pi) + 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7)
+    product = np.prod([np.where(z < 16.0, z + k, 1.0) for k in range(8)], axis=0)
+    return series - np.log(product)
+
+
+def _binomial_chance(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    n, x = n.astype(np.float64), x.astype(np.float64)
+    return np.exp(_ln_gamma(n + 1) - _ln_gamma(x + 1) - _ln_gamma(n - x + 1) + x * np.log(p) + (n - x) * np.log1p(-p))
+
+
+def _binomial_span(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``binomial_span`` on arrays."""
+    mode = np.minimum(np.floor((n + 1) * p).astype(np.int64), n)
+    wide = np.ceil(9 * np.sqrt(n * p * (1 - p))).astype(np.int64) + 12
+    return mode, np.maximum(mode - wide, 0), np.minimum(mode + wide, n)
+
+
+def binomial_hits(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``binomial_draw`` on arrays: those whose number is found leave the walk."""
+    mode, low, high = _binomial_span(n, p)
+    chance = _binomial_chance(mode, n, p)
+    out = np.where(n > 0, mode, 0)
+    at = np.flatnonzero((n > 0) & (u >= chance))
+    up, down, left, odds = chance[at], chance[at], (u - chance)[at], (p / (1 - p))[at]
+    n, mode, steps, i = n[at], mode[at], np.maximum(np.maximum(mode - low, high - mode), 1)[at], 0
+    while len(at):
+        i += 1
+        up = np.where(mode + i <= n, up * (n - mode - i + 1) / (mode + i) * odds, 0.0)
+        down = np.where(mode - i >= 0, down * (mode - i + 1) / (n - mode + i) / odds, 0.0)
+        above = left < up
+        left = left - up
+        below = ~above & (left < down)
+        out[at[above]], out[at[below]] = mode[above] + i, mode[below] - i
+        left = left - down
+        go = ~above & ~below & (steps > i)
+        at, up, down, left, odds, n, mode, steps = (a[go] for a in (at, up, down, left, odds, n, mode, steps))
+    return out
+
+
+def binomial_sums(n: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running chances of Binomial(n, k/n) counts: first count, begin in the list, and the list.
+
+    The list holds one distribution after the other, number ``i`` shifted by ``i``, so it
+    ascends as a whole; about 18 standard deviations of counts are listed for each.
+    """
+    sure = (k <= 0) | (k >= n)
+    p = np.where(sure, 0.5, k / n)
+    _, low, high = _binomial_span(n, p)
+    low, high = np.where(sure, k, low), np.where(sure, k, high)
+    begin = np.r_[0, np.cumsum(high - low + 1)]
+    own = np.repeat(np.arange(len(n)), high - low + 1)
+    x = low[own] + np.arange(begin[-1]) - begin[own]
+    upto = np.cumsum(np.where(sure[own], 1.0, _binomial_chance(x, n[own], p[own])))
+    before = np.r_[0.0, upto][begin[own]]
+    return low, begin, own + np.minimum(upto - before, 1.0)
+
+
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Wilson 95 % interval of ``k`` hits in ``n``."""
     k, n = k.cast("double"), n.cast("double")

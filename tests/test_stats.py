@@ -177,3 +177,21 @@ def test_reranked_and_best_epochs(spark):
     assert best == {"r": 2, "s": None}
     changed = C.reranked_epochs(df.where("epoch IS NOT NULL"), ["run"], "accuracy", "other").first()
     assert (changed["epoch_by_accuracy"], changed["epoch_by_other"], changed["changed"]) == (2, 1, 1)
+
+
+def test_block_draws_match_the_fold(spark):
+    """Array draws give the numbers of the column form."""
+    n, p = np.repeat([0, 1, 7, 60, 1000, 100_000], 200), np.repeat([0.5, 0.5, 0.9, 0.02, 0.4, 0.37], 200)
+    u = np.tile((np.arange(200) + 0.5) / 200, 6)
+    df = spark.createDataFrame([(i, int(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(n, p, u, strict=True))], "i int, n long, p double, u double")
+    want = [r["x"] for r in df.select("i", N.binomial_draw(F.col("n"), F.col("p"), F.col("u")).alias("x")).orderBy("i").collect()]
+    assert N.binomial_hits(n, p, u).tolist() == want
+
+
+def test_bootstrap_work_goes_in_blocks(spark):
+    """Rows that meet a shard's videos are (shard, block), not (shard, replicate)."""
+    df = spark.createDataFrame([("a", f"v{k:03}", float(k)) for k in range(300)], "dataset string, video string, d double")
+    numbered = B._numbered(df, ["dataset"], 100)
+    assert B._dealt(numbered, ["dataset"], 1000, 1, 100, 300).count() == 3
+    means = [r["mean"] for r in B.paired_replicates(df, ["dataset"], 1000, 1, 100).collect()]
+    assert np.mean(means) == pytest.approx(149.5, abs=0.6)
