@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.numbers import binomial_two_sided, normal_tail
 from tallyframe.operators.scale import grouped_running
+from tallyframe.session import cut_lineage
 
 # -- pairing -------------------------------------------------------------------
 
@@ -340,8 +341,10 @@ def run_ranking(replicates: DataFrame, level: float = 0.95) -> DataFrame:
     """Place of every run: Copeland points over significant duels, then bootstrap win rate, then name.
 
     A duel won over the buckets gives a point, a drawn one half. The win rate is the
-    share of replicates in which the mean over buckets is highest.
+    share of replicates in which the mean over buckets is highest. Duels and win rate
+    read the replicates several times, so they are written once.
     """
+    replicates = cut_lineage(replicates)
     points = F.when(F.col("margin") > 0, 1.0).when(F.col("margin") == 0, 0.5).otherwise(0.0)
     duels = significant_duels(replicates, level).groupBy("run").agg(
         F.sum(points).alias("copeland"), F.count_if(F.col("margin") > 0).alias("wins"), F.count_if(F.col("margin") < 0).alias("losses")

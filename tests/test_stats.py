@@ -195,3 +195,18 @@ def test_bootstrap_work_goes_in_blocks(spark):
     assert B._dealt(numbered, ["dataset"], 1000, 1, 100, 300).count() == 3
     means = [r["mean"] for r in B.paired_replicates(df, ["dataset"], 1000, 1, 100).collect()]
     assert np.mean(means) == pytest.approx(149.5, abs=0.6)
+
+
+def test_ranking_draws_once(spark):
+    """The replicates are computed once, however often the ranking reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(run, "x", rep, 0.1 * rep) for run in "ab" for rep in range(10)]
+    df = spark.createDataFrame(rows, "run string, bucket string, rep int, accuracy double").withColumn("accuracy", counted("accuracy"))
+    C.run_ranking(df).collect()
+    assert seen.value == 20
