@@ -119,7 +119,7 @@ def resume_log_last_wins(spark, sf):
     line = F.when(F.col("k") % 20 == 0, "").when(F.col("k") % 10 == 0, F.substring(whole, 1, 12)).otherwise(whole)
     path = scratch(spark, "log")
     rows.repartitionByRange("qid").sortWithinPartitions("qid").select(line.alias("value")).write.text(path)
-    return readers.resume_log(spark, path, "sample_id string, k int")
+    return readers.resume_log(spark, path, "sample_id string, k int", by_name=True)
 
 
 @query(

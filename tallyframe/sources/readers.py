@@ -120,11 +120,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     )
 
 
-def resume_log(spark: SparkSession, path: str, schema: str, key: str = "sample_id") -> DataFrame:
+def resume_log(spark: SparkSession, path: str, schema: str, key: str = "sample_id", by_name: bool = False) -> DataFrame:
     """A JSONL log that may hold blank or cut lines; the last record of an id wins.
 
     A log in several files is ordered by their time of modification, then name, so a
-    resumed run counts after the one it resumed; inside a file by byte order.
+    resumed run counts after the one it resumed; inside a file by byte order. The parts
+    of one write are finished in any order: ``by_name`` orders a log of such files by name.
     """
     raw = (
         spark.read.schema(f"{schema}, _corrupt_record string")
@@ -140,7 +141,8 @@ def resume_log(spark: SparkSession, path: str, schema: str, key: str = "sample_i
         F.monotonically_increasing_id().alias("_line"),
     )
     good = placed.where(F.col("_corrupt_record").isNull() & F.col(key).isNotNull()).drop("_corrupt_record")
-    return last_per_key(good, [key], ["_time", "_file", "_block", "_line"]).drop("_time", "_file", "_block", "_line")
+    order = ["_file", "_block", "_line"] if by_name else ["_time", "_file", "_block", "_line"]
+    return last_per_key(good, [key], order).drop("_time", "_file", "_block", "_line")
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:

@@ -136,6 +136,14 @@ def test_a_resumed_log_counts_after_the_first(spark, tmp_path):
     assert [r["k"] for r in readers.resume_log(spark, str(tmp_path), "sample_id string, k int").collect()] == [2]
 
 
+def test_parts_of_one_log_count_by_name(spark, tmp_path):
+    """The first part was finished last."""
+    for name, k, at in (("part-00000.txt", 1, 1_100_000_000), ("part-00001.txt", 2, 1_000_000_000)):
+        (tmp_path / name).write_text(json.dumps({"sample_id": "x", "k": k}))
+        os.utime(tmp_path / name, (at, at))
+    assert [r["k"] for r in readers.resume_log(spark, str(tmp_path), "sample_id string, k int", by_name=True).collect()] == [2]
+
+
 def test_resume_log(spark, tmp_path):
     lines = ['{"sample_id":"a","k":1}', "", '{"sample_id":"b","k":2}', '{"sample_id":"a","k":3}', '{"k":9}', '{"sample_id":"b","k"']
     (tmp_path / "log.jsonl").write_text("\n".join(lines))
