@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.labels import class_alias, classes_in_answer
 from tallyframe.functions.text import casefold
-from tallyframe.operators.scale import grouped_rank, grouped_running, value_bucket
+from tallyframe.operators.scale import dealt, grouped_rank, range_rank, value_bucket
+from tallyframe.session import cut_lineage
 from tallyframe.taxonomy import CLASS_NAMES
 
 # --- fixed values: states, checklist and limits of an annotation ---
@@ -40,8 +41,10 @@ def normalised_boxes(boxes: DataFrame, cases: DataFrame, names: Sequence[str] =
 def box_violations(boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
     """One row per broken rule of a box.
 
-    ``boxes`` are raw; repeated ids are found by counting, not by a window.
+    ``boxes`` are raw; repeated ids are found by counting, not by a window. Breaches
+    are counted per id, so boxes meet their cases once and shuffle once.
     """
+    boxes, cases = dealt(["case_id"], boxes.count(), boxes, cases)
     sized = boxes.join(cases.select("case_id", "image_width", "image_height"), "case_id")
     x, y, w, h = (F.bround(F.col(c), 3) for c in ("x", "y", "width", "height"))
     finite = F.lit(True)
@@ -59,15 +62,11 @@ def box_violations(boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CL
             | (y + h > F.col("image_height") + EDGE_TOLERANCE)
         ),
     }
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(r)) for r, c in rules.items()]))
-    per_box = sized.select("case_id", box_id.alias("box_id"), F.explode(broken).alias("rule"))
-    repeated = (
-        sized.groupBy("case_id", box_id.alias("box_id"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .select("case_id", "box_id", F.lit("duplicate_id").alias("rule"))
-    )
-    return per_box.unionByName(repeated)
+    breaches = [F.count_if(F.coalesce(c, F.lit(True))).alias(r) for r, c in rules.items()]
+    per_id = sized.groupBy("case_id", box_id.alias("box_id")).agg(F.count(F.lit(1)).alias("duplicate_id"), *breaches)
+    repeated = F.when(F.col("duplicate_id") > 1, F.array(F.lit("duplicate_id"))).otherwise(F.array().cast("array<string>"))
+    broken = F.concat(repeated, *[F.array_repeat(F.lit(r), F.col(r).cast("int")) for r in rules])
+    return per_id.select("case_id", "box_id", F.explode(broken).alias("rule"))
 
 
 def annotation_violations(annotations: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -217,36 +216,43 @@ def rejected_cases(
 
 
 def export_images(cases: DataFrame, annotations: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Completed cases that were not rejected, with image ids 1.. in rank order."""
+    """Completed cases that were not rejected, with image ids 1.. in rank order.
+
+    They are written once, as the ids and every table of an export read them again.
+    """
     done = cases.join(annotations.where(F.col("status") == "complete").select("case_id"), "case_id", "left_semi")
-    done = done.join(rejected.select("case_id"), "case_id", "left_anti")
-    return grouped_rank(done, [], value_bucket(F.col("rank").cast("double")), [F.col("rank")], "image_id")
+    done = cut_lineage(done.join(rejected.select("case_id"), "case_id", "left_anti"))
+    return cut_lineage(grouped_rank(done, [], value_bucket(F.col("rank").cast("double")), [F.col("rank")], "image_id"))
+
+
+def exported_boxes(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Boxes of the images of an export, without ids."""
+    return boxes.join(images.select("case_id", "image_id"), "case_id")
 
 
 def export_boxes(images: DataFrame, boxes: DataFrame, names: Sequence[str] = CLASS_NAMES) -> DataFrame:
     """Boxes of completed cases with dense ids, image by image.
 
-    The first id of an image is the running count of boxes before it, so ids
-    need no global sort.
+    Only these boxes are ranked, in ranges of (image, box), so no task holds more
+    than a range and nothing is joined by case twice.
     """
-    sizes = boxes.groupBy("case_id").agg(F.count(F.lit(1)).alias("_boxes"))
-    counted = images.select("case_id", "image_id").join(sizes, "case_id")
-    start = grouped_running(counted, [], "image_id", "_boxes", "_start").select("case_id", "image_id", "_start")
-    placed = grouped_rank(
-        boxes, ["case_id"], value_bucket(F.col("box_no").cast("double")), [F.col("box_no")], "_place"
-    )
     category = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("class_name"))
-    return placed.join(start, "case_id").select(
-        (F.col("_start") + F.col("_place")).cast("bigint").alias("annotation_id"),
-        "image_id",
-        category.cast("int").alias("category_id"),
-        "x",
-        "y",
-        "width",
-        "height",
-        F.bround(F.col("width") * F.col("height"), 3).alias("area"),
-        F.lit(0).alias("iscrowd"),
-        "difficult",
+    kept = cut_lineage(
+        exported_boxes(images, boxes).select(
+            "image_id",
+            "box_no",
+            category.cast("int").alias("category_id"),
+            "x",
+            "y",
+            "width",
+            "height",
+            F.bround(F.col("width") * F.col("height"), 3).alias("area"),
+            F.lit(0).alias("iscrowd"),
+            "difficult",
+        )
+    )
+    return range_rank(kept, [], [F.col("image_id"), F.col("box_no")], "annotation_id").select(
+        "annotation_id", "image_id", "category_id", "x", "y", "width", "height", "area", "iscrowd", "difficult"
     )
 
 
@@ -269,6 +275,6 @@ def export_progress(cases: DataFrame, gate: DataFrame, annotations: DataFrame) -
 
 
 def export_manifest(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Totals of an export in one row."""
+    """Totals of an export in one row; ``boxes`` are those of ``export_boxes`` or ``exported_boxes``."""
     total = boxes.agg(F.count(F.lit(1))).scalar()
     return images.agg(F.count(F.lit(1)).alias("complete_case_count")).withColumn("complete_box_count", total)

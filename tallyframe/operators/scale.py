@@ -7,6 +7,7 @@ their running sum is cheap, and the rows are only sorted inside a bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,21 @@ def spread(scan: DataFrame, *columns: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(*columns)
 
 
+ROWS_A_TASK = 1_000_000
+
+
+def dealt(keys: Sequence[str], rows: int, *tables: DataFrame) -> list[DataFrame]:
+    """Tables dealt by ``keys`` to tasks of about a million of ``rows``.
+
+    Where the session's shuffles have as many tasks, the tables stay as they are; so a
+    task's memory is bounded on large inputs whatever the session says.
+    """
+    tasks = math.ceil(rows / ROWS_A_TASK)
+    if tasks <= int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return list(tables)
+    return [t.repartition(tasks, *keys) for t in tables]
+
+
 def value_bucket(x: Column, per_octave: int = 256) -> Column:
     """A bucket number that grows with ``x``; their count depends on the range only."""
     return (F.signum(x) * F.floor(F.log2(1.0 + F.abs(x)) * per_octave)).cast("bigint")

@@ -144,3 +144,31 @@ def test_rebalanced_totals(spark):
     held = out.where("part = 'holdout'").select("qid")
     assert held.count() == 9 and train.join(held, "qid").count() == 0
     assert train.groupBy("qid", "copy_no").count().where("count > 1").count() == 0
+
+
+def test_breaches_of_one_id_all_count(spark):
+    """Each box of a repeated id keeps its own breaches, and the id is reported once."""
+    boxes = [(1, "a b", "Clip", 1.0), (2, "a b", "Grasper", 1.0), (3, "c", "clips", 1e6)]
+    raw = spark.createDataFrame([("c", n, i, k, x, 1.0, 5.0, 5.0) for n, i, k, x in boxes], "case_id string, box_no int, box_id string, class_name string, x double, y double, width double, height double")
+    cases = spark.createDataFrame([("c", 100, 100)], "case_id string, image_width int, image_height int")
+    got = sorted((r["box_id"], r["rule"]) for r in B.box_violations(raw, cases).collect())
+    assert got == [("a b", "duplicate_id"), ("a b", "invalid_id"), ("a b", "invalid_id"), ("a b", "unknown_class"), ("c", "outside_image")]
+
+
+def test_boxes_meet_their_cases_once(spark, sf):
+    """One join for all rules, and an export that starts from its written images."""
+    from tallyframe.plans import q_pool
+    from tallyframe.plans.views import view
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(B.box_violations(view(spark, sf, "box_rows"), view(spark, sf, "box_cases"))) == 1
+    assert joins(q_pool.export_manifest(spark, sf)) <= 1
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark):
+    from tallyframe.operators.scale import ROWS_A_TASK, dealt
+
+    few, many = (dealt(["id"], n, spark.range(10))[0] for n in (10, 50 * ROWS_A_TASK))
+    assert few.rdd.getNumPartitions() < 50 and many.rdd.getNumPartitions() == 50
