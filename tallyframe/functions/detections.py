@@ -22,9 +22,12 @@ CORNER_KEYS = (
     ("x1", "y1", "x2", "y2"),
 )
 FENCE = r"(?is)```(?:json|python)?\s*(.*?)```"
-NUMBER = r"([-+]?\d+(?:\.\d+)?)"
-BOX_TEXT = rf"(?i)[\"']?(?:{'|'.join(BOX_KEYS)})[\"']?\s*:\s*\[\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*\]"
+NUMBER = r"[-+]?\d+(?:\.\d+)?"
+BOX_TEXT = rf"(?i)[\"']?(?:{'|'.join(BOX_KEYS)})[\"']?\s*:\s*\[(\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*)\]"
 LABEL_TEXT = rf"(?i)[\"']?(?:{'|'.join(LABEL_KEYS)})[\"']?\s*:\s*[\"']([^\"']+)[\"']"
+OPENING = r"^(?:\[[ \t\n\r]*\]|(?:\[[ \t\n\r]*)?\{[ \t\n\r]*[\"}])"  # of JSON that holds boxes
+LITERAL_OPENING = r"^[\[{(]"
+PYTHON_ONLY = r"True|False|None|\(|,\s*[\]}]"  # what a literal has and JSON has not, strings apart
 FRAGMENT_CHARS = 1000  # longest object read where the text is no payload
 # --- end of fixed values ---
 
@@ -49,7 +52,8 @@ def _as_literal(text: Column) -> Column:
             plain = F.regexp_replace(plain, rf"\b{word}\b", to)
         plain = F.regexp_replace(plain, r"\(([-+0-9.,\s]*)\)", r"[$1]")
         plain = F.regexp_replace(plain, r",\s*([\]}])", "$1")
-        return F.when(token.startswith('"'), token).when(token.rlike("(?s)^'.*'$") & (F.length(token) > 1), single).otherwise(plain)
+        quoted = token.startswith("'") & token.endswith("'") & (F.length(token) > 1)
+        return F.when(token.startswith('"'), token).when(quoted, single).when(token.rlike(PYTHON_ONLY), plain).otherwise(token)
 
     tokens = F.regexp_extract_all(text, F.lit(r"""(?s)"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^"']++|["']"""), F.lit(0))
     return F.array_join(F.transform(tokens, rewritten), "")
@@ -63,47 +67,63 @@ def _as_list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _has_any(m: Column, keys: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for key in keys:
-        out = out | F.map_contains_key(m, key)
-    return out
+def _may_open(text: Column) -> Column:
+    """Whether JSON of an object or of a list of objects may begin like this; failed parses are dear."""
+    return text.rlike(OPENING)
 
 
-def _is_payload(v: Column) -> Column:
-    return F.coalesce(
-        let(_as_map(v), lambda record: _has_any(record, (*LIST_KEYS, *BOX_KEYS))),
-        F.forall(_as_list(v), lambda e: _as_map(e).isNotNull()),
-        F.lit(False),
-    )
+def _first_present(record: Column, keys: Sequence[str]) -> Column:
+    """Value of the first key that is there; a JSON null is a value."""
+    return F.coalesce(*[record[k] for k in keys])
+
+
+# the read keys only: a record of typed fields is far cheaper than a map of all
+RECORD = "struct<" + ",".join(f"`{k}` variant" for k in (*LIST_KEYS, *BOX_KEYS)) + ">"
+ITEM = "struct<" + ",".join([f"`{k}` string" for k in LABEL_KEYS] + [f"`{k}` variant" for k in BOX_KEYS]) + ">"
+
+
+def _items(v: Column) -> Column:
+    """The listed objects of a value that looks like boxes as ``struct<items>``, else NULL; ``items`` is NULL without a list."""
 
+    def item(e: Column) -> Column:
+        return F.try_variant_get(e, "$", ITEM)
 
-def _first_present(m: Column, keys: Sequence[str]) -> Column:
-    out = F.lit(None).cast("variant")
-    for key in reversed(keys):
-        out = F.when(F.map_contains_key(m, key), F.try_element_at(m, F.lit(key))).otherwise(out)
-    return out
+    def wrapped(items: Column) -> Column:
+        return F.struct(items.alias("items"))
 
+    def of_record(record: Column) -> Column:
+        listed, boxed = _first_present(record, LIST_KEYS), _first_present(record, BOX_KEYS)
+        found = let(listed, lambda x: F.when(x.isNotNull(), wrapped(F.transform(_as_list(x), item))))
+        return F.coalesce(found, F.when(boxed.isNotNull(), wrapped(F.array(item(v)))))
 
-def _label(m: Column, names: Sequence[str]) -> Column:
-    texts = [F.try_variant_get(F.try_element_at(m, F.lit(k)), "$", "string") for k in LABEL_KEYS]
-    return F.coalesce(canonical_label(F.coalesce(*texts), names), F.lit(""))
+    def of_list(items: Column) -> Column:
+        return F.when(F.forall(items, lambda e: e.isNotNull()), wrapped(items))
+
+    return F.coalesce(let(F.try_variant_get(v, "$", RECORD), of_record), let(F.transform(_as_list(v), item), of_list))
+
+
+def _label(record: Column, names: Sequence[str]) -> Column:
+    texts = F.coalesce(*[record[k] for k in LABEL_KEYS])
+    return F.coalesce(let(texts, lambda t: canonical_label(t, names)), F.lit(""))
 
 
 def _coordinates(v: Column) -> Column:
     """Four doubles of a box given as a list or as named corners."""
-    corners = _as_map(v)
-    numbers = _as_list(v)
-    for keys in reversed(CORNER_KEYS):
-        every = F.lit(True)
-        for key in keys:
-            every = every & F.map_contains_key(corners, key)
-        named = F.array(*[F.try_element_at(corners, F.lit(k)) for k in keys])
-        numbers = F.when(F.coalesce(every, F.lit(False)), named).otherwise(numbers)
-    return F.transform(
-        numbers,
-        lambda e: F.when(F.schema_of_variant(e) != "BOOLEAN", F.try_variant_get(e, "$", "double")),
-    )
+
+    def listed(corners: Column) -> Column:
+        numbers = _as_list(v)
+        for keys in reversed(CORNER_KEYS):
+            every = F.size(F.array_intersect(F.map_keys(corners), F.array(*[F.lit(k) for k in keys]))) == len(keys)
+            named = F.array(*[F.try_element_at(corners, F.lit(k)) for k in keys])
+            numbers = F.when(corners.isNotNull() & every, named).otherwise(numbers)
+        return numbers
+
+    def each(numbers: Column) -> Column:
+        return F.transform(numbers, lambda e: F.when(F.schema_of_variant(e) != "BOOLEAN", F.try_variant_get(e, "$", "double")))
+
+    # most boxes are lists of numbers and nothing else, read at once
+    plain = F.schema_of_variant(v).rlike(r"^ARRAY<(?:BIGINT|DOUBLE|DECIMAL\([0-9,]+\))>$")
+    return F.when(plain, F.try_variant_get(v, "$", "array<double>")).otherwise(each(let(_as_map(v), listed)))
 
 
 def valid_box(box: Column) -> Column:
@@ -116,11 +136,9 @@ def valid_box(box: Column) -> Column:
 
 def _recovered(raw: Column, names: Sequence[str], fragment_chars: int) -> Column:
     def read(fragment: Column) -> Column:
-        box = F.array(*[F.regexp_extract(fragment, BOX_TEXT, i).try_cast("double") for i in range(1, 5)])
-        return F.struct(
-            canonical_label(F.regexp_extract(fragment, LABEL_TEXT, 1), names).alias("label"),
-            box.alias("bbox_2d"),
-        )
+        box = F.transform(F.split(F.regexp_extract(fragment, BOX_TEXT, 1), ","), lambda n: n.try_cast("double"))
+        label = let(F.regexp_extract(fragment, LABEL_TEXT, 1), lambda t: canonical_label(t, names))
+        return F.struct(label.alias("label"), box.alias("bbox_2d"))
 
     boxes = F.transform(F.regexp_extract_all(raw, F.lit(rf"(?s)\{{[^{{}}]{{0,{fragment_chars}}}\}}"), F.lit(0)), read)
     return F.filter(boxes, lambda d: valid_box(d["bbox_2d"]) & (d["label"] != ""))
@@ -142,41 +160,35 @@ def extract_detections(
     """
 
     def accepted(v: Column, how: str) -> Column:
-        return F.when(_is_payload(v), F.struct(v.alias("value"), F.lit(how).alias("how")))
+        return let(_items(v), lambda f: F.when(f.isNotNull(), F.struct(f["items"].alias("items"), F.lit(how).alias("how"))))
+
+    def parsed(text: Column) -> Column:
+        return F.when(_may_open(text), F.try_parse_json(text))
 
     def judged(text: Column) -> Column:
         """First reading that looks like boxes; later readings are not tried."""
+        literal = F.when(text.rlike(LITERAL_OPENING), _as_literal(text))
         return F.coalesce(
-            let(F.try_parse_json(text), lambda v: accepted(v, "json")),
-            let(F.try_parse_json(_as_literal(text)), lambda v: accepted(v, "python_literal")),
+            let(parsed(text), lambda v: accepted(v, "json")),
+            let(let(literal, parsed), lambda v: accepted(v, "python_literal")),
         )
 
     def read(item: Column) -> Column:
-        record = _as_map(item)
-        return F.struct(
-            _label(record, names).alias("label"),
-            _coordinates(_first_present(record, BOX_KEYS)).alias("bbox_2d"),
-        )
+        box = let(_first_present(item, BOX_KEYS), _coordinates)
+        return F.struct(_label(item, names).alias("label"), box.alias("bbox_2d"))
 
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.coalesce(F.col(raw), F.lit(""))
-    nothing = F.lit(None).cast("struct<value:variant,how:string>")
+    nothing = F.lit(None).cast(f"struct<items:array<{ITEM}>,how:string>")
     out = df.withColumn("_whole", judged(_edges_off(text)))
     fenced = F.aggregate(_fenced(_edges_off(text)), nothing, lambda got, c: F.coalesce(got, judged(c)))
-    out = out.withColumn("_fenced", F.when(F.col("_whole").isNull(), fenced))
+    out = out.withColumn("_fenced", F.when(F.col("_whole").isNull() & text.contains("```"), fenced))
     # only texts without a payload so far are searched for a value inside them
     open_ = F.when(F.col("_whole").isNull() & F.col("_fenced").isNull() & text.rlike(r"[\[{]"), text)
     out = out.withColumn("_span", wanted_value(open_, (*LIST_KEYS, *BOX_KEYS)))
     out = out.withColumn("_inside", let(F.try_parse_json("_span"), lambda v: accepted(v, "json")))
     out = out.withColumn("_payload", F.coalesce("_whole", "_fenced", "_inside"))
-    value = F.col("_payload")["value"]
-    out = out.withColumn("_list", _as_list(value)).withColumn("_record", _as_map(value))
-    out = out.withColumn(
-        "_items",
-        F.when(F.col("_list").isNotNull(), F.col("_list"))
-        .when(_has_any(F.col("_record"), LIST_KEYS), _as_list(_first_present(F.col("_record"), LIST_KEYS)))
-        .when(_has_any(F.col("_record"), BOX_KEYS), F.array(value)),
-    )
+    out = out.withColumn("_items", F.col("_payload")["items"])
     out = out.withColumn("_read", F.transform("_items", read))
     out = out.withColumn(
         "_valid", F.filter("_read", lambda d: valid_box(d["bbox_2d"]) & (d["label"] != ""))
@@ -195,7 +207,7 @@ def extract_detections(
             .otherwise("invalid_json"),
         )
     )
-    return out.drop("_whole", "_fenced", "_span", "_inside", "_payload", "_list", "_record", "_items", "_read", "_valid", "_recovered")
+    return out.drop("_whole", "_fenced", "_span", "_inside", "_payload", "_items", "_read", "_valid", "_recovered")
 
 
 def derived_count(detections: Column, mode: Column, target: Column, names: Sequence[str] = CLASS_NAMES) -> Column:

@@ -93,3 +93,25 @@ def test_labels_of_other_names(spark):
     df = spark.createDataFrame([("glass berries",), ("tall glass berry",), ("Classes",)], "x string")
     names = ["Glass Berries", "Berry", "Class"]
     assert [r[0] for r in df.select(canonical_label(F.col("x"), names)).collect()] == ["Glass Berries", "Glass Berries", "Class"]
+
+
+def test_values_are_read_once(spark):
+    """A reading repeated per accepted key grows the plan and the time of every row."""
+    df = spark.createDataFrame([("[]",)], "raw_model_output string")
+    plan = extract_detections(df).select("detections", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(") <= 50
+
+
+def test_odd_values(spark):
+    box = "[1,2,3,4]"
+    cases = {
+        '{"objects": null, "items": [{"label": "Clip", "bbox": %s}]}' % box: "recovered_bbox_regex",
+        '[{"label": "Clip", "bbox": %s}] trailing' % box: "json",
+        '{"label": null, "class": "Clip", "bbox": [1, 2, 3.5, "4"]}': "json",
+        '{"label": "Clip", "bbox_2d": null, "bbox": %s}' % box: "json_partial_invalid_objects",
+        '[{"label": "Clip", "bbox": [true, 2, 3, 4]}]': "json_partial_invalid_objects",
+        "( )": "python_literal",
+        "[null]": "invalid_json",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "raw_model_output string")
+    assert {r["raw_model_output"]: r["status"] for r in extract_detections(df).collect()} == cases
