@@ -257,6 +257,31 @@ def missing_examples(
     return listed_words(gone, keys, "gone").orderBy(*keys, "frame").limit(show)
 
 
+def grid_words(
+    plan: DataFrame, files: DataFrame, grids: Sequence[str], keys: Sequence[str] = ("dataset", "video")
+) -> DataFrame:
+    """Words of a plan split by the grid that serves them: one bit column per grid of ``grids`` and ``none``.
+
+    ``files`` has ``(keys, frame, grid)``; a frame goes to the first grid in which it
+    lies, as ``joins.first_available`` has it for rows. Joined rows are words.
+    """
+    there = as_words(files, keys, **{f"_{g}": F.col("grid") == g for g in grids})
+    out = plan.join(there, [*keys, "word"], "left").fillna(0, [f"_{g}" for g in grids]).withColumn("none", F.col("want"))
+    for g in grids:
+        out = out.withColumn(g, F.col("none").bitwiseAND(F.col(f"_{g}"))).withColumn("none", _without("none", f"_{g}"))
+    return out.select(*keys, "word", "want", *grids, "none")
+
+
+def grid_frames(words: DataFrame, grids: Sequence[str], keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
+    """The frames of ``grid_words`` one row each, with their grid or ``none`` in ``source``."""
+    turn, offset = _first_turn()
+    rows = words.where(F.col("want") != 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    source = F.lit("none")
+    for g in reversed(grids):
+        source = F.when(F.getbit(F.col(g), F.col("_b")) == 1, g).otherwise(source)
+    return rows.where(F.getbit("want", "_b") == 1).select(*keys, ((turn + F.col("_b")) * APART + offset).alias("frame"), source.alias("source"))
+
+
 def verify_plan(plan: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("dataset", "video")) -> DataFrame:
     """Expected, missing, unexpected and empty files per video of the plan.
 

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import frames as P
+from tallyframe.operators.joins import first_available
+from tallyframe.plans.catalog import QUERIES
 
 ASKED = "qid int, dataset string, video string, start_s double, end_s double, fps int, stride int, max_frames int"
 
@@ -121,3 +123,20 @@ def test_copies_share_no_frame(spark):
     assert offsets[0] == 0 and sorted(offsets) == list(range(30))
     short = P.phased_frames(spark.createDataFrame([(1, 2, 3.0, 3.0, 25)], "qid int, copy_no int, start_s double, end_s double, fps int"), 96).collect()
     assert [r["frame"] for r in short] == [75]
+
+
+def test_grids_by_words_equal_grids_by_rows(spark):
+    keys = ["dataset", "video", "frame"]
+    plan = spark.createDataFrame([("d", f"v{f % 3}", f * 25) for f in range(400)], "dataset string, video string, frame long")
+    files = plan.where("frame % 4 > 0").withColumn("grid", F.lit("a")).union(plan.where("frame % 3 > 0").withColumn("grid", F.lit("b")))
+    words = P.grid_words(P.as_words(plan, keys[:2], want=F.lit(True)), files, ["a", "b"])
+    got = P.grid_frames(words, ["a", "b"]).select(*keys, "source")
+    by_row = [files.where(F.col("grid") == g).withColumn("path", F.lit(g)) for g in ("a", "b")]
+    want = first_available(plan, *by_row, keys, "path").select(*keys, F.coalesce("path", F.lit("none")).alias("source"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_grid_fallback_joins_words(spark, sf):
+    plan = QUERIES["grid_fallback"].build(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert joins and all("frame#" not in line for line in joins)
