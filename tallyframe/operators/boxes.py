@@ -109,29 +109,33 @@ def box_aggregates(boxes: DataFrame, cases: DataFrame, names: Sequence[str] = CL
 
 
 def _text_set(values: Column) -> Column:
-    return F.array_join(F.array_sort(values), ", ")
+    return F.array_join(F.sort_array(values), ", ")
 
 
 def answer_mismatches(
     questions: DataFrame, per_case: DataFrame, cases: DataFrame, names: Sequence[str] = CLASS_NAMES
 ) -> DataFrame:
-    """Questions whose answer the boxes of ``box_aggregates`` contradict, expected next to observed."""
+    """Questions whose answer the boxes of ``box_aggregates`` contradict, expected next to observed.
+
+    Texts are read on either side of the join, so that the filter behind it does not read them again.
+    """
     known = cases.select("case_id").join(per_case, "case_id", "left")
-    rows = questions.join(known, "case_id")
+    known = known.withColumn("_seen", F.coalesce(_text_set(F.map_keys("counts")), F.lit("")))
+    centre = F.when(F.col("kind") == "closest_to_center", classes_in_answer(F.col("answer"), names))
+    rows = questions.withColumn("_centre", centre).join(known, "case_id")
     kind, number = F.col("kind"), F.col("numeric_answer")
     n = F.coalesce("n_boxes", F.lit(0))
     counts = F.coalesce("counts", F.create_map().cast("map<string,bigint>"))
-    seen = F.map_keys(counts)
     of_class = F.coalesce(F.try_element_at(counts, F.col("target_class")), F.lit(0))
     blank = casefold(F.trim("answer")).isin(*NO_OBJECT_ANSWERS)
     empty = F.array().cast("array<string>")
     listed = F.coalesce("answer_classes", empty)
     expected_set = F.when((kind == "class_inventory") & blank, empty).otherwise(listed)
-    by_centre = classes_in_answer(F.col("answer"), names)
+    by_centre = F.col("_centre")
     count_kinds = kind.isin("total_instance_count", "distinct_class_count", "class_count")
     observed_number = (
         F.when(kind == "total_instance_count", n)
-        .when(kind == "distinct_class_count", F.size(seen))
+        .when(kind == "distinct_class_count", F.size(counts))
         .when(kind == "class_count", of_class)
     )
     staged = rows.select(
@@ -144,8 +148,8 @@ def answer_mismatches(
         .alias("expected"),
         F.when(count_kinds, observed_number.cast("string"))
         .when(kind == "closest_to_center", F.col("nearest"))
-        .when(kind == "single_object_identity", F.concat(n.cast("string"), F.lit(": "), _text_set(seen)))
-        .otherwise(_text_set(seen))
+        .when(kind == "single_object_identity", F.concat(n.cast("string"), F.lit(": "), F.col("_seen")))
+        .otherwise(F.col("_seen"))
         .alias("observed"),
         (
             F.when(
@@ -154,9 +158,9 @@ def answer_mismatches(
                 & ((kind != "class_count") | F.col("target_class").isNotNull())
                 & (observed_number != number),
             )
-            .when(kind == "class_inventory", _text_set(expected_set) != _text_set(seen))
+            .when(kind == "class_inventory", _text_set(expected_set) != F.col("_seen"))
             .when(
-                kind == "single_object_identity", (n != 1) | (_text_set(listed) != _text_set(seen))
+                kind == "single_object_identity", (n != 1) | (_text_set(listed) != F.col("_seen"))
             )
             .when(
                 kind == "closest_to_center",

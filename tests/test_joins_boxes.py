@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.plans.catalog import QUERIES
 from tallyframe.operators import boxes as B
 from tallyframe.operators import joins as J
 from tallyframe.operators import pool as P
@@ -172,3 +173,10 @@ def test_large_tables_are_dealt_to_more_tasks(spark):
 
     few, many = (dealt(["id"], n, spark.range(10))[0] for n in (10, 50 * ROWS_A_TASK))
     assert few.rdd.getNumPartitions() < 50 and many.rdd.getNumPartitions() == 50
+
+
+def test_mismatches_read_class_answers_before_the_join(spark, sf):
+    """Behind the join a filter and a projection would each read them again."""
+    plan = QUERIES["answer_mismatches"].build(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join " in line)
+    assert not any("split(" in line for line in plan[:join])
