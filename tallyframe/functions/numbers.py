@@ -45,10 +45,19 @@ def frame_index(seconds: Column, fps: Column) -> Column:
     return F.rint(seconds * fps).cast("bigint")
 
 
+def zero_padded(n: Column, digits: int) -> Column:
+    """A whole number as text of at least ``digits`` characters, sign included.
+
+    A format call would parse its pattern for every row.
+    """
+    said = n.cast("bigint").cast("string")
+    short = F.concat(F.when(n < 0, "-").otherwise(""), F.lpad(F.abs(n.cast("bigint")).cast("string"), F.when(n < 0, digits - 1).otherwise(digits), F.lit("0")))
+    return F.when(F.length(said) >= digits, said).otherwise(short)
+
+
 def frame_path(folder: Column, video: Column, index: Column) -> Column:
     stem = F.regexp_replace(video, r"(.)\.[^./]+$", "$1")
-    name = F.when(index.isNotNull(), F.format_string("frame%07d.jpg", index))
-    return F.concat(folder, F.lit("/"), stem, F.lit("/"), name)
+    return F.concat(folder, F.lit("/"), stem, F.lit("/frame"), zero_padded(index, 7), F.lit(".jpg"))
 
 
 def even_positions(n: Column, cap: Column, single: str = "first") -> Column:

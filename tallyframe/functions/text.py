@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import zero_padded
 from tallyframe.taxonomy import CLASS_NAMES
 
 MAX_TEXT = 300
@@ -321,11 +322,9 @@ def stamp_seconds(x: Column) -> Column:
 def seconds_stamp(x: Column) -> Column:
     """Seconds to ``HH:MM:SS``, rounded half to even."""
     s = F.rint(x).cast("bigint")
-    hours = F.floor(s / 3600)
-    stamp = F.format_string(
-        "%02d:%02d:%02d", hours, F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
-    )
-    # a format writes NULL as a word
+    parts = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
+    stamp = F.concat_ws(":", *[zero_padded(p, 2) for p in parts])
+    # joined parts skip NULL
     return F.when(x.isNotNull(), stamp)
 
 

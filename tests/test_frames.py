@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import zero_padded
 from tallyframe.operators import frames as P
 from tallyframe.operators.joins import first_available
 from tallyframe.plans.catalog import QUERIES
@@ -140,3 +141,12 @@ def test_grid_fallback_joins_words(spark, sf):
     plan = QUERIES["grid_fallback"].build(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert joins and all("frame#" not in line for line in joins)
+
+
+def test_numbers_are_padded_without_formats(spark, sf):
+    values = [0, 7, 42, 1234567, 123456789, -1, -42, -123456789, None]
+    df = spark.createDataFrame([(v,) for v in values], "n long")
+    got = [r[0] for r in df.select(zero_padded(F.col("n"), 7)).collect()]
+    assert got == [None if v is None else f"{v:07d}" for v in values]
+    plan = QUERIES["frame_details"].build(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" not in plan
