@@ -18,8 +18,10 @@ WHITESPACE = (
 )
 
 # White space to collapse: any run but a single plain blank, so ordinary text
-# passes with few replacements.
-_RUN = f" {WHITESPACE}+|(?! ){WHITESPACE}+"
+# passes with few replacements. Printable ASCII is ruled out by a range or two
+# before the long list of white space is tried.
+_OTHER_THAN_BLANK = rf"[[\t-\x1f\x85-\x{{3000}}]&&{WHITESPACE}]"
+_RUN = f" (?![!-~]){WHITESPACE}+|{_OTHER_THAN_BLANK}{WHITESPACE}*"
 DIGIT = r"\p{Nd}"  # decimal digits of any script
 _EDGES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -100,6 +102,11 @@ def clean_capped(x: Column, limit: int = MAX_TEXT) -> Column:
     return F.substring(clean(x), 1, limit)
 
 
+def _tidy(x: Column, cleaned: bool) -> Column:
+    """``clean`` unless the caller has done it for several readers of one text."""
+    return x if cleaned else clean(x)
+
+
 def is_blank(x: Column) -> Column:
     return F.coalesce(clean(x), F.lit("")) == ""
 
@@ -107,7 +114,7 @@ def is_blank(x: Column) -> Column:
 # -- yes / no ----------------------------------------------------------------
 
 
-def normalize_binary(x: Column, variant: str = "v1") -> Column:
+def normalize_binary(x: Column, variant: str = "v1", cleaned: bool = False) -> Column:
     """Yes/no answer.
 
     ``v1`` looks for yes-words first, so "not present" reads as yes. ``v2``
@@ -139,8 +146,8 @@ def normalize_binary(x: Column, variant: str = "v1") -> Column:
     rules = {"v1": v1, "v2": v2, "frame": frame}
     if variant not in rules:
         raise ValueError(f"unknown variant: {variant}")
-    text = clean(x) if variant == "v1" else clean_capped(x)
-    return let(F.lower(text), rules[variant])
+    text = _tidy(x, cleaned)
+    return let(F.lower(text if variant == "v1" else F.substring(text, 1, MAX_TEXT)), rules[variant])
 
 
 # -- numbers -----------------------------------------------------------------
@@ -150,12 +157,12 @@ def _first_match(x: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(x, f"({pattern})", 1), F.lit(""))
 
 
-def normalize_number(x: Column) -> Column:
-    return F.coalesce(_first_match(x, rf"{DIGIT}+"), clean(x))
+def normalize_number(x: Column, cleaned: bool = False) -> Column:
+    return F.coalesce(_first_match(x, rf"{DIGIT}+"), _tidy(x, cleaned))
 
 
-def normalize_percentage(x: Column) -> Column:
-    return F.coalesce(_first_match(x, rf"{DIGIT}+(?:\.{DIGIT}+)?"), clean(x))
+def normalize_percentage(x: Column, cleaned: bool = False) -> Column:
+    return F.coalesce(_first_match(x, rf"{DIGIT}+(?:\.{DIGIT}+)?"), _tidy(x, cleaned))
 
 
 def first_number(x: Column) -> Column:
@@ -238,7 +245,7 @@ def _none_cue(low: Column) -> Column:
 
 
 def normalize_classes(
-    x: Column, names: Sequence[str] = CLASS_NAMES, empty: str = "none"
+    x: Column, names: Sequence[str] = CLASS_NAMES, empty: str = "none", cleaned: bool = False
 ) -> Column:
     """Set answer: known names in taxonomy order, else ``none``, else the text."""
     names = list(dict.fromkeys(names))
@@ -251,7 +258,7 @@ def normalize_classes(
             )
         )
 
-    return let(clean(x), settle)
+    return let(_tidy(x, cleaned), settle)
 
 
 def answer_set(x: Column) -> Column:
@@ -290,7 +297,7 @@ def _hms(stamp: Column) -> tuple[Column, Column, Column]:
     return part[0].cast("int"), part[1].cast("int"), part[2].cast("int")
 
 
-def normalize_time(x: Column) -> Column:
+def normalize_time(x: Column, cleaned: bool = False) -> Column:
     """All ``h:m:s`` in the text, zero-padded and comma-joined."""
 
     def padded(stamp: Column) -> Column:
@@ -298,7 +305,7 @@ def normalize_time(x: Column) -> Column:
 
     found = F.regexp_extract_all(x, F.lit(f"({TIME_LOOSE})"), F.lit(1))
     joined = F.array_join(F.transform(found, padded), ", ")
-    return F.coalesce(F.nullif(joined, F.lit("")), clean(x))
+    return F.coalesce(F.nullif(joined, F.lit("")), _tidy(x, cleaned))
 
 
 def timestamps(x: Column) -> Column:
@@ -390,10 +397,11 @@ def normalize_answer(
     question: Column | None = None,
     names: Sequence[str] = CLASS_NAMES,
     variant: str = "v1",
+    cleaned: bool = False,
 ) -> Column:
-    """The normaliser of each answer format, as one expression."""
-    text = F.substring(clean(x), 1, MAX_TEXT)
-    # the container variants read names from the answer they would submit
+    """The normaliser of each answer format, as one expression; ``cleaned`` says that ``x`` comes from ``clean``."""
+    text = F.substring(_tidy(x, cleaned), 1, MAX_TEXT)
+    # the container variants read names from the answer they would submit, which may be cut at a blank
     shown = x if variant == "v1" else text
     choice = (
         text
@@ -402,11 +410,11 @@ def normalize_answer(
     )
     empty = "" if variant == "frame" else "none"
     return (
-        F.when(answer_format == "binary", normalize_binary(x, variant))
-        .when(answer_format == "number", normalize_number(x))
-        .when(answer_format == "fo_class", normalize_classes(shown, names, empty))
-        .when(answer_format == "percentage", normalize_percentage(x))
-        .when(answer_format == "time", normalize_time(x))
+        F.when(answer_format == "binary", normalize_binary(x, variant, cleaned))
+        .when(answer_format == "number", normalize_number(x, cleaned))
+        .when(answer_format == "fo_class", normalize_classes(shown, names, empty, cleaned and variant == "v1"))
+        .when(answer_format == "percentage", normalize_percentage(x, cleaned))
+        .when(answer_format == "time", normalize_time(x, cleaned))
         .when(answer_format == "multiple_choice", choice)
         .otherwise(text)
     )

@@ -15,6 +15,11 @@ from tallyframe.taxonomy import CLASS_NAMES
 SEGMENT_SECONDS = 305
 
 
+def _raw_answer(variant: str, reasoning: bool | None) -> Column:
+    raw = F.coalesce("raw_model_output", F.lit(""))
+    return text.strip_reasoning(raw) if reasoning or (reasoning is None and variant != "v1") else raw
+
+
 def normalize_predictions(
     df: DataFrame, variant: str = "v1", names: Sequence[str] = CLASS_NAMES, into: str = "prediction", reasoning: bool | None = None
 ) -> DataFrame:
@@ -24,14 +29,31 @@ def normalize_predictions(
     so by default, as the shared normaliser reads the text as it is.
     """
     question = F.col("question") if "question" in df.columns else None
-    raw = F.coalesce("raw_model_output", F.lit(""))
-    if reasoning or (reasoning is None and variant != "v1"):
-        raw = text.strip_reasoning(raw)
-    staged = df.withColumn("_answer", raw)
+    staged = df.withColumn("_answer", _raw_answer(variant, reasoning))
     value = text.normalize_answer(F.col("answer_format"), F.col("_answer"), question, names, variant)
     return staged.withColumn(into, value).drop("_answer")
 
 
+def normalize_as(
+    df: DataFrame, formats: Sequence[str], variant: str = "v1", names: Sequence[str] = CLASS_NAMES, into: str = "prediction", reasoning: bool | None = None
+) -> DataFrame:
+    """Raw text of every row to its normalised answer under each of ``formats``, a row per text and format.
+
+    The rows are those of ``normalize_predictions`` on texts repeated per format, but a
+    text is cleaned once, and it is dropped before the rows multiply if nobody reads it later.
+    """
+    question = F.col("question") if "question" in df.columns else None
+    staged = df.withColumn("_answer", text.clean(_raw_answer(variant, reasoning)))
+    answers = [
+        F.struct(
+            F.lit(f).alias("answer_format"),
+            text.normalize_answer(F.lit(f), F.col("_answer"), question, names, variant, cleaned=True).alias(into),
+        )
+        for f in formats
+    ]
+    return staged.select(*df.columns, F.inline(F.array(*answers)))
+
+
 def requests(df: DataFrame) -> DataFrame:
     """Annotation rows as requests with times in seconds."""
     return df.select(

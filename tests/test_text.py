@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import labels, prompts, text
 from tallyframe.functions import numbers as N
+from tallyframe.operators import scoring as S
+from tallyframe.plans.catalog import QUERIES
 from tallyframe.taxonomy import CLASS_NAMES
 
 
@@ -87,6 +89,38 @@ def test_white_space_runs(spark):
     assert one(spark, text.clean(lit(" \t a    b\n\nc  "))) == "a b c"
 
 
+def test_white_space_of_any_kind(spark):
+    marks = [*text._EDGES, "x", "\u00e9", "\x1b", "\x7f", "\u200b", "\ufeff", "\u4e00", "\U0001f600"]
+    raws = [f"{a}{b}q{a}{b}{a}" for a in marks for b in marks] + ["", " ", " " * 70_000, "a" + " \n" * 70_000 + "b"]
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", text.clean(F.col("raw")).alias("x")).collect()
+    assert len(rows) == len(raws) and [r.raw for r in rows if r.x != " ".join(r.raw.split())] == []
+
+
+ODD_ANSWERS = [
+    None, "", " \t\n", "yes", "NO\u00a0", "not  present", "\u3000Yes", "none", "n/a", "12\n:5 and 0:1:5", "\u0663 clips", "1 . 5 %", "1.5\t%",
+    "the\n the", "in\nthe", "Specimen\n Bag and specimen", "top/left\r\nor  bottom", "w" * 299 + "  \n tail", "w " * 149 + "x \n clip",
+    "<think>yes</think>\n clip", "dangling</think> 3", "<think>never ends", "\U0001f600\x1c\x1dno",
+]
+
+
+@pytest.mark.parametrize("variant", ["v1", "v2", "frame"])
+def test_texts_under_several_formats(spark, variant):
+    formats = ("binary", "number", "percentage", "time", "fo_class", "multiple_choice", "open_ended")
+    asked = "Which? Please select none, one or multiple answers: top/left; top; bottom."
+    rows = [(i, r, asked) for i, r in enumerate(ODD_ANSWERS)]
+    df = spark.createDataFrame(rows, "qid int, raw_model_output string, question string")
+    single = S.normalize_predictions(df.crossJoin(spark.createDataFrame([(f,) for f in formats], "answer_format string")), variant)
+    wanted = {(r.qid, r.answer_format): r.prediction for r in single.collect()}
+    got = S.normalize_as(df, formats, variant).collect()
+    assert len(got) == len(wanted) == len(rows) * len(formats)
+    assert {(r.qid, r.answer_format): r.prediction for r in got} == wanted
+
+
+def test_documents_are_cleaned_once(spark, sf):
+    df = QUERIES["normalize_documents"].build(spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
