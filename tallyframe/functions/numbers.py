@@ -50,14 +50,24 @@ def zero_padded(n: Column, digits: int) -> Column:
 
     A format call would parse its pattern for every row.
     """
-    said = n.cast("bigint").cast("string")
-    short = F.concat(F.when(n < 0, "-").otherwise(""), F.lpad(F.abs(n.cast("bigint")).cast("string"), F.when(n < 0, digits - 1).otherwise(digits), F.lit("0")))
-    return F.when(F.length(said) >= digits, said).otherwise(short)
+    n = n.cast("bigint")
+    text = lambda x, d: F.substring((x + 10**d).cast("string"), 2, d)
+    short = F.when((n >= 0) & (n < 10**digits), text(n, digits))
+    below = (n < 0) & (n > -(10 ** (digits - 1)))
+    return short.when(below, F.concat(F.lit("-"), text(-n, digits - 1))).otherwise(n.cast("string"))
+
+
+def frame_folder(folder: Column, video: Column) -> Column:
+    """Path of a video's frames up to their names."""
+    return F.concat(folder, F.lit("/"), F.regexp_replace(video, r"(.)\.[^./]+$", "$1"), F.lit("/"))
+
+
+def frame_name(index: Column) -> Column:
+    return F.concat(F.lit("frame"), zero_padded(index, 7), F.lit(".jpg"))
 
 
 def frame_path(folder: Column, video: Column, index: Column) -> Column:
-    stem = F.regexp_replace(video, r"(.)\.[^./]+$", "$1")
-    return F.concat(folder, F.lit("/"), stem, F.lit("/frame"), zero_padded(index, 7), F.lit(".jpg"))
+    return F.concat(frame_folder(folder, video), frame_name(index))
 
 
 def even_positions(n: Column, cap: Column, single: str = "first") -> Column:

@@ -329,10 +329,10 @@ def stamp_seconds(x: Column) -> Column:
 def seconds_stamp(x: Column) -> Column:
     """Seconds to ``HH:MM:SS``, rounded half to even."""
     s = F.rint(x).cast("bigint")
-    parts = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
-    stamp = F.concat_ws(":", *[zero_padded(p, 2) for p in parts])
-    # joined parts skip NULL
-    return F.when(x.isNotNull(), stamp)
+    rest = F.pmod(s, F.lit(3600))
+    hours = F.call_function("div", s - rest, F.lit(3600))
+    digits = (F.call_function("div", rest, F.lit(60)) * 100 + F.pmod(rest, F.lit(60)) + 10000).cast("string")
+    return F.concat(zero_padded(hours, 2), F.lit(":"), F.substring(digits, 2, 2), F.lit(":"), F.substring(digits, 4, 2))
 
 
 def time_threshold(duration: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.numbers import even_positions, frame_index, frame_path
+from tallyframe.functions.numbers import even_positions, frame_folder, frame_index, frame_name
 from tallyframe.functions.text import let, seconds_stamp
 
 
@@ -46,7 +46,8 @@ def sized_windows(df: DataFrame, cap: bool = True) -> DataFrame:
         .withColumn("_k", F.least(F.col("_n"), F.col("max_frames").cast("bigint")) if cap else F.col("_n"))
         .withColumn(
             "_gap",
-            F.when((F.col("_k") < F.col("_n")) & (F.col("_k") > 1), (F.col("_n") - 1) / (F.col("_k") - 1)).otherwise(1.0),
+            # never NULL to the planner, which else checks it by an expression of all the columns above
+            F.coalesce(F.when((F.col("_k") < F.col("_n")) & (F.col("_k") > 1), (F.col("_n") - 1) / (F.col("_k") - 1)), F.lit(1.0)),
         )
     )
 
@@ -66,14 +67,20 @@ def question_frames(df: DataFrame, cap: bool = True) -> DataFrame:
     return listed_frames(sized_windows(df, cap)).select(*df.columns, "position", "frame")
 
 
+def with_folder(df: DataFrame, folder: str = "frames") -> DataFrame:
+    """Questions with the path of their video's frames in ``folder``, found once per question."""
+    return df.withColumn("folder", frame_folder(F.lit(folder), F.col("video").cast("string")))
+
+
 def frame_details(frames: DataFrame, folder: str = "frames") -> DataFrame:
-    """Seconds, label and path of every sampled frame."""
+    """Seconds, label and path of every sampled frame; frames of ``with_folder`` bring their folder."""
     seconds = F.col("frame") / F.col("fps")
+    root = F.col("folder") if "folder" in frames.columns else frame_folder(F.lit(folder), F.col("video").cast("string"))
     return frames.select(
         "*",
         seconds.alias("seconds"),
         seconds_stamp(seconds).alias("stamp"),
-        frame_path(F.lit(folder), F.col("video").cast("string"), F.col("frame")).alias("path"),
+        F.concat(root, frame_name(F.col("frame"))).alias("path"),
     )
 
 
@@ -184,6 +191,76 @@ def compared_words(plan: DataFrame, inventory: DataFrame, keys: Sequence[str]) -
     return both.groupBy(*keys, "word").agg(*[F.bit_or(n).alias(n) for n in names])
 
 
+# Files meet questions as strips: the words of a block of ``SPAN`` frames whose frames
+# agree modulo ``LANES``, a common divisor of the sampling steps. A window of such a step
+# touches one strip per block, so the join carries one or two rows per question.
+
+LANES = 5
+SPAN = 64 * APART
+STRIP = ("block", "lane")
+
+
+def _floor_div(n: Column, by: int) -> Column:
+    return F.call_function("div", n - F.pmod(n, F.lit(by)), F.lit(by))
+
+
+def as_strips(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``frame`` rows as ``(keys, block, lane, bits)``, ``bits`` one word per offset of the lane.
+
+    Repeated rows say nothing new.
+    """
+    frame = F.col("frame")
+    slot = F.call_function("div", F.pmod(frame, F.lit(APART)), F.lit(LANES))
+    strip = _floor_div(frame, SPAN).alias("block"), F.pmod(frame, F.lit(LANES)).alias("lane")
+    rows = frames.select(*keys, *strip, slot.alias("_slot"), _bit(frame).alias("_bit"))
+    zero = F.lit(0).cast("bigint")
+    words = [F.bit_or(F.when(F.col("_slot") == i, F.col("_bit")).otherwise(zero)) for i in range(APART // LANES)]
+    return rows.groupBy(*keys, *STRIP).agg(F.array(*words).alias("bits"))
+
+
+def window_strips(windows: DataFrame) -> DataFrame:
+    """Sized windows by the strips they touch, with the positions ``_from`` to ``_to`` that may lie in each.
+
+    A window with no more frames than blocks has one row per frame instead, so its
+    rows never outnumber its frames by more than the lanes.
+    """
+    first, step, k, gap = (F.col(c) for c in WINDOW)
+    piece, few = F.col("_piece"), F.col("_few")
+    place = lambda p: first + F.rint(p * gap).cast("bigint") * step
+    sized = windows.withColumns({"_low": _floor_div(first, SPAN), "_high": _floor_div(place(k - 1), SPAN)})
+    sized = sized.withColumns({
+        "_few": F.col("_high") - F.col("_low") >= k - 1,
+        "_every": F.when(step % LANES == 0, LANES).otherwise(1).cast("bigint"),
+    })
+    # pieces are positions, or strips counted through: block * LANES + lane
+    start = F.col("_low") * LANES + F.pmod(first, F.col("_every"))
+    pieces = F.when(~few, F.sequence(start, F.col("_high") * LANES + (LANES - 1), F.col("_every")))
+    rows = sized.withColumn("_piece", F.explode(pieces.when(k > 0, F.sequence(F.lit(0).cast("bigint"), k - 1))))
+    at = F.when(few, place(piece)).otherwise(_floor_div(piece, LANES) * SPAN + F.pmod(piece, F.lit(LANES)))
+    rows = rows.withColumn("_at", at)  # a frame of the strip
+    zero = F.lit(0).cast("bigint")  # for the planner: a piece has a strip
+    rows = rows.withColumns({"block": F.coalesce(_floor_div(F.col("_at"), SPAN), zero), "lane": F.coalesce(F.pmod("_at", F.lit(LANES)), zero)})
+    # one position more at either end, as division rounds; the reader checks the strip of each frame
+    begin = (F.col("block") * SPAN - first) / step / gap
+    low = F.greatest(F.floor(begin).cast("bigint") - 1, F.lit(0).cast("bigint"))
+    high = F.least(F.ceil(begin + SPAN / step / gap).cast("bigint") + 1, k - 1)
+    own = {"_from": F.when(few, piece).otherwise(low), "_to": F.when(few, piece).otherwise(high)}
+    return rows.withColumns(own).drop("_piece", "_few", "_every", "_low", "_high", "_at")
+
+
+def present_frames(windows: DataFrame, strips: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``listed_frames`` of sized windows, only frames that the strips of their video have."""
+    met = window_strips(windows).join(strips, [*keys, *STRIP])
+    span = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))
+    rows = met.withColumn("position", F.explode(span))
+    frame = F.col("_first") + F.rint(F.col("position") * F.col("_gap")).cast("bigint") * F.col("_step")
+    spot = frame - F.col("block") * SPAN
+    word = F.get("bits", F.call_function("div", F.pmod(spot, F.lit(APART)), F.lit(LANES)).cast("int"))
+    there = F.getbit(word, F.call_function("div", spot, F.lit(APART)).bitwiseAND(63).cast("int")) == 1
+    rows = rows.where((spot >= 0) & (spot < SPAN) & (F.pmod(spot, F.lit(LANES)) == F.col("lane")) & there)
+    return rows.withColumn("frame", frame)
+
+
 def sampled_frames(
     df: DataFrame,
     frame_counts: DataFrame | None = None,
@@ -193,30 +270,15 @@ def sampled_frames(
     """Frames of every question, clipped to the decoded length, without frames that have no file.
 
     A video without a frame count is not clipped; with ``inventory`` given, a frame
-    without any file is dropped, one with an empty file stays. Missing frames of the
-    plan are found as words; only windows that touch such a word meet it, and
-    questions get the words of their window as a map no larger than the window.
+    without any file is dropped, one with an empty file stays. Windows meet the files
+    as strips, so joined rows are stretches of a video and never frames.
     """
     own = sized_windows(df)
     if frame_counts is not None:
         own = own.join(frame_counts.select(*keys, F.col("frame_count").alias("_count")), list(keys), "left")
-    if inventory is not None:
-        files = as_words(inventory, keys, have=F.lit(True))
-        gone = plan_words(df, keys).join(files, [*keys, "word"], "left")
-        absent = F.bitwise_not(F.coalesce("have", F.lit(0).cast("bigint")))
-        gone = gone.select(*keys, "word", F.col("want").bitwiseAND(absent).alias("gone"))
-        window = [*keys, *WINDOW]
-        spans = sized_windows(df).select(*window).distinct()
-        touched = listed_frames(spans).select(*window, _word(F.col("frame")).alias("word")).distinct()
-        holes = touched.join(gone.where("gone != 0"), [*keys, "word"]).groupBy(*window)
-        holes = holes.agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("_gone"))
-        own = own.join(holes, window, "left")
-    rows = listed_frames(own)
+    rows = listed_frames(own) if inventory is None else present_frames(own, as_strips(inventory, keys), keys)
     if frame_counts is not None:
         rows = rows.where(F.col("_count").isNull() | ((F.col("frame") >= 0) & (F.col("frame") < F.col("_count"))))
-    if inventory is not None:
-        hole = F.coalesce(F.try_element_at("_gone", _word(F.col("frame"))), F.lit(0).cast("bigint"))
-        rows = rows.where(hole.bitwiseAND(_bit(F.col("frame"))) == 0)
     return rows.select(*df.columns, "position", "frame")
 
 

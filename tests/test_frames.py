@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import zero_padded
+from tallyframe.functions.text import seconds_stamp
 from tallyframe.operators import frames as P
 from tallyframe.operators.joins import first_available
 from tallyframe.plans.catalog import QUERIES
@@ -150,3 +151,47 @@ def test_numbers_are_padded_without_formats(spark, sf):
     assert got == [None if v is None else f"{v:07d}" for v in values]
     plan = QUERIES["frame_details"].build(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "format_string" not in plan
+
+
+def test_strips_find_the_files_of_any_window(spark):
+    draw = random.Random(11)
+    rows = []
+    for q in range(160):
+        start = draw.choice([-500.0, 0.0, draw.randint(0, 4000) / 2, 383.5])
+        end = start + draw.choice([0, 3, 400, 2_000, 90_000])
+        rows.append((q, draw.choice("ab"), f"v{q % 4}", start, end, draw.choice([25, 30]), draw.choice([25, 30, 250, 300, 7, 64]), draw.choice([1, 2, 9, 64, 96])))
+    wanted = {(q[1], q[2], f) for q in rows for f in brute(q)}
+    there = {k for k in wanted if k[2] % 7 > 2} | {(d, v, f + 5) for d, v, f in wanted}
+    have = spark.createDataFrame([*there, *list(there)[:50]], "dataset string, video string, frame long")
+    got = defaultdict(list)
+    for r in P.sampled_frames(spark.createDataFrame(rows, ASKED), inventory=have).orderBy("qid", "position").collect():
+        got[r["qid"]].append((r["position"], r["frame"]))
+    for q in rows:
+        assert got[q[0]] == [(p, f) for p, f in enumerate(brute(q)) if (q[1], q[2], f) in there], q
+
+
+def test_a_window_has_a_row_per_strip_or_frame(spark):
+    rows = [(0, "a", "v", 0.0, 380.0, 25, 25, 64), (1, "a", "v", 0.0, 1e8, 25, 25, 64), (2, "a", "v", 1.0, 1e8, 30, 7, 3), (3, "a", "v", 0.0, 767.0, 25, 250, 96)]
+    strips = P.window_strips(P.sized_windows(spark.createDataFrame(rows, ASKED))).groupBy("qid").count()
+    assert dict(strips.collect()) == {0: 1, 1: 64, 2: 3, 3: 2}
+
+
+def test_generated_methods_of_frame_details_are_compiled(spark, sf):
+    """The JVM interprets methods of more than 8,000 bytes for good."""
+    df = QUERIES["frame_details"].build(spark, sf)
+    assert df.collect()
+    debug = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.debug.package$").getField("MODULE$").get(None)
+    parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_stamps_and_padded_numbers_of_any_size(spark):
+    seconds = [0, 59, 60, 3599, 3600, 359_999, 360_000, 3_600_000, -1, -3600, -36_000, -360_001]
+    df = spark.createDataFrame([(float(s),) for s in seconds], "s double")
+    want = [f"{s // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}" for s in seconds]
+    assert [r[0] for r in df.select(seconds_stamp(F.col("s"))).collect()] == want
+    numbers = [-(10**6), -(10**6) + 1, 10**7 - 1, 10**7, -9, -10, 9, 99, 100, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    for digits in (1, 2, 7):
+        assert [r[0] for r in df.select(zero_padded(F.col("n"), digits)).collect()] == [f"{n:0{digits}d}" for n in numbers], digits
